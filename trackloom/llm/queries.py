@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import decontaminate, mixing, secrets, tokens, urls
+from trackloom.llm import decontaminate, embeddings, mixing, secrets, tokens, urls
 
 #: Where the public tokenizer files are; a parameter, nothing is copied.
 TOKENIZER = "word_bpe_49k.json"
@@ -27,6 +27,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tokens.token_ids(_table(spark, sf_dir, "documents"), tokenizer_path())
     return out.withColumn("doc_id", tokens.least_null(F.col("doc_id")))
@@ -46,6 +50,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_token_ids": op5_token_ids,
     "op6_decontamination": op6_decontamination,
     "op8_secrets": op8_secrets,
