@@ -35,7 +35,7 @@ from trackloom.llm.store import new_path
 SAMPLE = 64
 SHARD_TOKENS = 1 << 20
 #: Words kept with their ids in a Python worker; beyond that the memory starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 SCHEMA = "part_first long, seq long, n_docs long, n_tokens long, width int, ids binary, doc_ids binary, low binary, high binary, samples binary"
 
 
@@ -95,14 +95,22 @@ def ef_select(low: bytes, high: bytes, samples: bytes, n: int, universe: int, i:
 # ---- encoding -----------------------------------------------------------------------------
 
 _tokenizers: dict[str, tuple] = {}
-_SENTENCE_END = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])([.,])(?=[ \n])")
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+
+
+def within_latin_1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class WordEncoder:
     """Ids of texts by a tokenizer whose pre-tokens never reach over white space.
 
     Words repeat, so each is encoded once and remembered. A text within Latin-1 is lower-cased
-    first, and a full stop or comma at a word's end is split off: the tokenizer does the same.
+    first, and a full stop or comma after plain letters is encoded apart: the tokenizer does the same.
     """
 
     def __init__(self, path: str):
@@ -118,18 +126,22 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = []
         for text in texts:
-            if text.isascii() or max(text) <= "\xff":
-                text = _SENTENCE_END.sub(r" \1", text.lower())
+            if within_latin_1(text):
+                text = text.lower()
             split.append(text.replace("\n", " ").split(" "))
         if len(self.known) > REMEMBERED:
             self.known = {}
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        extra = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (known if len(w) <= 40 else extra)[w] = np.array(e.ids, self.dtype).tobytes()
+        known, extra = self.known, {}
+        new = {w for ws in split for w in ws if w not in known}
+        if new:
+            ended = {w: w[:-1] for w in new if w[-1:] in (".", ",") and _LETTERS.fullmatch(w, 0, len(w) - 1)}
+            plain = [w for w in (new - ended.keys()) | set(ended.values()) | {".", ","} if w not in known]
+            for at in range(0, len(plain), 4096):
+                part = plain[at : at + 4096]
+                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                    (known if len(w) <= 40 else extra)[w] = np.array(e.ids, self.dtype).tobytes()
+            for w, body in ended.items():
+                (known if len(w) <= 40 else extra)[w] = (known.get(body) or extra[body]) + known[w[-1]]
         if extra:
             return [b"".join([known[w] if w in known else extra[w] for w in ws]) for ws in split]
         return [b"".join(map(known.__getitem__, ws)) for ws in split]
