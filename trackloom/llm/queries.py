@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import decontaminate, embeddings, jaccard, mixing, secrets, tokens, urls
+from trackloom.llm import decontaminate, embeddings, jaccard, mixing, quality, secrets, tokens, urls
 
 #: Where the public tokenizer files are; a parameter, nothing is copied.
 TOKENIZER = "word_bpe_49k.json"
@@ -52,6 +52,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.perplexities(_table(spark, sf_dir, "documents"), quality.trusted_ids(_table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_jaccard_join": op7_jaccard_join,
     "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
+    "op10_quality": op10_quality,
 }
 
 _WORD_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
