@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import decontaminate, embeddings, jaccard, mixing, quality, secrets, tokens, urls
+from trackloom.llm import decontaminate, embeddings, jaccard, mixing, pii, quality, secrets, tokens, urls
 
 #: Where the public tokenizer files are; a parameter, nothing is copied.
 TOKENIZER = "word_bpe_49k.json"
@@ -27,6 +27,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -58,6 +62,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
+    "op3_pii": op3_pii,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_token_ids": op5_token_ids,
     "op6_decontamination": op6_decontamination,
