@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import decontaminate, embeddings, jaccard, mixing, pii, quality, secrets, tokens, urls
+from trackloom.llm import decontaminate, embeddings, jaccard, mixing, pii, quality, repeats, secrets, tokens, urls
 
 #: Where the public tokenizer files are; a parameter, nothing is copied.
 TOKENIZER = "word_bpe_49k.json"
@@ -23,6 +23,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(_table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -61,6 +65,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_pii": op3_pii,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
