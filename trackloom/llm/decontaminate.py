@@ -83,9 +83,10 @@ def exact_matches(post: DataFrame, win: DataFrame, n_terms: int) -> DataFrame:
     """(dk, start, n, items) of every occurrence of every window."""
     m = sized_join(post, win, n_terms, "term")
     first = F.col("here") - F.col("at")
+    from_one = F.greatest(first, F.lit(0)) + 1  # conditions may be evaluated in any order
     m = m.where((first >= 0) & (first + F.size("words") <= F.size("near")))
-    m = m.where(F.try_element_at("near", (first + F.col("at2") + 1).cast("int")) == F.col("term2"))
-    m = m.where(F.slice("near", first + 1, F.size("words")) == F.col("words"))
+    m = m.where(F.try_element_at("near", (from_one + F.col("at2")).cast("int")) == F.col("term2"))
+    m = m.where(F.slice("near", from_one, F.size("words")) == F.col("words"))
     return m.select("dk", (F.col("pos") - F.col("at")).alias("start"), F.size("words").alias("n"), "items")
 
 
