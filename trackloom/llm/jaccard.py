@@ -84,8 +84,8 @@ def signed(docs: DataFrame) -> DataFrame:
                 found, n_words = words(data, offsets)
                 k1, k2 = sequence_keys(found, n_words)
                 sh, n = shingles(found, n_words, SHINGLE)
-                sigs = iter(minhash(sh, n).tobytes()[i : i + 4 * HASHES] for i in range(0, 4 * HASHES * int((n > 0).sum()), 4 * HASHES)) if len(sh) else iter(())
-                sig = [next(sigs) if x else None for x in n]
+                sigs = iter(minhash(sh, n)) if len(sh) else iter(())
+                sig = [next(sigs).tobytes() if x else None for x in n]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n), pa.array(sig, pa.binary())], names=["doc_id", "k1", "k2", "n", "sig"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
