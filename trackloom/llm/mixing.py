@@ -23,6 +23,8 @@ from trackloom.llm.store import stored
 
 WORD_RUN = r"[^\x20\x09-\x0D]+"
 RANGE_BITS = 12
+#: A plan of at most so many sources (about 100 bytes each) is broadcast; a larger one is joined by a shuffle that splits skewed sources.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -79,6 +81,12 @@ def plan_mix(rows: DataFrame, max_epochs: float, weights: tuple[float, ...]) ->
     return s.join(c, s["source"].eqNullSafe(c["cut_source"]), "left").select("source", "source_size", "target", "whole", "part", "cut")
 
 
+def with_plan(rows: DataFrame, plan: DataFrame, source: str) -> DataFrame:
+    """``rows`` with the columns of their source's plan. A shuffle by source would send a third of all rows to one task."""
+    small = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
+    return rows.join(small, rows["source"].eqNullSafe(plan[source]))
+
+
 def copies(h: Column, whole: Column, part: Column, cut: Column) -> Column:
     """How often a document is taken. Without a cut its source ends on a whole repetition."""
     return (whole + F.when((part > 0) & (h <= cut), 1).otherwise(0)).cast("long")
@@ -87,20 +95,20 @@ def copies(h: Column, whole: Column, part: Column, cut: Column) -> Column:
 def mix_report(docs: DataFrame, max_epochs: float = 3.0, weights: tuple[float, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target, taken."""
     rows = sized(docs, seed)
-    p = plan_mix(rows, max_epochs, weights).withColumnRenamed("source", "p_source")
+    p = stored(plan_mix(rows, max_epochs, weights).withColumnRenamed("source", "p_source"), "mix-plan")
     n = copies(F.col("h"), F.col("whole"), F.col("part"), F.col("cut"))
-    return rows.join(p, rows["source"].eqNullSafe(p["p_source"])).select("doc_id", "size", "source_size", "target", (F.col("size") * n).alias("taken"))
+    return with_plan(rows, p, "p_source").select("doc_id", "size", "source_size", "target", (F.col("size") * n).alias("taken"))
 
 
 def mix(docs: DataFrame, max_epochs: float = 3.0, weights: tuple[float, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, columns unchanged.
 
-    The plan has a row for each source and is joined by size: Spark broadcasts it while it is small
-    and otherwise splits the skewed sources.
+    The plan has a row for each source.
     """
     p = plan_mix(sized(docs, seed), max_epochs, weights).select(*[F.col(c).alias(f"_mix_{c}") for c in ("source", "whole", "part", "cut")])
+    p = stored(p, "mix-plan")
     columns = docs.columns
     d = docs.withColumn("_mix_h", seeded_order(seed))
-    d = d.join(p, d["source"].eqNullSafe(p["_mix_source"]))
+    d = with_plan(d, p, "_mix_source")
     n = copies(F.col("_mix_h"), F.col("_mix_whole"), F.col("_mix_part"), F.col("_mix_cut"))
     return d.withColumn("_mix_n", n).where("_mix_n > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("_mix_n"))).alias("_mix_copy")).drop("_mix_copy")
