@@ -1,33 +1,643 @@
-"""Registered queries and their DuckDB counterparts."""
+"""Registered queries and their DuckDB counterparts.
+
+Every query reads the driver's tables, most of them the boxes derived from ``events``. Doubles are
+rounded to six places in both engines. Thresholds are those of the fixture where production's would
+leave nothing.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.sources import tables
+from trackloom.functions import geometry as g
+from trackloom.operators import candidates, diff, nms, ordered, prune, recover, resolve, score
+from trackloom.plans import pipeline, report
+from trackloom.sources import files, tables
+from trackloom.sources.store import new_path
+from trackloom.streaming import live
 
-#: The derived detections as DuckDB SQL, for use as a common table expression.
-DETECTIONS_SQL = """
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "summary_per_clip"
+
+#: The derived detections as DuckDB SQL, for use as common table expressions.
+DET = """
 raw AS (
   SELECT event_id, 'c' || CAST(user_id // 16 AS VARCHAR) AS clip,
     CAST(floor(epoch(ts) / 3600) AS BIGINT) - 473352 AS frame, user_id AS tid,
     100 + (user_id % 16) * 12 + (event_id * 13) % 21 AS cx,
     80 + (user_id % 16) * 6 + (event_id * 17) % 15 AS cy,
     20 + event_id % 30 AS w, 40 + event_id % 50 AS h,
-    (300 + (event_id * 7919) % 700) / 1000.0 AS conf
+    CAST((300 + (event_id * 7919) % 700) / 1000.0 AS DOUBLE) AS conf
   FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
 det AS (
-  SELECT clip, frame, tid, cx - w / 2 AS x1, cy - h / 2 AS y1, cx + w / 2 AS x2, cy + h / 2 AS y2, CAST(conf AS DOUBLE) AS conf
-  FROM raw QUALIFY row_number() OVER (PARTITION BY clip, tid, frame ORDER BY conf DESC, event_id) = 1)
+  SELECT clip, frame, tid, cx - w / 2 AS x1, cy - h / 2 AS y1, cx + w / 2 AS x2, cy + h / 2 AS y2, conf
+  FROM raw QUALIFY row_number() OVER (PARTITION BY clip, tid, frame ORDER BY conf DESC, event_id) = 1),
+frames AS (SELECT clip, CAST(f AS BIGINT) AS frame FROM (SELECT DISTINCT clip FROM raw), range(0, 720) t(f))
+"""
+SEG = """
+seg AS (
+  SELECT *, sum(br) OVER (PARTITION BY clip, tid ORDER BY frame) AS piece
+  FROM (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY clip, tid ORDER BY frame) > 12 THEN 1 ELSE 0 END AS br FROM det)),
+sid AS (
+  SELECT * FROM (SELECT clip, frame, CAST(tid * 1000000 + piece AS BIGINT) AS tid, x1, y1, x2, y2, conf, count(*) OVER (PARTITION BY clip, tid, piece) AS cnt FROM seg)
+  WHERE cnt >= 3)
+"""
+ENDS = """
+tails AS (
+  SELECT *, row_number() OVER (PARTITION BY clip, tid ORDER BY frame DESC) AS r, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM sid),
+steps AS (
+  SELECT clip, tid, (cx - lag(cx) OVER w) / greatest(frame - lag(frame) OVER w, 1) AS sx, (cy - lag(cy) OVER w) / greatest(frame - lag(frame) OVER w, 1) AS sy
+  FROM tails WHERE r <= 5 WINDOW w AS (PARTITION BY clip, tid ORDER BY frame)),
+speed AS (SELECT clip, tid, coalesce(quantile_cont(sx, 0.5), 0) AS vx, coalesce(quantile_cont(sy, 0.5), 0) AS vy FROM steps GROUP BY clip, tid),
+fit AS (
+  SELECT clip, tid, count(*) AS k, avg(frame) AS mf, avg(x1) AS m1, avg(y1) AS m2, avg(x2) AS m3, avg(y2) AS m4,
+    covar_pop(x1, frame) / nullif(var_pop(frame), 0) AS s1, covar_pop(y1, frame) / nullif(var_pop(frame), 0) AS s2,
+    covar_pop(x2, frame) / nullif(var_pop(frame), 0) AS s3, covar_pop(y2, frame) / nullif(var_pop(frame), 0) AS s4
+  FROM tails WHERE r <= 3 GROUP BY clip, tid),
+ends AS (
+  SELECT clip, tid, count(*) AS n, min(frame) AS f0, max(frame) AS f1,
+    arg_min(x1, frame) AS hx1, arg_min(y1, frame) AS hy1, arg_min(x2, frame) AS hx2, arg_min(y2, frame) AS hy2,
+    arg_max(x1, frame) AS tx1, arg_max(y1, frame) AS ty1, arg_max(x2, frame) AS tx2, arg_max(y2, frame) AS ty2
+  FROM sid GROUP BY clip, tid)
 """
 
 
-def tid_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E1: rows of each track."""
-    return tables.detections(spark, sf_dir).groupBy("clip", "tid").agg(F.count("*").alias("n"))
+def iou_sql(a: list[str], b: list[str]) -> str:
+    inner = f"(greatest(least({a[2]}, {b[2]}) - greatest({a[0]}, {b[0]}), 0) * greatest(least({a[3]}, {b[3]}) - greatest({a[1]}, {b[1]}), 0))"
+    area = lambda x: f"(greatest({x[2]} - {x[0]}, 0) * greatest({x[3]} - {x[1]}, 0))"
+    return f"(CASE WHEN {inner} > 0 THEN {inner} / ({area(a)} + {area(b)} - {inner}) ELSE 0 END)"
+
+
+def prefixed(p: str) -> list[str]:
+    return [f"{p}{c}" for c in g.BOX]
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select([F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def query(sql: str | None = None, with_: str = DET):
+    """Registers a query under its function's name, doubles rounded, and its SQL after the common expressions."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = lambda spark, d: rounded(f(spark, d))
+        if sql:
+            ORACLES[f.__name__] = (f"WITH {with_} " if with_ else "") + sql
+        return f
+
+    return add
+
+
+def det(spark: SparkSession, d: str) -> DataFrame:
+    return tables.detections(spark, d)
+
+
+def segments(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of at least three rows as tracks."""
+    s = ordered.split_on_gap(det(spark, d)).select("clip", "frame", ordered.piece_id().cast("long").alias("tid"), *ordered.VALUES)
+    return prune.min_length(s, 3)
+
+
+BOX4 = "round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2"
+ROW = f"clip, frame, tid, {BOX4}, round(conf, 6) AS conf"
+
+
+# ---- rows and tracks ------------------------------------------------------------------------
+
+
+@query(f"SELECT {ROW} FROM det")
+def dedupe_max_conf(spark, d):
+    return det(spark, d)
+
+
+@query(f"SELECT {ROW} FROM det WHERE x2 - x1 > 25 AND y2 - y1 > 45")
+def min_box_filter(spark, d):
+    return prune.min_box(det(spark, d), 25, 45)
+
+
+@query("SELECT clip, tid, count(*) AS n FROM det GROUP BY clip, tid")
+def tid_counts(spark, d):
+    return det(spark, d).groupBy("clip", "tid").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT {ROW} FROM (SELECT *, count(*) OVER w AS n, avg(conf) OVER w AS m FROM det WINDOW w AS (PARTITION BY clip, tid)) WHERE tid < 0 OR (n >= 60 AND m >= 0.64)")
+def track_prune_having(spark, d):
+    return prune.prune_tracks(det(spark, d), 60, 0.64)
+
+
+@query(f"SELECT {ROW} FROM det JOIN (SELECT clip, tid FROM det GROUP BY clip, tid HAVING count(*) >= 60 AND avg(conf) >= 0.55 AND quantile_cont(conf, 0.9) >= 0.84) USING (clip, tid)")
+def and_gate_p90(spark, d):
+    return prune.gate(det(spark, d))
+
+
+@query(f"SELECT {ROW} FROM (SELECT *, row_number() OVER (PARTITION BY clip, frame ORDER BY conf DESC, tid) AS r FROM (SELECT *, count(*) OVER (PARTITION BY clip, tid) AS n FROM det) WHERE n >= 60 AND conf >= 0.4) WHERE r <= 2")
+def prune_detections(spark, d):
+    return prune.prune_detections(det(spark, d), 60, 0.4, 2)
+
+
+@query(f"SELECT {ROW} FROM det WHERE tid > 0 AND frame < 100 AND coalesce(conf, 1) >= 0.5")
+def truth_rows(spark, d):
+    return prune.first_frames(prune.confident_truth(det(spark, d)).where(prune.valid_id(F.col("tid"))), 100)
+
+
+@query(f"SELECT {ROW} FROM det WHERE conf < 0.55 AND (x2 - x1) * (y2 - y1) < 2500")
+def verifier_candidates(spark, d):
+    return prune.verifier_candidates(det(spark, d), 0.55, 2500)
+
+
+@query(f"SELECT {ROW} FROM det WHERE NOT (conf < 0.55 AND (x2 - x1) * (y2 - y1) < 2500 AND frame % 7 / 7.0 < 0.3)")
+def drop_unfilled(spark, d):
+    x = det(spark, d)
+    judged = prune.verifier_candidates(x, 0.55, 2500).select("clip", "frame", "tid", (F.col("frame") % 7 / 7).alias("share"))
+    return prune.drop_unfilled(x, judged)
+
+
+@query(f"SELECT {ROW} FROM (SELECT *, row_number() OVER (PARTITION BY clip, frame ORDER BY conf DESC, tid) AS r FROM det) WHERE r <= 2")
+def topk_per_frame(spark, d):
+    return prune.top_per_frame(det(spark, d), 2)
+
+
+@query(f"SELECT {ROW} FROM det JOIN (SELECT clip, tid FROM det GROUP BY clip, tid QUALIFY row_number() OVER (PARTITION BY clip ORDER BY count(*) DESC, tid) <= 5) USING (clip, tid)")
+def topk_tracks(spark, d):
+    return prune.top_tracks(det(spark, d), 5)
+
+
+@query(
+    f"""SELECT {ROW} FROM (
+  SELECT *, least(coalesce(fi, n), 3, n) AS head FROM (
+    SELECT *, min(CASE WHEN conf >= 0.5 THEN i END) OVER w AS fi, max(CASE WHEN conf >= 0.5 THEN i END) OVER w AS la, count(*) OVER w AS n
+    FROM (SELECT *, row_number() OVER (PARTITION BY clip, tid ORDER BY frame) - 1 AS i FROM sid) WINDOW w AS (PARTITION BY clip, tid)))
+WHERE n - head - least(CASE WHEN la IS NULL THEN n ELSE n - 1 - la END, 3, n - head) >= 3
+  AND i >= head AND i < n - least(CASE WHEN la IS NULL THEN n ELSE n - 1 - la END, 3, n - head)""",
+    f"{DET}, {SEG}",
+)
+def edge_trim(spark, d):
+    return prune.trim_edges(segments(spark, d), 0.5, 3, 3)
+
+
+@query(
+    """SELECT clip, count(*) AS tracks, sum(n) AS n_rows, round(avg(m), 6) AS mean_conf, round(min(p), 6) AS least_p90
+FROM (SELECT clip, tid, count(*) AS n, avg(conf) AS m, quantile_cont(conf, 0.9) AS p FROM sid WHERE x2 - x1 > 10 AND y2 - y1 > 10 GROUP BY clip, tid) WHERE n >= 5 AND m >= 0.55 AND p >= 0.84 GROUP BY clip""",
+    f"{DET}, {SEG}",
+)
+def summary_per_clip(spark, d):
+    t = prune.min_box(segments(spark, d)).groupBy("clip", "tid").agg(F.count("*").alias("n"), F.avg("conf").alias("m"), F.percentile("conf", F.lit(0.9)).alias("p"))
+    t = t.where("n >= 5 and m >= 0.55 and p >= 0.84")
+    return t.groupBy("clip").agg(F.count("*").alias("tracks"), F.sum("n").alias("n_rows"), F.avg("m").alias("mean_conf"), F.min("p").alias("least_p90"))
+
+
+@query(
+    "SELECT clip, max(n) AS most, count(DISTINCT frame) AS busy, round(avg(n), 6) AS mean_active, max(frame) + 1 AS n_frames FROM (SELECT clip, frame, count(*) AS n FROM det GROUP BY clip, frame) GROUP BY clip"
+)
+def clip_density_stats(spark, d):
+    n = det(spark, d).groupBy("clip", "frame").agg(F.count("*").alias("n"))
+    return n.groupBy("clip").agg(F.max("n").alias("most"), F.count("frame").alias("busy"), F.avg("n").alias("mean_active"), (F.max("frame") + 1).alias("n_frames"))
+
+
+@query("SELECT clip, tid, CAST(list(frame ORDER BY frame) AS VARCHAR) AS frames, count(*) AS n FROM det GROUP BY clip, tid")
+def track_arrays(spark, d):
+    t = ordered.as_arrays(det(spark, d))
+    return t.select("clip", "tid", F.concat(F.lit("["), F.array_join(F.transform("rows.frame", lambda x: x.cast("string")), ", "), F.lit("]")).alias("frames"), F.size("rows").cast("long").alias("n"))
+
+
+# ---- along frames ---------------------------------------------------------------------------
+
+
+@query("SELECT clip, tid, frame, piece FROM (SELECT * REPLACE (CAST(piece AS BIGINT) AS piece) FROM seg)", f"{DET}, {SEG}")
+def gap_split(spark, d):
+    return ordered.split_on_gap(det(spark, d)).select("clip", "tid", "frame", "piece")
+
+
+@query(
+    """SELECT clip, tid, piece, fr AS frame, round(x1 + (nx1 - x1) * t, 6) AS x1, round(y1 + (ny1 - y1) * t, 6) AS y1, round(x2 + (nx2 - x2) * t, 6) AS x2, round(y2 + (ny2 - y2) * t, 6) AS y2, round(conf + (nconf - conf) * t, 6) AS conf, fr = frame AS detected
+FROM (SELECT *, CASE WHEN fr = frame THEN 0 ELSE (fr - frame) / (nf - frame) END AS t FROM (SELECT *, unnest(generate_series(frame, coalesce(nf - 1, frame))) AS fr FROM (
+  SELECT clip, tid, CAST(piece AS BIGINT) AS piece, frame, x1, y1, x2, y2, conf, lead(frame) OVER w AS nf, coalesce(lead(x1) OVER w, x1) AS nx1, coalesce(lead(y1) OVER w, y1) AS ny1, coalesce(lead(x2) OVER w, x2) AS nx2, coalesce(lead(y2) OVER w, y2) AS ny2, coalesce(lead(conf) OVER w, conf) AS nconf
+  FROM seg WINDOW w AS (PARTITION BY clip, tid, piece ORDER BY frame))))""",
+    f"{DET}, {SEG}",
+)
+def gap_fill_linear(spark, d):
+    return ordered.fill_gaps(ordered.split_on_gap(det(spark, d)))
+
+
+@query("SELECT clip, frame, count(tid) AS n FROM frames LEFT JOIN det USING (clip, frame) GROUP BY clip, frame")
+def density_zero_filled(spark, d):
+    return ordered.density(det(spark, d), tables.frames(spark, d))
+
+
+RUNNING = "dens AS (SELECT clip, frame, count(tid) AS n FROM frames LEFT JOIN det USING (clip, frame) GROUP BY clip, frame), med AS (SELECT *, quantile_cont(n, 0.5) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS med FROM dens)"
+
+
+@query("SELECT clip, frame, n, round(med, 6) AS med FROM med", f"{DET}, {RUNNING}")
+def running_median_density(spark, d):
+    return ordered.running_median(ordered.density(det(spark, d), tables.frames(spark, d)))
+
+
+@query("SELECT clip, frame, n, round(med, 6) AS med FROM med WHERE n <= med - 1 OR frame % 5 = 0", f"{DET}, {RUNNING}")
+def suspicious_frames(spark, d):
+    return ordered.suspicious_frames(ordered.density(det(spark, d), tables.frames(spark, d)))
+
+
+@query(
+    "SELECT clip, frame AS start, CAST(t AS BIGINT) AS boxes FROM (SELECT clip, frame, sum(n) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN CURRENT ROW AND 47 FOLLOWING) AS t FROM dens) WHERE frame + 47 <= 719 QUALIFY row_number() OVER (PARTITION BY clip ORDER BY t DESC, frame) = 1",
+    f"{DET}, {RUNNING}",
+)
+def dense_window(spark, d):
+    return ordered.dense_window(ordered.density(det(spark, d), tables.frames(spark, d)), 48)
+
+
+@query("SELECT clip, tid, n, f0, f1, round(hx1, 6) AS head_x1, round(ty2, 6) AS tail_y2, round(vx, 6) AS vx, round(vy, 6) AS vy FROM ends JOIN speed USING (clip, tid)", f"{DET}, {SEG}, {ENDS}")
+def endpoints_velocity(spark, d):
+    e = ordered.endpoints(segments(spark, d))
+    return e.select("clip", "tid", "n", "f0", "f1", F.col("head.x1").alias("head_x1"), F.col("tail.y2").alias("tail_y2"), "vx", "vy")
+
+
+@query("SELECT clip, tid, round(coalesce(s1, 0), 6) AS s_x1, round(coalesce(s4, 0), 6) AS s_y2, round(m1 + coalesce(s1, 0) * (f1 + 5 - mf), 6) AS x1_later FROM fit JOIN ends USING (clip, tid)", f"{DET}, {SEG}, {ENDS}")
+def tail_fit(spark, d):
+    s = segments(spark, d)
+    last = s.groupBy("clip", "tid").agg(F.max("frame").alias("f1"))
+    return ordered.tail_fit(s).join(last, ["clip", "tid"]).select("clip", "tid", "s_x1", "s_y2", ordered.extrapolated(F.col("f1") + 5).x1.alias("x1_later"))
+
+
+def _median_sql(column: str, window: int = 21) -> str:
+    """Running median with repeated ends over the lists of a table ``lists`` (v, n, i)."""
+    half = f"(least({window}, n) - CASE WHEN least({window}, n) % 2 = 0 THEN 2 ELSE 1 END) // 2"
+    return f"list_sort(list_transform(range(i - greatest({half}, 0), i + greatest({half}, 0) + 1), lambda k: {column}[least(greatest(k, 1), n)]))[greatest({half}, 0) + 1]"
+
+
+LISTS = """
+lists AS (
+  SELECT clip, tid, n, cv, mw, mh, fs, confs, lx, ly, lw, lh, unnest(range(1, n + 1)) AS i FROM (
+    SELECT clip, tid, count(*) AS n, list(frame ORDER BY frame) AS fs, list(conf ORDER BY frame) AS confs, list((x1 + x2) / 2 ORDER BY frame) AS lx, list((y1 + y2) / 2 ORDER BY frame) AS ly,
+      list(x2 - x1 ORDER BY frame) AS lw, list(y2 - y1 ORDER BY frame) AS lh, stddev_pop(x2 - x1) / greatest(1, avg(x2 - x1)) + stddev_pop(y2 - y1) / greatest(1, avg(y2 - y1)) AS cv,
+      quantile_cont(x2 - x1, 0.5) AS mw, quantile_cont(y2 - y1, 0.5) AS mh
+    FROM det GROUP BY clip, tid))"""
+
+
+@query(
+    f"SELECT clip, tid, frame, round(cx - w / 2, 6) AS x1, round(cy - h / 2, 6) AS y1, round(cx + w / 2, 6) AS x2, round(cy + h / 2, 6) AS y2, round(conf, 6) AS conf FROM (SELECT clip, tid, fs[i] AS frame, confs[i] AS conf, {_median_sql('lx')} AS cx, {_median_sql('ly')} AS cy, lw[i] AS w, lh[i] AS h FROM lists)",
+    f"{DET}, {LISTS}",
+)
+def median_smooth(spark, d):
+    return ordered.smooth_centres(det(spark, d))
+
+
+@query(
+    f"SELECT clip, tid, frame, round(cx - w / 2, 6) AS x1, round(cy - h / 2, 6) AS y1, round(cx + w / 2, 6) AS x2, round(cy + h / 2, 6) AS y2, round(conf, 6) AS conf FROM (SELECT clip, tid, fs[i] AS frame, confs[i] AS conf, lx[i] AS cx, ly[i] AS cy, CASE WHEN cv <= 0.48 THEN mw ELSE {_median_sql('lw')} END AS w, CASE WHEN cv <= 0.48 THEN mh ELSE {_median_sql('lh')} END AS h FROM lists)",
+    f"{DET}, {LISTS}",
+)
+def cv_gated_size(spark, d):
+    return ordered.smooth_sizes(det(spark, d), 0.48)
+
+
+@query(
+    """SELECT clip, tid, frame, round(list_sum(list_transform(range(-12, 13), lambda k: wt[k + 13] * med[CASE WHEN i + k < 1 THEN 1 - (i + k) WHEN i + k > n THEN 2 * n + 1 - (i + k) ELSE i + k END])), 6) AS x1
+FROM (SELECT clip, tid, n, i, frame, list(m) OVER (PARTITION BY clip, tid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS med, wt
+  FROM (SELECT clip, tid, n, i, fs[i] AS frame, list_sort(list_transform(range(i - 5, i + 6), lambda k: CASE WHEN k BETWEEN 1 AND n THEN lx[k] - lw[k] / 2 ELSE 0 END))[6] AS m FROM lists WHERE n >= 25),
+  (SELECT list(e / t ORDER BY j) AS wt FROM (SELECT j, exp(-0.5 * (j / 3.0) ** 2) AS e, sum(exp(-0.5 * (j / 3.0) ** 2)) OVER () AS t FROM range(-12, 13) t(j))))""",
+    f"{DET}, {LISTS}",
+)
+def gauss_smooth(spark, d):
+    long = prune.min_length(det(spark, d), 25)
+    return ordered.smooth_boxes(long).select("clip", "tid", "frame", "x1")
+
+
+# ---- pairs ----------------------------------------------------------------------------------
+
+_TARGET = [f"(a.m{k} + coalesce(a.s{k}, 0) * (b.f0 - a.mf))" for k in (1, 2, 3, 4)]
+
+
+@query(
+    f"SELECT a.clip AS clip, a.tid AS a, b.tid AS b, b.f0 - a.f1 AS gap, round({iou_sql(_TARGET, prefixed('b.h'))}, 6) AS iou FROM (SELECT * FROM ends JOIN fit USING (clip, tid)) a JOIN ends b ON a.clip = b.clip AND a.tid <> b.tid AND b.f0 - a.f1 BETWEEN 1 AND 48 WHERE {iou_sql(_TARGET, prefixed('b.h'))} >= 0.1",
+    f"{DET}, {SEG}, {ENDS}",
+)
+def merge_candidates(spark, d):
+    s = segments(spark, d)
+    return candidates.merge_candidates(ordered.endpoints(s), ordered.tail_fit(s)).select(F.col("a_clip").alias("clip"), F.col("a_tid").alias("a"), F.col("b_tid").alias("b"), "gap", "iou")
+
+
+_DIST = "sqrt(((a.tx1 + a.tx2) / 2 - (b.hx1 + b.hx2) / 2) ** 2 + ((a.ty1 + a.ty2) / 2 - (b.hy1 + b.hy2) / 2) ** 2)"
+
+
+@query(
+    f"SELECT a.clip AS clip, a.tid AS a, b.tid AS b, b.f0 - a.f1 AS gap, round({_DIST}, 6) AS dist FROM ends a JOIN ends b ON a.clip = b.clip AND a.tid <> b.tid AND b.f0 - a.f1 BETWEEN 49 AND 120 WHERE {_DIST} <= 40",
+    f"{DET}, {SEG}, {ENDS}",
+)
+def long_gap_candidates(spark, d):
+    return candidates.long_gap_candidates(ordered.endpoints(segments(spark, d)), max_distance=40).select(F.col("a_clip").alias("clip"), F.col("a_tid").alias("a"), F.col("b_tid").alias("b"), "gap", "dist")
+
+
+@query(
+    """SELECT clip, a, b, gap, round(sqrt((px - hx) ** 2 + (py - hy) ** 2), 6) AS pos_diff, round(wr, 6) AS w_ratio, wr <= 1.4 AND hr <= 1.4 AS size_ok FROM (
+  SELECT *, (tx1 + tx2) / 2 + vx * st * sc AS px, (ty1 + ty2) / 2 + vy * st * sc AS py FROM (
+    SELECT *, CASE WHEN sqrt((vx * st) ** 2 + (vy * st) ** 2) > 200 THEN 200 / sqrt((vx * st) ** 2 + (vy * st) ** 2) ELSE 1 END AS sc FROM (
+      SELECT a.clip AS clip, a.tid AS a, b.tid AS b, b.f0 - a.f1 - 1 AS gap, b.f0 - a.f1 AS st, vx, vy, a.tx1, a.tx2, a.ty1, a.ty2, (b.hx1 + b.hx2) / 2 AS hx, (b.hy1 + b.hy2) / 2 AS hy,
+        greatest(a.tx2 - a.tx1, b.hx2 - b.hx1) / greatest(least(a.tx2 - a.tx1, b.hx2 - b.hx1), 1) AS wr, greatest(a.ty2 - a.ty1, b.hy2 - b.hy1) / greatest(least(a.ty2 - a.ty1, b.hy2 - b.hy1), 1) AS hr
+      FROM (SELECT * FROM ends JOIN speed USING (clip, tid)) a JOIN ends b ON a.clip = b.clip AND a.tid <> b.tid AND b.f0 - a.f1 - 1 BETWEEN 0 AND 30)))""",
+    f"{DET}, {SEG}, {ENDS}",
+)
+def stitch_candidates(spark, d):
+    c = candidates.stitch_candidates(ordered.endpoints(segments(spark, d)), 30, 80, 1.4)
+    return c.select(F.col("a_clip").alias("clip"), F.col("a_tid").alias("a"), F.col("b_tid").alias("b"), "gap", "pos_diff", "w_ratio", "size_ok")
+
+
+@query(
+    f"SELECT clip, a, b, count(*) AS common, round(avg(v), 6) AS mean_iou FROM (SELECT a.clip AS clip, a.tid AS a, b.tid AS b, {iou_sql(prefixed('a.'), prefixed('b.'))} AS v FROM det a JOIN det b ON a.clip = b.clip AND a.frame = b.frame AND a.tid < b.tid) GROUP BY clip, a, b HAVING count(*) >= 3 AND avg(v) >= 0.1"
+)
+def overlap_pairs(spark, d):
+    return candidates.overlap_pairs(det(spark, d), 0.1, 3).select("clip", F.col("a_tid").alias("a"), F.col("b_tid").alias("b"), "common", "mean_iou")
+
+
+@query(
+    "SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.e, b.e) / ((sqrt(list_dot_product(a.e, a.e)) + 1e-9) * (sqrt(list_dot_product(b.e, b.e)) + 1e-9)), 6) AS cos FROM v a JOIN v b ON a.label = b.label AND a.vec_id // 50 = b.vec_id // 50 AND a.vec_id < b.vec_id",
+    "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)",
+)
+def cosine_pairs(spark, d):
+    v = tables.table(spark, d, "embeddings").withColumn("k", F.floor(F.col("vec_id") / 50))
+    a, b = v.select("label", "k", F.col("vec_id").alias("a"), F.col("embedding").alias("ea")), v.select("label", "k", F.col("vec_id").alias("b"), F.col("embedding").alias("eb"))
+    return a.join(b, ["label", "k"]).where("a < b").select("a", "b", g.cosine(F.col("ea"), F.col("eb")).alias("cos"))
+
+
+# ---- identities -----------------------------------------------------------------------------
+
+
+@query()
+def greedy_id_merge(spark, d):
+    return resolve.id_mapping(segments(spark, d), long_gap=0, max_distance=float("inf"))
+
+
+@query()
+def long_gap_merge(spark, d):
+    return resolve.id_mapping(segments(spark, d))
+
+
+@query()
+def merge_ids(spark, d):
+    return resolve.merge_ids(segments(spark, d))
+
+
+@query()
+def overlap_merge(spark, d):
+    return resolve.merge_overlapping(det(spark, d), 0.1, 3)
+
+
+@query()
+def stitch_log(spark, d):
+    return resolve.stitch_log(segments(spark, d), 30, 80, 1.4)
+
+
+@query()
+def stitch_tracks(spark, d):
+    return resolve.stitch(segments(spark, d), max_gap=30, max_jump=80, max_ratio=1.4)
+
+
+TEST_CONFIG = pipeline.Config(min_total=3, gate_len=5)
+
+
+@query()
+def build_tracks(spark, d):
+    return pipeline.build_tracks(det(spark, d), TEST_CONFIG)
+
+
+@query()
+def recovered_tracks(spark, d):
+    return pipeline.run(det(spark, d), tables.frames(spark, d), TEST_CONFIG, recovery=True)
+
+
+@query(
+    f"""SELECT clip, frame, tid, {BOX4}, CAST(0.36 AS DOUBLE) AS conf FROM (
+  SELECT clip, frame, tid, k, lx, ly, CASE WHEN k >= 2 THEN m1 + s1 * (frame - mf) END AS x1, m2 + s2 * (frame - mf) AS y1, m3 + s3 * (frame - mf) AS x2, m4 + s4 * (frame - mf) AS y2 FROM (
+    SELECT p.clip, p.frame, p.tid, count(*) AS k, avg(p.f) AS mf, avg(x1) AS m1, avg(y1) AS m2, avg(x2) AS m3, avg(y2) AS m4, covar_pop(x1, p.f) / nullif(var_pop(p.f), 0) AS s1, covar_pop(y1, p.f) / nullif(var_pop(p.f), 0) AS s2,
+      covar_pop(x2, p.f) / nullif(var_pop(p.f), 0) AS s3, covar_pop(y2, p.f) / nullif(var_pop(p.f), 0) AS s4, arg_max((x1 + x2) / 2, p.f) AS lx, arg_max((y1 + y2) / 2, p.f) AS ly
+    FROM (SELECT m.clip, m.frame, h.tid, h.frame AS f, h.x1, h.y1, h.x2, h.y2, row_number() OVER (PARTITION BY m.clip, m.frame, h.tid ORDER BY h.frame DESC) AS r
+      FROM (SELECT clip, frame FROM med WHERE n <= med - 1) m JOIN (SELECT *, count(*) OVER (PARTITION BY clip, tid) AS cnt FROM det WHERE tid > 0) h ON h.clip = m.clip AND h.frame BETWEEN m.frame - 24 AND m.frame - 1 AND h.cnt >= 8) p
+    WHERE r <= 5 GROUP BY p.clip, p.frame, p.tid)) q
+WHERE k >= 2 AND x2 - x1 > 1 AND y2 - y1 > 1 AND sqrt(((x1 + x2) / 2 - lx) ** 2 + ((y1 + y2) / 2 - ly) ** 2) <= 200
+  AND NOT EXISTS (SELECT 1 FROM det e WHERE e.clip = q.clip AND e.frame = q.frame AND (e.tid = q.tid OR {iou_sql(prefixed('q.'), prefixed('e.'))} > 0.3))""",
+    f"{DET}, {RUNNING}",
+)
+def fn_recovery(spark, d):
+    return recover.missing(det(spark, d), tables.frames(spark, d), lookback=24)
+
+
+# ---- suppression ----------------------------------------------------------------------------
+
+
+def _frame_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of a day as one frame, so that frames are crowded."""
+    r = tables.raw_detections(spark, d)
+    return r.select("clip", F.floor(F.col("frame") / 24).alias("frame"), F.col("event_id").alias("det"), *g.BOX, "conf")
+
+
+@query()
+def nms_hard(spark, d):
+    return nms.suppress(_frame_boxes(spark, d), 0.6)
+
+
+@query()
+def nms_soft(spark, d):
+    return nms.suppress(_frame_boxes(spark, d), 0.3, "soft")
+
+
+@query()
+def nms_two_scales(spark, d):
+    b = _frame_boxes(spark, d)
+    shrunk = b.select("clip", "frame", "det", (F.col("x1") + 1).alias("x1"), "y1", "x2", "y2", (F.col("conf") * 0.9).alias("conf"))
+    return nms.union_of_scales([b, shrunk])
+
+
+# ---- scores and differences -----------------------------------------------------------------
+
+
+def _moved(df: DataFrame) -> DataFrame:
+    """A second set of boxes: shifted, some missing, some ids exchanged."""
+    far = F.when(F.col("frame") % 5 == 0, 30.0).otherwise(2.0)
+    return df.where((F.col("frame") + F.col("tid")) % 11 != 0).select("clip", "frame", F.when(F.col("frame") > 400, F.col("tid") + 10_000).otherwise(F.col("tid")).alias("tid"), (F.col("x1") + far).alias("x1"), "y1", (F.col("x2") + far).alias("x2"), "y2", (F.col("conf") * 0.9).alias("conf"))
+
+
+MOVED = "moved AS (SELECT clip, frame, CASE WHEN frame > 400 THEN tid + 10000 ELSE tid END AS tid, x1 + CASE WHEN frame % 5 = 0 THEN 30 ELSE 2 END AS x1, y1, x2 + CASE WHEN frame % 5 = 0 THEN 30 ELSE 2 END AS x2, y2, conf * 0.9 AS conf FROM det WHERE (frame + tid) % 11 <> 0)"
+_ERR = "greatest(abs(a.x1 - b.x1), abs(a.y1 - b.y1), abs(a.x2 - b.x2), abs(a.y2 - b.y2))"
+
+
+@query()
+def mot_metrics(spark, d):
+    return score.clip_metrics(_moved(det(spark, d)), det(spark, d))
+
+
+@query()
+def mot_summary(spark, d):
+    return score.summary(score.clip_metrics(_moved(det(spark, d)), det(spark, d)))
+
+
+@query(
+    f"SELECT a.clip AS clip, a.frame AS frame, a.tid AS o, b.tid AS p, round({iou_sql(prefixed('a.'), prefixed('b.'))}, 6) AS iou FROM det a JOIN moved b ON a.clip = b.clip AND a.frame = b.frame WHERE {iou_sql(prefixed('a.'), prefixed('b.'))} >= 0.5",
+    f"{DET}, {MOVED}",
+)
+def match_pairs(spark, d):
+    return score.frame_pairs(_moved(det(spark, d)), det(spark, d))
+
+
+@query(
+    f"SELECT clip, frame, count(a.tid) AS n_a, count(b.tid) AS n_b, round(max({_ERR}), 6) AS box_error, round(max(abs(a.conf - b.conf)), 6) AS conf_error, count(*) FILTER (WHERE a.tid <> b.tid) AS id_mismatches FROM (SELECT *, row_number() OVER (PARTITION BY clip, frame ORDER BY tid) AS pos FROM det) a FULL JOIN (SELECT *, row_number() OVER (PARTITION BY clip, frame ORDER BY tid) AS pos FROM moved) b USING (clip, frame, pos) GROUP BY clip, frame",
+    f"{DET}, {MOVED}",
+)
+def pair_diff(spark, d):
+    x = det(spark, d)
+    return diff.frame_diff(x, _moved(x))
+
+
+@query(
+    f"SELECT clip, tid, count(*) FILTER (WHERE b.conf IS NULL) AS only_a, count(*) FILTER (WHERE a.conf IS NULL) AS only_b, round(max({_ERR}), 6) AS box_error FROM det a FULL JOIN moved b USING (clip, tid, frame) GROUP BY clip, tid",
+    f"{DET}, {MOVED}",
+)
+def track_diff(spark, d):
+    x = det(spark, d)
+    return diff.track_diff(x, _moved(x))
+
+
+@query("(SELECT clip, tid, 'a' AS side FROM (SELECT clip, tid FROM det EXCEPT SELECT clip, tid FROM moved)) UNION ALL (SELECT clip, tid, 'b' AS side FROM (SELECT clip, tid FROM moved EXCEPT SELECT clip, tid FROM det))", f"{DET}, {MOVED}")
+def set_diff(spark, d):
+    x = det(spark, d)
+    return diff.missing_ids(x, _moved(x))
+
+
+@query()
+def matched_diff(spark, d):
+    x = det(spark, d)
+    return diff.matched_diff(x, _moved(x))
+
+
+@query(
+    "SELECT clip, tid, count(*) AS frames, round(avg(conf), 6) AS mean_conf FROM (SELECT coalesce(a.clip, b.clip) AS clip, coalesce(a.tid, b.tid) AS tid, CASE WHEN b.conf IS NULL OR a.conf >= b.conf THEN a.conf ELSE b.conf END AS conf FROM (SELECT * FROM det WHERE frame < 500) a FULL JOIN (SELECT * FROM det WHERE frame > 200) b ON a.clip = b.clip AND a.frame = b.frame AND a.tid = b.tid) GROUP BY clip, tid"
+)
+def outer_merge(spark, d):
+    x = det(spark, d)
+    a = x.where("frame < 500").select("clip", "frame", "tid", F.col("conf").alias("ca"))
+    b = x.where("frame > 200").select("clip", "frame", "tid", F.col("conf").alias("cb"))
+    both = a.join(b, ["clip", "frame", "tid"], "full").withColumn("conf", F.when(F.col("cb").isNull() | (F.col("ca") >= F.col("cb")), F.col("ca")).otherwise(F.col("cb")))
+    return both.groupBy("clip", "tid").agg(F.count("*").alias("frames"), F.avg("conf").alias("mean_conf"))
+
+
+@query()
+def variant_sweep(spark, d):
+    v = {"baseline": TEST_CONFIG, "no_stitch": TEST_CONFIG.having({"use_stitch": "0"}), "strict": TEST_CONFIG.having({"gate_mean": "0.65"})}
+    tracks = pipeline.sweep(det(spark, d), v)
+    return tracks.groupBy("variant", "clip").agg(F.countDistinct("tid").alias("tracks"), F.count("*").alias("boxes"), F.avg("conf").alias("mean_conf"))
+
+
+# ---- geometry -------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT clip, frame, tid, round((x1 + x2) / 2, 6) AS cx, round((x2 - x1) * (y2 - y1), 6) AS area, round(640 - x2, 6) AS flip_x1, CAST(greatest(floor(x1 - (x2 - x1) * 0.1), 0) AS BIGINT) AS crop_x1, CAST(least(ceil(x2 + (x2 - x1) * 0.1), 640) AS BIGINT) AS crop_x2,
+  round((tid * 0.61803398875) % 1, 6) AS hue, round(1 + least(greatest((90 - luma) / 30, 0), 1.5), 6) AS gamma, CASE WHEN luma < 80 THEN greatest(0.05, round(0.34 - 0.05, 6)) ELSE 0.34 END AS det_conf, regexp_replace(clip || ' / ' || tid, '[^A-Za-z0-9._-]+', '_', 'g') AS label
+FROM (SELECT *, frame % 120 + 0.0 AS luma FROM det)"""
+)
+def box_functions(spark, d):
+    x = det(spark, d).withColumn("luma", F.col("frame") % 120 + F.lit(0.0))
+    b = g.box()
+    crop = g.padded_crop(b, 0.1, 640, 480)
+    return x.select(
+        "clip", "frame", "tid", g.centre(b)[0].alias("cx"), g.area(b).alias("area"), g.flipped(b, 640).x1.alias("flip_x1"), crop.x1.cast("long").alias("crop_x1"), crop.x2.cast("long").alias("crop_x2"),
+        g.hue(F.col("tid").cast("double")).alias("hue"), g.auto_gamma(F.col("luma")).alias("gamma"), g.effective_conf(0.34, F.col("luma")).alias("det_conf"), g.file_label(F.concat("clip", F.lit(" / "), "tid")).alias("label"),
+    )
+
+
+@query("SELECT clip, frame, tid, printf('%d,%d,%.6f,%.6f,%.6f,%.6f,%.6f,1,-1', frame + 1, tid, x1 + 1, y1 + 1, x2 - x1, y2 - y1, conf) AS line FROM det")
+def mot_rows(spark, d):
+    return files.mot_lines(det(spark, d))
+
+
+# ---- reports --------------------------------------------------------------------------------
+
+METRICS = """
+m AS (
+  SELECT o_orderpriority AS clip, o_orderstatus AS tracker, 'idf1' AS metric, avg(o_totalprice) / 1000000 AS value FROM orders GROUP BY 1, 2)"""
+
+
+def _metrics(spark: SparkSession, d: str) -> DataFrame:
+    """A metric table out of ``orders``: priorities stand for clips, states for trackers."""
+    o = tables.table(spark, d, "orders")
+    return o.groupBy(F.col("o_orderpriority").alias("clip"), F.col("o_orderstatus").alias("tracker")).agg((F.avg("o_totalprice") / 1_000_000).alias("value")).withColumn("metric", F.lit("idf1"))
+
+
+@query("SELECT clip, round(max(CASE WHEN tracker = 'F' THEN value END), 6) AS F, round(max(CASE WHEN tracker = 'O' THEN value END), 6) AS O, round(max(CASE WHEN tracker = 'P' THEN value END), 6) AS P FROM m GROUP BY clip", METRICS)
+def pivot_metrics(spark, d):
+    return report.pivoted(_metrics(spark, d), "tracker", ["F", "O", "P"], "idf1")
+
+
+@query("SELECT tracker, round(v, 6) AS v, round(b, 6) AS base, round(v - b, 6) AS delta FROM (SELECT tracker, avg(value) AS v FROM m GROUP BY tracker), (SELECT avg(value) AS b FROM m WHERE tracker = 'F')", METRICS)
+def baseline_delta(spark, d):
+    s = _metrics(spark, d).groupBy("tracker").agg(F.avg("value").alias("v"))
+    return report.against_baseline(s, "v", "tracker", "F").drop("points")
+
+
+@query("SELECT clip, round(ours, 6) AS ours, tracker, round(value, 6) AS value, round(ours - value, 6) AS gap FROM (SELECT clip, max(CASE WHEN tracker = 'P' THEN value END) AS ours, arg_min(tracker, value) FILTER (WHERE tracker <> 'P') AS tracker, min(value) FILTER (WHERE tracker <> 'P') AS value FROM m GROUP BY clip)", METRICS)
+def worst_per_clip(spark, d):
+    return report.worst(_metrics(spark, d), "P")
+
+
+@query("SELECT clip, round(gap, 6) AS gap FROM (SELECT clip, max(CASE WHEN tracker = 'P' THEN value END) - min(value) FILTER (WHERE tracker <> 'P') AS gap FROM m GROUP BY clip) WHERE gap * 100 >= 3", METRICS)
+def interesting_clips(spark, d):
+    return report.interesting(_metrics(spark, d), "P", "idf1", 3).select("clip", "gap")
+
+
+@query("SELECT o_orderstatus AS tracker, round(avg(CASE WHEN o_custkey % 7 <> 0 THEN o_totalprice END), 6) AS mean, round(coalesce(sum(CASE WHEN o_custkey % 7 <> 0 THEN o_totalprice END), 0), 2) AS total, count(CASE WHEN o_custkey % 7 <> 0 THEN 1 END) AS n FROM orders GROUP BY o_orderstatus", "")
+def nan_safe_summary(spark, d):
+    o = tables.table(spark, d, "orders")
+    v = F.when(F.col("o_custkey") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice").cast("double"))
+    return report.safe_mean(o.select(F.col("o_orderstatus").alias("tracker"), v.alias("value")), ["tracker"]).withColumn("total", F.round("total", 2))
+
+
+@query("SELECT l_shipmode AS tracker, count(*) AS n, round(avg(l_quantity), 6) AS mean_ms, round(quantile_cont(l_quantity, 0.5), 6) AS median_ms, round(quantile_cont(l_quantity, 0.95), 6) AS p95_ms, round(sum(l_quantity), 6) AS total_ms, round(count(*) / (sum(l_quantity) / 1000), 6) AS fps FROM (SELECT l_shipmode, CAST(l_quantity AS DOUBLE) AS l_quantity FROM lineitem) GROUP BY l_shipmode", "")
+def latency_stats(spark, d):
+    t = tables.table(spark, d, "lineitem").select(F.col("l_shipmode").alias("tracker"), F.col("l_quantity").cast("double").alias("ms"))
+    return report.latency(t, ["tracker"])
+
+
+@query("SELECT tracker, round(avg(value), 6) AS mean, row_number() OVER (ORDER BY avg(value) DESC, tracker) AS place FROM m GROUP BY tracker", METRICS)
+def tracker_ranking(spark, d):
+    return report.ranked(_metrics(spark, d).groupBy("tracker").agg(F.avg("value").alias("mean"))).withColumn("place", F.col("place").cast("long"))
+
+
+@query("SELECT o_orderstatus AS tracker, short, round(avg(o_totalprice), 4) AS accuracy, count(*) AS n FROM orders JOIN (VALUES ('F', 'first'), ('O', 'open')) t(k, short) ON k = o_orderstatus GROUP BY 1, 2", "")
+def label_map_join(spark, d):
+    names = F.create_map(F.lit("F"), F.lit("first"), F.lit("O"), F.lit("open"))
+    o = tables.table(spark, d, "orders").withColumn("short", names[F.col("o_orderstatus")]).where("short is not null")
+    return o.groupBy(F.col("o_orderstatus").alias("tracker"), "short").agg(F.round(F.avg("o_totalprice"), 4).alias("accuracy"), F.count("*").alias("n"))
+
+
+@query("SELECT * FROM (SELECT clip, tid, count(*) AS n FROM det WHERE frame >= 360 GROUP BY clip, tid) UNION ALL SELECT * FROM (SELECT clip, tid, count(*) AS n FROM det WHERE frame < 360 GROUP BY clip, tid) x WHERE NOT EXISTS (SELECT 1 FROM det y WHERE y.frame >= 360 AND y.clip = x.clip AND y.tid = x.tid)")
+def upsert_results(spark, d):
+    x = det(spark, d)
+    n = lambda part: x.where(part).groupBy("clip", "tid").agg(F.count("*").alias("n"))
+    return files.upsert(n("frame < 360"), n("frame >= 360"), ["clip", "tid"])
+
+
+# ---- streams --------------------------------------------------------------------------------
+
+
+def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    place = new_path(spark, "stream")
+    return live.drained(stream, f"{place}/out", f"{place}/state", mode)
+
+
+@query("SELECT epoch_ms(time_bucket(INTERVAL '6 hours', ts)) // 1000 AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2", "")
+def stream_windows(spark, d):
+    s = live.window_counts(live.event_stream(spark, d), "6 hours")
+    return _drained(spark, s, "complete").select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-FLAGSHIP = "tid_counts"
-QUERIES = {"tid_counts": tid_counts}
-ORACLES = {"tid_counts": f"WITH {DETECTIONS_SQL} SELECT clip, tid, count(*) AS n FROM det GROUP BY clip, tid"}
+@query()
+def online_tracks(spark, d):
+    e = live.event_stream(spark, d)
+    slot = F.col("user_id") % tables.IDS_PER_CLIP
+    cx, cy = 100 + slot * 12 + (F.col("event_id") * 13) % 21, 80 + slot * 6 + (F.col("event_id") * 17) % 15
+    w, h = 20 + F.col("event_id") % 30, 40 + F.col("event_id") % 50
+    frame = (F.floor(F.unix_seconds("ts") / 3600) - 473352).cast("long")
+    boxes = e.select(F.concat(F.lit("c"), F.floor(F.col("user_id") / tables.IDS_PER_CLIP).cast("string")).alias("clip"), frame.alias("frame"), *[v.cast("double").alias(n) for n, v in zip(g.BOX, (cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2), strict=True)], ((300 + (F.col("event_id") * 7919) % 700) / 1000.0).cast("double").alias("conf"))
+    return _drained(spark, live.online_tracks(boxes), "append")

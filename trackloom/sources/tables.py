@@ -50,4 +50,4 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(clip, frame) for every clip and hour, boxes or none."""
     clips = raw_detections(spark, sf_dir).select("clip").distinct()
-    return clips.select("clip", F.explode(F.sequence(F.lit(0), F.lit(HOURS - 1))).cast("long").alias("frame"))
+    return clips.select("clip", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HOURS - 1).cast("long"))).alias("frame"))
