@@ -534,8 +534,8 @@ def variant_sweep(spark, d):
 
 @query(
     """SELECT clip, frame, tid, round((x1 + x2) / 2, 6) AS cx, round((x2 - x1) * (y2 - y1), 6) AS area, round(640 - x2, 6) AS flip_x1, CAST(greatest(floor(x1 - (x2 - x1) * 0.1), 0) AS BIGINT) AS crop_x1, CAST(least(ceil(x2 + (x2 - x1) * 0.1), 640) AS BIGINT) AS crop_x2,
-  round((tid * 0.61803398875) % 1, 6) AS hue, round(1 + least(greatest((90 - luma) / 30, 0), 1.5), 6) AS gamma, CASE WHEN luma < 80 THEN greatest(0.05, round(0.34 - 0.05, 6)) ELSE 0.34 END AS det_conf, regexp_replace(clip || ' / ' || tid, '[^A-Za-z0-9._-]+', '_', 'g') AS label
-FROM (SELECT *, frame % 120 + 0.0 AS luma FROM det)"""
+  round((tid * CAST(0.61803398875 AS DOUBLE)) % 1, 6) AS hue, round(1 + least(greatest((90 - luma) / 30, 0), 1.5), 6) AS gamma, CAST(CASE WHEN luma < 80 THEN 0.29 ELSE 0.34 END AS DOUBLE) AS det_conf, regexp_replace(clip || ' / ' || tid, '[^A-Za-z0-9._-]+', '_', 'g') AS label
+FROM (SELECT *, CAST(frame % 120 AS DOUBLE) AS luma FROM det)"""
 )
 def box_functions(spark, d):
     x = det(spark, d).withColumn("luma", F.col("frame") % 120 + F.lit(0.0))
@@ -581,9 +581,9 @@ def worst_per_clip(spark, d):
     return report.worst(_metrics(spark, d), "P")
 
 
-@query("SELECT clip, round(gap, 6) AS gap FROM (SELECT clip, max(CASE WHEN tracker = 'P' THEN value END) - min(value) FILTER (WHERE tracker <> 'P') AS gap FROM m GROUP BY clip) WHERE gap * 100 >= 3", METRICS)
+@query("SELECT clip, round(gap, 6) AS gap FROM (SELECT clip, max(CASE WHEN tracker = 'P' THEN value END) - min(value) FILTER (WHERE tracker <> 'P') AS gap FROM m GROUP BY clip) WHERE gap * 100 >= 0.3", METRICS)
 def interesting_clips(spark, d):
-    return report.interesting(_metrics(spark, d), "P", "idf1", 3).select("clip", "gap")
+    return report.interesting(_metrics(spark, d), "P", "idf1", 0.3).select("clip", "gap")
 
 
 @query("SELECT o_orderstatus AS tracker, round(avg(CASE WHEN o_custkey % 7 <> 0 THEN o_totalprice END), 6) AS mean, round(coalesce(sum(CASE WHEN o_custkey % 7 <> 0 THEN o_totalprice END), 0), 2) AS total, count(CASE WHEN o_custkey % 7 <> 0 THEN 1 END) AS n FROM orders GROUP BY o_orderstatus", "")
@@ -593,9 +593,9 @@ def nan_safe_summary(spark, d):
     return report.safe_mean(o.select(F.col("o_orderstatus").alias("tracker"), v.alias("value")), ["tracker"]).withColumn("total", F.round("total", 2))
 
 
-@query("SELECT l_shipmode AS tracker, count(*) AS n, round(avg(l_quantity), 6) AS mean_ms, round(quantile_cont(l_quantity, 0.5), 6) AS median_ms, round(quantile_cont(l_quantity, 0.95), 6) AS p95_ms, round(sum(l_quantity), 6) AS total_ms, round(count(*) / (sum(l_quantity) / 1000), 6) AS fps FROM (SELECT l_shipmode, CAST(l_quantity AS DOUBLE) AS l_quantity FROM lineitem) GROUP BY l_shipmode", "")
+@query("SELECT l_returnflag AS tracker, count(*) AS n, round(avg(l_quantity), 6) AS mean_ms, round(quantile_cont(l_quantity, 0.5), 6) AS median_ms, round(quantile_cont(l_quantity, 0.95), 6) AS p95_ms, round(sum(l_quantity), 6) AS total_ms, round(count(*) / (sum(l_quantity) / 1000), 6) AS fps FROM (SELECT l_returnflag, CAST(l_quantity AS DOUBLE) AS l_quantity FROM lineitem) GROUP BY l_returnflag", "")
 def latency_stats(spark, d):
-    t = tables.table(spark, d, "lineitem").select(F.col("l_shipmode").alias("tracker"), F.col("l_quantity").cast("double").alias("ms"))
+    t = tables.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("tracker"), F.col("l_quantity").cast("double").alias("ms"))
     return report.latency(t, ["tracker"])
 
 
