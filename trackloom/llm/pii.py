@@ -221,8 +221,12 @@ def personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     base = F.array_sort(F.filter("spans", lambda x: x["strict"]))
     every = F.array_sort(F.filter("spans", of_code))
     names = F.array(*map(F.lit, KINDS))
+
+    def counted(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda x: x["strict"] & (x["k"] == kind))).cast("long")
+
     return rows.select(
-        "doc_id", *[F.size(F.filter("spans", lambda x, k=k: x["strict"] & (x["k"] == k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)],
+        "doc_id", *[counted(k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
         F.sha2(joined(base), 256).alias("base_sha256"), joined(every).alias("spans"),
         F.transform(every, lambda x: F.struct(F.element_at(names, (x["k"] + 1).cast("int")).alias("kind"), x["s"].alias("start"), x["e"].alias("end"), x["strict"].alias("base"))).alias("found"),
     )
