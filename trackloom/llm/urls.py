@@ -44,8 +44,12 @@ def judged_by_rules(host: Column, path: Column, rules: list[tuple[str, str, str]
 def ngrams(text: Column, mark: str, sizes: tuple[int, ...]) -> Column:
     """Character n-grams of a marked text, all of it."""
     s = F.concat(F.lit(f"{mark}^"), text, F.lit("$"))
-    parts = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i, n=n: F.concat(F.lit(mark), s.substr(i, F.lit(n)))) for n in sizes]
-    return F.concat(*parts)
+
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.concat(F.lit(mark), s.substr(i, F.lit(n))))
+
+    return F.concat(*map(of_size, sizes))
 
 
 def featured(urls: DataFrame) -> DataFrame:
