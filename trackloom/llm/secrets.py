@@ -15,7 +15,7 @@ corpus there is nothing to learn from and the method adds none.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm.store import stored
@@ -27,9 +27,10 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "markov"]
 
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
-#: Documents whose words are the sample of ordinary identifiers: those of the least hashes.
+#: About so many documents, taken by a hash of their text, give the sample of ordinary identifiers.
 SAMPLE_DOCS = 2_000
-ALPHABET = 65
+CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+PRIOR = 8.0
 THRESHOLD = 0.4
 
 
@@ -68,15 +69,24 @@ def bigrams(token: Column) -> Column:
 
 
 def markov_ratio(random: DataFrame, ordinary: DataFrame) -> DataFrame:
-    """(a, b, llr) of all pairs seen in either sample (both with a string column ``v``), add-half smoothing; 65 x 65 rows at most."""
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        x = df.where(F.length("v") >= 2).select(F.explode(bigrams(F.col("v"))).alias("p")).select("p.a", "p.b").where(F.col("a").rlike("[A-Za-z0-9+/_-]") & F.col("b").rlike("[A-Za-z0-9+/_-]"))
-        return x.groupBy("a", "b").agg(F.count("*").alias(name))
+    """(a, b, llr) of all 66 x 66 pairs, from two samples with a string column ``v``.
 
-    c = counted(random, "r").join(counted(ordinary, "o"), ["a", "b"], "full").na.fill(0, ["r", "o"])
-    first = c.groupBy("a").agg(F.sum("r").alias("ra"), F.sum("o").alias("oa"))
-    p = lambda n, of: (F.col(n) + 0.5) / (F.col(of) + 0.5 * ALPHABET)
-    return c.join(first, "a").select("a", "b", F.log(p("r", "ra") / p("o", "oa")).alias("llr"))
+    p(b | a) of either model is its count smoothed by ``PRIOR`` draws from how often b occurs at all,
+    so characters that ordinary identifiers never have speak for a random string.
+    """
+    letters = F.explode(F.array(*map(F.lit, CHARACTERS)))
+    pairs = random.sparkSession.range(1).select(letters.alias("a")).select("a", letters.alias("b"))
+    for df, n in ((random, "r"), (ordinary, "o")):
+        c = df.where(F.length("v") >= 2).select(F.explode(bigrams(F.col("v"))).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias(n))
+        pairs = pairs.join(c, ["a", "b"], "left").na.fill(0, [n])
+    first, second = Window.partitionBy("a"), Window.partitionBy("b")
+    every = Window.partitionBy()
+
+    def p(n: str) -> Column:
+        at_all = (F.sum(n).over(second) + 0.5) / (F.sum(n).over(every) + 0.5 * len(CHARACTERS))
+        return (F.col(n) + PRIOR * at_all) / (F.sum(n).over(first) + PRIOR)
+
+    return pairs.select("a", "b", F.log(p("r") / p("o")).alias("llr"))
 
 
 def spans_by_model(rows: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -84,13 +94,15 @@ def spans_by_model(rows: DataFrame, docs: DataFrame, threshold: float) -> DataFr
     base = F.concat("assign", "access", "hex")
     free = rows.select("dk", F.explode(F.filter("token", lambda m: ~F.exists(base, lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])))).alias("m"))
     known = rows.select(F.explode(F.concat(F.transform("assign", lambda m: F.regexp_extract(m["v"], ASSIGN, 1)), F.transform("access", lambda m: m["v"]), F.transform("hex", lambda m: m["v"]))).alias("v")).distinct()
-    sample = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("h"), "text").orderBy("h").limit(SAMPLE_DOCS)
+    if not known.head(1):
+        return rows.select("dk", F.array().cast("array<struct<s:int,e:int,v:string>>").alias("markov")).limit(0)
+    share = min(1.0, SAMPLE_DOCS / max(rows.count(), 1))
+    sample = docs.where(F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
     ordinary = sample.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{4,}"), F.lit(0))).alias("v"))
     model = stored(markov_ratio(known, ordinary), "secrets-model")
     tokens = free.select(F.col("m.v").alias("v")).distinct()
     pairs = tokens.select("v", F.explode(bigrams(F.col("v"))).alias("p")).select("v", "p.a", "p.b")
-    # A pair that neither sample has tells nothing.
-    scores = pairs.join(model, ["a", "b"], "left").groupBy("v").agg((F.sum(F.coalesce("llr", F.lit(0.0))) / F.count("*")).alias("score"))
+    scores = pairs.join(F.broadcast(model), ["a", "b"]).groupBy("v").agg(F.avg("llr").alias("score"))
     random = scores.where((F.col("score") > threshold) & F.col("v").rlike("[0-9]")).select("v")
     hits = free.select("dk", "m", F.col("m.v").alias("v")).join(random, "v")
     return hits.groupBy("dk").agg(F.collect_set("m").alias("markov"))
