@@ -7,6 +7,10 @@ a row for each track, not the clip's rows. Ties are settled by (first frame, las
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -58,37 +62,64 @@ class _Ends:
             self.id = other.id
 
 
+def one_iou(a, b) -> float:
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    if w <= 0 or h <= 0:
+        return 0.0
+    return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h)
+
+
+def _heads(work: list[_Ends], t: _Ends, low: int, high: int) -> list[_Ends]:
+    """Other tracks of a list in order that begin ``low`` to ``high`` frames after t ends."""
+    start = bisect.bisect_left(work, t.f1 + low, key=lambda x: x.f0)
+    stop = bisect.bisect_right(work, t.f1 + high, key=lambda x: x.f0)
+    return [o for o in work[start:stop] if o is not t]
+
+
 def merge_ends(tracks: list[_Ends], max_gap: int, iou: float, long_gap: int, max_distance: float) -> list[_Ends]:
-    """Short gaps: the first track with a fitting successor takes its best one, then all starts anew. Long gaps: the closest pair of all, again and again."""
-    work = sorted(tracks, key=_Ends.order)
-    while True:
-        for t in work:
-            best = None
-            for o in work:
-                if o is not t and 1 <= o.f0 - t.f1 <= max_gap:
-                    score = float(box_iou(t.at(o.f0)[None], o.head[None])[0, 0])
-                    if score >= iou and (best is None or score > best[0]):
-                        best = score, o
-            if best:
-                t.take(best[1])
-                work = sorted((x for x in work if x is not best[1]), key=_Ends.order)
-                break
-        else:
-            break
-    centre = lambda b: np.array([(b[0] + b[2]) / 2, (b[1] + b[3]) / 2])
-    while max_distance < float("inf") and long_gap > max_gap:
-        best = None
-        for t in work:
-            for o in work:
-                if o is not t and max_gap < o.f0 - t.f1 <= long_gap:
-                    d = float(np.hypot(*(centre(t.tail[-1, 1:5]) - centre(o.head))))
-                    if d <= max_distance and (best is None or d < best[0]):
-                        best = d, t, o
-        if not best:
-            break
-        best[1].take(best[2])
-        work = sorted((x for x in work if x is not best[2]), key=_Ends.order)
-    return work
+    """Short gaps: the first track with a fitting successor takes its best one, then all starts anew. Long gaps: the closest pair of all, again and again.
+
+    Starting anew would find nothing before the place of the last merge: heads never change and one
+    has gone. So the scan goes on from there.
+    """
+    work, at = sorted(tracks, key=_Ends.order), 0
+    while at < len(work):
+        t, best = work[at], None
+        for o in _heads(work, t, 1, max_gap):
+            score = one_iou(t.at(o.f0), o.head)
+            if score >= iou and (best is None or score > best[0]):
+                best = score, o
+        if best is None:
+            at += 1
+            continue
+        t.take(best[1])
+        work = [x for x in work if x is not best[1] and x is not t]
+        bisect.insort(work, t, key=_Ends.order)
+    if max_distance == float("inf") or long_gap <= max_gap:
+        return work
+    centre = lambda b: ((b[0] + b[2]) / 2, (b[1] + b[3]) / 2)
+    place, gone, version, heap = {id(t): i for i, t in enumerate(work)}, set(), {}, []
+
+    def offer(t: _Ends) -> None:
+        x, y = centre(t.tail[-1, 1:5])
+        for o in _heads(work, t, max_gap + 1, long_gap):
+            u, v = centre(o.head)
+            if id(o) not in gone and (d := math.hypot(x - u, y - v)) <= max_distance:
+                heapq.heappush(heap, (d, place[id(t)], place[id(o)], version.get(id(t), 0)))
+
+    every = list(work)
+    for t in every:
+        offer(t)
+    while heap:
+        _, i, j, v = heapq.heappop(heap)
+        t, o = every[i], every[j]
+        if id(t) in gone or id(o) in gone or version.get(id(t), 0) != v:
+            continue
+        t.take(o)
+        gone.add(id(o))
+        version[id(t)] = v + 1
+        offer(t)
+    return [t for t in every if id(t) not in gone]
 
 
 def id_mapping(df: DataFrame, max_gap: int = 48, iou: float = 0.10, long_gap: int = 120, max_distance: float = 150.0, ids: str = "tid") -> DataFrame:
@@ -125,29 +156,33 @@ def merge_overlapping(df: DataFrame, iou: float = 0.7, min_frames: int = 5) -> D
     mine = df.select("clip", "frame", "tid", *ordered.VALUES)
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        clip = pdf["clip"].iloc[0]
-        tracks = {t: x.sort_values("frame").set_index("frame")[list(ordered.VALUES)] for t, x in pdf.groupby("tid")}
-        order = sorted(tracks, key=lambda t: (tracks[t].index[0], tracks[t].index[-1], t))
-        while True:
-            best = None
-            for i, a in enumerate(order):
-                for b in order[i + 1 :]:
-                    common = tracks[a].index.intersection(tracks[b].index)
-                    if len(common) >= min_frames:
-                        x, y = tracks[a].loc[common].to_numpy(), tracks[b].loc[common].to_numpy()
-                        m = float(np.mean([box_iou(p[None, :4], q[None, :4])[0, 0] for p, q in zip(x, y, strict=True)]))
-                        if m >= iou and (best is None or m > best[0]):
-                            best = m, a, b
-            if not best:
-                break
-            _, a, b = best
-            x, y = tracks[a], tracks[b]
-            both = pd.concat([x.assign(_o=0), y.assign(_o=1)]).reset_index().sort_values(["frame", "conf", "_o"], ascending=[True, False, True]).drop_duplicates("frame").set_index("frame")[list(ordered.VALUES)]
-            tracks.pop(b)
-            tracks.pop(a)
-            tracks[min(a, b)] = both
-            order = [min(a, b) if t == a else t for t in order if t != b]
-        return pd.concat([x.reset_index().assign(clip=clip, tid=t) for t, x in tracks.items()])[["clip", "frame", "tid", *ordered.VALUES]]
+        clip, rows = pdf["clip"].iloc[0], {}
+        for f, t, *v in pdf[["frame", "tid", *ordered.VALUES]].itertuples(index=False):
+            rows.setdefault(t, {})[f] = v
+        order = sorted(rows, key=lambda t: (min(rows[t]), max(rows[t]), t))
+
+        def overlap(a, b) -> float | None:
+            common = rows[a].keys() & rows[b].keys()
+            if len(common) < min_frames:
+                return None
+            m = sum(one_iou(rows[a][f], rows[b][f]) for f in common) / len(common)
+            return m if m >= iou else None
+
+        found = {(a, b): m for i, a in enumerate(order) for b in order[i + 1 :] if (m := overlap(a, b)) is not None}
+        while found:
+            at = {t: i for i, t in enumerate(order)}
+            a, b = min(found, key=lambda p: (-found[p], at[p[0]], at[p[1]]))
+            x, y, t = rows.pop(a), rows.pop(b), min(a, b)
+            rows[t] = {f: x[f] if f not in y or (f in x and x[f][4] >= y[f][4]) else y[f] for f in x.keys() | y.keys()}
+            order = [t if k == a else k for k in order if k != b]
+            found = {p: m for p, m in found.items() if a not in p and b not in p}
+            for i, k in enumerate(order):
+                if k != t:
+                    pair = (k, t) if i < order.index(t) else (t, k)
+                    if (m := overlap(*pair)) is not None:
+                        found[pair] = m
+        out = [(clip, f, t, *v) for t, x in rows.items() for f, v in x.items()]
+        return pd.DataFrame(out, columns=["clip", "frame", "tid", *ordered.VALUES])
 
     done = mine.join(linked, ["clip", "tid"], "left_semi").select("clip", "frame", "tid", *ordered.VALUES).groupBy("clip").applyInPandas(decide, "clip string, frame long, tid long, x1 double, y1 double, x2 double, y2 double, conf double")
     return mine.join(linked, ["clip", "tid"], "left_anti").select(*done.columns).unionByName(done)
