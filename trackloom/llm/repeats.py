@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.llm.filters import joined
 from trackloom.llm.store import stored
 from trackloom.llm.text import chunks, mixed, powers
 
@@ -41,7 +42,6 @@ GRAM = 16
 SPREAD = 120
 CORE = LENGTH - SPREAD + 1
 BLOCK = 8
-FILTER_BITS = 1 << 23
 
 
 class Hashes:
@@ -160,15 +160,6 @@ def parsed(texts: DataFrame) -> DataFrame:
     return mapped_texts(texts.select("dk", "text"), emit, "c long, u1 long, u2 long, salt long, dk long, lo long, n int, t int")
 
 
-def only_of(texts: DataFrame, lists: DataFrame) -> DataFrame:
-    """``texts`` joined with ``lists`` by dk. A Bloom filter of fixed size keeps most other texts out of the shuffle."""
-    bit = F.pmod(F.xxhash64(F.lit(17), "dk"), F.lit(FILTER_BITS))
-    words = lists.select(bit.alias("b")).groupBy(F.floor(F.col("b") / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("m"))
-    near = texts.withColumn("b", bit).withColumn("w", F.floor(F.col("b") / 64)).join(F.broadcast(words), "w")
-    near = near.where(F.getbit("m", (F.col("b") % 64).cast("int")) == 1).drop("b", "w", "m")
-    return near.join(lists, "dk")
-
-
 def starts_of(part: pa.RecordBatch, offsets: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
     """Row, and flattened values, of a list column of fixed structs."""
     col = part.column(at)
@@ -198,7 +189,7 @@ def block_rows(texts: DataFrame, unsure: DataFrame) -> DataFrame:
         dk = part.column(0).to_numpy(zero_copy_only=False)[row[of]]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k.view(np.int64), settled(k), dk, lo[of] + first, (last - first + 1).astype(np.int32))], names=["k", "salt", "dk", "lo", "n"])
 
-    return mapped_texts(only_of(texts, lists).select("dk", "text", "p"), emit, "k long, salt long, dk long, lo long, n int")
+    return mapped_texts(joined(texts, lists, "dk").select("dk", "text", "p"), emit, "k long, salt long, dk long, lo long, n int")
 
 
 def window_rows(texts: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -216,7 +207,7 @@ def window_rows(texts: DataFrame, blocks: DataFrame) -> DataFrame:
         dk = part.column(0).to_numpy(zero_copy_only=False)[row[of]]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1.view(np.int64), k2.view(np.int64), settled(k1, k2), dk, s)], names=["k1", "k2", "salt", "dk", "lo"])
 
-    return mapped_texts(only_of(texts, lists).select("dk", "text", "p"), emit, "k1 long, k2 long, salt long, dk long, lo long")
+    return mapped_texts(joined(texts, lists, "dk").select("dk", "text", "p"), emit, "k1 long, k2 long, salt long, dk long, lo long")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -233,7 +224,8 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     whole = stored(repeated(with_salt(core, ["u1", "u2"]), ["u1", "u2"]), "repeats-whole")
     sure, unsure = whole.where("hit"), whole.where("not hit")
     # A window of an unsure phrase may also occur in a sure one with the same core; one of each kind speaks for all.
-    spokesmen = sure.join(unsure.select("c").distinct(), "c", "left_semi").groupBy("c", "u1", "u2").agg(F.min(F.struct("dk", "lo", "n", "t")).alias("x")).select("x.*")
+    spokesmen = sure.groupBy("c", "u1", "u2").agg(F.min(F.struct("dk", "lo", "n", "t")).alias("x"))
+    spokesmen = spokesmen.join(unsure.select("c").distinct(), "c", "left_semi").select("x.*")
     wanted = stored(unsure.select("dk", "lo", "n", "t").unionByName(spokesmen), "repeats-wanted")
     blocks = stored(repeated(block_rows(texts, wanted), ["k"]).where("hit").select("dk", "lo", "n"), "repeats-blocks")
     single = repeated(window_rows(texts, blocks), ["k1", "k2"]).where("hit").select("dk", "lo", F.lit(1).alias("n"))
@@ -275,7 +267,7 @@ def shortened(texts: DataFrame) -> DataFrame:
         kept = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(removed), pa.array(spans[offsets[1:]] - spans[offsets[:-1]]), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept, pa.binary())], names=["dk", "n_removed", "n_spans", "sha", "kept"])
 
-    return mapped_texts(only_of(texts, runs).select("dk", "text", "p"), emit, "dk long, n_removed long, n_spans long, sha string, kept binary")
+    return mapped_texts(joined(texts, runs, "dk").select("dk", "text", "p"), emit, "dk long, n_removed long, n_spans long, sha string, kept binary")
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
