@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.llm.filters import without
 from trackloom.llm.store import stored
 
 WINDOW = 13
@@ -116,5 +117,5 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: int
 
 def decontaminated(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: int = 20) -> DataFrame:
     """The documents that are not contaminated, columns unchanged."""
-    bad = contamination(docs, items, n, share).where("contaminated").select(F.col("dk").alias("_dk")).distinct()
-    return docs.withColumn("_dk", F.xxhash64("doc_id", "text")).join(bad, "_dk", "left_anti").select(*docs.columns)
+    bad = stored(contamination(docs, items, n, share).where("contaminated").select(F.col("dk").alias("_dk")).distinct(), "decon-bad")
+    return without(docs, F.xxhash64("doc_id", "text"), bad)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from trackloom.llm.blocks import in_pieces, to_cells
 from trackloom.llm.components import connected_components
 from trackloom.llm.embeddings import linked_members
+from trackloom.llm.filters import joined, without
 from trackloom.llm.store import stored
 from trackloom.llm.text import chunks, mixed, sequence_keys, shingles, words
 
@@ -94,7 +95,8 @@ def signed(docs: DataFrame) -> DataFrame:
 
 def with_shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (rep, k1, k2, ...) with ``sh``, the sorted distinct shingles of its text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted, "rep").select("text", *wanted.columns)
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    rows = joined(texts, wanted, "rep").select("text", *wanted.columns)
     names = wanted.columns
     at = {c: i + 1 for i, c in enumerate(names)}
 
@@ -214,5 +216,5 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each group of near duplicates (that of the smallest id), columns unchanged."""
-    kept = jaccard_links(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_gone"], "left_anti")
+    gone = stored(jaccard_links(docs).where("not kept").select("doc_id").distinct(), "jaccard-gone")
+    return without(docs, F.col("doc_id").cast("long"), gone)

@@ -107,8 +107,7 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, weights: tuple[float, ...] = (
     """
     p = plan_mix(sized(docs, seed), max_epochs, weights).select(*[F.col(c).alias(f"_mix_{c}") for c in ("source", "whole", "part", "cut")])
     p = stored(p, "mix-plan")
-    columns = docs.columns
-    d = docs.withColumn("_mix_h", seeded_order(seed))
-    d = with_plan(d, p, "_mix_source")
+    packed = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    d = with_plan(docs.select("source", seeded_order(seed).alias("_mix_h"), packed.alias("_row")), p, "_mix_source")
     n = copies(F.col("_mix_h"), F.col("_mix_whole"), F.col("_mix_part"), F.col("_mix_cut"))
-    return d.withColumn("_mix_n", n).where("_mix_n > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("_mix_n"))).alias("_mix_copy")).drop("_mix_copy")
+    return d.withColumn("_mix_n", n).where("_mix_n > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select("_row.*")
