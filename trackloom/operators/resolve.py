@@ -32,30 +32,36 @@ def box_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Ends:
-    """What merging needs of a track that may grow: ids in order, first row, last three rows."""
+    """What merging needs of a track that may grow: ids in order, first box, last three rows (frame, x1, y1, x2, y2)."""
 
     def __init__(self, row):
         self.members, self.id = [int(row.tid)], int(row.tid)
         self.f0, self.f1 = int(row.f0), int(row.f1)
-        self.head = np.array(row.head, float)
-        self.tail = np.array([list(x) for x in row.last], float)  # rows of frame, x1..y2
+        self.head = [float(v) for v in row.head]
+        self.tail = [[float(v) for v in x] for x in row.last]
+        self.line = None
 
     def order(self):
         return self.f0, self.f1, self.id
 
-    def at(self, frame: int) -> np.ndarray:
-        f, b = self.tail[:, 0], self.tail[:, 1:5]
-        if len(f) < 2:
-            return b[-1]
-        d = f - f.mean()
-        slope = (d[:, None] * (b - b.mean(axis=0))).sum(axis=0) / (d**2).sum()
-        return b.mean(axis=0) + slope * (frame - f.mean())
+    def at(self, frame: int) -> list[float]:
+        """The box at a later frame, by a straight line through the last rows."""
+        if len(self.tail) < 2:
+            return self.tail[-1][1:5]
+        if self.line is None:
+            n = len(self.tail)
+            mean = [sum(r[k] for r in self.tail) / n for k in range(5)]
+            spread = sum((r[0] - mean[0]) ** 2 for r in self.tail)
+            self.line = mean, [sum((r[0] - mean[0]) * (r[k] - mean[k]) for r in self.tail) / spread for k in range(1, 5)]
+        mean, slope = self.line
+        return [m + s * (frame - mean[0]) for m, s in zip(mean[1:], slope, strict=True)]
 
     def take(self, other: _Ends) -> None:
         """Append another track; the frames between are straight lines, which the last rows include."""
-        end, first = self.tail[-1], np.concatenate([[other.f0], other.head])
-        between = [end + (first - end) * (f - self.f1) / (other.f0 - self.f1) for f in range(max(self.f1 + 1, other.f0 - 3), other.f0)]
-        self.tail = np.array([*self.tail, *between, *other.tail])[-3:]
+        end, first = self.tail[-1], [other.f0, *other.head]
+        share = lambda f: (f - self.f1) / (other.f0 - self.f1)
+        between = [[e + (o - e) * share(f) for e, o in zip(end, first, strict=True)] for f in range(max(self.f1 + 1, other.f0 - 3), other.f0)]
+        self.tail, self.line = [*self.tail, *between, *other.tail][-3:], None
         self.members += other.members
         self.f1 = other.f1
         if self.id < 0:
@@ -101,7 +107,7 @@ def merge_ends(tracks: list[_Ends], max_gap: int, iou: float, long_gap: int, max
     place, gone, version, heap = {id(t): i for i, t in enumerate(work)}, set(), {}, []
 
     def offer(t: _Ends) -> None:
-        x, y = centre(t.tail[-1, 1:5])
+        x, y = centre(t.tail[-1][1:5])
         for o in _heads(work, t, max_gap + 1, long_gap):
             u, v = centre(o.head)
             if id(o) not in gone and (d := math.hypot(x - u, y - v)) <= max_distance:
