@@ -13,7 +13,7 @@ def missing(df: DataFrame, frames: DataFrame, drop: int = 1, window: int = 30, l
     """Synthetic rows for frames with fewer boxes than usual.
 
     A track that has rows in the frames just before, and enough in all, is drawn on by a straight line;
-    the box must be larger than a pixel, near the last one and clear of the boxes there. All inputs
+    the box must be larger than a pixel (to six places, so that engines agree), near the last one and clear of the boxes there. All inputs
     are the original rows, so nothing depends on order. Joins are equalities on (clip, frame, id).
     """
     dens = ordered.running_median(ordered.density(df, frames), window).where(F.col("n") <= F.col("med") - drop).select("clip", "frame")
@@ -27,7 +27,7 @@ def missing(df: DataFrame, frames: DataFrame, drop: int = 1, window: int = 30, l
     past = past.withColumn("_r", F.row_number().over(w)).where("_r <= 5")
     fit = past.groupBy("clip", "frame", "tid").agg(F.count("*").alias("k"), F.max_by(F.struct(*g.BOX), "f").alias("last"), *[(F.regr_slope(c, "f") * F.col("frame") + F.regr_intercept(c, "f")).alias(c) for c in g.BOX])
     b = g.box()
-    fit = fit.where((F.col("k") >= 2) & (g.width(b) > 1) & (g.height(b) > 1) & (g.distance(g.centre(b), g.centre(g.field_box(F.col("last")))) <= max_jump))
+    fit = fit.where((F.col("k") >= 2) & (F.round(g.width(b), 6) > 1) & (F.round(g.height(b), 6) > 1) & (g.distance(g.centre(b), g.centre(g.field_box(F.col("last")))) <= max_jump))
     there = df.select("clip", "frame", *[F.col(c).alias(f"_{c}") for c in g.BOX])
     fit = fit.join(there, (fit["clip"] == there["clip"]) & (fit["frame"] == there["frame"]) & (g.iou(b, g.box("_")) > iou), "left_anti")
     return fit.select("clip", "frame", "tid", *g.BOX, F.lit(conf).alias("conf"))

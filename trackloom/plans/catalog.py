@@ -416,7 +416,7 @@ def recovered_tracks(spark, d):
     FROM (SELECT m.clip, m.frame, h.tid, h.frame AS f, h.x1, h.y1, h.x2, h.y2, row_number() OVER (PARTITION BY m.clip, m.frame, h.tid ORDER BY h.frame DESC) AS r
       FROM (SELECT clip, frame FROM med WHERE n <= med - 1) m JOIN (SELECT *, count(*) OVER (PARTITION BY clip, tid) AS cnt FROM det WHERE tid > 0) h ON h.clip = m.clip AND h.frame BETWEEN m.frame - 24 AND m.frame - 1 AND h.cnt >= 8) p
     WHERE r <= 5 GROUP BY p.clip, p.frame, p.tid)) q
-WHERE k >= 2 AND x2 - x1 > 1 AND y2 - y1 > 1 AND sqrt(((x1 + x2) / 2 - lx) ** 2 + ((y1 + y2) / 2 - ly) ** 2) <= 200
+WHERE k >= 2 AND round(x2 - x1, 6) > 1 AND round(y2 - y1, 6) > 1 AND sqrt(((x1 + x2) / 2 - lx) ** 2 + ((y1 + y2) / 2 - ly) ** 2) <= 200
   AND NOT EXISTS (SELECT 1 FROM det e WHERE e.clip = q.clip AND e.frame = q.frame AND (e.tid = q.tid OR {iou_sql(prefixed('q.'), prefixed('e.'))} > 0.3))""",
     f"{DET}, {RUNNING}",
 )
