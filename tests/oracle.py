@@ -15,7 +15,7 @@ def connection(folder):
 
 
 def normal(rows):
-    one = lambda x: round(x, 6) if isinstance(x, float) else x
+    one = lambda x: round(x, 8) if isinstance(x, float) else x
     return sorted((tuple(map(one, r)) for r in rows), key=lambda r: tuple((x is None, str(x)) for x in r))
 
 

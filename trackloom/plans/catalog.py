@@ -77,15 +77,18 @@ def prefixed(p: str) -> list[str]:
     return [f"{p}{c}" for c in g.BOX]
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select([F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select([F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def query(sql: str | None = None, with_: str = DET):
-    """Registers a query under its function's name, doubles rounded, and its SQL after the common expressions."""
+def query(sql: str | None = None, with_: str = DET, digits: int = 6):
+    """Registers a query under its function's name, doubles rounded, and its SQL after the common expressions.
+
+    ``digits`` is raised where values are binary fractions that would lie half-way at six places.
+    """
 
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = lambda spark, d: rounded(f(spark, d))
+        QUERIES[f.__name__] = lambda spark, d: rounded(f(spark, d), digits)
         if sql:
             ORACLES[f.__name__] = (f"WITH {with_} " if with_ else "") + sql
         return f
@@ -409,7 +412,7 @@ def recovered_tracks(spark, d):
 
 
 @query(
-    f"""SELECT clip, frame, tid, {BOX4}, CAST(0.36 AS DOUBLE) AS conf FROM (
+    f"""SELECT clip, frame, tid, {BOX4.replace(', 6)', ', 8)')}, CAST(0.36 AS DOUBLE) AS conf FROM (
   SELECT clip, frame, tid, k, lx, ly, CASE WHEN k >= 2 THEN m1 + s1 * (frame - mf) END AS x1, m2 + s2 * (frame - mf) AS y1, m3 + s3 * (frame - mf) AS x2, m4 + s4 * (frame - mf) AS y2 FROM (
     SELECT p.clip, p.frame, p.tid, count(*) AS k, avg(p.f) AS mf, avg(x1) AS m1, avg(y1) AS m2, avg(x2) AS m3, avg(y2) AS m4, covar_pop(x1, p.f) / nullif(var_pop(p.f), 0) AS s1, covar_pop(y1, p.f) / nullif(var_pop(p.f), 0) AS s2,
       covar_pop(x2, p.f) / nullif(var_pop(p.f), 0) AS s3, covar_pop(y2, p.f) / nullif(var_pop(p.f), 0) AS s4, arg_max((x1 + x2) / 2, p.f) AS lx, arg_max((y1 + y2) / 2, p.f) AS ly
@@ -419,6 +422,7 @@ def recovered_tracks(spark, d):
 WHERE k >= 2 AND round(x2 - x1, 6) > 1 AND round(y2 - y1, 6) > 1 AND sqrt(((x1 + x2) / 2 - lx) ** 2 + ((y1 + y2) / 2 - ly) ** 2) <= 200
   AND NOT EXISTS (SELECT 1 FROM det e WHERE e.clip = q.clip AND e.frame = q.frame AND (e.tid = q.tid OR {iou_sql(prefixed('q.'), prefixed('e.'))} > 0.3))""",
     f"{DET}, {RUNNING}",
+    digits=8,
 )
 def fn_recovery(spark, d):
     return recover.missing(det(spark, d), tables.frames(spark, d), lookback=24)
