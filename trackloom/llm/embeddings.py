@@ -93,7 +93,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, miss: float = 0.00
 
     hashes = nodes.select("node", "cnt", "label", "vec").mapInArrow(hashed, "node long, cnt long, label string, vec binary, sig array<long>")
     hashes = stored(hashes, "vec-hashes")
-    members = hashes.select("*", F.length("vec").alias("dim"), F.posexplode("sig").alias("t", "s")).drop("label_", "vec_").withColumn("bucket", F.xxhash64("label", "dim", "t", "s"))
+    members = hashes.select("*", F.length("vec").alias("dim"), F.posexplode("sig").alias("t", "s")).withColumn("bucket", F.xxhash64("label", "dim", "t", "s"))
     members = members.select("bucket", "t", "label", "node", "cnt", "vec", "sig")
     pieces = stored(in_pieces(members, ["bucket"], "node", BLOCK_ROWS).select("piece", "side", "_blocks", "_n", "t", "label", "node", "cnt", "vec", "sig"), "vec-pieces")
 

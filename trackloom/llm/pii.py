@@ -72,7 +72,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             found.append((s, EMAIL, done))
         at = text.find("@", max(done, at + 1))
     for m in _IP.finditer(text):
-        if all(len(p) < 1000 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
             found.append((m.start(), IP, m.end()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
