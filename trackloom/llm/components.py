@@ -23,7 +23,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     while True:
         # Large star: larger neighbours of u are linked to the least of u and its neighbours.
         sym = e.select(F.explode(both).alias("x")).select("x.u", "x.v")
-        least = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Dealt out anew, so that both sides of the join come from shuffles and Spark can split the rows of a star's centre.
+        least = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).repartition("u", "m")
         e = sym.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: u (the larger end) and its smaller neighbours are linked to the least of these.
         least = e.groupBy("a").agg(F.min("b").alias("m"))
