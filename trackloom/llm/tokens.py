@@ -34,8 +34,8 @@ from trackloom.llm.store import new_path
 
 SAMPLE = 64
 SHARD_TOKENS = 1 << 20
-#: Words kept with their ids in a Python worker; beyond that the memory starts anew.
-REMEMBERED = 1_200_000
+#: Words kept with their ids in a Python worker, in each of two generations (about 200 bytes a word).
+REMEMBERED = 500_000
 SCHEMA = "part_first long, seq long, n_docs long, n_tokens long, width int, ids binary, doc_ids binary, low binary, high binary, samples binary"
 
 
@@ -122,6 +122,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = []
@@ -129,10 +130,13 @@ class WordEncoder:
             if within_latin_1(text):
                 text = text.lower()
             split.append(text.replace("\n", " ").split(" "))
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known, extra = self.known, {}
+        if len(self.known) > REMEMBERED:  # words in use come back from the older generation, rare ones are forgotten
+            self.known, self.older = {}, self.known
+        known, older, extra = self.known, self.older, {}
         new = {w for ws in split for w in ws if w not in known}
+        again = new & older.keys()
+        known.update((w, older[w]) for w in again)
+        new -= again
         if new:
             ended = {w: w[:-1] for w in new if w[-1:] in (".", ",") and _LETTERS.fullmatch(w, 0, len(w) - 1)}
             plain = [w for w in (new - ended.keys()) | set(ended.values()) | {".", ","} if w not in known]
