@@ -1,0 +1,69 @@
+"""The word model of operator 10 against the textbook formula, and its growth."""
+
+import collections
+import math
+import random
+import re
+
+import pytest
+
+from trackloom.llm import quality, word_model
+
+ITEM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x60\x7B-\x7E]")
+START, END = 1, 2
+
+
+def trigrams(text):
+    w = [START, START, *ITEM.findall(text.lower()), END]
+    return [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+
+
+def model_by_force(texts):
+    tables = [collections.Counter(g for t in texts for g in trigrams(t))]
+    for _ in range(2):
+        tables.insert(0, collections.Counter(g[1:] for g in tables[0]))
+
+    def p(g):
+        if not g:
+            return 1 / (len(tables[0]) + 1)
+        c = tables[len(g) - 1]
+        n = [sum(v == i for v in c.values()) for i in range(5)]
+        y = n[1] / max(n[1] + 2 * n[2], 1)
+        d = [0] + [max(0.05, min(k - 0.05, k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.5 * k)) for k in (1, 2, 3)]
+        seen = {x: v for x, v in c.items() if x[:-1] == g[:-1]}
+        if not seen:
+            return p(g[1:])
+        freed = sum(min(d[min(v, 3)], v) for v in seen.values())
+        return max(seen.get(g, 0) - d[min(seen.get(g, 0), 3)], 0) / sum(seen.values()) + freed / sum(seen.values()) * p(g[1:])
+
+    return p
+
+
+def test_perplexities_are_kneser_ney_over_words(spark):
+    rng = random.Random(4)
+    names = [f"w{i}" for i in range(25)] + [",", "."]
+    rows = [(i, " ".join(rng.choice(names[: 5 + i]) for _ in range(30)), "en") for i in range(20)]
+    rows += [(30, "w1 unknown words, w2", "en"), (31, "W1 W2.", "en"), (31, "W1 W2.", "en"), (31, "w3", "de"), (32, "#", None), (33, " ", "en"), (None, "w1 w2", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = docs.where("doc_id < 20").select("doc_id")
+    fold = {r.doc_id: r.f for r in docs.select("doc_id", quality.fold_of("doc_id").alias("f")).collect()}
+    models = [model_by_force([t for i, t, _ in rows if i is not None and i < 20 and fold[i] == f]) for f in (0, 1)]
+
+    def perplexity(i, text):
+        g = trigrams(text)
+        return 2 ** (-sum(math.log2(models[1 - fold[i]](x)) for x in g) / len(g)) if text.strip() else None
+
+    key = lambda r: (str(r[0]), str(r[1]), r[2] or 0)
+    got = sorted(((r.doc_id, r.lang, r.perplexity) for r in quality.perplexities(docs, trusted).collect()), key=key)
+    want = sorted(((i, lang, perplexity(i, t)) for i, t, lang in rows), key=key)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == [w[2] if w[2] is None else pytest.approx(w[2], rel=1e-4) for w in want]
+
+
+def test_table_grows_with_the_texts(spark):
+    rng = random.Random(5)
+    sizes = []
+    for n in (40, 400):
+        text = spark.createDataFrame([(i % 2, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(200))) for i in range(n)], "fold int, text string")
+        sizes.append(word_model.weights(word_model.counted(text), quality.discounts)[0].count())
+    assert sizes[1] > 8 * sizes[0]

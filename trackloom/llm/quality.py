@@ -1,16 +1,14 @@
 """Operator 10: quality by the perplexity of an n-gram model with modified Kneser-Ney smoothing.
 
-The model has characters as its items: bytes in 40 classes, n-grams of four. A table of all n-grams
-then has a fixed bound (40**4 cells), so texts need not be shuffled to meet their counts; a word
-model would need a shuffle of every word of the corpus. Each task counts its own trusted texts
-and hands on its distinct n-grams; counts, continuation counts and back-off weights are made by
-grouping and joining these shards by n-gram and by history.
+The model is of words, n-grams of three (``word_model``); its table grows with the trusted texts and
+stays in DataFrames. The functions of a character model of bounded size below (``counted``, ``smoothed``,
+``dense``) take no part in scoring; a test of the formula holds them.
 
 Trusted documents are dealt into two folds by a hash of their id, and every document is scored by
 the model of the other fold: nothing is scored by counts it is part of. The threshold of a language
 is a quantile of its trusted documents' perplexities.
 
-Defined cases: a null or empty text has no perplexity and is rejected; a language without trusted
+Defined cases: a null or empty text, or one of blanks, has no perplexity and is rejected; a language without trusted
 documents takes the threshold of all trusted ones; without any, all texts are kept; repeated rows
 are scored alike.
 """
@@ -21,12 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from trackloom.llm.filters import joined
+from trackloom.llm import word_model
+from trackloom.llm.filters import joined, without
 from trackloom.llm.store import stored
 from trackloom.llm.text import chunks
 
@@ -35,7 +32,6 @@ CLASSES = 40
 CELLS = CLASSES**ORDER
 START = 29
 QUANTILE = 0.998
-SMALL_CHUNK = 1 << 20
 BROADCAST_LANGUAGES = 10_000
 
 
@@ -124,42 +120,10 @@ def dense(orders: list[DataFrame]) -> np.ndarray:
     return np.log2(p).astype(np.float32)
 
 
-def trained(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """The model from all documents whose id is in ``trusted`` (doc_id)."""
-    known = trusted.select("doc_id").where("doc_id is not null").distinct()
-    rows = joined(docs.select("doc_id", "text"), known, "doc_id", "left_semi").select(fold_of("doc_id").alias("fold"), F.col("text").cast("string").alias("text"))
-    return dense(smoothed(stored(counted(rows), "quality-counts")))
-
-
 def fold_of(column: str):
     return F.pmod(F.xxhash64(F.lit(3), F.col(column)), F.lit(2)).cast("int")
 
 
-def scored(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """(row, p): every row as a struct, so that its columns may have any names, and its perplexity, null for an empty text. Rows stay where they are."""
-    log_p = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(fold_of("doc_id").alias("fold"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
-    text_at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = log_p.value.reshape(-1)
-        for b in batches:
-            folds = b.column(0).to_numpy()
-            # The text is in the row already; sent beside it, it would be in memory twice.
-            for first, last, data, offsets in chunks(pc.struct_field(b.column(1), [text_at]), SMALL_CHUNK):
-                n = np.diff(offsets)
-                fold = 1 - folds[first:last]
-                value = np.zeros(last - first)
-                if len(data):
-                    each = table[grams(data, offsets) + np.repeat(fold * np.int32(CELLS), n)]
-                    value[n > 0] = np.add.reduceat(each, offsets[:-1][n > 0], dtype=np.float64)
-                value = np.exp2(-value / np.maximum(n, 1))
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(first, last - first), pa.array(value, mask=n == 0)], names=["row", "p"])
-
-    schema = StructType([StructField("row", docs.schema), StructField("p", DoubleType())])
-    return rows.mapInArrow(run, schema)
-
-
 def thresholds(scores: DataFrame, trusted: DataFrame, quantile: float) -> DataFrame:
     """(lang, threshold) of each language, and one row with ``every`` set for all of them together."""
     t = scores.join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").where("perplexity is not null")
@@ -178,25 +142,40 @@ def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     return out.withColumn("threshold", limit).withColumn("kept", F.coalesce(F.col("perplexity") <= limit, F.lit(False))).drop("_lang", "_own", "_all")
 
 
-def limits_of(docs: DataFrame, trusted: DataFrame, quantile: float) -> tuple[np.ndarray, DataFrame, DataFrame]:
-    """The model, (doc_id, lang, perplexity) of every document, and the thresholds."""
-    model = trained(docs, trusted)
-    own = scored(docs.select("doc_id", "text", "lang"), model).select("row.doc_id", "row.lang", F.col("p").alias("perplexity"))
-    scores = stored(own, "quality-scores")
-    return model, scores, thresholds(scores, trusted, quantile)
+def keyed(docs: DataFrame) -> DataFrame:
+    """(k1, k2, fold, text, doc_id, lang): a text is scored by the model of the fold it is not in; k1 and k2 tell both apart."""
+    fold, text = 1 - fold_of("doc_id"), F.col("text").cast("string")
+    key = [F.xxhash64(F.lit(salt), fold, text).alias(f"k{salt}") for salt in (1, 2)]
+    return docs.select(*key, fold.alias("fold"), text.alias("text"), "doc_id", "lang")
+
+
+def limits_of(docs: DataFrame, trusted: DataFrame, quantile: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, lang, k1, k2, perplexity) of every document, and the thresholds."""
+    known = trusted.select("doc_id").where("doc_id is not null").distinct()
+    own = joined(docs.select("doc_id", "text"), known, "doc_id", "left_semi").select(fold_of("doc_id").alias("fold"), F.col("text").cast("string").alias("text"))
+    table, unknown = word_model.weights(word_model.counted(own), discounts)
+    rows = keyed(docs)
+    sums = word_model.sums(rows, table).withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
+    base = F.when(F.col("fold") == 0, unknown[0]).otherwise(unknown[1])
+    p = F.when(F.col("n") > 0, F.pow(F.lit(2.0), -(F.col("s") / F.col("n") + base)))
+    met = rows.drop("text").join(sums.hint("merge"), (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left")
+    scores = stored(met.select("doc_id", "lang", "k1", "k2", p.alias("perplexity")), "quality-scores")
+    return scores, thresholds(scores, trusted, quantile)
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, perplexity, threshold, kept for every document."""
-    _, scores, limits = limits_of(docs, trusted, quantile)
+    scores, limits = limits_of(docs, trusted, quantile)
     return judged(scores, limits).select("doc_id", "lang", "perplexity", "threshold", "kept")
 
 
 def of_quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """The documents that are kept, columns unchanged. Texts are scored twice rather than shuffled."""
-    model, _, limits = limits_of(docs, trusted, quantile)
-    rows = scored(docs, model).select("row", F.col("row.lang").alias("lang"), F.col("p").alias("perplexity"))
-    return judged(rows, limits).where("kept").select("row.*")
+    """The documents that are kept, columns unchanged. Only texts that may go are shuffled."""
+    scores, limits = limits_of(docs, trusted, quantile)
+    name = lambda k1, k2, lang: F.concat_ws(":", k1, k2, F.xxhash64(lang))
+    gone = judged(scores, limits).where("not kept").select(name("k1", "k2", "lang").alias("gone")).distinct()
+    fold, text = 1 - fold_of("doc_id"), F.col("text").cast("string")
+    return without(docs, name(F.xxhash64(F.lit(1), fold, text), F.xxhash64(F.lit(2), fold, text), F.col("lang")), stored(gone, "quality-gone"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

@@ -1,0 +1,191 @@
+"""A word n-gram model with modified Kneser-Ney smoothing: made, kept and applied as tables.
+
+Items are words (lower case, as in ``text``) and single marks; a text ends with an item of its own
+and begins after two start items. Each chunk of a task hands on its distinct trigrams; counts,
+continuation counts and back-off weights are made by grouping and joining, and none of them passes
+the driver. The table grows with the trusted texts.
+
+The logarithm of a text's probability is a sum over its n-grams of all three orders,
+
+    log p(c | a, b) = l(c) + back(b) + back(a, b) + e(b, c) + e(a, b, c),
+
+where a term is 0 if the table lacks its n-gram (for l: that of an unknown item), and e is what a
+known n-gram has above its back-off. So one lookup for each n-gram is enough. The texts' n-grams are
+dealt by key into parts, each with a slice of the table; what comes back are sums by text.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from trackloom.llm.store import stored
+from trackloom.llm.text import _LOWER, _WORD, BASE, chunks, mixed, powers
+
+CHUNK = 4 << 20
+PARTS = 48
+PART_ROWS = 2_000_000
+START, END = np.uint64(1), np.uint64(2)
+_MARK = ~_WORD
+_MARK[:33] = _MARK[127] = False
+
+
+def items(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of all words and marks in order, and how many each row has."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+    is_word, mark = _WORD[data], _MARK[data]
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    starts, ends = is_word.copy(), is_word.copy()
+    starts[1:] &= ~is_word[:-1] | edge[1:n]
+    ends[:-1] &= ~is_word[1:] | edge[1:n]
+    s, e = np.flatnonzero(starts | mark), np.flatnonzero(ends | mark) + 1
+    p, q = powers(n)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * p, out=total[1:])
+    return mixed((total[e] - total[s]) * q[s]), np.diff(np.searchsorted(s, offsets))
+
+
+def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The three items of every trigram in order, and how many trigrams each row has (none without items)."""
+    found, n = items(data, offsets)
+    m = n + (n > 0)
+    c = np.full(int(m.sum()), END, np.uint64)
+    c[np.arange(len(found)) + np.repeat(np.cumsum(n > 0) - 1, n)] = found
+    first = (np.cumsum(m) - m)[n > 0]
+    b = np.concatenate([[START], c[:-1]])[: len(c)].astype(np.uint64)
+    b[first] = START
+    a = np.concatenate([[START], b[:-1]])[: len(c)].astype(np.uint64)
+    a[first] = START
+    return a, b, c, m
+
+
+def key_of(fold: np.ndarray, *gram: np.ndarray) -> np.ndarray:
+    k = mixed(fold.astype(np.uint64) + np.uint64(2 * len(gram)))
+    for x in gram:
+        k = mixed(k * BASE + x)
+    return k
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(fold, w1, w2, w3, c): trigram counts of docs (fold, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folds = batch.column(0).to_numpy()
+            for first, last, data, offsets in chunks(batch.column(1), CHUNK):
+                *gram, m = trigrams(data, offsets)
+                fold = np.repeat(folds[first:last], m).astype(np.int32)
+                _, at, n = np.unique(key_of(fold, *gram), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(fold[at]), *[pa.array(x[at].view(np.int64)) for x in gram], pa.array(n.astype(np.int64))], names=["fold", "w1", "w2", "w3", "c"])
+
+    parts = docs.select("fold", "text").mapInArrow(run, "fold int, w1 long, w2 long, w3 long, c long")
+    return parts.groupBy("fold", "w1", "w2", "w3").agg(F.sum("c").alias("c"))
+
+
+def discounted(counts: DataFrame, discounts: DataFrame, history: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """``counts`` with d (its discount), and (fold, *history, total, back, types) of each history."""
+    d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    c = counts.join(F.broadcast(discounts), "fold").withColumn("d", d).drop("d1", "d2", "d3")
+    h = c.groupBy("fold", *history).agg(F.sum("c").alias("total"), (F.sum(F.least("d", "c")) / F.sum("c")).alias("back"), F.count("*").alias("types"))
+    return c, stored(h, name)
+
+
+def weights(trigram_counts: DataFrame, discounts) -> tuple[DataFrame, dict[int, float]]:
+    """(key, w) of every n-gram of the model, and log2 of p of an unknown item by fold."""
+    direct = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total")
+    c3 = stored(trigram_counts, "quality-trigrams")
+    c2 = stored(c3.groupBy("fold", "w2", "w3").agg(F.count("*").alias("c")), "quality-bigrams")
+    c1 = stored(c2.groupBy("fold", "w3").agg(F.count("*").alias("c")), "quality-items")
+    c1, h1 = discounted(c1, discounts(c1), [], "quality-all")
+    c2, h2 = discounted(c2, discounts(c2), ["w2"], "quality-history-1")
+    c3, h3 = discounted(c3, discounts(c3), ["w1", "w2"], "quality-history-2")
+    base = h1.select("fold", "total", (F.col("back") / (F.col("types") + 1)).alias("unknown"))
+    unknown = {r.fold: math.log2(r.unknown) for r in base.collect()}  # two rows at most
+    most = max((r.types for r in h1.collect()), default=0)
+    unknown = {f: unknown.get(f, -math.log2(most + 1)) for f in (0, 1)}
+    t1 = stored(c1.join(F.broadcast(base), "fold").select("fold", "w3", (direct + F.col("unknown")).alias("p1"), F.log2("unknown").alias("u")), "quality-p1")
+    t2 = c2.join(h2.drop("types"), ["fold", "w2"]).join(t1.drop("u"), ["fold", "w3"]).withColumn("lower", F.col("back") * F.col("p1"))
+    t2 = stored(t2.select("fold", "w2", "w3", (direct + F.col("lower")).alias("p2"), "lower"), "quality-p2")
+    t3 = c3.join(h3.drop("types"), ["fold", "w1", "w2"]).join(t2.select("fold", "w2", "w3", "p2"), ["fold", "w2", "w3"]).withColumn("lower", F.col("back") * F.col("p2"))
+    none, zero = F.lit(None).cast("long"), F.lit(0.0)
+    one = t1.join(h2.select("fold", F.col("w2").alias("w3"), "back"), ["fold", "w3"], "full")
+    one = one.select("fold", none.alias("x"), none.alias("y"), F.col("w3").alias("z"), (F.coalesce(F.log2("p1") - F.col("u"), zero) + F.coalesce(F.log2("back"), zero)).alias("w"))
+    two = t2.join(h3.select("fold", F.col("w1").alias("w2"), F.col("w2").alias("w3"), "back"), ["fold", "w2", "w3"], "full")
+    two = two.select("fold", none.alias("x"), F.col("w2").alias("y"), F.col("w3").alias("z"), (F.coalesce(F.log2("p2") - F.log2("lower"), zero) + F.coalesce(F.log2("back"), zero)).alias("w"))
+    three = t3.select("fold", F.col("w1").alias("x"), F.col("w2").alias("y"), F.col("w3").alias("z"), (F.log2(direct + F.col("lower")) - F.log2("lower")).alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            order = 3 - b.column(1).is_null().to_numpy(zero_copy_only=False).astype(int) - b.column(2).is_null().to_numpy(zero_copy_only=False)
+            fold = b.column(0).to_numpy()
+            x, y, z = (b.column(i).fill_null(0).to_numpy().view(np.uint64) for i in (1, 2, 3))
+            key = np.select([order == 3, order == 2], [key_of(fold, x, y, z), key_of(fold, y, z)], key_of(fold, z))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(4).cast(pa.float32())], names=["key", "w"])
+
+    keyed = one.unionByName(two).unionByName(three).mapInArrow(run, "key long, w float")
+    return stored(keyed, "quality-weights"), unknown
+
+
+def sums(texts: DataFrame, table: DataFrame) -> DataFrame:
+    """(k1, k2, s, n): of texts (k1, k2, fold, text) the sum of weights and the number of items; copies of a key are added up in both."""
+    parts = max(PARTS, -(-table.count() // PART_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, offsets in chunks(batch.column(3), CHUNK):
+                fold = batch.column(2).to_numpy()[first:last]
+                a, b, c, m = trigrams(data, offsets)
+                doc = np.repeat(np.arange(last - first, dtype=np.int32), m)
+                has = np.flatnonzero(m).astype(np.int32)
+                own, begin = fold[doc], np.full(len(has), START)
+                keys = np.concatenate([key_of(own, a, b, c), key_of(own, b, c), key_of(own, c), key_of(fold[has], begin, begin), key_of(fold[has], begin)])
+                docs = np.concatenate([doc, doc, doc, has, has])
+                ids = [batch.column(i).to_numpy()[first:last].tobytes() for i in (0, 1)]
+                order = np.argsort(keys, kind="stable")
+                keys, docs = keys[order], docs[order]
+                part = (keys % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                keys, docs = keys[order], docs[order]
+                ends = np.searchsorted(part[order], np.arange(parts + 1))
+                del a, b, c, doc, own, order, part
+                rows = []
+                for p in range(parts):
+                    k, d = keys[ends[p] : ends[p + 1]], docs[ends[p] : ends[p + 1]]
+                    new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
+                    if len(k) or not p:
+                        rows.append((p, *ids, k[new].tobytes(), np.diff(np.append(new, len(k))).astype(np.int32).tobytes(), d.tobytes(), m.astype(np.int64).tobytes() if not p else b""))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(7)], names=["part", "k1", "k2", "keys", "runs", "docs", "n"])
+
+    sent = texts.select("k1", "k2", "fold", "text").mapInArrow(run, "part int, k1 binary, k2 binary, keys binary, runs binary, docs binary, n binary")
+    # The key counts as unsigned in both places.
+    sliced = table.withColumn("part", F.pmod(F.pmod("key", F.lit(parts)) + F.when(F.col("key") < 0, F.lit(pow(2, 64, parts))).otherwise(F.lit(0)), F.lit(parts)).cast("int"))
+
+    def meet(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        known = model["key"].to_numpy().view(np.uint64)
+        order = np.argsort(known)
+        known, w = known[order], model["w"].to_numpy()[order]
+        out = []
+        for r in rows.itertuples(index=False):
+            k, runs, docs = np.frombuffer(r.keys, np.uint64), np.frombuffer(r.runs, np.int32), np.frombuffer(r.docs, np.int32)
+            k1, k2 = np.frombuffer(r.k1, np.int64), np.frombuffer(r.k2, np.int64)
+            value = np.zeros(len(k))
+            if len(known) and len(k):
+                at = np.minimum(np.searchsorted(known, k), len(known) - 1)
+                value = np.where(known[at] == k, w[at], 0.0)
+            s = np.bincount(docs, np.repeat(value, runs), len(k1))
+            n = np.frombuffer(r.n, np.int64) if r.n else np.zeros(len(k1), np.int64)
+            some = (s != 0) | (n > 0)
+            out.append(pd.DataFrame({"k1": k1[some], "k2": k2[some], "s": s[some], "n": n[some]}))
+        return pd.concat(out) if out else pd.DataFrame({"k1": [], "k2": [], "s": [], "n": []})
+
+    found = sent.groupBy("part").cogroup(sliced.groupBy("part")).applyInPandas(meet, "k1 long, k2 long, s double, n long")
+    return stored(found.groupBy("k1", "k2").agg(F.sum("s").alias("s"), F.sum("n").alias("n")), "quality-sums")
