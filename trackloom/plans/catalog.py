@@ -365,6 +365,19 @@ def cosine_pairs(spark, d):
     return a.join(b, ["label", "k"]).where("a < b").select("a", "b", g.cosine(F.col("ea"), F.col("eb")).alias("cos"))
 
 
+@query(
+    "SELECT vec_id, label, round(list_dot_product(e, m) / ((sqrt(list_dot_product(e, e)) + 1e-9) * (sqrt(list_dot_product(m, m)) + 1e-9)), 6) AS cos FROM v JOIN m USING (label)",
+    """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+m AS (SELECT label, list(x ORDER BY i) AS m FROM (SELECT label, i, avg(y) AS x FROM (SELECT label, unnest(e) AS y, unnest(range(len(e))) AS i FROM v) GROUP BY label, i) GROUP BY label)""",
+)
+def cosine_to_mean(spark, d):
+    """Every vector against the mean vector of its label; ``cosine_pairs`` takes pairs inside blocks of ids only."""
+    v = tables.table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    each = v.select("label", F.posexplode("e").alias("i", "y")).groupBy("label", "i").agg(F.avg("y").alias("x"))
+    means = each.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda z: z["x"]).alias("m"))
+    return v.join(means, "label").select("vec_id", "label", g.cosine(F.col("e"), F.col("m")).alias("cos"))
+
+
 # ---- identities -----------------------------------------------------------------------------
 
 
