@@ -12,8 +12,9 @@
 A row is made for a class, never for a pair, so a group of copies costs its size in rows.
 
 Defined cases: a document of fewer than five words, but not none, has one shingle of all its words;
-one without words (or with a null text) links with nothing. Rows that share a doc_id are one node of
-the link graph and each gets a row of the result.
+one without words (or with a null text) links with nothing and is kept. Rows have a key of their own, made
+of id and text, so different texts may share an id and null ids take part (they come last). Each row
+gets a row of the result, and exactly one row of a component is kept, however often it is repeated.
 """
 
 from __future__ import annotations
@@ -76,27 +77,31 @@ def minhash(sh: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def own_key():
+    return F.xxhash64(F.lit(7), F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("u")
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2 (fingerprint of the words), n (shingles), sig."""
+    """u (key of id and text), doc_id, k1, k2 (fingerprint of the words), n (shingles), sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, last, data, offsets in chunks(b.column(1)):
+            for first, last, data, offsets in chunks(b.column(2)):
                 found, n_words = words(data, offsets)
                 k1, k2 = sequence_keys(found, n_words)
                 sh, n = shingles(found, n_words, SHINGLE)
                 sigs = iter(minhash(sh, n)) if len(sh) else iter(())
                 sig = [next(sigs).tobytes() if x else None for x in n]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n), pa.array(sig, pa.binary())], names=["doc_id", "k1", "k2", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([*[b.column(i).slice(first, last - first) for i in (0, 1)], pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n), pa.array(sig, pa.binary())], names=["u", "doc_id", "k1", "k2", "n", "sig"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, sig binary")
+    rows = docs.select(own_key(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "u long, doc_id long, k1 long, k2 long, n long, sig binary")
 
 
 def with_shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (rep, k1, k2, ...) with ``sh``, the sorted distinct shingles of its text."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    rows = joined(texts, wanted, "rep").select("text", *wanted.columns)
+    """``wanted`` (u, node, k1, k2, copies, ...) with ``sh``, the sorted distinct shingles of its text; a row for each, however many copies there are."""
+    texts = docs.select(own_key(), F.col("text").cast("string").alias("text"))
+    rows = joined(texts, wanted, "u").select("text", *wanted.columns)
     names = wanted.columns
     at = {c: i + 1 for i, c in enumerate(names)}
 
@@ -114,7 +119,8 @@ def with_shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield out.filter(pa.array(own))
 
     schema = ", ".join(f"{c} {t}" for c, t in wanted.dtypes) + ", sh binary"
-    return rows.mapInArrow(run, schema)
+    out = stored(rows.mapInArrow(run, schema), "jaccard-members")
+    return out.where("copies = 1").unionByName(out.where("copies > 1").dropDuplicates(["node"]))
 
 
 def candidates(a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -178,43 +184,56 @@ def links_in(cell: pd.DataFrame) -> pd.DataFrame:
             continue
         sets = [[np.frombuffer(x, np.uint64) for x in p["sh"]] for p in parts]
         ok = verified(i, j, sets[0], sets[-1])
-        reps, cnts = [p["rep"].to_numpy() for p in parts], [p["cnt"].to_numpy() for p in parts]
+        reps, cnts = [p["node"].to_numpy() for p in parts], [p["cnt"].to_numpy() for p in parts]
         if ok.any():
             out.append(linked_members(i[ok], j[ok], reps[0], reps[-1], cnts[0], cnts[-1]))
     return pd.concat(out) if out else pd.DataFrame({"node": [], "links": [], "root": []})
 
 
-def jaccard_links(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (smallest id with the same words), n_links (other documents at the threshold or above, copies included), component_id (smallest id reachable by links), kept (smallest of its component)."""
+def linked_rows(docs: DataFrame) -> DataFrame:
+    """A row for each distinct id and text: u, doc_id, copies (rows of it), class_id, n_links, component_id, one (whether one of the rows is kept) and alone (no words, all are kept)."""
     rows = stored(signed(docs), "jaccard-rows")
+    own = stored(rows.groupBy("u", "doc_id", "k1", "k2", "n").agg(F.count("*").alias("copies")), "jaccard-own")
+    # The least id speaks for a class; a class is known by its words, not by an id that others may share.
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "u")
     # Documents without words are classes of their own.
-    some = rows.where("n > 0 and doc_id is not null")
-    classes = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("cnt"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = stored(classes, "jaccard-classes")
+    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min(least).alias("rep"), F.count("*").alias("cnt"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = stored(classes.withColumn("node", F.xxhash64("k1", "k2")), "jaccard-classes")
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 1 + 4 * ROWS * k, 4 * ROWS)) for k in range(BANDS)])
-    keys = classes.select("rep", F.explode(bands).alias("band"))
-    shared = keys.groupBy("band").agg(F.min("rep").alias("least"), F.count("*").alias("c")).where("c > 1").select("band", "least")
-    edges = keys.join(shared, "band").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    keys = classes.select("node", F.explode(bands).alias("band"))
+    shared = keys.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("c")).where("c > 1").select("band", "least")
+    edges = keys.join(shared, "band").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     groups = stored(connected_components(edges, "jaccard-candidates"), "jaccard-groups")
-    wanted = classes.join(groups, classes["rep"] == groups["node"]).select("rep", "k1", "k2", "cnt", "n", "sig", F.col("component").alias("grp"))
+    wanted = classes.join(groups, "node").select(F.col("rep.u").alias("u"), "node", "k1", "k2", "cnt", "n", "sig", F.col("component").alias("grp"))
+    wanted = wanted.join(own.where("copies > 1").select("u", "copies"), "u", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     members = with_shingles(docs, wanted)
-    pieces = in_pieces(members, ["grp"], "rep", BLOCK_ROWS, "n", BLOCK_SHINGLES).select("piece", "side", "_blocks", "_n", "rep", "cnt", "sig", "sh")
+    pieces = in_pieces(members, ["grp"], "node", BLOCK_ROWS, "n", BLOCK_SHINGLES).select("piece", "side", "_blocks", "_n", "node", "cnt", "sig", "sh")
     pieces = stored(pieces, "jaccard-pieces")
     links = stored(to_cells(pieces, 2 * BLOCK_ROWS).groupBy("cell").applyInPandas(links_in, "node long, links long, root long"), "jaccard-links")
     found = links.groupBy("node").agg(F.sum("links").alias("links"))
-    comp = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), "jaccard-components")
-    per_class = classes.join(found, classes["rep"] == found["node"], "left").drop("node").join(comp, F.col("rep") == F.col("node"), "left")
-    per_class = per_class.select("k1", "k2", "rep", (F.coalesce("links", F.lit(0)) + F.col("cnt") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n", "k1", "k2").join(per_class, ["k1", "k2"], "left")
-    alone = F.col("n").eqNullSafe(0) | F.col("doc_id").isNull() | F.col("rep").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
+    comp = stored(connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), "jaccard-components"), "jaccard-nodes")
+    first = stored(comp.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("first")), "jaccard-first")
+    comp = comp.join(first, "component").select("node", "first")
+    per_class = classes.select("node", "k1", "k2", "rep", "cnt").join(found, "node", "left").join(comp, "node", "left")
+    per_class = per_class.select("k1", "k2", "rep", (F.coalesce("links", F.lit(0)) + F.col("cnt") - 1).alias("links"), F.coalesce("first", "rep").alias("first"))
+    out = own.join(per_class, ["k1", "k2"], "left")
+    alone = F.col("n") == 0
     return out.select(
-        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("rep")).alias("class_id"), F.when(alone, 0).otherwise(F.col("links")).cast("long").alias("n_links"),
-        component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        "u", "doc_id", "copies", F.when(alone, F.col("doc_id")).otherwise(F.col("rep.doc_id")).alias("class_id"), F.when(alone, 0).otherwise(F.col("links")).cast("long").alias("n_links"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), (alone | (F.col("u") == F.col("first.u"))).alias("one"), alone.alias("alone"),
     )
 
 
+def jaccard_links(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (smallest id with the same words), n_links (other documents at the threshold or above, copies included), component_id (smallest id reachable by links), kept (one row of its component, of the smallest id)."""
+    rows = linked_rows(docs).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return rows.select("doc_id", "class_id", "n_links", "component_id", (F.col("one") & (F.col("alone") | (F.col("_i") == 1))).alias("kept"))
+
+
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each group of near duplicates (that of the smallest id), columns unchanged."""
-    gone = stored(jaccard_links(docs).where("not kept").select("doc_id").distinct(), "jaccard-gone")
-    return without(docs, F.col("doc_id").cast("long"), gone)
+    found = stored(linked_rows(docs).where("not alone and (not one or copies > 1)").select("u", "one"), "jaccard-gone")
+    left = without(docs, own_key(), found.select("u"))
+    rows = docs.select(own_key(), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
+    again = joined(rows, found.where("one").select("u"), "u").groupBy("u").agg(F.first("_row").alias("_row"))
+    return left.unionByName(again.select("_row.*"))
