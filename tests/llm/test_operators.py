@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,7 +226,7 @@ def test_elias_fano_round_trip():
     for n, top in ((1, 1), (1, 0), (5, 10**6), (2000, 5000), (300, 10**9), (200, 3)):
         v = np.sort(rng.integers(0, top + 1, n))
         low, high, samples = tokens.ef_encode(v, top)
-        assert (tokens.ef_decode(low, high, n, top) == v).all()
+        assert (tokens.ef_values(low, high, samples, n, top, 0, n) == v).all() and (tokens.ef_values(low, high, samples, n, top, n // 3, n // 3 + 1 + n // 2) == v[n // 3 : n // 3 + 1 + n // 2]).all()
         assert [tokens.ef_select(low, high, samples, n, top, i) for i in range(n)] == v.tolist()
         assert len(low) + len(high) <= (n * (2 + max(0, np.log2(max(top, 1) / n) + 1))) / 8 + 4
     with pytest.raises(IndexError):
@@ -253,8 +254,13 @@ def test_word_encoder_is_the_tokenizer():
     rng = random.Random(0)
     texts = ["x <|endoftext|> y<|startoftext|>z  İΣ ́a", "Don't. STOP, ... a.b, c,. ß. É, ÉTÉ. µ. \x85 \xa0 x\x1cy ª. º, 12. 3,", "", ".", " .", "ΑΣ. ﬁ. é. á, " + "b" * 100 + ". " + "c" * 90]
     texts += ["".join(rng.choice("ab.,' \n\tÉ'sé1́ \x1cΣİ<|>") for _ in range(300)) for _ in range(200)]
+    texts += [" ".join("".join(rng.choice("abcEÉßüÞÿs") for _ in range(rng.randint(1, 9))) + rng.choice(["", ".", ",", ".,"]) for _ in range(80)) for _ in range(50)]
     want = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(texts)] == want
+    for _ in range(2):  # new words, then remembered ones
+        got = [x.tolist() for _, _, ids, n in tokens.encoded(pa.array(texts), enc, 1000) for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == want
+    ids, n = enc.encode(pa.array([None, "", None], pa.string()))
+    assert len(ids) == 0 and n.tolist() == [0, 0, 0]
 
 
 # ---- 6 --------------------------------------------------------------------------------------

@@ -56,16 +56,22 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int
     if column.null_count:
         lengths = np.where(np.asarray(column.is_null().to_numpy(zero_copy_only=False)), 0, lengths)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    first = 0
-    while first < n:
-        last = int(np.searchsorted(ends, ends[first] + size, "right")) - 1
-        last = min(n, max(last, first + 1))
+    for first, last in runs_of(ends, size):
         offsets = ends[first : last + 1]
         part, own = raw[offsets[0] : offsets[-1]], lengths[first:last]
         if own.sum() != len(part):  # a null row that still has bytes
             keep = np.repeat(own > 0, np.diff(offsets))
             part = part[keep]
         yield first, last, part, np.concatenate([[0], np.cumsum(own)]).astype(np.int64)
+
+
+def runs_of(ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """(first row, last row + 1) of runs of at most ``size`` bytes; a longer row is a run of its own."""
+    first, n = 0, len(ends) - 1
+    while first < n:
+        last = int(np.searchsorted(ends, ends[first] + size, "right")) - 1
+        last = min(n, max(last, first + 1))
+        yield first, last
         first = last
 
 
