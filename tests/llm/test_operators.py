@@ -459,60 +459,19 @@ def test_mix(spark, odd, none):
 # ---- 10 -------------------------------------------------------------------------------------
 
 
-def smoothed_by_force(counts):
-    """p of every cell by the textbook formula, from counts of one fold."""
-    tables = [counts]
-    for k in range(quality.ORDER - 1, 0, -1):
-        lower = collections.Counter()
-        for g in tables[0]:
-            lower[g % quality.CLASSES**k] += 1
-        tables.insert(0, lower)
-
-    def p(order, g):
-        if order == 0:
-            return 1 / quality.CLASSES
-        c = tables[order - 1]
-        n = [sum(v == i for v in c.values()) for i in range(5)]
-        y = n[1] / max(n[1] + 2 * n[2], 1)
-        d = [0] + [max(0.05, min(k - 0.05, k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.5 * k)) for k in (1, 2, 3)]
-        h = g // quality.CLASSES
-        seen = {x: v for x, v in c.items() if x // quality.CLASSES == h}
-        lower = p(order - 1, g % quality.CLASSES ** (order - 1))
-        if not seen:
-            return lower
-        freed = sum(min(d[min(v, 3)], v) for v in seen.values())
-        return max(seen.get(g, 0) - d[min(seen.get(g, 0), 3)], 0) / sum(seen.values()) + freed / sum(seen.values()) * lower
-
-    return lambda g: p(quality.ORDER, g)
-
-
-def test_model_is_kneser_ney(spark):
-    rng = random.Random(1)
-    text = sentence(rng, 120)
-    df = spark.createDataFrame([(0, text), (1, "other " + text[:50])], "fold int, text string")
-    rows = quality.counted(df).collect()
-    counts = collections.Counter({r.g: r.c for r in rows if r.fold == 0})
-    assert sum(counts.values()) == len(text.encode())
-    model = quality.dense(quality.smoothed(spark.createDataFrame(rows)))
-    want = smoothed_by_force(counts)
-    picked = [*rng.sample(sorted(counts), 40), *[rng.randrange(quality.CELLS) for _ in range(20)]]
-    assert np.allclose([2.0 ** float(model[0, g]) for g in picked], [want(g) for g in picked], rtol=1e-4)
-    h = rng.choice(sorted(counts)) // quality.CLASSES
-    assert np.isclose(np.exp2(model[0, h * quality.CLASSES : (h + 1) * quality.CLASSES].astype(float)).sum(), 1, atol=1e-4)
-
-
 def test_quality_keeps_clean_and_rejects_junk(spark, odd, none):
     rng = random.Random(2)
     rows = [(i, sentence(rng, 150), "en" if i % 2 else "de", "a") for i in range(300)] + [(500 + i, "".join(rng.choice("QX#%&*!Z9") for _ in range(400)), "en", "a") for i in range(20)]
     df = docs_of(spark, rows)
     trusted = df.where("doc_id < 200").select("doc_id")
-    got = {r.doc_id: r for r in quality.perplexities(df, trusted).collect()}
+    name = queries.tokenizer_path()
+    got = {r.doc_id: r for r in quality.perplexities(df, trusted, name).collect()}
     assert sum(got[i].kept for i in range(300)) >= 290 and not any(got[500 + i].kept for i in range(20))
-    kept = quality.of_quality(df, trusted)
+    kept = quality.of_quality(df, trusted, name)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
-    every = quality.perplexities(docs_of(spark, odd), trusted).collect()
+    every = quality.perplexities(docs_of(spark, odd), trusted, name).collect()
     assert len(every) == len(odd) and all(r.perplexity is None and not r.kept for r in every if r.doc_id in (4, 5))
-    assert quality.perplexities(none, trusted).count() == 0 and quality.of_quality(df, trusted.limit(0)).count() == len(rows)
+    assert quality.perplexities(none, trusted, name).count() == 0 and quality.of_quality(df, trusted.limit(0), name).count() == len(rows)
 
 
 def test_filters_never_lose_rows(spark, docs, odd):

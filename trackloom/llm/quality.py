@@ -1,125 +1,29 @@
 """Operator 10: quality by the perplexity of an n-gram model with modified Kneser-Ney smoothing.
 
-The model is of words, n-grams of three (``word_model``); its table grows with the trusted texts and
-stays in DataFrames. The functions of a character model of bounded size below (``counted``, ``smoothed``,
-``dense``) take no part in scoring; a test of the formula holds them.
-
-Trusted documents are dealt into two folds by a hash of their id, and every document is scored by
+The model is of pairs of token ids (``token_model``); its table grows with the trusted texts and stays in
+a table. Trusted documents are dealt into two folds by a hash of their id, and every document is scored by
 the model of the other fold: nothing is scored by counts it is part of. The threshold of a language
 is a quantile of its trusted documents' perplexities.
 
 Defined cases: a null or empty text, or one of blanks, has no perplexity and is rejected; a language without trusted
-documents takes the threshold of all trusted ones; without any, all texts are kept; repeated rows
-are scored alike.
+documents takes the threshold of all trusted ones; without any, all texts are kept; a text right at its
+threshold is kept; repeated rows are scored alike; a text of any length is one text; other columns of
+``docs`` may have any names and stay as they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm import word_model
+from trackloom.llm import token_model
 from trackloom.llm.filters import joined, without
 from trackloom.llm.store import stored
-from trackloom.llm.text import chunks
 
-ORDER = 4
-CLASSES = 40
-CELLS = CLASSES**ORDER
-START = 29
 QUANTILE = 0.998
 BROADCAST_LANGUAGES = 10_000
 
 
-def byte_classes() -> np.ndarray:
-    """Class of each byte: letters 0-25, upper case 26, digits 27, blank 28, line end 29, full stop 30, comma 31, other ASCII 32, bytes beyond ASCII 33-39."""
-    c = np.full(256, 32, np.int32)
-    c[97:123] = np.arange(26)
-    c[65:91], c[48:58] = 26, 27
-    c[[32, 9]], c[[10, 13]], c[46], c[44] = 28, 29, 30, 31
-    c[128:] = 33 + np.arange(128) % 7
-    return c
-
-
-_CLASS = byte_classes()
-
-
-def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Code of the n-gram that ends at each byte; a row begins after line ends."""
-    c = _CLASS[data]
-    place = np.arange(len(c)) - np.repeat(offsets[:-1], np.diff(offsets))
-    code = c.copy()
-    for k in range(1, ORDER):
-        earlier = np.full(len(c), START, np.int32)
-        earlier[k:] = c[:-k]
-        earlier[place < k] = START
-        code += earlier * np.int32(CLASSES**k)
-    return code
-
-
-def counted(docs: DataFrame) -> DataFrame:
-    """(fold, g, c): counts of n-grams in the texts of docs (fold, text), a row for each distinct one of a task before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, CELLS), np.int64)
-        for b in batches:
-            folds = b.column(0).to_numpy()
-            for first, last, data, offsets in chunks(b.column(1)):
-                fold = np.repeat(folds[first:last], np.diff(offsets))
-                g = grams(data, offsets)
-                for f in (0, 1):
-                    ids, n = np.unique(g[fold == f], return_counts=True)
-                    total[f, ids] += n
-        for f in (0, 1):
-            ids = np.flatnonzero(total[f])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), f, np.int32)), pa.array(ids), pa.array(total[f, ids])], names=["fold", "g", "c"])
-
-    parts = docs.select("fold", "text").mapInArrow(run, "fold int, g long, c long")
-    return parts.groupBy("fold", "g").agg(F.sum("c").alias("c"))
-
-
-def discounts(counts: DataFrame) -> DataFrame:
-    """(fold, d1, d2, d3): modified Kneser-Ney discounts from the counts of counts."""
-    n = counts.groupBy("fold").agg(*[F.sum((F.col("c") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
-    d = lambda k: F.greatest(F.least(F.when(F.col(f"n{k}") > 0, k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(0.5 * k), F.lit(k - 0.05)), F.lit(0.05))
-    return n.select("fold", d(1).alias("d1"), d(2).alias("d2"), d(3).alias("d3"))
-
-
-def smoothed(counts: DataFrame) -> list[DataFrame]:
-    """For orders 1 up to ORDER: (fold, g, direct, h, back) - the discounted share of each n-gram and its history's back-off weight."""
-    by_order = [counts]
-    for k in range(ORDER - 1, 0, -1):  # a lower order counts what an n-gram follows, not how often it occurs
-        by_order.insert(0, by_order[0].groupBy("fold", (F.col("g") % CLASSES**k).alias("g")).agg(F.count("*").alias("c")))
-    out = []
-    for c in by_order:
-        c = c.join(F.broadcast(discounts(c)), "fold").withColumn("h", F.floor(F.col("g") / CLASSES).cast("long"))
-        c = c.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
-        history = c.groupBy("fold", "h").agg(F.sum("c").alias("total"), F.sum(F.least("d", "c")).alias("freed"))
-        c = c.join(history, ["fold", "h"])
-        out.append(c.select("fold", "g", "h", (F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("direct"), (F.col("freed") / F.col("total")).alias("back")))
-    return out
-
-
-def dense(orders: list[DataFrame]) -> np.ndarray:
-    """log2 of p for every fold and cell. What reaches the driver is bounded by the cells of the table, whatever the corpus."""
-    p = np.full((2, 1), 1.0 / CLASSES)
-    for k, table in enumerate(orders, 1):
-        t = table.toPandas()
-        f, g, h = (t[c].to_numpy() for c in ("fold", "g", "h"))
-        back = np.ones((2, CLASSES ** (k - 1)))
-        back[f, h] = t["back"]
-        direct = np.zeros((2, CLASSES**k))
-        direct[f, g] = t["direct"]
-        lower = np.broadcast_to(p, (2, CLASSES)) if k == 1 else np.tile(p, CLASSES)
-        p = direct + np.repeat(back, CLASSES, axis=1) * lower
-    return np.log2(p).astype(np.float32)
-
-
 def fold_of(column: str):
     return F.pmod(F.xxhash64(F.lit(3), F.col(column)), F.lit(2)).cast("int")
 
@@ -149,29 +53,28 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(*key, fold.alias("fold"), text.alias("text"), "doc_id", "lang")
 
 
-def limits_of(docs: DataFrame, trusted: DataFrame, quantile: float) -> tuple[DataFrame, DataFrame]:
+def limits_of(docs: DataFrame, trusted: DataFrame, tokenizer: str, quantile: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, lang, k1, k2, perplexity) of every document, and the thresholds."""
     known = trusted.select("doc_id").where("doc_id is not null").distinct()
     own = joined(docs.select("doc_id", "text"), known, "doc_id", "left_semi").select(fold_of("doc_id").alias("fold"), F.col("text").cast("string").alias("text"))
-    table, unknown = word_model.weights(word_model.counted(own), discounts)
+    m = token_model.model(token_model.counted(own, tokenizer), tokenizer)
     rows = keyed(docs)
-    sums = word_model.sums(rows, table).withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
-    base = F.when(F.col("fold") == 0, unknown[0]).otherwise(unknown[1])
-    p = F.when(F.col("n") > 0, F.pow(F.lit(2.0), -(F.col("s") / F.col("n") + base)))
+    sums = token_model.sums(rows, m, tokenizer).withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
+    p = F.when(F.col("n") > 0, F.pow(F.lit(2.0), -F.col("s") / F.col("n")))
     met = rows.drop("text").join(sums.hint("merge"), (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left")
     scores = stored(met.select("doc_id", "lang", "k1", "k2", p.alias("perplexity")), "quality-scores")
     return scores, thresholds(scores, trusted, quantile)
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, tokenizer: str, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, perplexity, threshold, kept for every document."""
-    scores, limits = limits_of(docs, trusted, quantile)
+    scores, limits = limits_of(docs, trusted, tokenizer, quantile)
     return judged(scores, limits).select("doc_id", "lang", "perplexity", "threshold", "kept")
 
 
-def of_quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+def of_quality(docs: DataFrame, trusted: DataFrame, tokenizer: str, quantile: float = QUANTILE) -> DataFrame:
     """The documents that are kept, columns unchanged. Only texts that may go are shuffled."""
-    scores, limits = limits_of(docs, trusted, quantile)
+    scores, limits = limits_of(docs, trusted, tokenizer, quantile)
     name = lambda k1, k2, lang: F.concat_ws(":", k1, k2, F.xxhash64(lang))
     gone = judged(scores, limits).where("not kept").select(name("k1", "k2", "lang").alias("gone")).distinct()
     fold, text = 1 - fold_of("doc_id"), F.col("text").cast("string")

@@ -61,7 +61,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.perplexities(_table(spark, sf_dir, "documents"), quality.trusted_ids(_table(spark, sf_dir, "labels")))
+    return quality.perplexities(_table(spark, sf_dir, "documents"), quality.trusted_ids(_table(spark, sf_dir, "labels")), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
