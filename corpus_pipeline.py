@@ -19,7 +19,7 @@ def _side(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents that the language model rejects go."""
-    return quality.of_quality(docs, quality.trusted_ids(_side(spark, sf_dir, "labels")))
+    return quality.of_quality(docs, quality.trusted_ids(_side(spark, sf_dir, "labels")), tokenizer_path())
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
