@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as g
+from trackloom.operators.frames import Frame, by_frame
 from trackloom.operators.resolve import box_iou
 
 KEY = ("clip", "frame", "tid")
@@ -51,29 +51,23 @@ def missing_ids(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.subtract(y).withColumn("side", F.lit("a")).unionByName(y.subtract(x).withColumn("side", F.lit("b")))
 
 
-def matched_diff(a: DataFrame, b: DataFrame, least: float = 0.5, cells: int = 256) -> DataFrame:
+def matched_diff(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
     """As ``frame_diff`` for boxes in any order: by falling confidence each box of ``a`` takes its best free box of ``b``."""
     cols = ["clip", "frame", "tid", *g.BOX, "conf"]
-    rows = a.select(*cols, F.lit(0).alias("side")).unionByName(b.select(*cols, F.lit(1).alias("side")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (clip, frame), f in pdf.groupby(["clip", "frame"], sort=False):
-            x = f[f["side"] == 0].sort_values(["conf", "tid"], ascending=[False, True])
-            y = f[f["side"] == 1].sort_values("tid")
-            m = box_iou(x[list(g.BOX)].to_numpy(float), y[list(g.BOX)].to_numpy(float))
-            pairs = []
-            for i in range(len(x)):
-                if m.shape[1] and m[i].max() >= least:
-                    j = int(np.argmax(m[i]))
-                    pairs.append((i, j))
-                    m[:, j] = -1
-            i, j = [p[0] for p in pairs], [p[1] for p in pairs]
-            p, q = x.iloc[i], y.iloc[j]
-            box = np.abs(p[list(g.BOX)].to_numpy(float) - q[list(g.BOX)].to_numpy(float)).max() if pairs else None
-            conf = np.abs(p["conf"].to_numpy(float) - q["conf"].to_numpy(float)).max() if pairs else None
-            out.append((clip, frame, len(x), len(y), len(pairs), box, conf, int((p["tid"].to_numpy() != q["tid"].to_numpy()).sum())))
-        return pd.DataFrame(out, columns=["clip", "frame", "n_a", "n_b", "matched", "box_error", "conf_error", "id_mismatches"])
-
-    rows = rows.withColumn("_cell", F.pmod(F.xxhash64("clip", "frame"), F.lit(cells)))
-    return rows.groupBy("_cell").applyInPandas(lambda pdf: run(pdf), "clip string, frame long, n_a long, n_b long, matched long, box_error double, conf_error double, id_mismatches long")
+    # Boxes of a come first, by falling confidence, those of b by id.
+    rows = a.select(*cols, F.lit(0).alias("side"), (-F.col("conf")).alias("place")).unionByName(b.select(*cols, F.lit(1).alias("side"), F.lit(0.0).alias("place")))
+
+    def compared(f: Frame) -> Frame:
+        n = int((f["side"] == 0).sum())
+        box = np.stack([f[c] for c in g.BOX], axis=1).astype(float)
+        m, i, j = box_iou(box[:n], box[n:]), [], []
+        for k in range(n):
+            if m.shape[1] and m[k].max() >= least:
+                i.append(k)
+                j.append(n + int(np.argmax(m[k])))
+                m[:, j[-1] - n] = -1
+        worst = lambda x: np.array([np.abs(x[i] - x[j]).max() if i else np.nan])
+        counts = {"n_a": n, "n_b": len(box) - n, "matched": len(i), "id_mismatches": int((f["tid"][i] != f["tid"][j]).sum())}
+        return {"clip": f["clip"][:1], "frame": f["frame"][:1], "box_error": worst(box), "conf_error": worst(f["conf"])} | {k: np.array([v]) for k, v in counts.items()}
+
+    return by_frame(rows, ["side", "place", "tid"], compared, "clip string, frame long, n_a long, n_b long, matched long, box_error double, conf_error double, id_mismatches long")

@@ -1,16 +1,15 @@
 """Suppression of boxes that cover one another, frame by frame.
 
-Frames are independent and small. They are dealt out by hash and handled many at a time in a task,
-so there is no Python call for each frame.
+Frames are independent. Rows are dealt by frame and stream by in order (``frames``).
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators.frames import Frame, by_frame
 from trackloom.operators.resolve import box_iou
 
 SIDES = ["x1", "y1", "x2", "y2"]
@@ -40,28 +39,27 @@ def soft(boxes: np.ndarray, scores: np.ndarray, threshold: float, sigma: float =
     return kept
 
 
-def suppress(df: DataFrame, threshold: float = 0.6, kind: str = "hard", sigma: float = 0.5, least: float = 0.001, cells: int = 256) -> DataFrame:
-    """(clip, frame, det, box, conf, rank) of the boxes kept; df has clip, frame, det (place in the frame), box and conf."""
-    cols = ["clip", "frame", "det", *SIDES, "conf"]
+def suppress(df: DataFrame, threshold: float = 0.6, kind: str = "hard", sigma: float = 0.5, least: float = 0.001) -> DataFrame:
+    """(clip, frame, det, box, conf, rank) of the boxes kept; df has clip, frame, det (place in the frame), box and conf.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, f in pdf.sort_values(["clip", "frame", "det"]).groupby(["clip", "frame"], sort=False):
-            b, s = f[SIDES].to_numpy(float), f["conf"].to_numpy(float)
-            kept = hard(b, s, threshold) if kind == "hard" else soft(b, s, threshold, sigma, least)
-            out.append(f.iloc[kept].assign(rank=range(len(kept))))
-        return pd.concat(out)[[*cols, "rank"]]
+    With a column ``scale`` boxes are known by scale and det, in that order, and both are returned.
+    """
+    cols = ["clip", "frame", *(["scale"] if "scale" in df.columns else []), "det", *SIDES, "conf"]
 
-    rows = df.select(*cols).withColumn("_cell", F.pmod(F.xxhash64("clip", "frame"), F.lit(cells)))
-    schema = "clip string, frame long, det long, x1 double, y1 double, x2 double, y2 double, conf double, rank int"
-    return rows.groupBy("_cell").applyInPandas(lambda pdf: run(pdf.drop(columns="_cell")), schema)
+    def kept(f: Frame) -> Frame:
+        b, s = np.stack([f[c] for c in SIDES], axis=1).astype(float), f["conf"].astype(float)
+        at = hard(b, s, threshold) if kind == "hard" else soft(b, s, threshold, sigma, least)
+        return {c: f[c][at] for c in cols} | {"rank": np.arange(len(at), dtype=np.int32)}
+
+    types = {"clip": "string", "frame": "long", "scale": "int", "det": "long"}
+    rows = df.select(*[F.col(c).cast(types.get(c, "double")).alias(c) for c in cols])
+    return by_frame(rows, cols[2 : cols.index("det") + 1], kept, ", ".join(f"{c} {types.get(c, 'double')}" for c in cols) + ", rank int")
 
 
 def union_of_scales(scales: list[DataFrame], threshold: float = 0.6) -> DataFrame:
-    """Boxes of several detector scales in one set; a single scale passes as it is."""
-    if len(scales) == 1:
-        return scales[0]
-    every = scales[0].withColumn("scale", F.lit(0))
-    for i, s in enumerate(scales[1:], 1):
-        every = every.unionByName(s.withColumn("scale", F.lit(i)))
-    return suppress(every.withColumn("det", F.col("scale") * 1_000_000 + F.col("det")).drop("scale"), threshold)
+    """Boxes of several detector scales in one set, with ``scale``; a single scale passes as it is."""
+    every = None
+    for i, s in enumerate(scales):
+        s = s.withColumn("scale", F.lit(i))
+        every = s if every is None else every.unionByName(s)
+    return every if len(scales) == 1 else suppress(every, threshold)

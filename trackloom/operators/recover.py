@@ -20,9 +20,10 @@ def missing(df: DataFrame, frames: DataFrame, drop: int = 1, window: int = 30, l
     known = df.where(F.col("tid") > 0)
     enough = known.groupBy("clip", "tid").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_history)
     known = known.join(enough, ["clip", "tid"], "left_semi")
-    # Each row speaks for the frames after it; a frame is asked for at most ``lookback`` rows of a track.
-    past = known.select("clip", "tid", F.col("frame").alias("f"), *g.BOX, F.explode(F.sequence(F.col("frame") + 1, F.col("frame") + lookback)).alias("frame"))
-    past = past.join(dens, ["clip", "frame"]).join(df.select("clip", "frame", "tid"), ["clip", "frame", "tid"], "left_anti")
+    # Thin frames, which are few, ask for the rows of the frames before them; boxes are not repeated for frames that don't.
+    asked = dens.select("clip", "frame", F.explode(F.sequence(F.col("frame") - lookback, F.col("frame") - 1)).alias("f"))
+    past = known.select("clip", "tid", F.col("frame").alias("f"), *g.BOX).join(asked, ["clip", "f"])
+    past = past.join(df.select("clip", "frame", "tid"), ["clip", "frame", "tid"], "left_anti")
     w = Window.partitionBy("clip", "frame", "tid").orderBy(F.col("f").desc())
     past = past.withColumn("_r", F.row_number().over(w)).where("_r <= 5")
     fit = past.groupBy("clip", "frame", "tid").agg(F.count("*").alias("k"), F.max_by(F.struct(*g.BOX), "f").alias("last"), *[(F.regr_slope(c, "f") * F.col("frame") + F.regr_intercept(c, "f")).alias(c) for c in g.BOX])

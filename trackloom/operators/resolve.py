@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as g
 from trackloom.operators import candidates, ordered
+from trackloom.sources.store import stored
 
 MAPPING = "clip string, tid long, new_tid long, seq int"
 
@@ -155,13 +156,14 @@ def merge_ids(df: DataFrame, **knobs) -> DataFrame:
 def merge_overlapping(df: DataFrame, iou: float = 0.7, min_frames: int = 5) -> DataFrame:
     """Tracks that lie on one another for some frames become one: the best pair each round, higher confidence in common frames, smaller id.
 
-    Only tracks that some pair links go to the grouped step; all others pass by.
+    Only tracks that some pair links go to the grouped step, with the pairs that Spark has found; all others pass by.
+    Pairs of tracks that have not merged are never tried again.
     """
-    pairs = candidates.overlap_pairs(df, iou, min_frames)
+    pairs = stored(candidates.overlap_pairs(df, iou, min_frames), "overlap-pairs")
     linked = pairs.select("clip", F.explode(F.array("a_tid", "b_tid")).alias("tid")).distinct()
     mine = df.select("clip", "frame", "tid", *ordered.VALUES)
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+    def decide(pdf: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
         clip, rows = pdf["clip"].iloc[0], {}
         for f, t, *v in pdf[["frame", "tid", *ordered.VALUES]].itertuples(index=False):
             rows.setdefault(t, {})[f] = v
@@ -174,7 +176,8 @@ def merge_overlapping(df: DataFrame, iou: float = 0.7, min_frames: int = 5) -> D
             m = sum(one_iou(rows[a][f], rows[b][f]) for f in common) / len(common)
             return m if m >= iou else None
 
-        found = {(a, b): m for i, a in enumerate(order) for b in order[i + 1 :] if (m := overlap(a, b)) is not None}
+        place = {t: i for i, t in enumerate(order)}
+        found = {tuple(sorted((a, b), key=place.__getitem__)): m for a, b, m in zip(given["a_tid"], given["b_tid"], given["mean_iou"], strict=True)}
         while found:
             at = {t: i for i, t in enumerate(order)}
             a, b = min(found, key=lambda p: (-found[p], at[p[0]], at[p[1]]))
@@ -190,20 +193,21 @@ def merge_overlapping(df: DataFrame, iou: float = 0.7, min_frames: int = 5) -> D
         out = [(clip, f, t, *v) for t, x in rows.items() for f, v in x.items()]
         return pd.DataFrame(out, columns=["clip", "frame", "tid", *ordered.VALUES])
 
-    done = mine.join(linked, ["clip", "tid"], "left_semi").select("clip", "frame", "tid", *ordered.VALUES).groupBy("clip").applyInPandas(decide, "clip string, frame long, tid long, x1 double, y1 double, x2 double, y2 double, conf double")
+    own = mine.join(linked, ["clip", "tid"], "left_semi").select("clip", "frame", "tid", *ordered.VALUES)
+    done = own.groupBy("clip").cogroup(pairs.groupBy("clip")).applyInPandas(decide, "clip string, frame long, tid long, x1 double, y1 double, x2 double, y2 double, conf double")
     return mine.join(linked, ["clip", "tid"], "left_anti").select(*done.columns).unionByName(done)
 
 
 def stitch_log(df: DataFrame, max_gap: int = 400, max_jump: float = 2000.0, max_ratio: float = 4.0, window: int = 5, cap: float = 200.0) -> DataFrame:
     """Every candidate pair with ``stitched`` and, where a tail or head was taken, ``skipped`` = conflict.
 
-    Pairs that pass both gates are accepted by position error, smallest first; a track is tail once and head once.
+    Pairs that pass both gates are accepted by position error (to six places, then by ids), smallest first; a track is tail once and head once.
     """
     c = candidates.stitch_candidates(ordered.endpoints(df, window=window), max_gap, max_jump, max_ratio, cap)
     c = c.select(F.col("a_clip").alias("clip"), F.col("a_tid").alias("a"), F.col("b_tid").alias("b"), "gap", "px", "py", "pos_diff", "w_ratio", "h_ratio", "size_ok", "pos_ok")
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pos_diff", "a", "b"], kind="stable")
+        pdf = pdf.assign(_place=pdf["pos_diff"].round(6)).sort_values(["_place", "a", "b"], kind="stable").drop(columns="_place")
         tails, heads, stitched, skipped = set(), set(), [], []
         for a, b, ok in zip(pdf["a"], pdf["b"], pdf["size_ok"] & pdf["pos_ok"], strict=True):
             free = ok and a not in tails and b not in heads
@@ -218,18 +222,21 @@ def stitch_log(df: DataFrame, max_gap: int = 400, max_jump: float = 2000.0, max_
 
 
 def stitch_components(log: DataFrame) -> DataFrame:
-    """(clip, tid, new_tid): chains of accepted pairs take their smallest id, found by passing minima along the links until none changes."""
+    """(clip, tid, new_tid): chains of accepted pairs take their smallest id."""
     links = log.where("stitched").select("clip", F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("l")).select("clip", "l.u", "l.v")
 
     def least(pdf: pd.DataFrame) -> pd.DataFrame:
-        label = {u: u for u in pdf["u"]}
-        changed = True
-        while changed:
-            changed = False
-            for u, v in zip(pdf["u"], pdf["v"], strict=True):
-                if label[v] < label[u]:
-                    label[u], changed = label[v], True
-        return pd.DataFrame({"clip": pdf["clip"].iloc[0], "tid": list(label), "new_tid": list(label.values())})
+        parent = {int(u): int(u) for u in pdf["u"]}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for u, v in zip(pdf["u"], pdf["v"], strict=True):
+            u, v = root(u), root(v)
+            parent[max(u, v)] = min(u, v)
+        return pd.DataFrame({"clip": pdf["clip"].iloc[0], "tid": list(parent), "new_tid": [root(x) for x in parent]})
 
     return links.groupBy("clip").applyInPandas(least, "clip string, tid long, new_tid long")
 

@@ -37,7 +37,7 @@ raw AS (
 det AS (
   SELECT clip, frame, tid, cx - w / 2 AS x1, cy - h / 2 AS y1, cx + w / 2 AS x2, cy + h / 2 AS y2, conf
   FROM raw QUALIFY row_number() OVER (PARTITION BY clip, tid, frame ORDER BY conf DESC, event_id) = 1),
-frames AS (SELECT clip, CAST(f AS BIGINT) AS frame FROM (SELECT DISTINCT clip FROM raw), range(0, 720) t(f))
+frames AS (SELECT clip, CAST(unnest(range(0, (SELECT max(frame) + 1 FROM raw))) AS BIGINT) AS frame FROM (SELECT DISTINCT clip FROM raw))
 """
 SEG = """
 seg AS (
@@ -356,13 +356,17 @@ def overlap_pairs(spark, d):
 
 
 @query(
-    "SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.e, b.e) / ((sqrt(list_dot_product(a.e, a.e)) + 1e-9) * (sqrt(list_dot_product(b.e, b.e)) + 1e-9)), 6) AS cos FROM v a JOIN v b ON a.label = b.label AND a.vec_id // 50 = b.vec_id // 50 AND a.vec_id < b.vec_id",
+    """SELECT a, arg_min(b, (-cos, b)) AS b, max(cos) AS cos, count(*) AS compared FROM (
+  SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.e, b.e) / ((sqrt(list_dot_product(a.e, a.e)) + 1e-9) * (sqrt(list_dot_product(b.e, b.e)) + 1e-9)), 6) AS cos
+  FROM v a JOIN v b ON a.label = b.label AND a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) GROUP BY a""",
     "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)",
 )
 def cosine_pairs(spark, d):
-    v = tables.table(spark, d, "embeddings").withColumn("k", F.floor(F.col("vec_id") / 50))
-    a, b = v.select("label", "k", F.col("vec_id").alias("a"), F.col("embedding").alias("ea")), v.select("label", "k", F.col("vec_id").alias("b"), F.col("embedding").alias("eb"))
-    return a.join(b, ["label", "k"]).where("a < b").select("a", "b", g.cosine(F.col("ea"), F.col("eb")).alias("cos"))
+    """A search: every twentieth id is a query against all vectors of its label; the nearest one (cosine to six places, then the least id)."""
+    v = tables.table(spark, d, "embeddings")
+    a, b = v.where("vec_id % 20 = 0").select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("ea")), v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("eb"))
+    c = a.join(b, "label").where("a <> b").select("a", "b", F.round(g.cosine(F.col("ea"), F.col("eb")), 6).alias("cos"))
+    return c.groupBy("a").agg(F.min_by("b", F.struct(-F.col("cos"), "b")).alias("b"), F.max("cos").alias("cos"), F.count("*").alias("compared"))
 
 
 @query(
@@ -401,12 +405,38 @@ def overlap_merge(spark, d):
     return resolve.merge_overlapping(det(spark, d), 0.1, 3)
 
 
-@query()
+STITCH = """
+cand AS (
+  SELECT clip, a, b, gap, px, py, round(sqrt((px - hx) ** 2 + (py - hy) ** 2), 6) AS pos_diff, wr, hr, wr <= 1.4 AND hr <= 1.4 AS size_ok, sqrt((px - hx) ** 2 + (py - hy) ** 2) <= 80 AS pos_ok FROM (
+    SELECT *, (tx1 + tx2) / 2 + vx * st * sc AS px, (ty1 + ty2) / 2 + vy * st * sc AS py FROM (
+      SELECT *, CASE WHEN sqrt((vx * st) ** 2 + (vy * st) ** 2) > 200 THEN 200 / sqrt((vx * st) ** 2 + (vy * st) ** 2) ELSE 1 END AS sc FROM (
+        SELECT a.clip AS clip, a.tid AS a, b.tid AS b, b.f0 - a.f1 - 1 AS gap, b.f0 - a.f1 AS st, vx, vy, a.tx1, a.tx2, a.ty1, a.ty2, (b.hx1 + b.hx2) / 2 AS hx, (b.hy1 + b.hy2) / 2 AS hy,
+          greatest(a.tx2 - a.tx1, b.hx2 - b.hx1) / greatest(least(a.tx2 - a.tx1, b.hx2 - b.hx1), 1) AS wr, greatest(a.ty2 - a.ty1, b.hy2 - b.hy1) / greatest(least(a.ty2 - a.ty1, b.hy2 - b.hy1), 1) AS hr
+        FROM (SELECT * FROM ends JOIN speed USING (clip, tid)) a JOIN ends b ON a.clip = b.clip AND a.tid <> b.tid AND b.f0 - a.f1 - 1 BETWEEN 0 AND 30)))),
+best_first AS (SELECT clip, list([{'a': a, 'b': b}] ORDER BY pos_diff, a, b) AS l FROM cand WHERE size_ok AND pos_ok GROUP BY clip),
+links AS (
+  SELECT clip, l.a AS a, l.b AS b FROM (
+    SELECT clip, unnest(list_reduce(l, lambda taken, x: CASE WHEN len(list_filter(taken, lambda k: k.a = x[1].a OR k.b = x[1].b)) > 0 THEN taken ELSE taken || x END)) AS l FROM best_first))
+"""
+
+
+@query(
+    """SELECT clip, a, b, gap, round(px, 6) AS px, round(py, 6) AS py, pos_diff, round(wr, 6) AS w_ratio, round(hr, 6) AS h_ratio, size_ok, pos_ok, l.a IS NOT NULL AS stitched,
+  CASE WHEN size_ok AND pos_ok AND l.a IS NULL THEN 'conflict' END AS skipped FROM cand LEFT JOIN links l USING (clip, a, b)""",
+    f"{DET}, {SEG}, {ENDS}, {STITCH}",
+)
 def stitch_log(spark, d):
     return resolve.stitch_log(segments(spark, d), 30, 80, 1.4)
 
 
-@query()
+@query(
+    f"SELECT {ROW} FROM (SELECT s.clip, s.frame, coalesce(new_tid, s.tid) AS tid, s.tid AS was, x1, y1, x2, y2, conf FROM sid s LEFT JOIN named USING (clip, tid)) QUALIFY row_number() OVER (PARTITION BY clip, tid, frame ORDER BY conf DESC, was) = 1",
+    f"""RECURSIVE {DET}, {SEG}, {ENDS}, {STITCH},
+chain AS (
+  SELECT clip, a AS start, a AS tid FROM links l WHERE NOT EXISTS (SELECT 1 FROM links k WHERE k.clip = l.clip AND k.b = l.a)
+  UNION ALL SELECT c.clip, c.start, l.b FROM chain c JOIN links l ON l.clip = c.clip AND l.a = c.tid),
+named AS (SELECT clip, tid, min(tid) OVER (PARTITION BY clip, start) AS new_tid FROM chain)""",
+)
 def stitch_tracks(spark, d):
     return resolve.stitch(segments(spark, d), max_gap=30, max_jump=80, max_ratio=1.4)
 
@@ -450,17 +480,55 @@ def _frame_boxes(spark: SparkSession, d: str) -> DataFrame:
     return r.select("clip", F.floor(F.col("frame") / 24).alias("frame"), F.col("event_id").alias("det"), *g.BOX, "conf")
 
 
-@query()
+CROWDED = """
+crowd AS (SELECT clip, CAST(floor(frame / 24) AS BIGINT) AS frame, event_id AS det, cx - w / 2 AS x1, cy - h / 2 AS y1, cx + w / 2 AS x2, cy + h / 2 AS y2, conf FROM raw)"""
+_BOX = "'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'conf': conf"
+_KEPT = "e.x1 AS x1, e.y1 AS y1, e.x2 AS x2, e.y2 AS y2, round(e.conf, 6) AS conf, CAST(i - 1 AS INTEGER) AS rank"
+
+
+def _numbered(kept: str) -> str:
+    return f"(SELECT clip, frame, unnest(k) AS e, unnest(range(1, len(k) + 1)) AS i FROM {kept})"
+
+
+def hard_sql(lists: str, threshold: float) -> str:
+    """Kept boxes of lists in order of choice: one joins unless a kept one covers it."""
+    covered = f"len(list_filter(kept, lambda k: {iou_sql(prefixed('k.'), prefixed('x[1].'))} > {threshold})) > 0"
+    return f"(SELECT clip, frame, list_reduce(l, lambda kept, x: CASE WHEN {covered} THEN kept ELSE kept || x END) AS k FROM {lists})"
+
+
+@query(
+    f"SELECT clip, frame, e.det AS det, {_KEPT} FROM {_numbered(hard_sql('lists', 0.6))}",
+    f"{DET}, {CROWDED}, lists AS (SELECT clip, frame, list([{{'det': det, {_BOX}}}] ORDER BY conf DESC, det) AS l FROM crowd GROUP BY clip, frame)",
+)
 def nms_hard(spark, d):
     return nms.suppress(_frame_boxes(spark, d), 0.6)
 
 
-@query()
+_OVER = iou_sql(prefixed("e."), prefixed("best."))
+
+
+@query(
+    f"SELECT clip, frame, e.det AS det, {_KEPT} FROM {_numbered('(SELECT clip, frame, st.kept AS k FROM done)')}",
+    f"""{DET}, {CROWDED},
+lists AS (SELECT clip, frame, list({{'det': det, {_BOX}, 's': conf}} ORDER BY det) AS l FROM crowd GROUP BY clip, frame),
+states AS (SELECT clip, frame, {{'rest': l, 'kept': l[1:0]}} AS s, len(l) AS n FROM lists),
+done AS (
+  SELECT clip, frame, list_reduce(list_transform(range(n + 1), lambda i: s), lambda st, x: CASE WHEN len(st.rest) = 0 THEN st ELSE
+    list_transform([list_reduce(st.rest, lambda p, q: CASE WHEN q.s > p.s THEN q ELSE p END)], lambda best: {{
+      'rest': list_filter(list_transform(list_filter(st.rest, lambda e: e.det <> best.det),
+        lambda e: {{'det': e.det, 'x1': e.x1, 'y1': e.y1, 'x2': e.x2, 'y2': e.y2, 'conf': e.conf, 's': CASE WHEN {_OVER} > 0.3 THEN e.s * exp(-({_OVER} ** 2) / 0.5) ELSE e.s END}}), lambda e: e.s > 0.001),
+      'kept': list_append(st.kept, best)}})[1] END) AS st FROM states)""",
+)
 def nms_soft(spark, d):
     return nms.suppress(_frame_boxes(spark, d), 0.3, "soft")
 
 
-@query()
+@query(
+    f"SELECT clip, frame, e.scale AS scale, e.det AS det, {_KEPT} FROM {_numbered(hard_sql('lists', 0.6))}",
+    f"""{DET}, {CROWDED},
+scales AS (SELECT *, 0 AS scale FROM crowd UNION ALL SELECT clip, frame, det, x1 + 1, y1, x2, y2, conf * 0.9, 1 FROM crowd),
+lists AS (SELECT clip, frame, list([{{'scale': scale, 'det': det, {_BOX}}}] ORDER BY conf DESC, scale, det) AS l FROM scales GROUP BY clip, frame)""",
+)
 def nms_two_scales(spark, d):
     b = _frame_boxes(spark, d)
     shrunk = b.select("clip", "frame", "det", (F.col("x1") + 1).alias("x1"), "y1", "x2", "y2", (F.col("conf") * 0.9).alias("conf"))
@@ -522,7 +590,21 @@ def set_diff(spark, d):
     return diff.missing_ids(x, _moved(x))
 
 
-@query()
+_ONTO = {p: iou_sql(prefixed(f"{p}."), prefixed("e.x.")) for p in ("p", "q")}
+_PAIR_ERR = "greatest(abs(m.a.x1 - m.b.x1), abs(m.a.y1 - m.b.y1), abs(m.a.x2 - m.b.x2), abs(m.a.y2 - m.b.y2))"
+
+
+@query(
+    f"""SELECT clip, frame, n_a, n_b, CAST(len(st.pairs) AS BIGINT) AS matched, round(list_max(list_transform(st.pairs, lambda m: {_PAIR_ERR})), 6) AS box_error,
+  round(list_max(list_transform(st.pairs, lambda m: abs(m.a.conf - m.b.conf))), 6) AS conf_error, CAST(len(list_filter(st.pairs, lambda m: m.a.tid <> m.b.tid)) AS BIGINT) AS id_mismatches FROM done""",
+    f"""{DET}, {MOVED},
+both_sides AS (SELECT clip, frame, true AS first, {{'tid': tid, {_BOX}}} AS x, conf, tid FROM det UNION ALL SELECT clip, frame, false, {{'tid': tid, {_BOX}}}, conf, tid FROM moved),
+sides AS (SELECT clip, frame, count(*) FILTER (WHERE first) AS n_a, count(*) FILTER (WHERE NOT first) AS n_b, list(x ORDER BY conf DESC, tid) FILTER (WHERE first) AS la, list(x ORDER BY tid) FILTER (WHERE NOT first) AS lb, any_value(x) AS one FROM both_sides GROUP BY clip, frame),
+done AS (
+  SELECT clip, frame, n_a, n_b, list_reduce([{{'x': one, 'free': coalesce(lb, [one][1:0]), 'pairs': [{{'a': one, 'b': one}}][1:0]}}] || list_transform(coalesce(la, [one][1:0]), lambda x: {{'x': x, 'free': [one][1:0], 'pairs': [{{'a': one, 'b': one}}][1:0]}}),
+    lambda st, e: CASE WHEN len(st.free) = 0 THEN st ELSE list_transform([list_reduce(st.free, lambda p, q: CASE WHEN {_ONTO["q"]} > {_ONTO["p"]} THEN q ELSE p END)], lambda p: CASE WHEN {_ONTO["p"]} >= 0.5
+      THEN {{'x': st.x, 'free': list_filter(st.free, lambda k: k.tid <> p.tid), 'pairs': list_append(st.pairs, {{'a': e.x, 'b': p}})}} ELSE st END)[1] END) AS st FROM sides)""",
+)
 def matched_diff(spark, d):
     x = det(spark, d)
     return diff.matched_diff(x, _moved(x))

@@ -9,8 +9,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Spark's own setting: shuffle files of a query go when it has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's own settings while a table is written: shuffle files of a query go when it has ended, and
+#: what goes to Python at once is bounded by bytes, not by rows of any length alone.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,19 +30,21 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def shuffle_files_removed(spark: SparkSession) -> Iterator[None]:
-    """Inside, each query that ends takes its shuffle files along, so a chain of tables needs the disk of its largest step."""
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+def writing(spark: SparkSession) -> Iterator[None]:
+    """Inside, ``WRITING`` holds, so a chain of tables needs the disk of its largest step."""
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
-    with shuffle_files_removed(df.sparkSession):
+    with writing(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

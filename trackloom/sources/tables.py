@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 #: Columns of the long detection table, in order.
 DETECTION_COLUMNS = ["clip", "frame", "tid", "x1", "y1", "x2", "y2", "conf"]
-HOURS = 720
 IDS_PER_CLIP = 16
 
 
@@ -48,6 +47,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(clip, frame) for every clip and hour, boxes or none."""
-    clips = raw_detections(spark, sf_dir).select("clip").distinct()
-    return clips.select("clip", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HOURS - 1).cast("long"))).alias("frame"))
+    """(clip, frame) for every clip and hour up to the last one of the table, boxes or none."""
+    raw = raw_detections(spark, sf_dir)
+    last = F.broadcast(raw.agg(F.max("frame").alias("last")))  # one row
+    return raw.select("clip").distinct().crossJoin(last).select("clip", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("frame"))
