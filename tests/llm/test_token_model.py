@@ -46,6 +46,7 @@ def test_perplexities_and_verdicts_by_force(spark, monkeypatch, rounds):
     monkeypatch.setattr(token_model, "ROUNDS", rounds)
     monkeypatch.setattr(token_model, "CHUNK", 500)
     monkeypatch.setattr(token_model, "HELD", 200)
+    monkeypatch.setattr(token_model, "TEXT_BYTES", 10_000 * rounds)
     path = queries.tokenizer_path()
     enc = encoder(path)
     rng = random.Random(4)

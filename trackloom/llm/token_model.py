@@ -9,7 +9,7 @@ the table of pairs grows with the trusted texts. A text begins after a start ite
 where m(c) is the number of items that c follows and m their sum. The logarithm of a text's
 probability is a sum of log p(c) + log back(b), from arrays of the size of the vocabulary, and of what a
 known pair has above its back-off, from the table. The distinct pairs of a run of texts are dealt into parts; a
-part streams past its slice of the table, and sums by text come back.
+part streams past its slice of the table, and sums by text come back. With much text a slice is sent to several tasks.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.store import stored
+from trackloom.llm.text import mixed
 from trackloom.llm.tokens import encoded, encoder
 
 CHUNK = 4 << 20
@@ -32,6 +33,8 @@ PART_ROWS = 4_000_000
 PARTS = 24
 #: Distinct pairs that a task adds up before it hands them on.
 HELD = 2_000_000
+#: Bytes of text for which a slice of the table is sent once; texts beyond meet another copy of it, in another task.
+TEXT_BYTES = 2 << 30
 #: Texts are scored in so many rounds, each of which reads the input again; shuffle files of one round go before the next.
 ROUNDS = 3
 
@@ -142,28 +145,25 @@ def model(counts: DataFrame, tokenizer: str) -> Model:
     return Model(table, int(len(histories) and table.count()), size, np.array([[0, *own[f]] for f in (0, 1)]), item, back, total)
 
 
-def dealt(b: np.ndarray, c: np.ndarray, parts: int) -> np.ndarray:
-    return (b * 40503 + c) % parts
-
-
-SENT = "part int, kind int, keys binary, runs binary, docs binary, k1 binary, k2 binary, s binary, n binary"
+SENT = "part int, salt int, kind int, keys binary, runs binary, docs binary, k1 binary, k2 binary, s binary, n binary"
 _NAMES = [x.split()[0] for x in SENT.split(", ")]
 
 
 def sent(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
+    types = [*[pa.int32()] * 3, *[pa.binary()] * 7]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=_NAMES)
 
 
 def sums(texts: DataFrame, m: Model, tokenizer: str) -> DataFrame:
     """(k1, k2, s, n): of texts (k1, k2, fold, text) the log2 of the probability and the number of items; copies of a key are added up in both."""
+    salts = 1 + (texts.agg(F.sum(F.octet_length("text"))).head()[0] or 0) // (ROUNDS * TEXT_BYTES)
     slices = max(PARTS, -(-m.rows // PART_ROWS))
     parts, width = 2 * slices, m.size + 2
     kind = np.uint32 if width**2 <= 1 << 32 else np.uint64
     table, m = m.table, Model(None, m.rows, m.size, m.discount, m.item, m.back, m.total)
 
     def slices_of(fold: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return fold * slices + dealt(b, c, slices)
+        return fold * slices + (mixed((b * width + c).astype(np.uint64)) % np.uint64(slices)).astype(np.int64)
 
     def model_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +171,9 @@ def sums(texts: DataFrame, m: Model, tokenizer: str) -> DataFrame:
             part, key, w = slices_of(fold, b, c), (b * width + c).astype(kind), m.above(fold, b, c, n).astype(np.float32)
             order = np.lexsort((key, part))
             ends = np.searchsorted(part[order], np.arange(parts + 1))
-            yield sent([(p, 0, key[x].tobytes(), w[x].tobytes(), b"", b"", b"", b"", b"") for p in range(parts) if len(x := order[ends[p] : ends[p + 1]])])
+            rows = [(p, key[x].tobytes(), w[x].tobytes()) for p in range(parts) if len(x := order[ends[p] : ends[p + 1]])]
+            for salt in range(salts):
+                yield sent([(p, salt, 0, k, v, b"", b"", b"", b"", b"") for p, k, v in rows])
 
     def text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -187,22 +189,23 @@ def sums(texts: DataFrame, m: Model, tokenizer: str) -> DataFrame:
                 fold, b, c, doc = fold[order], b[order], c[order], doc[order].astype(np.uint16 if last - first <= 1 << 16 else np.uint32)
                 part, key = slices_of(fold, b, c), (b * width + c).astype(kind)
                 ends = np.searchsorted(part, np.arange(parts + 1))
-                k1, k2 = (batch.column(i).to_numpy()[first:last].tobytes() for i in (0, 1))
-                rows = []
+                k1, k2 = (batch.column(i).to_numpy()[first:last] for i in (0, 1))
+                salt = int(k1[0] % salts)
+                k1, k2, rows = k1.tobytes(), k2.tobytes(), []
                 for p in range(parts):
                     k, d = key[ends[p] : ends[p + 1]], doc[ends[p] : ends[p + 1]]
                     new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
                     if len(k):
-                        rows.append((p, 1, k[new].tobytes(), np.diff(np.append(new, len(k))).astype(np.uint32).tobytes(), d.tobytes(), k1, k2, b"", b""))
-                yield sent([*rows, (0, 1, b"", b"", b"", k1, k2, local.tobytes(), n.astype(np.int64).tobytes())])
+                        rows.append((p, salt, 1, k[new].tobytes(), np.diff(np.append(new, len(k))).astype(np.uint32).tobytes(), d.tobytes(), k1, k2, b"", b""))
+                yield sent([*rows, (0, salt, 1, b"", b"", b"", k1, k2, local.tobytes(), n.astype(np.int64).tobytes())])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows by part, the table's before the texts'."""
-        part, slice_rows, known, w = -1, [], None, None
+        part, slice_rows, known, w = None, [], None, None
         for batch in batches:
             for r in batch.to_pylist():
-                if r["part"] != part:
-                    part, slice_rows, known = r["part"], [], None
+                if (r["part"], r["salt"]) != part:
+                    part, slice_rows, known = (r["part"], r["salt"]), [], None
                 if not r["kind"]:
                     slice_rows.append((np.frombuffer(r["keys"], kind), np.frombuffer(r["runs"], np.float32)))
                     continue
@@ -228,7 +231,7 @@ def sums(texts: DataFrame, m: Model, tokenizer: str) -> DataFrame:
     out = None
     for r in range(ROUNDS):
         some = texts.where(F.pmod(F.xxhash64(F.lit(23), "k1", "k2"), F.lit(ROUNDS)) == r).select("k1", "k2", "fold", "text")
-        met = pairs_sent.unionByName(some.mapInArrow(text_rows, SENT)).repartition("part").sortWithinPartitions("part", "kind").mapInArrow(meet, "k1 long, k2 long, s double, n long")
+        met = pairs_sent.unionByName(some.mapInArrow(text_rows, SENT)).repartition("part", "salt").sortWithinPartitions("part", "salt", "kind").mapInArrow(meet, "k1 long, k2 long, s double, n long")
         part = stored(met.groupBy("k1", "k2").agg(F.sum("s").alias("s"), F.sum("n").alias("n")), "quality-sums")
         out = part if out is None else out.unionByName(part)
     return out

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.store import new_path, shuffle_files_removed
+from trackloom.llm.store import new_path, writing
 from trackloom.llm.text import runs_of
 
 SAMPLE = 64
@@ -265,7 +265,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
             yield shard()
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
-    with shuffle_files_removed(docs.sparkSession):
+    with writing(docs.sparkSession):
         rows.repartitionByRange("k").sortWithinPartitions("k", "t").mapInArrow(encode, SCHEMA).write.parquet(path)
 
 
