@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 def in_pieces(members: DataFrame, group: list[str], member: str, rows: int, weight: str | None = None, most: int | None = None) -> DataFrame:
-    """``members`` with ``piece`` (long, one for each group or pair of blocks), ``side`` (0 first block, 1 second, 2 the only one) and ``cell``.
+    """``members`` with ``i`` and ``j`` (the pair of blocks of its group), ``piece`` (a hash of group and pair), ``side`` (0 first block, 1 second, 2 the only one) and ``cell``.
 
     ``weight`` and ``most`` bound the sum of a block's weights besides its rows.
     """
@@ -22,7 +22,8 @@ def in_pieces(members: DataFrame, group: list[str], member: str, rows: int, weig
     m = members.join(sizes.withColumn("_blocks", blocks), group)
     m = m.withColumn("_own", F.pmod(F.xxhash64(F.lit(11), member), "_blocks"))
     pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks").cast("bigint") - 1), lambda o: F.struct(F.least("_own", o).alias("i"), F.greatest("_own", o).alias("j"), F.when(o == F.col("_own"), 2).when(F.col("_own") < o, 0).otherwise(1).alias("side")))
-    m = m.withColumn("_p", F.explode(pairs)).withColumn("piece", F.xxhash64(*group, "_p.i", "_p.j")).withColumn("side", F.col("_p.side"))
+    m = m.withColumn("_p", F.explode(pairs))
+    m = m.withColumns({"i": F.col("_p.i"), "j": F.col("_p.j"), "side": F.col("_p.side"), "piece": F.xxhash64(*group, "_p.i", "_p.j")})
     return m.drop("_own", "_p", "_w")
 
 

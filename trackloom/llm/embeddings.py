@@ -94,16 +94,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, miss: float = 0.00
     hashes = nodes.select("node", "cnt", "label", "vec").mapInArrow(hashed, "node long, cnt long, label string, vec binary, sig array<long>")
     hashes = stored(hashes, "vec-hashes")
     members = hashes.select("*", F.length("vec").alias("dim"), F.posexplode("sig").alias("t", "s")).withColumn("bucket", F.xxhash64("label", "dim", "t", "s"))
-    members = members.select("bucket", "t", "label", "node", "cnt", "vec", "sig")
-    pieces = stored(in_pieces(members, ["bucket"], "node", BLOCK_ROWS).select("piece", "side", "_blocks", "_n", "t", "label", "node", "cnt", "vec", "sig"), "vec-pieces")
+    members = members.select("bucket", "t", "dim", "label", "node", "cnt", "vec", "sig")
+    pieces = in_pieces(members, ["bucket"], "node", BLOCK_ROWS)
+    pieces = stored(pieces.select("piece", "bucket", "i", "j", "dim", "side", "_blocks", "_n", "t", "label", "node", "cnt", "vec", "sig"), "vec-pieces")
 
     def linked(cell: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, g in cell.groupby("piece", sort=False):
+        for _, g in cell.groupby(["bucket", "t", "dim", "i", "j"], sort=False):
             both = len(set(g["side"])) > 1
             a = g[g["side"] == 0] if both else g
             b = g[g["side"] == 1] if both else g
-            if not both and (len(g) < 2 or g["side"].iloc[0] != 2):
+            if not both and (len(g) < 2 or g["side"].iloc[0] != 2):  # one of the two blocks has no members
                 continue
             t = int(g["t"].iloc[0])
             x, y = unit(list(a["vec"])), unit(list(b["vec"]))

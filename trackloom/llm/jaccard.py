@@ -78,7 +78,9 @@ def minhash(sh: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def own_key():
-    return F.xxhash64(F.lit(7), F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("u")
+    """Identity of a row: its id and a hash of id and text, so that rows of different ids never share it."""
+    i = F.col("doc_id").cast("long")
+    return F.struct(F.coalesce(i, F.lit(-(2**63))).alias("i"), F.xxhash64(F.lit(7), i, F.col("text").cast("string")).alias("h")).alias("u")
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -95,7 +97,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[b.column(i).slice(first, last - first) for i in (0, 1)], pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n), pa.array(sig, pa.binary())], names=["u", "doc_id", "k1", "k2", "n", "sig"])
 
     rows = docs.select(own_key(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "u long, doc_id long, k1 long, k2 long, n long, sig binary")
+    return rows.mapInArrow(run, "u struct<i: long, h: long>, doc_id long, k1 long, k2 long, n long, sig binary")
 
 
 def with_shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -173,9 +175,9 @@ def verified(i: np.ndarray, j: np.ndarray, a: list[np.ndarray], b: list[np.ndarr
 
 def links_in(cell: pd.DataFrame) -> pd.DataFrame:
     out = []
-    for _, g in cell.groupby("piece", sort=False):
+    for _, g in cell.groupby(["grp", "i", "j"], sort=False):
         sides = set(g["side"])
-        if sides not in ({2}, {0, 1}) or len(g) < 2:
+        if sides not in ({2}, {0, 1}) or len(g) < 2:  # one of the two blocks has no members
             continue
         parts = [g] if sides == {2} else [g[g["side"] == 0], g[g["side"] == 1]]
         sig = [np.frombuffer(b"".join(p["sig"]), np.uint32).reshape(len(p), HASHES) for p in parts]
@@ -207,7 +209,7 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     wanted = classes.join(groups, "node").select(F.col("rep.u").alias("u"), "node", "k1", "k2", "cnt", "n", "sig", F.col("component").alias("grp"))
     wanted = wanted.join(own.where("copies > 1").select("u", "copies"), "u", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     members = with_shingles(docs, wanted)
-    pieces = in_pieces(members, ["grp"], "node", BLOCK_ROWS, "n", BLOCK_SHINGLES).select("piece", "side", "_blocks", "_n", "node", "cnt", "sig", "sh")
+    pieces = in_pieces(members, ["grp"], "node", BLOCK_ROWS, "n", BLOCK_SHINGLES).select("piece", "grp", "i", "j", "side", "_blocks", "_n", "node", "cnt", "sig", "sh")
     pieces = stored(pieces, "jaccard-pieces")
     links = stored(to_cells(pieces, 2 * BLOCK_ROWS).groupBy("cell").applyInPandas(links_in, "node long, links long, root long"), "jaccard-links")
     found = links.groupBy("node").agg(F.sum("links").alias("links"))

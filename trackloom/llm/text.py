@@ -76,7 +76,10 @@ def runs_of(ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of all words in order, and how many words each row has."""
+    """Fingerprints of all words in order, and how many words each row has.
+
+    A word's is a sum of hashes of every byte with its place, so no pattern of letters cancels.
+    """
     n = len(data)
     rows = len(offsets) - 1
     if not n:
@@ -89,22 +92,23 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends = is_word.copy()
     ends[:-1] &= ~is_word[1:] | edge[1:n]
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    p, q = powers(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * p, out=total[1:])
-    found = mixed((total[e] - total[s]) * q[s])
+    sizes = e - s
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    parts = mixed(_LOWER[data[is_word]].astype(np.uint64) | (place.astype(np.uint64) << np.uint64(8)))
+    found = mixed(np.add.reduceat(parts, first)) if len(s) else np.zeros(0, np.uint64)
     return found, np.diff(np.searchsorted(s, offsets))
 
 
 def sequence_keys(found: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit fingerprints of each row's sequence of words."""
+    """Two independent 64-bit fingerprints of each row's sequence of words: sums of hashes of every word with its place."""
     ends = np.concatenate([[0], np.cumsum(counts)])
-    p, q = powers(len(found) + 1)
+    place = (np.arange(len(found)) - np.repeat(ends[:-1], counts)).astype(np.uint64)
     keys = []
     for salt in (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)):
         total = np.zeros(len(found) + 1, np.uint64)
-        np.cumsum(mixed(found ^ salt) * p[: len(found)], out=total[1:])
-        keys.append(mixed((total[ends[1:]] - total[ends[:-1]]) * q[ends[:-1]] + counts.astype(np.uint64)))
+        np.cumsum(mixed(mixed(found ^ salt) + place * BASE), out=total[1:])
+        keys.append(mixed(total[ends[1:]] - total[ends[:-1]] + counts.astype(np.uint64)))
     return keys[0], keys[1]
 
 
