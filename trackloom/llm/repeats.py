@@ -17,7 +17,7 @@ take the place of the order:
 Every step sends a fingerprint for each string to the task of its hash. Fingerprints that repeat
 within a batch are settled there and one of them is sent on, so a passage that a third of all
 documents share costs each task a row, not one task all of them. Steps 2 and 4, which decide, use
-128 bits.
+128 bits, of two kinds.
 
 Defined cases: a null text is empty; a text of fewer than 200 bytes loses nothing; rows that repeat
 an id (or have none) are told apart by id and text, and equal rows are each other's copies.
@@ -44,22 +44,56 @@ CORE = LENGTH - SPREAD + 1
 BLOCK = 8
 
 
+#: Primes below 2**31 and bases of the second fingerprint; products stay below 2**62.
+PRIMES = (2_147_483_647, 2_147_483_629)
+BASES = (1_103_515_245, 1_692_667_351)
+_residues: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+
+def residue_powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each prime: base**k and its inverse modulo the prime, for k below n at least."""
+    if not _residues or len(_residues[0][0][0]) < n:
+        size, both = max(n, 1 << 16), []
+        for prime, base in zip(PRIMES, BASES, strict=True):
+            pair = []
+            for x in (base, pow(base, -1, prime)):
+                p = np.ones(1, np.uint64)
+                while len(p) < size:  # doubles: the next half is the half before times a power
+                    p = np.concatenate([p, p * np.uint64(pow(x, len(p), prime)) % np.uint64(prime)])
+                pair.append(p[:size])
+            both.append((pair[0], pair[1]))
+        _residues[0] = both
+    return _residues[0]
+
+
 class Hashes:
-    """Fingerprints of all substrings of a byte array."""
+    """Fingerprints of all substrings of a byte array.
 
-    def __init__(self, data: np.ndarray):
+    The first is a polynomial modulo 2**64. The second is of another kind, polynomials modulo two primes,
+    because regular patterns can cancel many bits of the first.
+    """
+
+    def __init__(self, data: np.ndarray, second: bool = True):
         n = len(data)
         p, self.q = powers(n + 1)
-        self.sums = []
-        for salt in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)):
-            table = mixed(np.arange(1, 257, dtype=np.uint64) * salt)
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(table[data] * p[:n], out=total[1:])
-            self.sums.append(total)
-
-    def of(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-        total = self.sums[which]
-        return mixed((total[end] - total[start]) * self.q[start] + (end - start).astype(np.uint64))
+        table = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.sum = np.zeros(n + 1, np.uint64)
+        np.cumsum(table[data] * p[:n], out=self.sum[1:])
+        self.residues = []
+        if second:
+            table = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(34)
+            letters = table[data]
+            for (power, inverse), prime in zip(residue_powers(n + 1), PRIMES, strict=True):
+                total = np.zeros(n + 1, np.uint64)
+                np.cumsum(letters * power[:n] % np.uint64(prime), out=total[1:])
+                self.residues.append((total, inverse, np.uint64(prime)))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.sum[end] - self.sum[start]) * self.q[start] + (end - start).astype(np.uint64))
+
+    def other(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        both = [(total[end] - total[start]) % prime * inverse[start] % prime for total, inverse, prime in self.residues]
+        return mixed((both[0] << np.uint64(32) | both[1]) + (end - start).astype(np.uint64))
 
 
 def phrases(h: Hashes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -154,7 +188,7 @@ def parsed(texts: DataFrame) -> DataFrame:
             return
         c = h.of(t, t + CORE)
         dk = part.column(0).to_numpy(zero_copy_only=False)[row]
-        cols = [c.view(np.int64), h.of(lo, hi + LENGTH).view(np.int64), h.of(lo, hi + LENGTH, 1).view(np.int64), settled(c), dk, lo - offsets[row], (hi - lo + 1).astype(np.int32), (t - lo).astype(np.int32)]
+        cols = [c.view(np.int64), h.of(lo, hi + LENGTH).view(np.int64), h.other(lo, hi + LENGTH).view(np.int64), settled(c), dk, lo - offsets[row], (hi - lo + 1).astype(np.int32), (t - lo).astype(np.int32)]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["c", "u1", "u2", "salt", "dk", "lo", "n", "t"])
 
     return mapped_texts(texts.select("dk", "text"), emit, "c long, u1 long, u2 long, salt long, dk long, lo long, n int, t int")
@@ -181,7 +215,7 @@ def block_rows(texts: DataFrame, unsure: DataFrame) -> DataFrame:
         start, end = trigger - BLOCK * b, trigger - BLOCK * b - BLOCK + 1 + LENGTH
         own_end = offsets[row[of] + 1]
         ok = end <= own_end  # the string is inside every window of the block, so inside the text
-        h = Hashes(data)
+        h = Hashes(data, second=False)
         start, end, of, b = start[ok], end[ok], of[ok], b[ok]
         k = h.of(start, end)
         first = np.maximum(t[of] - BLOCK * b - BLOCK + 1, 0)
@@ -203,7 +237,7 @@ def window_rows(texts: DataFrame, blocks: DataFrame) -> DataFrame:
         s = lo[of] + np.arange(len(of)) - (np.cumsum(n) - n)[of]
         at = offsets[row[of]] + s
         h = Hashes(data)
-        k1, k2 = h.of(at, at + LENGTH), h.of(at, at + LENGTH, 1)
+        k1, k2 = h.of(at, at + LENGTH), h.other(at, at + LENGTH)
         dk = part.column(0).to_numpy(zero_copy_only=False)[row[of]]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1.view(np.int64), k2.view(np.int64), settled(k1, k2), dk, s)], names=["k1", "k2", "salt", "dk", "lo"])
 
