@@ -2,18 +2,22 @@
 
 1. Test items are cut into windows of 13 words.
 2. Corpus frequencies of all test terms are counted (each task adds up before the shuffle).
-3. Every window is looked up by its rarest term. Postings (term, document, position, neighbouring
-   words) of these terms are stored; common terms never need a list of their own.
-4. Position minus the term's offset gives where a window would start; the second rarest term is
-   intersected at its own adjusted offset first, then the others, within the stored neighbourhood.
-
-Only DataFrame functions are used. A frequent term has long lists but they are never grouped:
-postings meet the windows of their term in a join that Spark broadcasts while the test set is small
-(``broadcast_terms`` checks it) and otherwise shuffles, splitting skewed terms.
-
-Defined cases: a null text has no words; an item of fewer than 13 words, but not none, is one
-window; an item without id counts for hits but is not listed; rows with equal id and text get equal
-results; an empty test set hits nothing.
+3. Every window is looked up by its two rarest terms. The index holds the postings (term, document,
+   position, neighbouring words) of these terms; common terms never need a list of their own.
+4. Position minus the term's offset tells where a window would start. The list of the second rarest term,
+   adjusted by its own offset, is intersected with that of the rarest; what both have is compared with
+   the other words of the window, in the neighbourhood that the posting holds.
+
+The texts are read twice, for frequencies and for the index, which also keeps the number of words of each
+document. Only DataFrame functions are used. A Bloom filter of fixed size keeps the words of texts
+that no test term can be from the joins, and neighbourhoods are cut before a join shuffles anything, so the
+plan is alike for test sets of any size. A frequent term has long lists but they are never grouped: they meet
+in joins, whose skewed keys Spark splits.
+
+Defined cases: a null text has no words; a text of any length is read whole; an item of fewer than 13
+words, but not none, is one window; an item without id counts for hits but is not listed; rows with equal id
+and text get equal results; documents that share an id stay apart; an empty test set hits nothing;
+documents at exactly the share are contaminated; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,11 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.filters import without
+from trackloom.llm.filters import flagged, without
 from trackloom.llm.store import stored
 
 WINDOW = 13
-#: At most so many test terms are broadcast (each takes about 100 bytes); beyond that joins shuffle.
+#: Up to so many test terms (about 100 bytes each), joins with them are by broadcast; beyond, Spark chooses.
 BROADCAST_TERMS = 500_000
 UPPER = "".join(map(chr, range(65, 91)))
 SEPARATORS = "".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
@@ -45,23 +49,26 @@ def windows(items: DataFrame, n: int = WINDOW) -> DataFrame:
     return w.groupBy("words").agg(F.collect_set("item_id").alias("items"))
 
 
-def sized_join(big: DataFrame, small: DataFrame, rows: int, on: str) -> DataFrame:
-    return big.join(F.broadcast(small) if rows <= BROADCAST_TERMS else small, on)
+def sized_join(big: DataFrame, small: DataFrame, rows: int, on: str | list[str], how: str = "inner") -> DataFrame:
+    return big.join(F.broadcast(small) if rows <= BROADCAST_TERMS else small, on, how)
+
+
+def row_key() -> Column:
+    """Identity of a row: its id and a hash of id and text, so that rows of different ids never share it."""
+    return F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("i"), F.xxhash64("doc_id", "text").alias("h"))
 
 
 def document_words(docs: DataFrame) -> DataFrame:
-    """dk (identity of a row by its id and text) and its words."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("dk"), words(F.col("text")).alias("ws"))
+    """doc_id, dk (identity of a row) and its words."""
+    return docs.select("doc_id", row_key().alias("dk"), words(F.col("text")).alias("ws"))
 
 
 def anchored(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> tuple[DataFrame, int]:
     """Windows with their two rarest terms (term, at; term2, at2; offsets from 0), and the number of test terms."""
     win = stored(windows(items, n), "decon-windows")
     vocabulary = stored(win.select(F.explode("words").alias("term")).distinct(), "decon-terms")
-    n_terms = vocabulary.count()
-    text = document_words(docs).select(F.explode("ws").alias("term"))
-    counts = sized_join(text, vocabulary, n_terms, "term").groupBy("term").agg(F.count("*").alias("freq")) if n_terms <= BROADCAST_TERMS else text.groupBy("term").agg(F.count("*").alias("freq")).join(vocabulary, "term")
-    counts = stored(counts, "decon-counts")
+    text = flagged(document_words(docs).select(F.explode("ws").alias("term")), "term", vocabulary).where("_maybe")
+    counts = stored(text.groupBy("term").agg(F.count("*").alias("freq")).join(vocabulary, "term"), "decon-counts")
     at = win.select("words", "items", F.posexplode("words").alias("at", "term")).join(counts, "term", "left")
     rank = F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "term", "at")
     ranked = at.groupBy("words").agg(F.first("items").alias("items"), F.slice(F.array_sort(F.collect_list(rank)), 1, 2).alias("r"))
@@ -69,24 +76,36 @@ def anchored(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> tuple[DataFr
     ranked = ranked.where(F.col("r")[0]["freq"] > 0)
     second = F.try_element_at("r", F.lit(2))
     out = ranked.select("words", "items", F.col("r")[0]["term"].alias("term"), F.col("r")[0]["at"].alias("at"), F.coalesce(second["term"], F.col("r")[0]["term"]).alias("term2"), F.coalesce(second["at"], F.col("r")[0]["at"]).alias("at2"))
-    return stored(out, "decon-anchored"), n_terms
+    return stored(out, "decon-anchored"), vocabulary.count()
+
 
+def indexed(docs: DataFrame, win: DataFrame, n_terms: int, reach: int) -> DataFrame:
+    """(doc_id, dk, term, pos, here, near): postings of the windows' terms; near are the words up to ``reach`` away, here the place of ``pos`` in them from 0.
 
-def postings(docs: DataFrame, terms: DataFrame, n_terms: int, reach: int) -> DataFrame:
-    """(term, dk, pos, here, near): near are the words up to ``reach`` away, here the place of ``pos`` in them from 0."""
+    A row without term for each document tells its number of words by ``pos``.
+    """
+    terms = win.select(F.explode(F.array("term", "term2")).alias("term")).distinct()
     low = F.greatest(F.col("pos") - reach, F.lit(0))
-    rows = document_words(docs).where(F.size("ws") > 0).select("dk", "ws", F.posexplode("ws").alias("pos", "term"))
-    rows = sized_join(rows, terms.select("term").distinct(), n_terms, "term")
-    return rows.select("term", "dk", "pos", (F.col("pos") - low).alias("here"), F.slice("ws", low + 1, F.col("pos") - low + reach + 1).alias("near"))
+    rows = document_words(docs).select("doc_id", "dk", "ws", F.posexplode(F.array_append("ws", F.lit(None).cast("string"))).alias("pos", "term"))
+    rows = flagged(rows, "term", terms).where("_maybe or term is null")
+    near = F.when(F.col("term").isNotNull(), F.slice("ws", low + 1, F.col("pos") - low + reach + 1))
+    rows = rows.select("doc_id", "dk", "term", "pos", (F.col("pos") - low).alias("here"), near.alias("near"))
+    marked = sized_join(rows, terms.select("term", F.lit(True).alias("_known")), n_terms, "term", "left")
+    return marked.where("_known or term is null").drop("_known")
+
+
+def postings(index: DataFrame, win: DataFrame, n_terms: int) -> DataFrame:
+    """Postings of the rarest terms with the windows they may belong to."""
+    return sized_join(index.where("term is not null").drop("doc_id"), win, n_terms, "term")
 
 
-def exact_matches(post: DataFrame, win: DataFrame, n_terms: int) -> DataFrame:
+def exact_matches(index: DataFrame, win: DataFrame, n_terms: int) -> DataFrame:
     """(dk, start, n, items) of every occurrence of every window."""
-    m = sized_join(post, win, n_terms, "term")
     first = F.col("here") - F.col("at")
+    m = postings(index, win, n_terms).where((first >= 0) & (first + F.size("words") <= F.size("near")))
+    second = index.where("term is not null").select("dk", F.col("term").alias("term2"), F.col("pos").alias("pos2"))
+    m = m.withColumn("pos2", F.col("pos") - F.col("at") + F.col("at2")).join(second, ["dk", "term2", "pos2"], "left_semi")
     from_one = F.greatest(first, F.lit(0)) + 1  # conditions may be evaluated in any order
-    m = m.where((first >= 0) & (first + F.size("words") <= F.size("near")))
-    m = m.where(F.try_element_at("near", (from_one + F.col("at2")).cast("int")) == F.col("term2"))
     m = m.where(F.slice("near", from_one, F.size("words")) == F.col("words"))
     return m.select("dk", (F.col("pos") - F.col("at")).alias("start"), F.size("words").alias("n"), "items")
 
@@ -94,18 +113,18 @@ def exact_matches(post: DataFrame, win: DataFrame, n_terms: int) -> DataFrame:
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, n: int = WINDOW) -> DataFrame:
     """(dk, pos, words, items): places of a window's rarest term with all its other terms at most n - 1 + slop words away, in any order."""
     win, n_terms = anchored(docs, items, n)
-    m = sized_join(postings(docs, win, n_terms, n - 1 + slop), win, n_terms, "term")
+    m = postings(indexed(docs, win, n_terms, n - 1 + slop), win, n_terms)
     return m.where(F.size(F.array_except("words", "near")) == 0).select("dk", "pos", "words", "items")
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: int = 20) -> DataFrame:
     """A row for each document: n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words)."""
     win, n_terms = anchored(docs, items, n)
-    index = stored(postings(docs, win, n_terms, n - 1), "decon-postings")
+    index = stored(indexed(docs, win, n_terms, n - 1), "decon-index")
     m = exact_matches(index, win, n_terms)
     covered = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "n")), lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1))))
     found = m.groupBy("dk").agg(F.size(covered).cast("long").alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("ids"))
-    every = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("dk"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long").alias("n_words"))
+    every = index.where("term is null").select("doc_id", "dk", F.col("pos").cast("long").alias("n_words"))
     out = every.join(found, "dk", "left")
     hit = F.coalesce("hit", F.lit(0)).cast("long")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
@@ -118,4 +137,4 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: int
 def decontaminated(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: int = 20) -> DataFrame:
     """The documents that are not contaminated, columns unchanged."""
     bad = stored(contamination(docs, items, n, share).where("contaminated").select(F.col("dk").alias("_dk")).distinct(), "decon-bad")
-    return without(docs, F.xxhash64("doc_id", "text"), bad)
+    return without(docs, row_key(), bad)
