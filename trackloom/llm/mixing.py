@@ -9,9 +9,13 @@ A source at ``e`` epochs takes every document ``floor(e)`` times, and once more
 first in a seeded order, up to its target. The order is a hash of id and text; the cut in it is
 found from sums over 4,096 ranges of the hash, made before the shuffle, so that a source holding a
 third of all rows never meets in one task; only the range where the cut falls is looked at row by row.
+Where documents are large against what a source takes, the words that are still missing at the cut are more than
+``NEAR`` of its target; then up to ``FILLS`` later documents of the size nearest to the gap are taken as well.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; rows
-that repeat in all columns are taken alike; no rows give no rows.
+that repeat in all columns are taken alike; ties of size go by the seeded order; a text of any length is taken
+whole or not at all, so a source without a fitting document ends beside its target; no rows give no rows;
+other columns may have any names.
 """
 
 from __future__ import annotations
@@ -25,6 +29,9 @@ WORD_RUN = r"[^\x20\x09-\x0D]+"
 RANGE_BITS = 12
 #: A plan of at most so many sources (about 100 bytes each) is broadcast; a larger one is joined by a shuffle that splits skewed sources.
 BROADCAST_SOURCES = 100_000
+#: Sources nearer to their target than this share are left as they are; for the others so many documents at most are sought.
+NEAR = 0.002
+FILLS = 6
 
 
 def word_count(text: Column) -> Column:
@@ -58,7 +65,7 @@ def sized(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def plan_mix(rows: DataFrame, max_epochs: float, weights: tuple[float, ...]) -> DataFrame:
-    """A row for each source: source, source_size, target, whole (repetitions of all its documents), cut (documents with ``h`` up to it are taken once more)."""
+    """A row for each source: source, source_size, target, whole (repetitions of all its documents), cut (documents with ``h`` up to it are taken once more) and more (places of others that are)."""
     bits = 64 - RANGE_BITS
     ranges = rows.groupBy("source", F.shiftright("h", bits).alias("r")).agg(F.sum("size").alias("n"))
     ranges = stored(ranges, "mix-ranges")
@@ -73,12 +80,41 @@ def plan_mix(rows: DataFrame, max_epochs: float, weights: tuple[float, ...]) ->
     at = at.select(ranges["source"], "r", (F.col("part") - F.col("before")).alias("left"))
     near = rows.withColumn("r", F.shiftright("h", bits)).alias("x").join(at.alias("a"), F.col("x.source").eqNullSafe(F.col("a.source")) & (F.col("x.r") == F.col("a.r")))
     upto = Window.partitionBy("x.source").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    near = near.withColumn("mid", F.coalesce(F.sum("size").over(upto), F.lit(0)) + F.col("size") / 2)
-    cuts = near.groupBy(F.col("x.source").alias("source"), F.col("a.r").alias("r")).agg(F.max(F.when(F.col("mid") <= F.col("left"), F.col("h"))).alias("h"))
+    near = near.withColumn("upto", F.coalesce(F.sum("size").over(upto), F.lit(0)) + F.col("size"))
+    over = F.min(F.when(F.col("upto") > F.col("left"), F.col("h")))  # rows that repeat share a place: all or none
+    near = near.withColumn("over", over.over(Window.partitionBy("x.source")))
+    cuts = near.groupBy(F.col("x.source").alias("source"), F.col("a.r").alias("r")).agg(F.max(F.when(F.col("h") < F.col("over"), F.col("h"))).alias("h"))
     lowest = F.shiftleft(F.col("r"), bits) - 1  # the last place of the range before; none before the first
     cuts = cuts.select("source", F.coalesce("h", F.when(F.col("r") > -(1 << (RANGE_BITS - 1)), lowest), F.lit(-(2**63))).alias("cut"))
     c = cuts.withColumnRenamed("source", "cut_source")
-    return s.join(c, s["source"].eqNullSafe(c["cut_source"]), "left").select("source", "source_size", "target", "whole", "part", "cut")
+    s = s.join(c, s["source"].eqNullSafe(c["cut_source"]), "left")
+    return filled(rows, stored(s.select("source", "source_size", "target", "whole", "part", "cut", F.array().cast("array<long>").alias("more")), "mix-cuts"))
+
+
+def filled(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``plan`` with ``more``: places after the cut of documents that bring the words taken nearer to the target.
+
+    Each turn looks for one document a source by a grouped minimum; sources that are near enough take no part.
+    """
+    for _ in range(FILLS):
+        open_ = plan.where((F.col("part") > 0) & F.col("cut").isNotNull())
+        p = open_.withColumnRenamed("source", "p_source").select("p_source", "target", "part", "cut", "more")
+        own = with_plan(rows, p, "p_source")
+        in_more = F.array_contains("more", F.col("h"))
+        taken = own.groupBy("source").agg(F.sum(F.when((F.col("h") <= F.col("cut")) | in_more, F.col("size")).otherwise(0)).alias("got"), F.first("part").alias("part"), F.first("target").alias("target"))
+        gaps = taken.select(F.col("source").alias("g_source"), (F.col("part") - F.col("got")).alias("gap"), "target").where(F.col("gap") > NEAR * F.col("target"))
+        gaps = stored(gaps.select("g_source", "gap"), "mix-gaps")
+        if not gaps.head(1):
+            break
+        p = p.join(gaps, p["p_source"].eqNullSafe(gaps["g_source"])).select("p_source", "cut", "more", "gap")
+        left = with_plan(rows, p, "p_source").where((F.col("h") > F.col("cut")) & ~in_more & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")))
+        best = left.groupBy(F.col("source").alias("b_source")).agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("d"), "h")).alias("b"))
+        best = stored(best.select("b_source", F.col("b.h").alias("b")), "mix-best")
+        if not best.head(1):
+            break
+        more = F.when(F.col("b").isNull(), F.col("more")).otherwise(F.array_append("more", F.col("b")))
+        plan = stored(plan.join(best, plan["source"].eqNullSafe(best["b_source"]), "left").select("source", "source_size", "target", "whole", "part", "cut", more.alias("more")), "mix-fills")
+    return plan
 
 
 def with_plan(rows: DataFrame, plan: DataFrame, source: str) -> DataFrame:
@@ -87,16 +123,16 @@ def with_plan(rows: DataFrame, plan: DataFrame, source: str) -> DataFrame:
     return rows.join(small, rows["source"].eqNullSafe(plan[source]))
 
 
-def copies(h: Column, whole: Column, part: Column, cut: Column) -> Column:
+def copies(h: Column, whole: Column, part: Column, cut: Column, more: Column) -> Column:
     """How often a document is taken. Without a cut its source ends on a whole repetition."""
-    return (whole + F.when((part > 0) & (h <= cut), 1).otherwise(0)).cast("long")
+    return (whole + F.when((part > 0) & ((h <= cut) | F.array_contains(more, h)), 1).otherwise(0)).cast("long")
 
 
 def mix_report(docs: DataFrame, max_epochs: float = 3.0, weights: tuple[float, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target, taken."""
     rows = sized(docs, seed)
     p = stored(plan_mix(rows, max_epochs, weights).withColumnRenamed("source", "p_source"), "mix-plan")
-    n = copies(F.col("h"), F.col("whole"), F.col("part"), F.col("cut"))
+    n = copies(F.col("h"), F.col("whole"), F.col("part"), F.col("cut"), F.col("more"))
     return with_plan(rows, p, "p_source").select("doc_id", "size", "source_size", "target", (F.col("size") * n).alias("taken"))
 
 
@@ -105,9 +141,9 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, weights: tuple[float, ...] = (
 
     The plan has a row for each source.
     """
-    p = plan_mix(sized(docs, seed), max_epochs, weights).select(*[F.col(c).alias(f"_mix_{c}") for c in ("source", "whole", "part", "cut")])
+    p = plan_mix(sized(docs, seed), max_epochs, weights).select(*[F.col(c).alias(f"_mix_{c}") for c in ("source", "whole", "part", "cut", "more")])
     p = stored(p, "mix-plan")
     packed = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
     d = with_plan(docs.select("source", seeded_order(seed).alias("_mix_h"), packed.alias("_row")), p, "_mix_source")
-    n = copies(F.col("_mix_h"), F.col("_mix_whole"), F.col("_mix_part"), F.col("_mix_cut"))
+    n = copies(F.col("_mix_h"), F.col("_mix_whole"), F.col("_mix_part"), F.col("_mix_cut"), F.col("_mix_more"))
     return d.withColumn("_mix_n", n).where("_mix_n > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select("_row.*")
