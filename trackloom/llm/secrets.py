@@ -2,15 +2,17 @@
 
 Base spans come from three patterns. The method adds long tokens whose characters look more like a
 random string than like an ordinary identifier: first-order Markov models of both are counted from
-labelled samples (values of base matches; words of a bounded sample of documents), and a token is
-added when its log-likelihood ratio a character is above ``threshold``.
+labelled samples (values of base matches; identifiers that a bounded sample of documents has outside them), and
+a token is added when its log-likelihood ratio a character is above ``threshold``, whatever characters it is of.
+Tokens of fewer than 20 characters are not scored: the ratio of so few pairs does not tell them apart.
 
 Only DataFrame functions are used: places of matches come from the lengths of the pieces between
 them. Each distinct token is scored once, however many documents repeat it. Whole texts are read
 once; what is kept of a document is its few matches.
 
-Defined cases: a null text has no spans; equal rows get equal spans; without any base match in the
-corpus there is nothing to learn from and the method adds none.
+Defined cases: a null or empty text has no spans; a text of any length is read whole; equal rows get equal spans;
+rows that share an id stay apart; without any base match in the corpus there is nothing to learn from and
+the method adds none; a token right at the threshold is not added; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "markov"]
 
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
-#: About so many documents, taken by a hash of their text, give the sample of ordinary identifiers.
+#: Identifiers of the sample: shorter words tell little, longer ones are the candidates themselves.
+IDENTIFIER = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,19}(?![A-Za-z0-9+/_-])"
+#: About so many documents, taken by a hash of id and text, give the sample of ordinary identifiers.
 SAMPLE_DOCS = 2_000
 CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 PRIOR = 8.0
@@ -56,7 +60,7 @@ def scan(docs: DataFrame) -> DataFrame:
     t = F.coalesce(F.col("text"), F.lit(""))
     value = lambda m: F.regexp_extract(m["v"], ASSIGN, 1)
     return docs.select(
-        "doc_id", F.xxhash64("doc_id", "text").alias("dk"),
+        "doc_id", F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("i"), F.xxhash64("doc_id", "text").alias("h")).alias("dk"),
         F.filter(matches(t, ASSIGN, t.contains(":") | t.contains("=")), lambda m: F.length(value(m)) >= 6).alias("assign"),
         F.filter(matches(t, ACCESS, t.contains("AKIA")), lambda m: F.length(m["v"]) >= 20).alias("access"),
         matches(t, HEX).alias("hex"),
@@ -97,13 +101,13 @@ def spans_by_model(rows: DataFrame, docs: DataFrame, threshold: float) -> DataFr
     if not known.head(1):
         return rows.select("dk", F.array().cast("array<struct<s:int,e:int,v:string>>").alias("markov")).limit(0)
     share = min(1.0, SAMPLE_DOCS / max(rows.count(), 1))
-    sample = docs.where(F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    ordinary = sample.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{4,}"), F.lit(0))).alias("v"))
+    sample = docs.where(F.pmod(F.xxhash64(F.lit(1), "doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    ordinary = sample.select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("v")).join(known, "v", "left_anti")
     model = stored(markov_ratio(known, ordinary), "secrets-model")
     tokens = free.select(F.col("m.v").alias("v")).distinct()
     pairs = tokens.select("v", F.explode(bigrams(F.col("v"))).alias("p")).select("v", "p.a", "p.b")
     scores = pairs.join(F.broadcast(model), ["a", "b"]).groupBy("v").agg(F.avg("llr").alias("score"))
-    random = scores.where((F.col("score") > threshold) & F.col("v").rlike("[0-9]")).select("v")
+    random = scores.where(F.col("score") > threshold).select("v")
     hits = free.select("dk", "m", F.col("m.v").alias("v")).join(random, "v")
     return hits.groupBy("dk").agg(F.collect_set("m").alias("markov"))
 
