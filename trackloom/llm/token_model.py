@@ -27,12 +27,12 @@ from trackloom.llm.store import stored
 from trackloom.llm.text import mixed
 from trackloom.llm.tokens import encoded, encoder
 
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Rows of the table in a part, which a task holds as arrays (12 bytes a row).
 PART_ROWS = 4_000_000
 PARTS = 24
 #: Distinct pairs that a task adds up before it hands them on.
-HELD = 2_000_000
+HELD = 1_000_000
 #: Bytes of text for which a slice of the table is sent once; texts beyond meet another copy of it, in another task.
 TEXT_BYTES = 2 << 30
 #: Texts are scored in so many rounds, each of which reads the input again; shuffle files of one round go before the next.
@@ -84,6 +84,7 @@ def counted(docs: DataFrame, tokenizer: str) -> DataFrame:
                     held.clear()
         if held:
             yield rows()
+        pa.default_memory_pool().release_unused()  # workers stay on between tasks
 
     parts = docs.select("fold", "text").mapInArrow(run, "fold int, b int, c int, n long")
     return parts.groupBy("fold", "b", "c").agg(F.sum("n").alias("n"))
@@ -181,7 +182,7 @@ def sums(texts: DataFrame, m: Model, tokenizer: str) -> DataFrame:
             folds = batch.column(2).to_numpy()
             for first, last, ids, counts in encoded(batch.column(3), enc, CHUNK):
                 b, c, n = pairs(ids, counts, enc.size)
-                doc = np.repeat(np.arange(last - first), n)
+                doc, counts = np.repeat(np.arange(last - first), n), n.astype(np.int64)
                 fold = folds[first:last][doc].astype(np.int64)
                 local = np.bincount(doc, m.item[fold, c] + np.log2(m.back[fold, b]), last - first)
                 # Places in the order of part, pair and text; equal pairs are sent once, with the texts they are in.
@@ -197,7 +198,9 @@ def sums(texts: DataFrame, m: Model, tokenizer: str) -> DataFrame:
                     new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
                     if len(k):
                         rows.append((p, salt, 1, k[new].tobytes(), np.diff(np.append(new, len(k))).astype(np.uint32).tobytes(), d.tobytes(), k1, k2, b"", b""))
-                yield sent([*rows, (0, salt, 1, b"", b"", b"", k1, k2, local.tobytes(), n.astype(np.int64).tobytes())])
+                del b, c, n, doc, fold, order, part, key
+                yield sent([*rows, (0, salt, 1, b"", b"", b"", k1, k2, local.tobytes(), counts.tobytes())])
+        pa.default_memory_pool().release_unused()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows by part, the table's before the texts'."""

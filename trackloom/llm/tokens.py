@@ -41,7 +41,7 @@ READ_DOCS = 4096
 #: Bytes of text encoded at once in a task; a longer document is encoded alone.
 CHUNK_BYTES = 2 << 20
 #: Words kept with their ids in a Python worker (about 200 bytes a word).
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 SCHEMA = "part_first long, seq long, n_docs long, n_tokens long, width int, ids binary, doc_ids binary, low binary, high binary, samples binary"
 
 
@@ -263,6 +263,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
                     yield shard()
         if held:
             yield shard()
+        pa.default_memory_pool().release_unused()  # workers stay on between tasks
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
     with writing(docs.sparkSession):
