@@ -181,3 +181,68 @@ def test_config_and_reports(spark):
     nan = spark.createDataFrame([("t", float("nan")), ("t", float("inf"))], "tracker string, value double")
     r = report.safe_mean(nan, ["tracker"]).head()
     assert np.isnan(r["mean"]) and r["total"] == 0
+
+
+def test_appearance_decides_between_successors(spark):
+    df = boxes(spark, [(f, 1, 0, 1) for f in range(5)] + [(f, 2, 2, 1) for f in range(6, 10)] + [(f, 3, 1, 1) for f in range(6, 9)])
+    look = F.when(F.col("tid") == 3, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0)))
+    plain = {r.tid: r.new_tid for r in resolve.id_mapping(df, 5, 0.1, 0, float("inf")).collect()}
+    alike = {r.tid: r.new_tid for r in resolve.id_mapping(df.withColumn("e", look), 5, 0.1, 0, float("inf"), look="e", least_look=0.2).collect()}
+    assert plain == {1: 1, 2: 2, 3: 1} and alike == {1: 1, 2: 1, 3: 3}
+    missing = {r.tid: r.new_tid for r in resolve.id_mapping(df.withColumn("e", F.when(F.col("tid") == 2, look)), 5, 0.1, 0, float("inf"), look="e", least_look=0.2).collect()}
+    assert missing == plain
+
+
+def test_poses_rank_long_gaps(spark):
+    df = boxes(spark, [(0, 1, 0, 1), (60, 2, 20, 1), (60, 3, 10, 1)])
+    pose = lambda sign: F.array(*[F.array(F.col("x1") + 10 + sign * x, F.lit(20.0 + y)) for x, y in ((5, 9), (-4, 2), (3, -8), (7, 1))])
+    df = df.withColumn("p", F.when(F.col("tid") == 3, pose(-1)).otherwise(pose(1))).withColumn("s", F.array(*[F.lit(0.9)] * 4))
+    near = {r.tid: r.new_tid for r in resolve.id_mapping(df).collect()}
+    assert near == {1: 1, 2: 2, 3: 1}
+    alike = {r.tid: r.new_tid for r in resolve.id_mapping(df, pose=("p", "s"), least_pose=0.9).collect()}
+    assert alike == {1: 1, 2: 1, 3: 3}
+    unbound = {r.tid: r.new_tid for r in resolve.id_mapping(df, max_distance=float("inf"), pose=("p", "s"), least_pose=0.9).collect()}
+    assert unbound == alike
+    assert resolve.pose_cosine(None, {"points": [], "scores": []}) == 0 and resolve.look_cosine(None, [1.0]) == 1
+
+
+def test_frames_of_tracks_and_trackers(spark):
+    frames = spark.range(3).select(F.lit("a").alias("clip"), F.col("id").alias("frame"))
+    df = boxes(spark, [(0, 2, 5, 0.3), (0, 1, 7, 0.5), (0, 2, 9, 0.9), (2, 1, 3, 1)]).withColumn("n", F.monotonically_increasing_id())
+    got = {r.frame: [(b.tid, b.x1) for b in r.boxes] for r in ordered.by_frames(df, frames, "n").collect()}
+    assert got == {0: [(1, 7), (2, 5)], 1: [], 2: [(1, 3)]}
+    found = spark.createDataFrame([("a", 0, [[0.0, 0.0, 1.0, 1.0, 4.0], [2.0, 0.0, 3.0, 1.0, 5.0, 0.5], [1.0]])], "clip string, frame long, found array<array<double>>")
+    got = sorted(((r.frame, r.tid, r.x1, r.conf) for r in ordered.from_tracker(found, frames).collect()), key=str)
+    assert got == [(0, 4, 0, 1), (0, 5, 2, 0.5), (1, None, None, None), (2, None, None, None)]
+
+
+def test_streaming_by_frame_over_small_batches(spark):
+    rows = [(c, f, f * 10 + k, float(k * 3), 0.0, float(k * 3) + 10, 10.0, 0.1 * k + 0.05) for c in ("a", "b") for f in range(40) for k in range(6)]
+    df = spark.createDataFrame(rows, "clip string, frame long, det long, x1 double, y1 double, x2 double, y2 double, conf double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = sorted((r.clip, r.frame, r.det, r.rank) for r in nms.suppress(df, 0.3).collect())
+        assert nms.suppress(df.limit(0), 0.3).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    b = np.array([[k * 3, 0, k * 3 + 10, 10] for k in range(6)], float)
+    kept = nms.hard(b, np.arange(6) * 0.1, 0.3)
+    assert got == sorted((c, f, f * 10 + k, i) for c in ("a", "b") for f in range(40) for i, k in enumerate(kept))
+
+
+def test_images_results_and_resumed_sweeps(spark, tmp_path):
+    from trackloom.plans import pipeline
+
+    for name in ("a/000.png", "a/001.png", "b/res.txt", "c/res.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    images = files.read_frames(spark, str(tmp_path))
+    got = {r.frame: r.content and bytes(r.content) for r in files.with_images(boxes(spark, [(0, 1, 0, 1), (5, 1, 0, 1)]), images).collect()}
+    assert got == {0: b"a/000.png", 5: None}
+    with pytest.raises(FileNotFoundError):
+        files.read_frames(spark, str(tmp_path / "b"))
+    assert [r.clip for r in files.clips_with_results(spark, str(tmp_path)).collect()] == ["b", "c"]
+    done = spark.createDataFrame([("x", 1)], "variant string, n int")
+    assert list(pipeline.pending({"x": Config(), "y": Config()}, done)) == ["y"]
+    with pytest.raises(ValueError):
+        report.markdown(done, most=0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as g
@@ -31,6 +31,12 @@ def merge_candidates(ends: DataFrame, fits: DataFrame, max_gap: int = 48, iou: f
     return p.withColumn("score", F.col("iou") + 0.5)
 
 
+def with_look(pairs: DataFrame, a: Column, b: Column, least: float) -> DataFrame:
+    """Pairs (iou, ...) with ``look``, the cosine of appearance (1 where one side has none; to six places at least ``least``), and score = iou + look / 2."""
+    p = pairs.withColumn("look", F.coalesce(g.cosine(a, b), F.lit(1.0))).where(F.round("look", 6) >= least)
+    return p.withColumn("score", F.col("iou") + 0.5 * F.col("look"))
+
+
 def long_gap_candidates(ends: DataFrame, max_gap: int = 48, pose_max_gap: int = 120, max_distance: float = 150.0, ids: str = "tid") -> DataFrame:
     """Pairs further apart in time, by the distance between last and first centre."""
     p = gap_pairs(ends, max_gap + 1, pose_max_gap, ids)

@@ -16,32 +16,39 @@ from pyspark.sql import DataFrame
 Frame = dict[str, np.ndarray]
 
 
-def by_frame(df: DataFrame, order: list[str], handle: Callable[[Frame], Frame | None], schema: str) -> DataFrame:
+def frames_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Frame]:
+    """Frame by frame out of rows sorted by clip and frame."""
+    held: Frame | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names)}
+        if held is not None:
+            rows = {c: np.concatenate([held[c], v]) for c, v in rows.items()}
+        new = (rows["frame"][1:] != rows["frame"][:-1]) | (rows["clip"][1:] != rows["clip"][:-1])
+        edges = [0, *(np.flatnonzero(new) + 1)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield {c: v[a:b] for c, v in rows.items()}
+        held = {c: v[edges[-1] :] for c, v in rows.items()}
+    if held is not None:
+        yield held
+
+
+def by_frame(df: DataFrame, order: list[str], handle: Callable[[Frame], Frame], schema: str) -> DataFrame:
     """``handle`` for the rows of every (clip, frame), in ``order``; what it returns has the columns of ``schema``."""
     names = [c.split()[0] for c in schema.split(", ")]
 
+    def packed(out: list[Frame]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out]), from_pandas=True) for c in names], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Frame | None = None
-
-        def handled(rows: Frame, last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            n = len(rows["frame"])
-            new = np.concatenate([[True], (rows["frame"][1:] != rows["frame"][:-1]) | (rows["clip"][1:] != rows["clip"][:-1])])
-            edges = np.append(np.flatnonzero(new), n)
-            held = None if last else {c: v[edges[-2] :] for c, v in rows.items()}
-            out = []
-            for a, b in zip(edges[: None if last else -1], edges[1 : None if last else -1], strict=False):
-                found = handle({c: v[a:b] for c, v in rows.items()})
-                if found is not None:
-                    out.append(found)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out]), from_pandas=True) for c in names], names=names)
-
-        for batch in batches:
-            if batch.num_rows:
-                rows = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names)}
-                yield from handled(rows if held is None else {c: np.concatenate([held[c], v]) for c, v in rows.items()}, False)
-        if held is not None:
-            yield from handled(held, True)
+        out: list[Frame] = []
+        for f in frames_of(batches):
+            out.append(handle(f))
+            if len(out) == 1000:
+                yield packed(out)
+                out = []
+        if out:
+            yield packed(out)
 
     return df.repartition("clip", "frame").sortWithinPartitions("clip", "frame", *order).mapInArrow(run, schema)

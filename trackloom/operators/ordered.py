@@ -51,9 +51,9 @@ def endpoints(df: DataFrame, group: tuple[str, ...] = TRACK, window: int = 5) ->
     return ends.join(v, list(group))
 
 
-def tail_fit(df: DataFrame, group: tuple[str, ...] = TRACK, rows: int = 3) -> DataFrame:
-    """Straight lines (slope s_, intercept i_ for each side) through the last rows of a track; one row gives slope 0."""
-    last = Window.partitionBy(*group).orderBy(F.col("frame").desc())
+def tail_fit(df: DataFrame, group: tuple[str, ...] = TRACK, rows: int = 3, head: bool = False) -> DataFrame:
+    """Straight lines (slope s_, intercept i_ for each side) through the last rows of a track, or its first ones; one row gives slope 0."""
+    last = Window.partitionBy(*group).orderBy(F.col("frame") if head else F.col("frame").desc())
     r = df.withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= rows)
     fits = []
     for c in g.BOX:
@@ -101,6 +101,22 @@ def as_arrays(df: DataFrame, group: tuple[str, ...] = TRACK) -> DataFrame:
     return df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("frame", *[c for c in cols if c != "frame"]))).alias("rows"))
 
 
+def by_frames(df: DataFrame, frames: DataFrame, order: str = "frame") -> DataFrame:
+    """(clip, frame, boxes): the boxes of every frame of the ``frames`` dimension by id, empty where there are none; of repeats the first in ``order``."""
+    one = df.groupBy("clip", "frame", "tid").agg(F.min_by(F.struct(*VALUES), order).alias("b"))
+    held = one.groupBy("clip", "frame").agg(F.array_sort(F.collect_list(F.struct("tid", "b.*"))).alias("boxes"))
+    none = F.array().cast(held.schema["boxes"].dataType)
+    return frames.select("clip", "frame").join(held, ["clip", "frame"], "left").select("clip", "frame", F.coalesce("boxes", none).alias("boxes"))
+
+
+def from_tracker(rows: DataFrame, frames: DataFrame) -> DataFrame:
+    """Boxes out of a tracker's output (clip, frame, found: array of [x1, y1, x2, y2, id, conf]): a row for each, confidence 1 where it is left out, a row without id for an empty frame."""
+    v = lambda i: F.get("_v", F.lit(i)).cast("double")
+    each = rows.select("clip", "frame", F.explode("found").alias("_v")).where(F.size("_v") >= 5)
+    each = each.select("clip", "frame", v(4).cast("long").alias("tid"), *[v(i).alias(c) for i, c in enumerate(g.BOX)], F.coalesce(v(5), F.lit(1.0)).alias("conf"))
+    return frames.select("clip", "frame").join(each, ["clip", "frame"], "left")
+
+
 def _with_boxes(tracks: DataFrame, group: tuple[str, ...], boxes: list) -> DataFrame:
     """Rows again, boxes replaced by the arrays of x1, y1, x2, y2."""
     t = tracks.select(*group, "rows", *[b.alias(f"_{c}") for b, c in zip(boxes, g.BOX, strict=True)])

@@ -41,6 +41,8 @@ class _Ends:
         self.head = [float(v) for v in row.head]
         self.tail = [[float(v) for v in x] for x in row.last]
         self.line = None
+        self.looks = tuple(getattr(row, c, None) for c in ("head_look", "tail_look"))
+        self.poses = tuple(getattr(row, c, None) for c in ("head_pose", "tail_pose"))
 
     def order(self):
         return self.f0, self.f1, self.id
@@ -65,6 +67,7 @@ class _Ends:
         self.tail, self.line = [*self.tail, *between, *other.tail][-3:], None
         self.members += other.members
         self.f1 = other.f1
+        self.looks, self.poses = (None, None), (self.poses[0], other.poses[1])  # a merged track has no appearance
         if self.id < 0:
             self.id = other.id
 
@@ -76,6 +79,25 @@ def one_iou(a, b) -> float:
     return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h)
 
 
+def look_cosine(a, b) -> float:
+    """Cosine of two appearance vectors; 1 where either is missing."""
+    if a is None or b is None or not len(a) or not len(b):
+        return 1.0
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    return float(a @ b / ((np.linalg.norm(a) + 1e-9) * (np.linalg.norm(b) + 1e-9)))
+
+
+def pose_cosine(a, b, least: float = 0.3, points: int = 3) -> float:
+    """Cosine of two poses (points, scores) over what both see; 0 where it is not known."""
+    if a is None or b is None:
+        return 0.0
+    (p, s), (q, t) = ((np.array([list(x) for x in v["points"]], float), np.asarray(v["scores"], float)) for v in (a, b))
+    both = (s >= least) & (t >= least)
+    p, q = p[both].ravel(), q[both].ravel()
+    norm = np.linalg.norm(p) * np.linalg.norm(q)
+    return float(p @ q / norm) if both.sum() >= points and norm > 1e-9 else 0.0
+
+
 def _heads(work: list[_Ends], t: _Ends, low: int, high: int) -> list[_Ends]:
     """Other tracks of a list in order that begin ``low`` to ``high`` frames after t ends."""
     start = bisect.bisect_left(work, t.f1 + low, key=lambda x: x.f0)
@@ -83,8 +105,12 @@ def _heads(work: list[_Ends], t: _Ends, low: int, high: int) -> list[_Ends]:
     return [o for o in work[start:stop] if o is not t]
 
 
-def merge_ends(tracks: list[_Ends], max_gap: int, iou: float, long_gap: int, max_distance: float) -> list[_Ends]:
-    """Short gaps: the first track with a fitting successor takes its best one, then all starts anew. Long gaps: the closest pair of all, again and again.
+def merge_ends(tracks: list[_Ends], max_gap: int, iou: float, long_gap: int, max_distance: float, least_look: float = 0.0, least_pose: float = 0.0) -> list[_Ends]:
+    """Short gaps: the first track with a fitting successor takes its best one, then all starts anew. Long gaps: the best pair of all, again and again.
+
+    The best successor has the largest overlap plus half the cosine of appearance, which must be ``least_look`` where both
+    have one. Over long gaps the closest pair goes first, then the one of more alike poses; a ``least_pose`` above 0 is a
+    bound on these, and without a bound on distance they come first.
 
     Starting anew would find nothing before the place of the last merge: heads never change and one
     has gone. So the scan goes on from there.
@@ -93,16 +119,19 @@ def merge_ends(tracks: list[_Ends], max_gap: int, iou: float, long_gap: int, max
     while at < len(work):
         t, best = work[at], None
         for o in _heads(work, t, 1, max_gap):
-            score = one_iou(t.at(o.f0), o.head)
-            if score >= iou and (best is None or score > best[0]):
-                best = score, o
+            score, look = one_iou(t.at(o.f0), o.head), look_cosine(t.looks[1], o.looks[0])
+            if score < iou or (look < least_look and t.looks[1] is not None and o.looks[0] is not None):
+                continue
+            if best is None or score + 0.5 * look > best[0]:
+                best = score + 0.5 * look, o
         if best is None:
             at += 1
             continue
         t.take(best[1])
         work = [x for x in work if x is not best[1] and x is not t]
         bisect.insort(work, t, key=_Ends.order)
-    if max_distance == float("inf") or long_gap <= max_gap:
+    by_distance = max_distance != float("inf")
+    if not (by_distance or least_pose > 0) or long_gap <= max_gap:
         return work
     centre = lambda b: ((b[0] + b[2]) / 2, (b[1] + b[3]) / 2)
     place, gone, version, heap = {id(t): i for i, t in enumerate(work)}, set(), {}, []
@@ -112,7 +141,10 @@ def merge_ends(tracks: list[_Ends], max_gap: int, iou: float, long_gap: int, max
         for o in _heads(work, t, max_gap + 1, long_gap):
             u, v = centre(o.head)
             if id(o) not in gone and (d := math.hypot(x - u, y - v)) <= max_distance:
-                heapq.heappush(heap, (d, place[id(t)], place[id(o)], version.get(id(t), 0)))
+                alike = pose_cosine(t.poses[1], o.poses[0]) if least_pose > 0 else 0.0
+                if alike >= least_pose:
+                    rank = (d, -alike) if by_distance else (-alike, d)
+                    heapq.heappush(heap, (rank, place[id(t)], place[id(o)], version.get(id(t), 0)))
 
     every = list(work)
     for t in every:
@@ -129,15 +161,25 @@ def merge_ends(tracks: list[_Ends], max_gap: int, iou: float, long_gap: int, max
     return [t for t in every if id(t) not in gone]
 
 
-def id_mapping(df: DataFrame, max_gap: int = 48, iou: float = 0.10, long_gap: int = 120, max_distance: float = 150.0, ids: str = "tid") -> DataFrame:
-    """(clip, tid, new_tid, seq): which tracks are one, and their order in it. Rows of ``df`` must be without gaps inside a track."""
+def id_mapping(
+    df: DataFrame, max_gap: int = 48, iou: float = 0.10, long_gap: int = 120, max_distance: float = 150.0, ids: str = "tid",
+    look: str | None = None, least_look: float = 0.0, pose: tuple[str, str] | None = None, least_pose: float = 0.0,
+) -> DataFrame:
+    """(clip, tid, new_tid, seq): which tracks are one, and their order in it. Rows of ``df`` must be without gaps inside a track.
+
+    ``look`` names a column of appearance vectors, ``pose`` those of key points (array of [x, y]) and their scores.
+    """
     last = Window.partitionBy("clip", ids).orderBy(F.col("frame").desc())
     rows = df.withColumn("_r", F.row_number().over(last))
     tail = rows.where("_r <= 3").groupBy("clip", F.col(ids).alias("tid")).agg(F.array_sort(F.collect_list(F.array(F.col("frame").cast("double"), *g.BOX))).alias("last"))
-    ends = df.groupBy("clip", F.col(ids).alias("tid")).agg(F.min("frame").alias("f0"), F.max("frame").alias("f1"), F.min_by(F.array(*g.BOX), "frame").alias("head")).join(tail, ["clip", "tid"])
+    more = {"look": F.col(look).cast("array<double>")} if look else {}
+    if pose:
+        more["pose"] = F.struct(g.normalised_points(F.col(pose[0]), g.box()).alias("points"), F.col(pose[1]).cast("array<double>").alias("scores"))
+    at_ends = [f(v, "frame").alias(f"{end}_{k}") for k, v in more.items() for end, f in (("head", F.min_by), ("tail", F.max_by))]
+    ends = df.groupBy("clip", F.col(ids).alias("tid")).agg(F.min("frame").alias("f0"), F.max("frame").alias("f1"), F.min_by(F.array(*g.BOX), "frame").alias("head"), *at_ends).join(tail, ["clip", "tid"])
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        merged = merge_ends([_Ends(r) for r in pdf.itertuples()], max_gap, iou, long_gap, max_distance)
+        merged = merge_ends([_Ends(r) for r in pdf.itertuples()], max_gap, iou, long_gap, max_distance, least_look, least_pose)
         return pd.DataFrame([(pdf["clip"].iloc[0], m, t.id, i) for t in merged for i, m in enumerate(t.members)], columns=["clip", "tid", "new_tid", "seq"])
 
     return ends.groupBy("clip").applyInPandas(decide, MAPPING)
@@ -150,7 +192,8 @@ def relabel(df: DataFrame, mapping: DataFrame, ids: str = "tid") -> DataFrame:
 
 def merge_ids(df: DataFrame, **knobs) -> DataFrame:
     """Tracks with merged ids; the gaps that merging leaves are filled by straight lines."""
-    return ordered.fill_gaps(relabel(df.select("clip", "frame", "tid", *ordered.VALUES), id_mapping(df, **knobs)), ("clip", "tid")).drop("detected")
+    rows = relabel(df.select("clip", "frame", "tid", *ordered.VALUES), id_mapping(df, **knobs))
+    return ordered.fill_gaps(rows, ("clip", "tid")).drop("detected")
 
 
 def merge_overlapping(df: DataFrame, iou: float = 0.7, min_frames: int = 5) -> DataFrame:

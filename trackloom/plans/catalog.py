@@ -246,7 +246,7 @@ def suspicious_frames(spark, d):
 
 
 @query(
-    "SELECT clip, frame AS start, CAST(t AS BIGINT) AS boxes FROM (SELECT clip, frame, sum(n) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN CURRENT ROW AND 47 FOLLOWING) AS t FROM dens) WHERE frame + 47 <= 719 QUALIFY row_number() OVER (PARTITION BY clip ORDER BY t DESC, frame) = 1",
+    "SELECT clip, frame AS start, CAST(t AS BIGINT) AS boxes FROM (SELECT clip, frame, sum(n) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN CURRENT ROW AND 47 FOLLOWING) AS t FROM dens) WHERE frame + 47 <= (SELECT max(frame) FROM raw) QUALIFY row_number() OVER (PARTITION BY clip ORDER BY t DESC, frame) = 1",
     f"{DET}, {RUNNING}",
 )
 def dense_window(spark, d):
@@ -266,6 +266,43 @@ def tail_fit(spark, d):
     return ordered.tail_fit(s).join(last, ["clip", "tid"]).select("clip", "tid", "s_x1", "s_y2", ordered.extrapolated(F.col("f1") + 5).x1.alias("x1_later"))
 
 
+HEAD_FIT = """
+heads AS (SELECT *, row_number() OVER (PARTITION BY clip, tid ORDER BY frame) AS r FROM sid),
+head_fit AS (
+  SELECT clip, tid, min(frame) AS f0, avg(frame) AS mf, avg(x1) AS m1, avg(y2) AS m4, coalesce(covar_pop(x1, frame) / nullif(var_pop(frame), 0), 0) AS s1, coalesce(covar_pop(y2, frame) / nullif(var_pop(frame), 0), 0) AS s4
+  FROM heads WHERE r <= 3 GROUP BY clip, tid)"""
+
+
+@query("SELECT clip, tid, round(s1, 6) AS s_x1, round(s4, 6) AS s_y2, round(m1 + s1 * (f0 - 5 - mf), 6) AS x1_before FROM head_fit", f"{DET}, {SEG}, {HEAD_FIT}")
+def head_fit(spark, d):
+    """Tracks drawn on backwards by their first rows."""
+    s = segments(spark, d)
+    first = s.groupBy("clip", "tid").agg(F.min("frame").alias("f0"))
+    return ordered.tail_fit(s, head=True).join(first, ["clip", "tid"]).select("clip", "tid", "s_x1", "s_y2", ordered.extrapolated(F.col("f0") - 5).x1.alias("x1_before"))
+
+
+@query(
+    """SELECT clip, frame, count(tid) AS n, coalesce(string_agg(CAST(tid AS VARCHAR), ' ' ORDER BY tid), '') AS ids, round(sum(x1), 6) AS sum_x1
+FROM frames LEFT JOIN (SELECT clip, frame, tid, arg_min(cx - w / 2, event_id) AS x1 FROM raw GROUP BY clip, frame, tid) USING (clip, frame) GROUP BY clip, frame"""
+)
+def frame_groups(spark, d):
+    """Boxes by frame, frames without boxes included; the first event of a repeated box counts."""
+    f = ordered.by_frames(tables.raw_detections(spark, d), tables.frames(spark, d), "event_id")
+    n = F.size("boxes")
+    total = F.when(n > 0, F.aggregate("boxes.x1", F.lit(0.0), lambda a, x: a + x))
+    return f.select("clip", "frame", n.cast("long").alias("n"), F.array_join(F.col("boxes.tid").cast("array<string>"), " ").alias("ids"), total.alias("sum_x1"))
+
+
+@query("SELECT clip, frame, tid, round(x1, 6) AS x1, round(y2, 6) AS y2, round(CASE WHEN tid % 3 = 0 THEN 1 ELSE conf END, 6) AS conf FROM frames LEFT JOIN det USING (clip, frame)")
+def tracker_rows(spark, d):
+    """A tracker's arrays as columns: confidence 1 where the array has none, a row for empty frames."""
+    x = det(spark, d)
+    values = [F.col(c) for c in g.BOX] + [F.col("tid").cast("double")]
+    found = F.when(F.col("tid") % 3 == 0, F.array(*values)).otherwise(F.array(*values, F.col("conf")))
+    out = x.groupBy("clip", "frame").agg(F.collect_list(found).alias("found"))
+    return ordered.from_tracker(out, tables.frames(spark, d)).select("clip", "frame", "tid", "x1", "y2", "conf")
+
+
 def _median_sql(column: str, window: int = 21) -> str:
     """Running median with repeated ends over the lists of a table ``lists`` (v, n, i)."""
     half = f"(least({window}, n) - CASE WHEN least({window}, n) % 2 = 0 THEN 2 ELSE 1 END) // 2"
@@ -297,16 +334,24 @@ def cv_gated_size(spark, d):
     return ordered.smooth_sizes(det(spark, d), 0.48)
 
 
+_MIRROR = "CASE WHEN (i + k - 1 + 24 * n) % (2 * n) < n THEN (i + k - 1 + 24 * n) % (2 * n) + 1 ELSE 2 * n - (i + k - 1 + 24 * n) % (2 * n) END"
+
+
+def _smooth_sql(side: str) -> str:
+    """A side's list after a median of 11 with zeros outside and a Gaussian with mirrored ends; fewer than 11 rows pass."""
+    median = f"list_transform(range(1, n + 1), lambda i: list_sort(list_transform(range(i - 5, i + 6), lambda k: CASE WHEN k BETWEEN 1 AND n THEN {side}[k] ELSE 0 END))[6])"
+    blurred = f"list_transform([{median}], lambda m: list_transform(range(1, n + 1), lambda i: list_sum(list_transform(range(-12, 13), lambda k: wt[k + 13] * m[{_MIRROR}]))))[1]"
+    return f"CASE WHEN n < 11 THEN {side} ELSE {blurred} END AS {side}"
+
+
 @query(
-    """SELECT clip, tid, frame, round(list_sum(list_transform(range(-12, 13), lambda k: wt[k + 13] * med[CASE WHEN i + k < 1 THEN 1 - (i + k) WHEN i + k > n THEN 2 * n + 1 - (i + k) ELSE i + k END])), 6) AS x1
-FROM (SELECT clip, tid, n, i, frame, list(m) OVER (PARTITION BY clip, tid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS med, wt
-  FROM (SELECT clip, tid, n, i, fs[i] AS frame, list_sort(list_transform(range(i - 5, i + 6), lambda k: CASE WHEN k BETWEEN 1 AND n THEN lx[k] - lw[k] / 2 ELSE 0 END))[6] AS m FROM lists WHERE n >= 25),
-  (SELECT list(e / t ORDER BY j) AS wt FROM (SELECT j, exp(-0.5 * (j / 3.0) ** 2) AS e, sum(exp(-0.5 * (j / 3.0) ** 2)) OVER () AS t FROM range(-12, 13) t(j))))""",
-    f"{DET}, {LISTS}",
+    f"""SELECT clip, tid, unnest(fs) AS frame, round(unnest(x1), 6) AS x1, round(unnest(y1), 6) AS y1, round(unnest(x2), 6) AS x2, round(unnest(y2), 6) AS y2
+FROM (SELECT clip, tid, fs, {', '.join(map(_smooth_sql, g.BOX))} FROM
+  (SELECT clip, tid, count(*) AS n, list(frame ORDER BY frame) AS fs, {', '.join(f'list({c} ORDER BY frame) AS {c}' for c in g.BOX)} FROM det GROUP BY clip, tid),
+  (SELECT list(e / t ORDER BY j) AS wt FROM (SELECT j, exp(-0.5 * (j / 3.0) ** 2) AS e, sum(exp(-0.5 * (j / 3.0) ** 2)) OVER () AS t FROM range(-12, 13) t(j))))"""
 )
 def gauss_smooth(spark, d):
-    long = prune.min_length(det(spark, d), 25)
-    return ordered.smooth_boxes(long).select("clip", "tid", "frame", "x1")
+    return ordered.smooth_boxes(det(spark, d)).select("clip", "tid", "frame", *g.BOX)
 
 
 # ---- pairs ----------------------------------------------------------------------------------
@@ -323,6 +368,26 @@ def merge_candidates(spark, d):
     return candidates.merge_candidates(ordered.endpoints(s), ordered.tail_fit(s)).select(F.col("a_clip").alias("clip"), F.col("a_tid").alias("a"), F.col("b_tid").alias("b"), "gap", "iou")
 
 
+_LOOK = "list_dot_product(p.e, q.e) / ((sqrt(list_dot_product(p.e, p.e)) + 1e-9) * (sqrt(list_dot_product(q.e, q.e)) + 1e-9))"
+
+
+@query(
+    f"""SELECT m.clip AS clip, a, b, round(iou, 6) AS iou, round(look, 6) AS look, round(iou + 0.5 * look, 6) AS score FROM (
+  SELECT c.*, coalesce({_LOOK}, 1) AS look FROM (
+    SELECT a.clip AS clip, a.tid AS a, b.tid AS b, {iou_sql(_TARGET, prefixed('b.h'))} AS iou FROM (SELECT * FROM ends JOIN fit USING (clip, tid)) a JOIN ends b ON a.clip = b.clip AND a.tid <> b.tid AND b.f0 - a.f1 BETWEEN 1 AND 48) c
+  LEFT JOIN v p ON p.vec_id = a // 1000000 LEFT JOIN v q ON q.vec_id = b // 1000000 WHERE iou >= 0.1) m WHERE round(look, 6) >= 0.1""",
+    f"{DET}, {SEG}, {ENDS}, v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)",
+)
+def appearance_candidates(spark, d):
+    """Successors scored by overlap and half the cosine of appearance, which is 1 where one side has none."""
+    s = segments(spark, d)
+    c = candidates.merge_candidates(ordered.endpoints(s), ordered.tail_fit(s)).select(F.col("a_clip").alias("clip"), F.col("a_tid").alias("a"), F.col("b_tid").alias("b"), "iou")
+    v = tables.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    for k in ("a", "b"):
+        c = c.join(v.select(F.col("vec_id").alias("_id"), F.col("e").alias(f"e_{k}")), F.floor(F.col(k) / 1_000_000) == F.col("_id"), "left").drop("_id")
+    return candidates.with_look(c, F.col("e_a"), F.col("e_b"), 0.1).select("clip", "a", "b", "iou", "look", "score")
+
+
 _DIST = "sqrt(((a.tx1 + a.tx2) / 2 - (b.hx1 + b.hx2) / 2) ** 2 + ((a.ty1 + a.ty2) / 2 - (b.hy1 + b.hy2) / 2) ** 2)"
 
 
@@ -651,6 +716,34 @@ def mot_rows(spark, d):
     return files.mot_lines(det(spark, d))
 
 
+_POSES = """
+v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+k AS (SELECT vec_id, label, e, list_transform(range(8), lambda i: {'x': e[2 * i + 1], 'y': e[2 * i + 2], 's': abs(e[17 + i])}) AS p FROM v),
+rep AS (SELECT label, arg_min(e, vec_id) AS re, arg_min(p, vec_id) AS rp FROM k GROUP BY label),
+j AS (SELECT *, list_filter(p, lambda z: z.s >= 0.05) AS seen, list_filter(list_transform(range(1, 9), lambda i: {'a': p[i], 'b': rp[i]}), lambda z: z.a.s >= 0.05 AND z.b.s >= 0.05) AS both_seen FROM k JOIN rep USING (label)),
+c AS (SELECT *, list_sum(list_transform(both_seen, lambda z: z.a.x * z.b.x + z.a.y * z.b.y)) AS ab, list_sum(list_transform(both_seen, lambda z: z.a.x ** 2 + z.a.y ** 2)) AS aa, list_sum(list_transform(both_seen, lambda z: z.b.x ** 2 + z.b.y ** 2)) AS bb,
+  list_dot_product(e, re) / ((sqrt(list_dot_product(e, e)) + 1e-9) * (sqrt(list_dot_product(re, re)) + 1e-9)) AS look FROM j),
+q AS (SELECT *, CASE WHEN len(both_seen) >= 3 AND aa > 1e-18 AND bb > 1e-18 THEN ab / (sqrt(aa) * sqrt(bb)) END AS pose FROM c)"""
+
+
+@query(
+    """SELECT vec_id, CAST(len(seen) AS BIGINT) AS n, round(list_avg(list_transform(seen, lambda z: z.x)), 6) AS cx, round(list_avg(list_transform(seen, lambda z: z.y)), 6) AS cy, round((p[1].x - 0.5) / 1, 6) AS nx, round((p[1].y - 2) / 2, 6) AS ny,
+  round(pose, 6) AS pose, round(CASE WHEN pose IS NULL THEN (look + 1) / 2 ELSE ((0.6 * pose + 0.4 * look) / (0.6 + 0.4) + 1) / 2 END, 6) AS alike FROM q""",
+    _POSES,
+)
+def pose_similarity(spark, d):
+    """Key points (eight pairs and scores out of each vector) against those of the label's least id: centroid, place in a box, cosine of poses, weighted likeness."""
+    v = tables.table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    points, scores = F.transform(F.sequence(F.lit(1), F.lit(15), F.lit(2)), lambda i: F.slice("e", i, 2)), F.transform(F.slice("e", 17, 8), F.abs)
+    k = v.withColumn("p", points).withColumn("s", scores)
+    rep = k.groupBy("label").agg(F.min_by(F.struct("e", "p", "s"), "vec_id").alias("r")).select("label", F.col("r.e").alias("re"), F.col("r.p").alias("rp"), F.col("r.s").alias("rs"))
+    c = g.visible_centroid(F.col("p"), F.col("s"), 0.05)
+    first = g.normalised_points(F.col("p"), g.Box(*map(F.lit, (-0.5, 0.0, 1.5, 4.0))))[0]
+    j = k.join(rep, "label").withColumn("pose", g.pose_cosine(F.col("p"), F.col("s"), F.col("rp"), F.col("rs"), 0.05)).withColumn("look", g.cosine(F.col("e"), F.col("re")))
+    alike = g.weighted_similarity([(F.col("pose"), 0.6), (F.col("look"), 0.4)])
+    return j.select("vec_id", F.coalesce(c["n"], F.lit(0)).cast("long").alias("n"), c["x"].alias("cx"), c["y"].alias("cy"), first[0].alias("nx"), first[1].alias("ny"), "pose", alike.alias("alike"))
+
+
 # ---- reports --------------------------------------------------------------------------------
 
 METRICS = """
@@ -669,10 +762,10 @@ def pivot_metrics(spark, d):
     return report.pivoted(_metrics(spark, d), "tracker", ["F", "O", "P"], "idf1")
 
 
-@query("SELECT tracker, round(v, 6) AS v, round(b, 6) AS base, round(v - b, 6) AS delta FROM (SELECT tracker, avg(value) AS v FROM m GROUP BY tracker), (SELECT avg(value) AS b FROM m WHERE tracker = 'F')", METRICS)
+@query("SELECT tracker, round(v, 6) AS v, round(b, 6) AS base, round(v - b, 6) AS delta, printf('%+.4f', (v - b) * 100) AS points FROM (SELECT tracker, avg(value) AS v FROM m GROUP BY tracker), (SELECT avg(value) AS b FROM m WHERE tracker = 'F')", METRICS)
 def baseline_delta(spark, d):
     s = _metrics(spark, d).groupBy("tracker").agg(F.avg("value").alias("v"))
-    return report.against_baseline(s, "v", "tracker", "F").drop("points")
+    return report.against_baseline(s, "v", "tracker", "F")
 
 
 @query("SELECT clip, round(ours, 6) AS ours, tracker, round(value, 6) AS value, round(ours - value, 6) AS gap FROM (SELECT clip, max(CASE WHEN tracker = 'P' THEN value END) AS ours, arg_min(tracker, value) FILTER (WHERE tracker <> 'P') AS tracker, min(value) FILTER (WHERE tracker <> 'P') AS value FROM m GROUP BY clip)", METRICS)
@@ -717,6 +810,34 @@ def upsert_results(spark, d):
     return files.upsert(n("frame < 360"), n("frame >= 360"), ["clip", "tid"])
 
 
+@query("SELECT clip, round(gap, 6) AS gap FROM (SELECT clip, max(CASE WHEN tracker = 'P' THEN value END) - min(value) FILTER (WHERE tracker <> 'P') AS gap FROM m GROUP BY clip) ORDER BY gap DESC, clip LIMIT 3", METRICS)
+def widest_gaps(spark, d):
+    return report.widest(report.worst(_metrics(spark, d), "P"), 3).select("clip", "gap")
+
+
+@query("SELECT a.tracker AS a, b.tracker AS b, count(*) AS clips, count(*) FILTER (WHERE a.value > b.value) AS wins, round(avg(a.value - b.value), 6) AS mean_gap FROM m a JOIN m b ON a.clip = b.clip AND a.tracker <> b.tracker GROUP BY 1, 2", METRICS)
+def head_to_head(spark, d):
+    return report.head_to_head(_metrics(spark, d))
+
+
+@query(
+    "SELECT tracker, round(accuracy, 6) AS accuracy, round(fps, 6) AS fps FROM (SELECT tracker, avg(value) AS accuracy FROM m GROUP BY tracker) JOIN (SELECT l_linestatus AS tracker, count(*) / (sum(l_quantity) / 1000) AS fps FROM lineitem GROUP BY 1) USING (tracker)",
+    METRICS,
+)
+def speed_and_accuracy(spark, d):
+    times = tables.table(spark, d, "lineitem").select(F.col("l_linestatus").alias("tracker"), F.col("l_quantity").cast("double").alias("ms"))
+    return report.speed_and_accuracy(_metrics(spark, d), times)
+
+
+@query(
+    """SELECT clip, CASE WHEN r AND t THEN NULL WHEN r THEN 'truth' WHEN t THEN 'results' ELSE 'results truth' END AS missing FROM (
+  SELECT clip, clip IN (SELECT clip FROM det WHERE tid % 32 < 16) AS r, clip IN (SELECT clip FROM det WHERE tid % 48 < 32 AND conf >= 0.5) AS t FROM (SELECT DISTINCT clip FROM raw))"""
+)
+def scoring_inputs(spark, d):
+    x = det(spark, d)
+    return report.scoring_inputs(x.select("clip").distinct(), x.where("tid % 32 < 16"), x.where("tid % 48 < 32 and conf >= 0.5"))
+
+
 # ---- streams --------------------------------------------------------------------------------
 
 
@@ -731,6 +852,16 @@ def stream_windows(spark, d):
     return _drained(spark, s, "complete").select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
+@query(
+    """SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM (
+  SELECT *, sum(br) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS br FROM events WHERE ts IS NOT NULL)) GROUP BY user_id, s""",
+    "",
+)
+def stream_sessions(spark, d):
+    s = live.session_counts(live.event_stream(spark, d), "6 hours")
+    return _drained(spark, s, "complete").select("user_id", F.unix_seconds("start").alias("start"), "n")
+
+
 @query()
 def online_tracks(spark, d):
     e = live.event_stream(spark, d)

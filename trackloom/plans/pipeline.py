@@ -1,4 +1,4 @@
-"""The whole chain from detections to tracks, and many variants of it in one job."""
+"""The whole chain from detections to tracks, and many variants of it over the same boxes."""
 
 from __future__ import annotations
 
@@ -96,8 +96,15 @@ def run(df: DataFrame, frames: DataFrame, cfg: Config = Config(), recovery: bool
     return build_tracks(recover.recovered(df, frames) if recovery else df, cfg)
 
 
+def pending(variants: dict[str, Config], results: DataFrame) -> dict[str, Config]:
+    """The variants that ``results`` (variant, ...) lacks, so that a sweep goes on where it stopped."""
+    names = results.select("variant").distinct().where(F.col("variant").isin(*variants))  # at most a row for each variant
+    done = {r.variant for r in names.collect()}
+    return {k: v for k, v in variants.items() if k not in done}
+
+
 def sweep(df: DataFrame, variants: dict[str, Config]) -> DataFrame:
-    """Tracks of all variants with a ``variant`` column."""
+    """Tracks of all variants with a ``variant`` column; the boxes are read once."""
     out, df = None, stored(df, "sweep-boxes")
     for name, cfg in variants.items():
         one = build_tracks(df, cfg).withColumn("variant", F.lit(name))

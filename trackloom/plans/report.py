@@ -54,7 +54,32 @@ def latency(times: DataFrame, by: list[str], ms: str = "ms") -> DataFrame:
     return times.groupBy(*by).agg(F.count("*").alias("n"), F.avg(ms).alias("mean_ms"), F.percentile(ms, F.lit(0.5)).alias("median_ms"), F.percentile(ms, F.lit(0.95)).alias("p95_ms"), F.sum(ms).alias("total_ms"), (F.count("*") / (F.sum(ms) / 1000)).alias("fps"))
 
 
+def speed_and_accuracy(metrics: DataFrame, times: DataFrame, metric: str = "idf1") -> DataFrame:
+    """(tracker, accuracy, fps) of the trackers that have both."""
+    a = metrics.where(F.col("metric") == metric).groupBy("tracker").agg(F.avg(finite(F.col("value"))).alias("accuracy"))
+    return a.join(latency(times, ["tracker"]).select("tracker", "fps"), "tracker")
+
+
+def head_to_head(metrics: DataFrame, metric: str = "idf1") -> DataFrame:
+    """(a, b, clips, wins, mean_gap): for every two trackers the clips that both have, those where a is ahead, and by how much on average."""
+    m = metrics.where(F.col("metric") == metric).groupBy("clip", "tracker").agg(F.avg("value").alias("value"))
+    a, b = (m.select("clip", F.col("tracker").alias(k), F.col("value").alias(f"v_{k}")) for k in ("a", "b"))
+    gap = F.col("v_a") - F.col("v_b")
+    return a.join(b, "clip").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("clips"), F.count_if(gap > 0).alias("wins"), F.avg(gap).alias("mean_gap"))
+
+
+def scoring_inputs(manifest: DataFrame, results: DataFrame, truth: DataFrame) -> DataFrame:
+    """Every clip of the manifest (clip) with ``missing``: the sides, of results and truth (clip), that it lacks; null if it can be scored."""
+    has = lambda df, name: df.select("clip").distinct().withColumn(name, F.lit(True))
+    j = manifest.join(has(results, "_r"), "clip", "left").join(has(truth, "_t"), "clip", "left")
+    missing = F.concat_ws(" ", F.when(F.col("_r").isNull(), "results"), F.when(F.col("_t").isNull(), "truth"))
+    return j.withColumn("missing", F.when(missing != "", missing)).drop("_r", "_t")
+
+
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A small result as a Markdown table."""
-    rows = [df.columns, ["---"] * len(df.columns), *[[f"{v:.4f}" if isinstance(v, float) else "" if v is None else str(v) for v in r] for r in df.limit(most).collect()]]
+    """A small result as a Markdown table; more rows than ``most`` are an error, not cut off."""
+    found = df.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows")
+    rows = [df.columns, ["---"] * len(df.columns), *[[f"{v:.4f}" if isinstance(v, float) else "" if v is None else str(v) for v in r] for r in found]]
     return "\n".join("| " + " | ".join(r) + " |" for r in rows)

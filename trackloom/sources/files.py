@@ -70,10 +70,24 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """(clip, frame, path, content) of image folders: a clip is a folder, a frame the place of a file by name."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,jpeg,png,bmp,webp}").option("recursiveFileLookup", True).load(path)
+    if not f.select("path").head(1):
+        raise FileNotFoundError(f"no images in {path}")
     f = f.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("clip"), "path", "content")
     return f.withColumn("frame", F.row_number().over(Window.partitionBy("clip").orderBy("path")) - 1)
 
 
+def with_images(boxes: DataFrame, images: DataFrame) -> DataFrame:
+    """Boxes with ``path`` and ``content`` of their frame (``read_frames``); null where there is no image. Only images of frames that are asked for travel."""
+    asked = images.join(boxes.select("clip", "frame").distinct(), ["clip", "frame"], "left_semi")
+    return boxes.join(asked.select("clip", "frame", "path", "content"), ["clip", "frame"], "left")
+
+
+def clips_with_results(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
+    """(clip, path): folders below ``path`` that hold a result file, sorted; only names are read."""
+    f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path")
+    return f.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("clip"), "path").orderBy("clip", "path")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """``new`` and the rows of ``old`` whose key it lacks."""
     return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
