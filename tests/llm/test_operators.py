@@ -362,7 +362,7 @@ def test_large_groups_in_blocks(spark, monkeypatch):
         rows.append((i, " ".join(w), "en", "a"))
     links = jaccard_by_force(rows)
     real = jaccard.in_pieces
-    monkeypatch.setattr(jaccard, "in_pieces", lambda m, g, k, n, w, most: real(m, g, k, 32, w, 10_000))
+    monkeypatch.setattr(jaccard, "in_pieces", lambda m, g, k, n, w, most, name: real(m, g, k, 32, w, 10_000, name))
     got = {r.doc_id: r for r in jaccard.jaccard_links(docs_of(spark, rows)).collect()}
     assert all(got[i].n_links == len(links[i]) and got[i].component_id == 0 for i in range(150))
 

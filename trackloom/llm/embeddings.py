@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.blocks import in_pieces, to_cells
+from trackloom.llm.blocks import in_pieces
 from trackloom.llm.components import connected_components
 from trackloom.llm.store import stored
 
@@ -45,19 +45,29 @@ def hyperplanes(seed: int, dim: int, n: int) -> np.ndarray:
 
 
 def signatures(x: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
-    """Signs of each vector as an integer a table."""
+    """Signs of each vector as an integer a table, in as few bytes as hold them."""
     signs = (x @ hyperplanes(seed, x.shape[1], bits * tables) >= 0).reshape(len(x), tables, bits)
-    return signs.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+    return (signs.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))).astype(sig_type(bits))
 
 
-def unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+def sig_type(bits: int) -> np.dtype:
+    return np.dtype("<u1" if bits <= 8 else "<u2" if bits <= 16 else "<u4" if bits <= 32 else "<i8")
+
+
+def unit(raw: list[bytes], kind: str = "<f8") -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(float)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # else squares of very large or small components leave the range
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def component_type(vectors: DataFrame) -> str:
+    """How components are kept: floats as floats, anything else as doubles, so nothing is lost."""
+    return "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+
+
 def usable(vectors: DataFrame) -> DataFrame:
-    """rep (smallest vec_id), label, dim, vec (bytes of doubles), cnt: a row for each distinct usable vector."""
+    """vec_id, label, vec (bytes of the components) of every usable vector."""
+    kind = component_type(vectors)
     e = F.transform("embedding", lambda v: v.cast("double"))
     bad = F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     good = vectors.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull()).withColumn("e", e).where((F.size("e") > 0) & ~bad & F.exists("e", lambda v: v != 0))
@@ -65,7 +75,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = b.column(2)
-            flat, at = (col.flatten().to_numpy(zero_copy_only=False) + 0.0).astype("<f8"), np.concatenate([[0], np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False))]).astype(int)
+            flat, at = (col.flatten().to_numpy(zero_copy_only=False) + 0.0).astype(kind), np.concatenate([[0], np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False))]).astype(int)
             raw = [flat[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary())], names=["vec_id", "label", "vec"])
 
@@ -75,7 +85,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, miss: float = 0.002, seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding, label)."""
-    rows = stored(usable(vectors), "vec-rows")
+    rows, kind = stored(usable(vectors), "vec-rows"), component_type(vectors)
     classes = stored(rows.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("cnt")), "vec-classes")
     largest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 0
     bits, tables = shape(largest, threshold, miss)
@@ -85,18 +95,20 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, miss: float = 0.00
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = b.column("vec").to_pylist()
-            sig = np.zeros((len(raw), tables), np.int64)
+            sig = np.zeros((len(raw), tables), sig_type(bits))
             for n in {len(r) for r in raw}:
                 at = [i for i, r in enumerate(raw) if len(r) == n]
-                sig[at] = signatures(unit([raw[i] for i in at]), bits, tables, seed)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(sig), pa.list_(pa.int64()))], names=[*b.schema.names, "sig"])
+                sig[at] = signatures(unit([raw[i] for i in at], kind), bits, tables, seed)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.tobytes() for x in sig], pa.binary())], names=[*b.schema.names, "sig"])
 
-    hashes = nodes.select("node", "cnt", "label", "vec").mapInArrow(hashed, "node long, cnt long, label string, vec binary, sig array<long>")
+    hashes = nodes.select("node", "cnt", "label", "vec").mapInArrow(hashed, "node long, cnt long, label string, vec binary, sig binary")
     hashes = stored(hashes, "vec-hashes")
-    members = hashes.select("*", F.length("vec").alias("dim"), F.posexplode("sig").alias("t", "s")).withColumn("bucket", F.xxhash64("label", "dim", "t", "s"))
-    members = members.select("bucket", "t", "dim", "label", "node", "cnt", "vec", "sig")
-    pieces = in_pieces(members, ["bucket"], "node", BLOCK_ROWS)
-    pieces = stored(pieces.select("piece", "bucket", "i", "j", "dim", "side", "_blocks", "_n", "t", "label", "node", "cnt", "vec", "sig"), "vec-pieces")
+    # Buckets are made and cut of ids alone; vectors and signatures join what is left to compare.
+    width = sig_type(bits).itemsize
+    at = F.explode(F.sequence(F.lit(0), F.lit(tables - 1)))
+    members = hashes.select("node", "label", F.length("vec").alias("dim"), "sig", at.alias("t")).select("node", "dim", "t", F.xxhash64("label", "dim", "t", F.substring("sig", F.col("t") * width + 1, F.lit(width))).alias("bucket"))
+    pieces = in_pieces(members, ["bucket", "t", "dim"], "node", BLOCK_ROWS, name="vec-sizes")
+    pieces = pieces.join(hashes.select("node", "label", "cnt", "vec", "sig"), "node")
 
     def linked(cell: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -107,21 +119,21 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, miss: float = 0.00
             if not both and (len(g) < 2 or g["side"].iloc[0] != 2):  # one of the two blocks has no members
                 continue
             t = int(g["t"].iloc[0])
-            x, y = unit(list(a["vec"])), unit(list(b["vec"]))
+            x, y = unit(list(a["vec"]), kind), unit(list(b["vec"]), kind)
             i, j = np.nonzero(np.clip(x @ y.T, -1, 1) >= threshold)
             keep = a["label"].to_numpy()[i] == b["label"].to_numpy()[j]
             if not both:
                 keep &= i < j
             i, j = i[keep], j[keep]
             if t:
-                sa, sb = np.stack(list(a["sig"]))[:, :t], np.stack(list(b["sig"]))[:, :t]
+                sa, sb = (np.frombuffer(b"".join(v["sig"]), sig_type(bits)).reshape(len(v), tables)[:, :t] for v in (a, b))
                 step = max(1, (1 << 20) // t)
                 first = np.concatenate([~(sa[i[k : k + step]] == sb[j[k : k + step]]).any(axis=1) for k in range(0, len(i), step)] or [np.zeros(0, bool)])
                 i, j = i[first], j[first]
             out.append(linked_members(i, j, a["node"].to_numpy(), b["node"].to_numpy(), a["cnt"].to_numpy(), b["cnt"].to_numpy()))
         return pd.concat(out) if out else pd.DataFrame({"node": [], "links": [], "root": []})
 
-    links = to_cells(pieces, 8 * BLOCK_ROWS).groupBy("cell").applyInPandas(linked, "node long, links long, root long")
+    links = pieces.groupBy("cell").applyInPandas(linked, "node long, links long, root long")
     links = stored(links, "vec-links")
     return per_row(vectors, rows, nodes, links)
 

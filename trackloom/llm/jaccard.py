@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.blocks import in_pieces, to_cells
+from trackloom.llm.blocks import in_pieces
 from trackloom.llm.components import connected_components
 from trackloom.llm.embeddings import linked_members
 from trackloom.llm.filters import joined, without
@@ -209,9 +209,8 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     wanted = classes.join(groups, "node").select(F.col("rep.u").alias("u"), "node", "k1", "k2", "cnt", "n", "sig", F.col("component").alias("grp"))
     wanted = wanted.join(own.where("copies > 1").select("u", "copies"), "u", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     members = with_shingles(docs, wanted)
-    pieces = in_pieces(members, ["grp"], "node", BLOCK_ROWS, "n", BLOCK_SHINGLES).select("piece", "grp", "i", "j", "side", "_blocks", "_n", "node", "cnt", "sig", "sh")
-    pieces = stored(pieces, "jaccard-pieces")
-    links = stored(to_cells(pieces, 2 * BLOCK_ROWS).groupBy("cell").applyInPandas(links_in, "node long, links long, root long"), "jaccard-links")
+    pieces = in_pieces(members, ["grp"], "node", BLOCK_ROWS, "n", BLOCK_SHINGLES, "jaccard-sizes").select("cell", "grp", "i", "j", "side", "node", "cnt", "sig", "sh")
+    links = stored(pieces.groupBy("cell").applyInPandas(links_in, "node long, links long, root long"), "jaccard-links")
     found = links.groupBy("node").agg(F.sum("links").alias("links"))
     comp = stored(connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), "jaccard-components"), "jaccard-nodes")
     first = stored(comp.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("first")), "jaccard-first")
