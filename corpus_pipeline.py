@@ -1,4 +1,10 @@
-"""Training corpus from ``documents``: five stages, each of one numbered operator."""
+"""Training corpus from ``documents``: five stages, each of one numbered operator.
+
+Defined cases, for all stages: no rows give no rows; further columns of ``docs`` may have any names and stay as they
+are; texts of any length are handled whole. A null or empty text has no perplexity and goes in the first stage, and
+null ids and sources are kept. Rows that repeat in all columns are judged alike; one of them stays in the second
+stage, and the fourth takes what is left alike. Documents that share an id but not their text stay apart.
+"""
 
 from __future__ import annotations
 
@@ -50,7 +56,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("tokens", write_tokens),
 ]
 
-#: No SQL: language model, MinHash classes and tokenizer are beyond it; tests compare with brute force.
+#: No SQL: language model, MinHash classes and tokenizer are beyond it; tests hold every stage against plain Python.
 ORACLE_SQL = None
 
 
