@@ -158,6 +158,15 @@ def test_personal_data(spark, odd, docs, none):
     assert pii.personal_data(none).count() == 0
 
 
+def test_loose_candidates_and_long_texts():
+    one = "call (212) 555-0187 or mail jo [at] home [dot] org, ssn 123-45-6789. "
+    n = 3000
+    spans = pii.loose_spans(one * n, pii.base_spans(one * n))
+    own = pii.loose_spans(one, pii.base_spans(one))
+    assert len(own) == 3 and spans == [(s + k * len(one), c, e + k * len(one)) for k in range(n) for s, c, e in own]
+    assert pii.loose_spans("x 4111 1111 1111 1111 y", pii.base_spans("x 4111 1111 1111 1111 y")) == []
+
+
 def test_weak_supervision_finds_reliable_labelers():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.4

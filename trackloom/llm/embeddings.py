@@ -10,8 +10,9 @@ Identical vectors are one class before hashing: a vector that a third of all row
 Links of classes are weighted by their sizes.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components and vectors
-without label link with nothing, and neither do vectors of different lengths; rows that share a
-vec_id are copies or stay separate vectors with that id.
+without label or vec_id link with nothing, and neither do vectors of different lengths; rows that share a
+vec_id are copies or stay separate vectors with that id; a cosine right at the threshold links; other columns
+may have any names.
 """
 
 from __future__ import annotations

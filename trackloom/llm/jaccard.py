@@ -14,7 +14,9 @@ A row is made for a class, never for a pair, so a group of copies costs its size
 Defined cases: a document of fewer than five words, but not none, has one shingle of all its words;
 one without words (or with a null text) links with nothing and is kept. Rows have a key of their own, made
 of id and text, so different texts may share an id and null ids take part (they come last). Each row
-gets a row of the result, and exactly one row of a component is kept, however often it is repeated.
+gets a row of the result, and exactly one row of a component is kept, however often it is repeated; of texts that
+share the smallest id one stays. A similarity right at the threshold links. A text of any length is one text; other
+columns may have any names.
 """
 
 from __future__ import annotations

@@ -9,12 +9,14 @@ training labels of a logistic span classifier, which decides on the candidates.
 Texts are read once and stay where they are. What is gathered is a count for each vote pattern and
 feature code: 972 patterns and 1,728 codes at most, whatever the corpus.
 
-Defined cases: a null text has no spans; an empty corpus trains nothing and adds nothing; repeated
-rows get equal spans.
+Defined cases: a null or empty text has no spans; an empty corpus trains nothing and adds nothing; a text of any
+length is read whole; of overlapping candidates the first pattern's and then the leftmost counts; a probability
+right at the threshold is taken; repeated rows get equal spans; other columns may have any names.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -87,11 +89,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates that touch no base span and no earlier candidate."""
-    taken, found = [(s, e) for s, _, e in base], []
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, _, e in base:  # in order; spans of two kinds may overlap
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    found = []
     for kind, pattern in _LOOSE if _AT.search(text) else _LOOSE[1:]:
         for m in pattern.finditer(text):
-            if all(e <= m.start() or m.end() <= s for s, e in taken):
-                taken.append((m.start(), m.end()))
+            at = bisect.bisect_left(starts, m.end())
+            if not at or ends[at - 1] <= m.start():
+                starts.insert(at, m.start())
+                ends.insert(at, m.end())
                 found.append((m.start(), kind, m.end()))
     return sorted(found)
 

@@ -20,7 +20,9 @@ documents share costs each task a row, not one task all of them. Steps 2 and 4,
 128 bits, of two kinds.
 
 Defined cases: a null text is empty; a text of fewer than 200 bytes loses nothing; rows that repeat
-an id (or have none) are told apart by id and text, and equal rows are each other's copies.
+an id (or have none) are told apart by id and text, and equal rows are each other's copies; a text of any
+length is one text, read in one piece; a string that repeats in its own text counts as any other; other columns
+may have any names.
 """
 
 from __future__ import annotations

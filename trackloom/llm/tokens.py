@@ -17,6 +17,10 @@ samples    uint32 position in ``high`` of every 64th one
 
 Offsets inside a shard are relative, so no table of 64-bit offsets is kept; global starts are
 prefix sums over shards.
+
+Defined cases: a null or empty text has the end id alone; a null id sorts first and is stored as the least long;
+rows that share an id stay separate, in order of their texts, and equal rows follow one another; a text of any length is
+encoded whole; no rows give an empty data set; other columns may have any names.
 """
 
 from __future__ import annotations

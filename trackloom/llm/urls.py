@@ -5,7 +5,9 @@ URL table: by default the ``LABELLED`` URLs of the input with the least hashes f
 gives the label. All steps are Spark's own (``pyspark.ml``), with coefficients of fixed size.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path; no labelled URL at all
-allows what no rule decides; repeated pages are judged alike.
+allows what no rule decides; of rules of equal length the last in the order of their text counts; a probability
+right at one half blocks; a URL of any length is read whole; repeated pages are judged alike; other columns
+may have any names.
 """
 
 from __future__ import annotations
