@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's own settings while a table is written: shuffle files of a query go when it has ended, and
 #: what goes to Python at once is bounded by bytes, not by rows of any length alone.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20)}
 
 
 def shared_folder(spark: SparkSession) -> str:
