@@ -35,6 +35,7 @@ from trackloom.llm.blocks import in_pieces
 from trackloom.llm.components import connected_components
 from trackloom.llm.embeddings import linked_members
 from trackloom.llm.filters import joined, without
+from trackloom.llm.memory import give_back, tidy
 from trackloom.llm.store import stored
 from trackloom.llm.text import chunks, mixed, sequence_keys, shingles, words
 
@@ -99,7 +100,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[b.column(i).slice(first, last - first) for i in (0, 1)], pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n), pa.array(sig, pa.binary())], names=["u", "doc_id", "k1", "k2", "n", "sig"])
 
     rows = docs.select(own_key(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "u struct<i: long, h: long>, doc_id long, k1 long, k2 long, n long, sig binary")
+    return rows.mapInArrow(tidy(run), "u struct<i: long, h: long>, doc_id long, k1 long, k2 long, n long, sig binary")
 
 
 def with_shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -123,7 +124,7 @@ def with_shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield out.filter(pa.array(own))
 
     schema = ", ".join(f"{c} {t}" for c, t in wanted.dtypes) + ", sh binary"
-    out = stored(rows.mapInArrow(run, schema), "jaccard-members")
+    out = stored(rows.mapInArrow(tidy(run), schema), "jaccard-members")
     return out.where("copies = 1").unionByName(out.where("copies > 1").dropDuplicates(["node"]))
 
 
@@ -191,6 +192,7 @@ def links_in(cell: pd.DataFrame) -> pd.DataFrame:
         reps, cnts = [p["node"].to_numpy() for p in parts], [p["cnt"].to_numpy() for p in parts]
         if ok.any():
             out.append(linked_members(i[ok], j[ok], reps[0], reps[-1], cnts[0], cnts[-1]))
+    give_back()
     return pd.concat(out) if out else pd.DataFrame({"node": [], "links": [], "root": []})
 
 

@@ -44,6 +44,8 @@ GRAM = 16
 SPREAD = 120
 CORE = LENGTH - SPREAD + 1
 BLOCK = 8
+#: Bytes of text in which repeats are settled before anything is sent.
+RUN_BYTES = 2 << 20
 
 
 #: Primes below 2**31 and bases of the second fingerprint; products stay below 2**62.
@@ -174,7 +176,7 @@ def mapped_texts(rows: DataFrame, emit: Callable, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, last, data, offsets in chunks(b.column(1)):
+            for first, last, data, offsets in chunks(b.column(1), RUN_BYTES):
                 yield from emit(b.slice(first, last - first), data, offsets)
 
     return rows.mapInArrow(run, schema)

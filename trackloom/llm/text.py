@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once in a task; a longer document is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

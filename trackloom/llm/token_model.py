@@ -18,16 +18,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.llm.memory import tidy
 from trackloom.llm.store import stored
 from trackloom.llm.text import mixed
 from trackloom.llm.tokens import encoded, encoder
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Rows of the table in a part, which a task holds as arrays (12 bytes a row).
 PART_ROWS = 4_000_000
 PARTS = 24
@@ -84,9 +84,8 @@ def counted(docs: DataFrame, tokenizer: str) -> DataFrame:
                     held.clear()
         if held:
             yield rows()
-        pa.default_memory_pool().release_unused()  # workers stay on between tasks
 
-    parts = docs.select("fold", "text").mapInArrow(run, "fold int, b int, c int, n long")
+    parts = docs.select("fold", "text").mapInArrow(tidy(run), "fold int, b int, c int, n long")
     return parts.groupBy("fold", "b", "c").agg(F.sum("n").alias("n"))
 
 
@@ -200,7 +199,6 @@ def sums(texts: DataFrame, m: Model, tokenizer: str) -> DataFrame:
                         rows.append((p, salt, 1, k[new].tobytes(), np.diff(np.append(new, len(k))).astype(np.uint32).tobytes(), d.tobytes(), k1, k2, b"", b""))
                 del b, c, n, doc, fold, order, part, key
                 yield sent([*rows, (0, salt, 1, b"", b"", b"", k1, k2, local.tobytes(), counts.tobytes())])
-        pa.default_memory_pool().release_unused()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows by part, the table's before the texts'."""
@@ -230,11 +228,11 @@ def sums(texts: DataFrame, m: Model, tokenizer: str) -> DataFrame:
                 some = (s != 0) | (n > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (k1, k2, s, n)], names=["k1", "k2", "s", "n"])
 
-    pairs_sent = table.select("fold", "b", "c", "n").mapInArrow(model_rows, SENT)
+    pairs_sent = table.select("fold", "b", "c", "n").mapInArrow(tidy(model_rows), SENT)
     out = None
     for r in range(ROUNDS):
         some = texts.where(F.pmod(F.xxhash64(F.lit(23), "k1", "k2"), F.lit(ROUNDS)) == r).select("k1", "k2", "fold", "text")
-        met = pairs_sent.unionByName(some.mapInArrow(text_rows, SENT)).repartition("part", "salt").sortWithinPartitions("part", "salt", "kind").mapInArrow(meet, "k1 long, k2 long, s double, n long")
+        met = pairs_sent.unionByName(some.mapInArrow(tidy(text_rows), SENT)).repartition("part", "salt").sortWithinPartitions("part", "salt", "kind").mapInArrow(tidy(meet), "k1 long, k2 long, s double, n long")
         part = stored(met.groupBy("k1", "k2").agg(F.sum("s").alias("s"), F.sum("n").alias("n")), "quality-sums")
         out = part if out is None else out.unionByName(part)
     return out

@@ -35,6 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.llm.memory import tidy
 from trackloom.llm.store import new_path, writing
 from trackloom.llm.text import runs_of
 
@@ -43,9 +44,9 @@ SHARD_TOKENS = 1 << 20
 #: Documents of a shard whose ends are selected at once.
 READ_DOCS = 4096
 #: Bytes of text encoded at once in a task; a longer document is encoded alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Words kept with their ids in a Python worker (about 200 bytes a word).
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 SCHEMA = "part_first long, seq long, n_docs long, n_tokens long, width int, ids binary, doc_ids binary, low binary, high binary, samples binary"
 
 
@@ -267,11 +268,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
                     yield shard()
         if held:
             yield shard()
-        pa.default_memory_pool().release_unused()  # workers stay on between tasks
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
     with writing(docs.sparkSession):
-        rows.repartitionByRange("k").sortWithinPartitions("k", "t").mapInArrow(encode, SCHEMA).write.parquet(path)
+        rows.repartitionByRange("k").sortWithinPartitions("k", "t").mapInArrow(tidy(encode), SCHEMA).write.parquet(path)
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
@@ -301,7 +301,7 @@ def read_tokens(spark, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(keys[i:j]), pa.array(starts + r["base"]), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     starts = shard_starts(shards.select("part_first", "seq", "n_tokens"))
-    return shards.join(starts, ["part_first", "seq"]).mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.join(starts, ["part_first", "seq"]).mapInArrow(tidy(decode), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_ids(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
