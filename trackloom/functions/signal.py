@@ -1,67 +1,65 @@
-"""Filters over the values of a track in row order, as array expressions.
+"""Filters over the values of a track in row order: one array for a track in, one out.
 
-A track is one array, so its values stay in one row; a filter is a transform over its positions.
+A running median over an array needs a sort of a slice for each place. As higher-order functions that is
+interpreted for every element; in NumPy, on Arrow batches of whole arrays, the filters of a track are a few vector
+operations (smoothing 1.1 million boxes: 15 seconds before, see the README for what it takes now).
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def let(value: Column, f) -> Column:
-    """``f(value)`` with the value computed once for a row, however often f uses it."""
-    return F.transform(F.array(value), f)[0]
+def odd_window(window: int, n: int) -> int:
+    """``min(window, n)``, one less if even, at least 1."""
+    w = min(window, n)
+    return max(w - (w % 2 == 0), 1)
 
 
-def odd_window(window: int, n: Column) -> Column:
-    """``min(window, n)``, one less if even, at least 1."""
-    w = F.least(F.lit(window), n)
-    return F.greatest(F.when(w % 2 == 0, w - 1).otherwise(w), F.lit(1))
+def running_middle(padded: np.ndarray, window: int) -> np.ndarray:
+    return np.partition(sliding_window_view(padded, window), window // 2, axis=1)[:, window // 2]
 
 
-def median_edge(values: Column, window: int) -> Column:
+def edge_median(x: np.ndarray, window: int) -> np.ndarray:
     """Running median; beyond the ends the end values repeat."""
+    w = odd_window(window, len(x))
+    return running_middle(np.pad(x, w // 2, "edge"), w) if len(x) else x
 
-    def run(v: Column) -> Column:
-        half = ((odd_window(window, F.size(v)) - 1) / 2).cast("int")
-        padded = F.concat(F.array_repeat(v[0], half), v, F.array_repeat(F.element_at(v, -1), half))
-        return let(padded, lambda p: F.transform(F.sequence(F.lit(1), F.size(v)), lambda i: F.sort_array(F.slice(p, i, half * 2 + 1))[half]))
 
-    return let(values, run)
+def gaussian_weights(sigma: float, truncate: float = 4.0) -> np.ndarray:
+    radius = int(truncate * sigma + 0.5)
+    w = np.array([math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)])
+    return w / w.sum()
 
 
-def median_zero(values: Column, window: int) -> Column:
-    """Running median of an odd window; beyond the ends are zeros."""
-    half = window // 2
-    zeros = F.array_repeat(F.lit(0.0), half)
-    return let(F.concat(zeros, values, zeros), lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 2 * half), lambda i: F.sort_array(F.slice(p, i, window))[half]))
+def smoothed(x: np.ndarray, window: int, sigma: float) -> np.ndarray:
+    """Median of an odd window with zeros beyond the ends, then a Gaussian with mirrored ones; shorter than ``max(window, 5)`` stays as it is."""
+    if len(x) < max(window, 5):
+        return x
+    kernel = gaussian_weights(sigma)
+    middle = running_middle(np.pad(x, window // 2), window)
+    return np.convolve(np.pad(middle, len(kernel) // 2, "symmetric"), kernel, "valid")
 
 
-def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
-    radius = int(truncate * sigma + 0.5)
-    w = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-    return [x / sum(w) for x in w]
+def median_edge(values: Column, window: int) -> Column:
+    """``edge_median`` of an array column."""
 
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: edge_median(np.asarray(x, float), window))
 
-def gaussian_reflect(values: Column, sigma: float) -> Column:
-    """Gaussian filter; beyond the ends values are mirrored, the end value included."""
-    w = gaussian_weights(sigma)
-    radius = len(w) // 2
-    kernel = F.array(*map(F.lit, w))
+    return F.pandas_udf(run, "array<double>")(values)
 
-    def run(v: Column) -> Column:
-        n = F.size(v)
-        place = lambda k: F.when(F.pmod(k, 2 * n) < n, F.pmod(k, 2 * n)).otherwise(2 * n - 1 - F.pmod(k, 2 * n))
-        padded = F.transform(F.sequence(F.lit(-radius), n + (radius - 1)), lambda k: F.get(v, place(k).cast("int")))
-        dot = lambda p, i: F.aggregate(F.zip_with(F.slice(p, i, len(w)), kernel, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        return let(padded, lambda p: F.transform(F.sequence(F.lit(1), n), lambda i: dot(p, i)))
 
-    return let(values, run)
+def smooth(values: Column, window: int = 11, sigma: float = 3.0) -> Column:
+    """``smoothed`` of an array column."""
 
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: smoothed(np.asarray(x, float), window, sigma))
 
-def smooth(values: Column, window: int = 11, sigma: float = 3.0) -> Column:
-    """Median with zeros outside, then Gaussian; shorter than ``max(window, 5)`` stays as it is."""
-    return F.when(F.size(values) < max(window, 5), values).otherwise(gaussian_reflect(median_zero(values, window), sigma))
+    return F.pandas_udf(run, "array<double>")(values)

@@ -285,9 +285,10 @@ def stitch_components(log: DataFrame) -> DataFrame:
 
 
 def stitch(df: DataFrame, **knobs) -> DataFrame:
-    """Tracks stitched across long gaps, which are not filled; of equal frames the higher confidence stays."""
-    m = stitch_components(stitch_log(df, **knobs)).withColumnRenamed("tid", "_old").withColumnRenamed("clip", "_clip")
-    rows = df.join(m, (df["clip"] == m["_clip"]) & (df["tid"] == m["_old"]), "left").withColumn("_was", F.col("tid")).withColumn("tid", F.coalesce("new_tid", "tid"))
-    best = F.max_by(F.struct(*ordered.VALUES), F.struct("conf", -F.col("_was")))
-    return rows.groupBy("clip", "tid", "frame").agg(best.alias("b")).select("clip", "frame", "tid", "b.*")
-
+    """Tracks stitched across long gaps, which are not filled; of equal frames the higher confidence stays. Tracks without a link pass by."""
+    cols = ["clip", "frame", "tid", *ordered.VALUES]
+    m = stored(stitch_components(stitch_log(df, **knobs)), "stitch-names")
+    linked = df.select(*cols).join(m, ["clip", "tid"])
+    best = F.max_by(F.struct(*ordered.VALUES), F.struct("conf", -F.col("tid")))
+    one = linked.groupBy("clip", "frame", F.col("new_tid").alias("tid")).agg(best.alias("b")).select("clip", "frame", "tid", "b.*")
+    return df.select(*cols).join(m, ["clip", "tid"], "left_anti").select(*cols).unionByName(one)
