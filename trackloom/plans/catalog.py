@@ -273,7 +273,7 @@ head_fit AS (
   FROM heads WHERE r <= 3 GROUP BY clip, tid)"""
 
 
-@query("SELECT clip, tid, round(s1, 6) AS s_x1, round(s4, 6) AS s_y2, round(m1 + s1 * (f0 - 5 - mf), 6) AS x1_before FROM head_fit", f"{DET}, {SEG}, {HEAD_FIT}")
+@query("SELECT clip, tid, round(s1, 6) + 0 AS s_x1, round(s4, 6) + 0 AS s_y2, round(m1 + s1 * (f0 - 5 - mf), 6) + 0 AS x1_before FROM head_fit", f"{DET}, {SEG}, {HEAD_FIT}")
 def head_fit(spark, d):
     """Tracks drawn on backwards by their first rows."""
     s = segments(spark, d)
