@@ -259,7 +259,7 @@ def endpoints_velocity(spark, d):
     return e.select("clip", "tid", "n", "f0", "f1", F.col("head.x1").alias("head_x1"), F.col("tail.y2").alias("tail_y2"), "vx", "vy")
 
 
-@query("SELECT clip, tid, round(coalesce(s1, 0), 6) AS s_x1, round(coalesce(s4, 0), 6) AS s_y2, round(m1 + coalesce(s1, 0) * (f1 + 5 - mf), 6) AS x1_later FROM fit JOIN ends USING (clip, tid)", f"{DET}, {SEG}, {ENDS}")
+@query("SELECT clip, tid, round(coalesce(s1, 0), 6) + 0 AS s_x1, round(coalesce(s4, 0), 6) + 0 AS s_y2, round(m1 + coalesce(s1, 0) * (f1 + 5 - mf), 6) + 0 AS x1_later FROM fit JOIN ends USING (clip, tid)", f"{DET}, {SEG}, {ENDS}")
 def tail_fit(spark, d):
     s = segments(spark, d)
     last = s.groupBy("clip", "tid").agg(F.max("frame").alias("f1"))
