@@ -266,6 +266,25 @@ LABELLED: list[list[tuple[int, str]]] = [
         (1, "<p>{12}</p><p>{30}</p><p>{10}</p><p>{28}</p><p>{9}</p><p>{35}</p><p>{5}</p><p>{33}</p>"),
         (0, "<div>{5}</div><div>{3}</div>"),
     ],
+    [
+        (0, "<div>{8}</div><div><a>{2}</a></div><div>{2}</div><div><a>{1}</a> <a>{1}</a></div><div>{11}</div><div><a>{3}</a></div>"),
+        (1, "<div><p>{40}</p><p>{2}</p><p>{50}</p><p>{1}</p><p>{33}</p><p>{2}</p><p>{29}</p></div>"),
+        (0, "<div><a>{2}</a></div><div>{10}</div><div><a>{1}</a></div><div>{2}</div>"),
+    ],
+    [
+        (0, "<div><a>{3}</a></div><p>{6}</p><div><a>{2}</a></div><p>{7}</p><div><a>{2}</a></div>"),
+        (1, "<p>{61}</p><p>{1}</p><p>{44}</p><p>{2}</p><p>{57}</p>"),
+        (0, "<div><a>{4}</a></div><p>{12}</p><div><a>{2}</a></div><p>{1}</p>"),
+    ],
+    [(1, "<article><h1>{6}</h1><p>{50}</p><p>{4}</p></article>")],
+    [(1, "<article><p>{64}</p><p>{3}</p></article>"), (0, "<div>{3}</div>")],
+    [(1, "<main><p>{22}</p></main>"), (0, "<footer>{5}</footer>")],
+    [(0, "<nav>{4}</nav>"), (1, "<article><p>{3}</p></article>")],
+    [(0, "<div><a>{2}</a></div>"), (1, "<article><p><a>{3}</a></p><p>{2} <a>{4}</a></p></article>")],
+    [(1, "<h1>{5}</h1><p>{60}</p><p>{45}</p><p>{80}</p>")],
+    [(1, "<p>{30}</p>")],
+    [(1, "<p>{52}</p><p>{36}</p>"), (0, "<p><a>{2}</a></p>")],
+    [(0, "<div><a>{2}</a></div>"), (1, "<h2>{4}</h2><p>{75}</p><p>{48}</p>")],
 ]
 
 
