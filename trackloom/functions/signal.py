@@ -47,19 +47,19 @@ def smoothed(x: np.ndarray, window: int, sigma: float) -> np.ndarray:
     return np.convolve(np.pad(middle, len(kernel) // 2, "symmetric"), kernel, "valid")
 
 
-def median_edge(values: Column, window: int) -> Column:
+def median_edge(values: Column, window: int | Column) -> Column:
     """``edge_median`` of an array column."""
 
-    def run(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: edge_median(np.asarray(x, float), window))
+    def run(v: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series([edge_median(np.asarray(x, float), n) for x, n in zip(v, w, strict=True)], dtype=object)
 
-    return F.pandas_udf(run, "array<double>")(values)
+    return F.pandas_udf(run, "array<double>")(values, F.lit(window))
 
 
-def smooth(values: Column, window: int = 11, sigma: float = 3.0) -> Column:
+def smooth(values: Column, window: int | Column = 11, sigma: float | Column = 3.0) -> Column:
     """``smoothed`` of an array column."""
 
-    def run(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: smoothed(np.asarray(x, float), window, sigma))
+    def run(v: pd.Series, w: pd.Series, s: pd.Series) -> pd.Series:
+        return pd.Series([smoothed(np.asarray(x, float), n, k) for x, n, k in zip(v, w, s, strict=True)], dtype=object)
 
-    return F.pandas_udf(run, "array<double>")(values)
+    return F.pandas_udf(run, "array<double>")(values, F.lit(window), F.lit(sigma))

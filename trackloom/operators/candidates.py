@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from trackloom.functions import geometry as g
 
 
-def gap_pairs(ends: DataFrame, low: int, high: int, ids: str = "tid") -> DataFrame:
-    """Ordered pairs of a clip with ``low <= b.f0 - a.f1 <= high``, all columns prefixed a_ and b_.
+def gap_pairs(ends: DataFrame, low: int | Column, high: int | Column, ids: str = "tid") -> DataFrame:
+    """Ordered pairs of a clip with ``low <= b.f0 - a.f1 <= high``, all columns prefixed a_ and b_. Bounds may be Columns over ``clip``.
 
     Heads are bucketed by frame in widths of ``high``; a tail looks into the two buckets that its
     range can touch, so the join is an equality on clip and bucket.
     """
-    a = ends.select([F.col(c).alias(f"a_{c}") for c in ends.columns])
-    b = ends.select([F.col(c).alias(f"b_{c}") for c in ends.columns])
-    bucket = lambda f: F.floor(f / high)
-    a = a.withColumn("_k", F.explode(F.sequence(bucket(F.col("a_f1") + low), bucket(F.col("a_f1") + high))))
-    b = b.withColumn("_k", bucket(F.col("b_f0")))
-    p = a.join(b, (F.col("a_clip") == F.col("b_clip")) & (a["_k"] == b["_k"]) & (F.col("b_f0") - F.col("a_f1")).between(low, high) & (F.col(f"a_{ids}") != F.col(f"b_{ids}")))
-    return p.drop("_k").withColumn("gap", F.col("b_f0") - F.col("a_f1"))
+    bounded = ends.withColumns({"_low": F.lit(low), "_high": F.lit(high)})
+    a = bounded.select([F.col(c).alias(f"a_{c}") for c in bounded.columns])
+    b = bounded.select([F.col(c).alias(f"b_{c}") for c in bounded.columns])
+    a = a.withColumn("_k", F.explode(F.sequence(F.floor((F.col("a_f1") + F.col("a__low")) / F.col("a__high")), F.floor((F.col("a_f1") + F.col("a__high")) / F.col("a__high")))))
+    b = b.withColumn("_k", F.floor(F.col("b_f0") / F.col("b__high"))).drop("b__low", "b__high")
+    inside = (F.col("b_f0") - F.col("a_f1")).between(F.col("a__low"), F.col("a__high"))
+    p = a.join(b, (F.col("a_clip") == F.col("b_clip")) & (a["_k"] == b["_k"]) & inside & (F.col(f"a_{ids}") != F.col(f"b_{ids}")))
+    return p.drop("_k", "a__low", "a__high").withColumn("gap", F.col("b_f0") - F.col("a_f1"))
 
 
 def merge_candidates(ends: DataFrame, fits: DataFrame, max_gap: int = 48, iou: float = 0.10, ids: str = "tid") -> DataFrame:
@@ -44,9 +45,9 @@ def long_gap_candidates(ends: DataFrame, max_gap: int = 48, pose_max_gap: int =
     return p.withColumn("dist", d).where(F.col("dist") <= max_distance)
 
 
-def stitch_candidates(ends: DataFrame, max_gap: int = 400, max_jump: float = 2000.0, max_ratio: float = 4.0, cap: float = 200.0, ids: str = "tid") -> DataFrame:
+def stitch_candidates(ends: DataFrame, max_gap: int | Column = 400, max_jump: float | Column = 2000.0, max_ratio: float | Column = 4.0, cap: float = 200.0, ids: str = "tid") -> DataFrame:
     """Every tail and later head within ``max_gap`` empty frames, with position error and size ratios and whether both pass."""
-    p = gap_pairs(ends, 1, max_gap + 1, ids).withColumn("gap", F.col("gap") - 1)
+    p = gap_pairs(ends.withColumns({"_jump": F.lit(max_jump), "_ratio": F.lit(max_ratio)}), 1, max_gap + 1, ids).withColumn("gap", F.col("gap") - 1)
     steps = F.col("gap") + 1
     dx, dy = g.capped(F.col("a_vx") * steps, F.col("a_vy") * steps, cap)
     tail, head = g.field_box(F.col("a_tail")), g.field_box(F.col("b_head"))
@@ -55,17 +56,29 @@ def stitch_candidates(ends: DataFrame, max_gap: int = 400, max_jump: float = 200
     hx, hy = g.centre(head)
     p = p.withColumn("pos_diff", g.distance((F.col("px"), F.col("py")), (hx, hy)))
     p = p.withColumn("w_ratio", g.side_ratio(g.width(tail), g.width(head))).withColumn("h_ratio", g.side_ratio(g.height(tail), g.height(head)))
-    return p.withColumn("size_ok", (F.col("w_ratio") <= max_ratio) & (F.col("h_ratio") <= max_ratio)).withColumn("pos_ok", F.col("pos_diff") <= max_jump)
+    most = F.col("a__ratio")
+    p = p.withColumn("size_ok", (F.col("w_ratio") <= most) & (F.col("h_ratio") <= most)).withColumn("pos_ok", F.col("pos_diff") <= F.col("a__jump"))
+    return p.drop("a__jump", "a__ratio", "b__jump", "b__ratio")
 
 
-def overlap_pairs(df: DataFrame, iou: float = 0.7, min_frames: int = 5, ids: str = "tid") -> DataFrame:
-    """Unordered pairs that share frames: common frames and mean overlap, at least the bounds.
+def _common_frames(df: DataFrame, ids: str) -> DataFrame:
+    """Unordered pairs that share frames: how many, and the mean and largest overlap.
 
     The join is on clip and frame, so its size follows the boxes of a frame; sums combine on the map side.
     """
     cols = ["clip", "frame", ids, *g.BOX]
     a = df.select([F.col(c).alias(c if c in ("clip", "frame") else f"a_{c}") for c in cols])
     b = df.select([F.col(c).alias(c if c in ("clip", "frame") else f"b_{c}") for c in cols])
-    p = a.join(b, ["clip", "frame"]).where(F.col(f"a_{ids}") < F.col(f"b_{ids}"))
-    s = p.groupBy("clip", f"a_{ids}", f"b_{ids}").agg(F.count("*").alias("common"), F.avg(g.iou(g.box("a_"), g.box("b_"))).alias("mean_iou"))
-    return s.where((F.col("common") >= min_frames) & (F.col("mean_iou") >= iou))
+    p = a.join(b, ["clip", "frame"]).where(F.col(f"a_{ids}") < F.col(f"b_{ids}")).withColumn("iou", g.iou(g.box("a_"), g.box("b_")))
+    return p.groupBy("clip", f"a_{ids}", f"b_{ids}").agg(F.count("*").alias("common"), F.avg("iou").alias("mean_iou"), F.max("iou").alias("_most"))
+
+
+def overlap_pairs(df: DataFrame, iou: float | Column = 0.7, min_frames: int | Column = 5, ids: str = "tid") -> DataFrame:
+    """Unordered pairs that share frames: common frames and mean overlap, at least the bounds."""
+    return _common_frames(df, ids).where((F.col("common") >= min_frames) & (F.col("mean_iou") >= iou)).drop("_most")
+
+
+def touching_pairs(df: DataFrame, iou: float | Column = 0.7, min_frames: int | Column = 5, ids: str = "tid") -> DataFrame:
+    """Unordered pairs that touch in some frame; ``mean_iou`` is null where ``overlap_pairs`` would leave the pair out."""
+    enough = (F.col("common") >= min_frames) & (F.col("mean_iou") >= iou)
+    return _common_frames(df, ids).where("_most > 0").select("clip", f"a_{ids}", f"b_{ids}", F.when(enough, F.col("mean_iou")).alias("mean_iou"))

@@ -1,4 +1,4 @@
-"""Filters of rows, tracks and segments. A *group* is what a track is keyed by, e.g. (clip, tid)."""
+"""Filters of rows, tracks and segments. A *group* is what a track is keyed by, e.g. (clip, tid). A bound is a number or a Column over ``clip``."""
 
 from __future__ import annotations
 
@@ -42,9 +42,9 @@ def min_length(df: DataFrame, min_total: int, group: tuple[str, ...] = TRACK, id
     return having(df, group, (F.col(ids) < 0) | (F.col("_n") >= min_total), n=F.count(F.lit(1)))
 
 
-def gate(df: DataFrame, min_len: int = 60, min_conf: float = 0.55, min_p90: float = 0.84, group: tuple[str, ...] = TRACK) -> DataFrame:
-    """Whole tracks by length, mean and 90th percentile of confidence, bounds included."""
-    return having(df, group, (F.col("_n") >= min_len) & (F.col("_m") >= min_conf) & (F.col("_p") >= min_p90), n=F.count(F.lit(1)), m=F.avg("conf"), p=F.percentile("conf", F.lit(0.9)))
+def gate(df: DataFrame, min_len: int | Column = 60, min_conf: float | Column = 0.55, min_p90: float | Column = 0.84, group: tuple[str, ...] = TRACK, off: Column | None = None) -> DataFrame:
+    """Whole tracks by length, mean and 90th percentile of confidence, bounds included; where ``off`` holds, all of them."""
+    return having(df, group, (F.lit(False) if off is None else off) | (F.col("_n") >= min_len) & (F.col("_m") >= min_conf) & (F.col("_p") >= min_p90), n=F.count(F.lit(1)), m=F.avg("conf"), p=F.percentile("conf", F.lit(0.9)))
 
 
 def prune_detections(df: DataFrame, min_total_frames: int, min_conf: float, max_per_frame: int | None = None) -> DataFrame:
@@ -68,19 +68,20 @@ def top_tracks(df: DataFrame, k: int = 25, ids: tuple[str, ...] = ("tid",)) -> D
     return keep_groups(df, n.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k), ("clip", *ids))
 
 
-def trim_edges(df: DataFrame, threshold: float, max_trim: int, min_total: int, group: tuple[str, ...] = TRACK) -> DataFrame:
+def trim_edges(df: DataFrame, threshold: float | Column, max_trim: int | Column, min_total: int | Column, group: tuple[str, ...] = TRACK) -> DataFrame:
     """Drops up to ``max_trim`` rows below ``threshold`` at each end, then tracks left too short. Off where either bound is 0."""
-    if threshold <= 0 or max_trim <= 0:
+    if any(not isinstance(v, Column) and v <= 0 for v in (threshold, max_trim)):
         return df
+    on = (F.lit(threshold) > 0) & (F.lit(max_trim) > 0)
     whole = Window.partitionBy(*group)
     by = whole.orderBy("frame")
     r = df.withColumn("_i", F.row_number().over(by) - 1).withColumn("_n", F.count("*").over(whole))
     good = F.col("conf") >= threshold
     r = r.withColumn("_first", F.min(F.when(good, F.col("_i"))).over(whole)).withColumn("_last", F.max(F.when(good, F.col("_i"))).over(whole))
     head = F.least(F.coalesce("_first", "_n"), F.lit(max_trim), F.col("_n"))
-    r = r.withColumn("_head", head)
+    r = r.withColumn("_head", F.when(on, head).otherwise(0))
     tail = F.least(F.when(F.col("_last").isNull(), F.col("_n")).otherwise(F.col("_n") - 1 - F.col("_last")), F.lit(max_trim), F.col("_n") - F.col("_head"))
-    r = r.withColumn("_tail", tail).where(F.col("_n") - F.col("_head") - F.col("_tail") >= min_total)
+    r = r.withColumn("_tail", F.when(on, tail).otherwise(0)).where(~on | (F.col("_n") - F.col("_head") - F.col("_tail") >= min_total))
     return r.where((F.col("_i") >= F.col("_head")) & (F.col("_i") < F.col("_n") - F.col("_tail"))).drop("_i", "_n", "_first", "_last", "_head", "_tail")
 
 

@@ -1,8 +1,11 @@
-"""Identity resolution: order-dependent merging, by clip.
+"""Identity resolution: order-dependent merging inside parts of a clip that can't touch one another.
 
-Spark finds candidates, groups rows and relabels; a task decides for the clips dealt to it. Merging
+Spark finds candidates, cuts clips into such parts and relabels; a task decides for the parts dealt to it. Merging
 only reads the ends of tracks (its last three rows and first one), so short- and long-gap merging get
-a row for each track, not the clip's rows. Ties are settled by (first frame, last frame, id).
+a row for each track, and the tracks of one island of time at most. Overlapping tracks are decided by
+component, stitching by edges that come first at both ends. Ties are settled by (first frame, last frame, id).
+
+A knob is a number, or a Column over ``clip`` where clips differ in it.
 """
 
 from __future__ import annotations
@@ -13,11 +16,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as g
-from trackloom.operators import candidates, ordered
+from trackloom.operators import candidates, graph, ordered
 from trackloom.sources.store import stored
 
 MAPPING = "clip string, tid long, new_tid long, seq int"
@@ -161,8 +164,20 @@ def merge_ends(tracks: list[_Ends], max_gap: int, iou: float, long_gap: int, max
     return [t for t in every if id(t) not in gone]
 
 
+def with_islands(ends: DataFrame, reach: Column) -> DataFrame:
+    """``ends`` with ``island``: a new one begins where no track of the clip ends within ``reach`` frames before a head, nor goes on.
+
+    Merging links a tail to a head within ``reach`` after it, and a merged track ends where its last member does, so nothing
+    ever links tracks of two islands. The windows see a row for each track and hold none of them.
+    """
+    w = Window.partitionBy("clip").orderBy("f0", "tid")
+    before = F.max("f1").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    far = F.when(F.col("f0") - before > reach, 1).otherwise(0)
+    return ends.withColumn("_new", far).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
 def id_mapping(
-    df: DataFrame, max_gap: int = 48, iou: float = 0.10, long_gap: int = 120, max_distance: float = 150.0, ids: str = "tid",
+    df: DataFrame, max_gap: int | Column = 48, iou: float | Column = 0.10, long_gap: int | Column = 120, max_distance: float | Column = 150.0, ids: str = "tid",
     look: str | None = None, least_look: float = 0.0, pose: tuple[str, str] | None = None, least_pose: float = 0.0,
 ) -> DataFrame:
     """(clip, tid, new_tid, seq): which tracks are one, and their order in it. Rows of ``df`` must be without gaps inside a track.
@@ -170,19 +185,28 @@ def id_mapping(
     ``look`` names a column of appearance vectors, ``pose`` those of key points (array of [x, y]) and their scores.
     """
     last = Window.partitionBy("clip", ids).orderBy(F.col("frame").desc())
-    rows = df.withColumn("_r", F.row_number().over(last))
-    tail = rows.where("_r <= 3").groupBy("clip", F.col(ids).alias("tid")).agg(F.array_sort(F.collect_list(F.array(F.col("frame").cast("double"), *g.BOX))).alias("last"))
+    rows = df.withColumn("_last", F.when(F.row_number().over(last) <= 3, F.array(F.col("frame").cast("double"), *g.BOX)))
     more = {"look": F.col(look).cast("array<double>")} if look else {}
     if pose:
         more["pose"] = F.struct(g.normalised_points(F.col(pose[0]), g.box()).alias("points"), F.col(pose[1]).cast("array<double>").alias("scores"))
     at_ends = [f(v, "frame").alias(f"{end}_{k}") for k, v in more.items() for end, f in (("head", F.min_by), ("tail", F.max_by))]
-    ends = df.groupBy("clip", F.col(ids).alias("tid")).agg(F.min("frame").alias("f0"), F.max("frame").alias("f1"), F.min_by(F.array(*g.BOX), "frame").alias("head"), *at_ends).join(tail, ["clip", "tid"])
+    # One shuffle: the aggregation finds the rows where the window has put them.
+    spans = [F.min("frame").alias("f0"), F.max("frame").alias("f1"), F.min_by(F.array(*g.BOX), "frame").alias("head"), F.array_sort(F.collect_list("_last")).alias("last")]
+    ends = rows.groupBy("clip", ids).agg(*spans, *at_ends).withColumnRenamed(ids, "tid")
+    knobs = {"max_gap": max_gap, "iou": iou, "long_gap": long_gap, "max_distance": max_distance}
+    ends = with_islands(ends, F.greatest(F.lit(max_gap), F.lit(long_gap)))
+    ends = ends.withColumns({**{k: F.lit(v).cast("double") for k, v in knobs.items()}, "_n": F.count("*").over(Window.partitionBy("clip", "island"))})
+    ends = stored(ends, "merge-ends")
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        merged = merge_ends([_Ends(r) for r in pdf.itertuples()], max_gap, iou, long_gap, max_distance, least_look, least_pose)
-        return pd.DataFrame([(pdf["clip"].iloc[0], m, t.id, i) for t in merged for i, m in enumerate(t.members)], columns=["clip", "tid", "new_tid", "seq"])
+        one = pdf.iloc[0]
+        merged = merge_ends([_Ends(r) for r in pdf.itertuples()], int(one["max_gap"]), one["iou"], int(one["long_gap"]), one["max_distance"], least_look, least_pose)
+        return pd.DataFrame([(one["clip"], m, t.id, i) for t in merged for i, m in enumerate(t.members)], columns=["clip", "tid", "new_tid", "seq"])
 
-    return ends.groupBy("clip").applyInPandas(decide, MAPPING)
+    alone = ends.where("_n = 1").select("clip", F.col("tid").cast("long").alias("tid"), F.col("tid").cast("long").alias("new_tid"), F.lit(0).alias("seq"))
+    # What an island costs is not in its bytes, so its rows are spread over all partitions however small they are.
+    many = ends.where("_n > 1").drop("_n").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "clip", "island")
+    return many.groupBy("clip", "island").applyInPandas(decide, MAPPING).unionByName(alone)
 
 
 def relabel(df: DataFrame, mapping: DataFrame, ids: str = "tid") -> DataFrame:
@@ -196,92 +220,98 @@ def merge_ids(df: DataFrame, **knobs) -> DataFrame:
     return ordered.fill_gaps(rows, ("clip", "tid")).drop("detected")
 
 
-def merge_overlapping(df: DataFrame, iou: float = 0.7, min_frames: int = 5) -> DataFrame:
+class _Pile:
+    """Tracks of one component that lie on one another, merged best pair first."""
+
+    def __init__(self, rows: dict[int, dict[int, list[float]]], least: float, min_frames: int):
+        self.rows, self.least, self.min_frames = rows, least, min_frames
+        self.place = {t: i for i, t in enumerate(sorted(rows, key=lambda t: (min(rows[t]), max(rows[t]), t)))}
+        self.near: dict[int, set[int]] = {t: set() for t in rows}
+
+    def overlap(self, a: int, b: int) -> float | None:
+        x, y = self.rows[a], self.rows[b]
+        common = x.keys() & y.keys()
+        if len(common) < self.min_frames:
+            return None
+        m = sum(one_iou(x[f], y[f]) for f in common) / len(common)
+        return m if m >= self.least else None
+
+    def merged(self, pairs: list[tuple[int, int, float | None]]) -> dict[int, dict[int, list[float]]]:
+        """``pairs`` are all that touch in some frame, with their mean overlap where it is enough. Only neighbours of a merged track are tried again."""
+        found: dict[tuple[int, int], float] = {}
+        for a, b, m in pairs:
+            self.near[a].add(b)
+            self.near[b].add(a)
+            if m is not None:
+                found[tuple(sorted((a, b), key=self.place.__getitem__))] = m
+        while found:
+            a, b = min(found, key=lambda p: (-found[p], self.place[p[0]], self.place[p[1]]))
+            x, y, t = self.rows.pop(a), self.rows.pop(b), min(a, b)
+            self.rows[t] = {f: x[f] if f not in y or (f in x and x[f][4] >= y[f][4]) else y[f] for f in x.keys() | y.keys()}
+            self.place[t] = self.place[a]
+            around = (self.near.pop(a) | self.near.pop(b)) - {a, b}
+            self.near[t] = around
+            found = {p: m for p, m in found.items() if a not in p and b not in p}
+            for k in around:
+                self.near[k] = (self.near[k] - {a, b}) | {t}
+                pair = (k, t) if self.place[k] < self.place[t] else (t, k)
+                if (m := self.overlap(*pair)) is not None:
+                    found[pair] = m
+        return self.rows
+
+
+def merge_overlapping(df: DataFrame, iou: float | Column = 0.7, min_frames: int | Column = 5) -> DataFrame:
     """Tracks that lie on one another for some frames become one: the best pair each round, higher confidence in common frames, smaller id.
 
-    Only tracks that some pair links go to the grouped step, with the pairs that Spark has found; all others pass by.
-    Pairs of tracks that have not merged are never tried again.
+    A merged track can only come to lie on a track that one of its members touches, so components of the pairs that touch in
+    any frame are independent of one another; those with a pair to merge are decided, a component at a time, and all other tracks pass by.
     """
-    pairs = stored(candidates.overlap_pairs(df, iou, min_frames), "overlap-pairs")
-    linked = pairs.select("clip", F.explode(F.array("a_tid", "b_tid")).alias("tid")).distinct()
+    pairs = stored(candidates.touching_pairs(df, iou, min_frames), "overlap-pairs")
     mine = df.select("clip", "frame", "tid", *ordered.VALUES)
+    if pairs.where("mean_iou is not null").isEmpty():
+        return mine
+    track = lambda c: F.struct("clip", F.col(c).alias("tid"))
+    parts = graph.connected_components(pairs.select(track("a_tid").alias("a"), track("b_tid").alias("b")), "overlap-parts")
+    parts = parts.select("node.clip", "node.tid", F.col("component.tid").alias("part"))
+    pairs = pairs.withColumnRenamed("a_tid", "tid").join(parts, ["clip", "tid"]).withColumnRenamed("tid", "a_tid")
+    busy = pairs.where("mean_iou is not null").select("clip", "part").distinct()
+    pairs = pairs.join(busy, ["clip", "part"], "left_semi").withColumns({"least": F.lit(iou).cast("double"), "min_frames": F.lit(min_frames).cast("int")})
+    linked = stored(parts.join(busy, ["clip", "part"], "left_semi"), "overlap-linked")
 
     def decide(pdf: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
         clip, rows = pdf["clip"].iloc[0], {}
         for f, t, *v in pdf[["frame", "tid", *ordered.VALUES]].itertuples(index=False):
             rows.setdefault(t, {})[f] = v
-        order = sorted(rows, key=lambda t: (min(rows[t]), max(rows[t]), t))
-
-        def overlap(a, b) -> float | None:
-            common = rows[a].keys() & rows[b].keys()
-            if len(common) < min_frames:
-                return None
-            m = sum(one_iou(rows[a][f], rows[b][f]) for f in common) / len(common)
-            return m if m >= iou else None
-
-        place = {t: i for i, t in enumerate(order)}
-        found = {tuple(sorted((a, b), key=place.__getitem__)): m for a, b, m in zip(given["a_tid"], given["b_tid"], given["mean_iou"], strict=True)}
-        while found:
-            at = {t: i for i, t in enumerate(order)}
-            a, b = min(found, key=lambda p: (-found[p], at[p[0]], at[p[1]]))
-            x, y, t = rows.pop(a), rows.pop(b), min(a, b)
-            rows[t] = {f: x[f] if f not in y or (f in x and x[f][4] >= y[f][4]) else y[f] for f in x.keys() | y.keys()}
-            order = [t if k == a else k for k in order if k != b]
-            found = {p: m for p, m in found.items() if a not in p and b not in p}
-            for i, k in enumerate(order):
-                if k != t:
-                    pair = (k, t) if i < order.index(t) else (t, k)
-                    if (m := overlap(*pair)) is not None:
-                        found[pair] = m
-        out = [(clip, f, t, *v) for t, x in rows.items() for f, v in x.items()]
+        pile = _Pile(rows, given["least"].iloc[0], int(given["min_frames"].iloc[0]))
+        links = [(a, b, None if math.isnan(m) else m) for a, b, m in zip(given["a_tid"], given["b_tid"], given["mean_iou"].astype(float), strict=True)]
+        out = [(clip, f, t, *v) for t, x in pile.merged(links).items() for f, v in x.items()]
         return pd.DataFrame(out, columns=["clip", "frame", "tid", *ordered.VALUES])
 
-    own = mine.join(linked, ["clip", "tid"], "left_semi").select("clip", "frame", "tid", *ordered.VALUES)
-    done = own.groupBy("clip").cogroup(pairs.groupBy("clip")).applyInPandas(decide, "clip string, frame long, tid long, x1 double, y1 double, x2 double, y2 double, conf double")
+    own = mine.join(linked, ["clip", "tid"])
+    done = own.groupBy("clip", "part").cogroup(pairs.groupBy("clip", "part")).applyInPandas(decide, "clip string, frame long, tid long, x1 double, y1 double, x2 double, y2 double, conf double")
     return mine.join(linked, ["clip", "tid"], "left_anti").select(*done.columns).unionByName(done)
 
 
-def stitch_log(df: DataFrame, max_gap: int = 400, max_jump: float = 2000.0, max_ratio: float = 4.0, window: int = 5, cap: float = 200.0) -> DataFrame:
+def stitch_log(df: DataFrame, max_gap: int | Column = 400, max_jump: float | Column = 2000.0, max_ratio: float | Column = 4.0, window: int = 5, cap: float = 200.0) -> DataFrame:
     """Every candidate pair with ``stitched`` and, where a tail or head was taken, ``skipped`` = conflict.
 
     Pairs that pass both gates are accepted by position error (to six places, then by ids), smallest first; a track is tail once and head once.
     """
-    c = candidates.stitch_candidates(ordered.endpoints(df, window=window), max_gap, max_jump, max_ratio, cap)
+    c = candidates.stitch_candidates(stored(ordered.endpoints(df, window=window), "stitch-ends"), max_gap, max_jump, max_ratio, cap)
     c = c.select(F.col("a_clip").alias("clip"), F.col("a_tid").alias("a"), F.col("b_tid").alias("b"), "gap", "px", "py", "pos_diff", "w_ratio", "h_ratio", "size_ok", "pos_ok")
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_place=pdf["pos_diff"].round(6)).sort_values(["_place", "a", "b"], kind="stable").drop(columns="_place")
-        tails, heads, stitched, skipped = set(), set(), [], []
-        for a, b, ok in zip(pdf["a"], pdf["b"], pdf["size_ok"] & pdf["pos_ok"], strict=True):
-            free = ok and a not in tails and b not in heads
-            if free:
-                tails.add(a)
-                heads.add(b)
-            stitched.append(free)
-            skipped.append("conflict" if ok and not free else None)
-        return pdf.assign(stitched=stitched, skipped=skipped)
-
-    return c.groupBy("clip").applyInPandas(decide, c.schema.simpleString()[7:-1].replace(",", ", ").replace(":", " ") + ", stitched boolean, skipped string")
+    c = stored(c, "stitch-pairs")
+    good = c.where("size_ok and pos_ok").select("clip", "a", "b", F.struct(F.round("pos_diff", 6).alias("d"), "a", "b").alias("rank"))
+    taken = graph.matched(good, ["clip", "a"], ["clip", "b"], "rank", "stitch-rounds").select("clip", "a", "b", F.lit(True).alias("_taken"))
+    out = c.join(taken, ["clip", "a", "b"], "left").withColumn("stitched", F.coalesce("_taken", F.lit(False)))
+    conflict = F.when(F.col("size_ok") & F.col("pos_ok") & ~F.col("stitched"), "conflict")
+    return out.withColumn("skipped", conflict).select(*c.columns, "stitched", "skipped")
 
 
 def stitch_components(log: DataFrame) -> DataFrame:
     """(clip, tid, new_tid): chains of accepted pairs take their smallest id."""
-    links = log.where("stitched").select("clip", F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("l")).select("clip", "l.u", "l.v")
-
-    def least(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent = {int(u): int(u) for u in pdf["u"]}
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        for u, v in zip(pdf["u"], pdf["v"], strict=True):
-            u, v = root(u), root(v)
-            parent[max(u, v)] = min(u, v)
-        return pd.DataFrame({"clip": pdf["clip"].iloc[0], "tid": list(parent), "new_tid": [root(x) for x in parent]})
-
-    return links.groupBy("clip").applyInPandas(least, "clip string, tid long, new_tid long")
+    track = lambda c: F.struct("clip", F.col(c).alias("tid"))
+    parts = graph.connected_components(log.where("stitched").select(track("a").alias("a"), track("b").alias("b")), "stitch-chains")
+    return parts.select("node.clip", "node.tid", F.col("component.tid").alias("new_tid"))
 
 
 def stitch(df: DataFrame, **knobs) -> DataFrame:

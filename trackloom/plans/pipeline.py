@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.operators import ordered, prune, recover, resolve
@@ -59,7 +60,27 @@ class Config:
         return cls().having(json.loads(text))
 
 
-def cleaned(df: DataFrame, cfg: Config) -> DataFrame:
+class Knobs:
+    """Knobs of the nodes of a sweep by name: a number where all nodes agree, else a Column that reads the node's number out of ``clip``."""
+
+    def __init__(self, nodes: list[Config]):
+        self._nodes = nodes
+
+    def __getattr__(self, name: str):
+        values = [getattr(c, name) for c in self._nodes]
+        if all(v == values[0] for v in values):
+            return values[0]
+        return F.get(F.lit(values), F.split_part("clip", F.lit("/"), F.lit(1)).cast("int"))
+
+
+def switched(df: DataFrame, on: bool | Column, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``step`` for the clips where ``on`` holds; the others pass by."""
+    if not isinstance(on, Column):
+        return step(df) if on else df
+    return step(df.where(on)).unionByName(df.where(~on))
+
+
+def cleaned(df: DataFrame, cfg: Config | Knobs) -> DataFrame:
     """Size and track prune, split on long gaps, short gaps filled; ids are those of pieces."""
     d = prune.prune_tracks(prune.min_box(df, cfg.min_box, cfg.min_box), cfg.min_total, cfg.min_conf)
     d = ordered.fill_gaps(ordered.split_on_gap(d, cfg.max_gap))
@@ -67,27 +88,59 @@ def cleaned(df: DataFrame, cfg: Config) -> DataFrame:
     return prune.min_length(d, cfg.min_total)
 
 
-def build_tracks(df: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """(clip, frame, tid, box, conf): clean, merge, smooth, gate, stitch, smooth again.
+def _merged(d: DataFrame, k: Config | Knobs) -> DataFrame:
+    d = resolve.merge_ids(d, max_gap=k.merge_gap, iou=k.merge_iou, long_gap=k.long_gap, max_distance=k.long_distance)
+    return prune.drop_placeholders(d, k.min_total, k.min_conf)
 
-    Merging and stitching read their input several times, so what goes into them is kept as a table;
-    otherwise each step would repeat all before it.
-    """
-    d = stored(cleaned(df, cfg), "tracks-clean")
-    d = stored(resolve.merge_ids(d, max_gap=cfg.merge_gap, iou=cfg.merge_iou, long_gap=cfg.long_gap, max_distance=cfg.long_distance), "tracks-merged")
-    d = prune.drop_placeholders(d, cfg.min_total, cfg.min_conf)
-    if cfg.overlap_iou > 0:
-        d = stored(resolve.merge_overlapping(d, cfg.overlap_iou, cfg.overlap_frames), "tracks-single")
-    d = prune.trim_edges(d, cfg.trim_conf, cfg.trim_frames, cfg.min_total)
-    d = prune.top_tracks(ordered.smooth_boxes(d, cfg.median_window, cfg.sigma), cfg.most_tracks)
-    if cfg.use_gate:
-        d = prune.gate(d, cfg.gate_len, cfg.gate_mean, cfg.gate_p90)
-    if cfg.use_stitch:
-        d = resolve.stitch(stored(d, "tracks-smooth"), max_gap=cfg.stitch_gap, max_jump=cfg.stitch_jump, max_ratio=cfg.stitch_ratio)
-    if cfg.use_sizes:
-        d = ordered.smooth_sizes(stored(d, "tracks-stitched"), cfg.size_cv, cfg.size_window)
-    if cfg.use_centres:
-        d = ordered.smooth_centres(d, cfg.centre_window)
+
+def _single(d: DataFrame, k: Config | Knobs) -> DataFrame:
+    return switched(d, k.overlap_iou > 0, lambda x: resolve.merge_overlapping(x, k.overlap_iou, k.overlap_frames))
+
+
+def _smoothed(d: DataFrame, k: Config | Knobs) -> DataFrame:
+    return ordered.smooth_boxes(prune.trim_edges(d, k.trim_conf, k.trim_frames, k.min_total), k.median_window, k.sigma)
+
+
+def _chosen(d: DataFrame, k: Config | Knobs) -> DataFrame:
+    d = prune.top_tracks(d, k.most_tracks)
+    if k.use_gate is False:
+        return d
+    return prune.gate(d, k.gate_len, k.gate_mean, k.gate_p90, off=~k.use_gate if isinstance(k.use_gate, Column) else None)
+
+
+def _stitched(d: DataFrame, k: Config | Knobs) -> DataFrame:
+    return switched(d, k.use_stitch, lambda x: resolve.stitch(x, max_gap=k.stitch_gap, max_jump=k.stitch_jump, max_ratio=k.stitch_ratio))
+
+
+def _sized(d: DataFrame, k: Config | Knobs) -> DataFrame:
+    return switched(d, k.use_sizes, lambda x: ordered.smooth_sizes(x, k.size_cv, k.size_window))
+
+
+def _centred(d: DataFrame, k: Config | Knobs) -> DataFrame:
+    return switched(d, k.use_centres, lambda x: ordered.smooth_centres(x, k.centre_window))
+
+
+Step = Callable[[DataFrame, "Config | Knobs"], DataFrame]
+#: The chain: knobs that a step is the first to read, what it does, and whether its result is kept as a table because
+#: the next step reads it several times.
+CHAIN: list[tuple[tuple[str, ...], Step, str | None]] = [
+    (("min_box", "min_total", "min_conf", "max_gap"), cleaned, "tracks-clean"),
+    (("merge_gap", "merge_iou", "long_gap", "long_distance"), _merged, "tracks-merged"),
+    (("overlap_iou", "overlap_frames"), _single, None),
+    (("trim_conf", "trim_frames", "median_window", "sigma"), _smoothed, "tracks-smooth"),
+    (("most_tracks", "use_gate", "gate_len", "gate_mean", "gate_p90"), _chosen, "tracks-chosen"),
+    (("use_stitch", "stitch_gap", "stitch_jump", "stitch_ratio"), _stitched, "tracks-stitched"),
+    (("use_sizes", "size_cv", "size_window"), _sized, None),
+    (("use_centres", "centre_window"), _centred, None),
+]
+
+
+def build_tracks(df: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """(clip, frame, tid, box, conf): clean, merge, smooth, gate, stitch, smooth again."""
+    d = df
+    for _, step, kept in CHAIN:
+        d = step(d, cfg)
+        d = stored(d, kept) if kept else d
     return d.select("clip", "frame", "tid", *ordered.VALUES)
 
 
@@ -103,12 +156,46 @@ def pending(variants: dict[str, Config], results: DataFrame) -> dict[str, Config
     return {k: v for k, v in variants.items() if k not in done}
 
 
+def _levels(configs: list[Config]) -> list[list[Config]]:
+    """For each step of the chain the configurations that differ in what has been read up to it: levels of a prefix tree."""
+    names: tuple[str, ...] = ()
+    out = []
+    for knobs, _, _ in CHAIN:
+        names += knobs
+        first: dict[tuple, Config] = {}
+        for c in configs:
+            first.setdefault(tuple(getattr(c, n) for n in names), c)
+        out.append(list(first.values()))
+    return out
+
+
+def _branched(d: DataFrame, before: list[Config], now: list[Config], names: tuple[str, ...]) -> DataFrame:
+    """Rows of each node of a level, given once to each of its children; ``clip`` carries the node's number."""
+    same = lambda a, b: all(getattr(a, n) == getattr(b, n) for n in names)
+    children = [[i for i, c in enumerate(now) if same(c, p)] for p in before]
+    if children == [[i] for i in range(len(before))]:
+        return d
+    mine = F.get(F.lit(children), F.split_part("clip", F.lit("/"), F.lit(1)).cast("int"))
+    name = F.expr("substr(clip, instr(clip, '/') + 1)")
+    return d.withColumn("_node", F.explode(mine)).withColumn("clip", F.concat(F.col("_node").cast("string"), F.lit("/"), name)).drop("_node")
+
+
 def sweep(df: DataFrame, variants: dict[str, Config]) -> DataFrame:
-    """Tracks of all variants with a ``variant`` column; the boxes are read once."""
-    out, df = None, stored(df, "sweep-boxes")
-    for name, cfg in variants.items():
-        one = build_tracks(df, cfg).withColumn("variant", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    if out is None:
+    """Tracks of all variants with a ``variant`` column, in one chain of jobs whatever the number of variants.
+
+    Variants form a prefix tree over the knobs in the order in which the chain reads them, so they share each step up to
+    their first difference. A row carries the number of its node in front of its clip, which makes a clip of each node a
+    clip of its own for all operators, and knobs are Columns that look their value up by that number.
+    """
+    if not variants:
         raise ValueError("no variants")
-    return out
+    configs = list(variants.values())
+    d, before, names = df.withColumn("clip", F.concat(F.lit("0/"), "clip")), configs[:1], ()
+    for (knobs, step, kept), now in zip(CHAIN, _levels(configs), strict=True):
+        d = _branched(d, before, now, names)
+        d = step(d, Knobs(now))
+        d = stored(d, f"sweep-{kept}") if kept else d
+        before, names = now, names + knobs
+    of = [[v for v, c in variants.items() if c == leaf] for leaf in before]
+    d = d.withColumn("variant", F.explode(F.get(F.lit(of), F.split_part("clip", F.lit("/"), F.lit(1)).cast("int"))))
+    return d.select(F.expr("substr(clip, instr(clip, '/') + 1)").alias("clip"), "frame", "tid", *ordered.VALUES, "variant")
