@@ -12,7 +12,8 @@ from oracle import compare, connection
 from test_operators import contaminated_by_force, docs_of, jaccard_by_force, sentence, targets_by_force
 from test_token_model import model_by_force
 
-from trackloom.llm import mixing, quality, queries
+from trackloom.llm import quality, queries
+from trackloom.llm.store import stored
 from trackloom.llm.tokens import encoder
 
 
@@ -81,31 +82,24 @@ def single_by_force(rows):
     return out
 
 
-def mixed_by_force(spark, rows):
-    place = {(r.doc_id, r.text): r.h for r in docs_of(spark, rows).select("doc_id", "text", mixing.seeded_order(7).alias("h")).collect()}
+def check_mix(rows, taken):
+    """Each document of a source as often as any other or once more, and the source near its target: within a word, if its sizes allow it."""
     size = lambda r: len((r[1] or "").split())
-    sizes = collections.Counter()
+    sizes, got, n = collections.Counter(), collections.Counter(), collections.Counter(taken)
     for r in rows:
         sizes[r[3]] += size(r)
-    target, out = targets_by_force(sizes), []
-    for s, want in target.items():
-        own = sorted((r for r in rows if r[3] == s), key=lambda r: place[r[:2]])
-        whole = math.floor(want / sizes[s]) if sizes[s] else 0
-        part, more, got = want - whole * sizes[s], set(), 0
-        at = next((k for k in range(len(own)) if sum(map(size, own[: k + 1])) > part), len(own))
-        if part > 0 and at < len(own):
-            got = sum(map(size, own[:at]))
-            for _ in range(mixing.FILLS):
-                gap = part - got
-                fit = [k for k in range(at, len(own)) if k not in more and 0 < size(own[k]) < 2 * gap]
-                if gap <= mixing.NEAR * want or not fit:
-                    break
-                best = min(fit, key=lambda k: (abs(size(own[k]) - gap), place[own[k][:2]]))
-                more.add(best)
-                got += size(own[best])
-        for k, r in enumerate(own):
-            out += [r] * (whole + int(part > 0 and at < len(own) and (k < at or k in more)))
-    return out
+    for r in taken:
+        got[r[3]] += size(r)
+    assert set(taken) <= set(rows)
+    for s, want in targets_by_force(sizes).items():
+        whole = math.floor(want / sizes[s] + 1e-9) if sizes[s] else 0
+        same = collections.Counter(r for r in rows if r[3] == s)
+        assert all(whole * k <= n[r] <= (whole + 1) * k for r, k in same.items())
+        sums = {0}
+        for r, k in same.items():
+            for _ in range(k):
+                sums |= {x + size(r) for x in sums}
+        assert abs(got[s] - want) <= min(abs(whole * sizes[s] + x - want) for x in sums) + max(1, 0.01 * want)
 
 
 def tokens_by_force(rows):
@@ -135,9 +129,11 @@ def test_stages_by_force(spark, folder):
     assert len(clean) < len(single)
     docs = stages["decontamination"](spark, docs, folder)
     assert docs.columns == columns and as_rows(docs) == key(clean)
-    taken = mixed_by_force(spark, clean)
     docs = stages["mixing"](spark, docs, folder)
-    assert docs.columns == columns and as_rows(docs) == key(taken)
+    assert docs.columns == columns
+    docs = stored(docs, "test-mixed")
+    taken = as_rows(docs)
+    check_mix(clean, taken)
     out = stages["tokens"](spark, docs, folder)
     assert sorted(map(tuple, out.collect()), key=lambda r: r[1]) == tokens_by_force(taken)
 
