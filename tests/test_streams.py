@@ -3,9 +3,11 @@
 import os
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from trackloom.streaming import live
+from trackloom.streaming import live, motion
 
 BOXES = "clip string, frame long, x1 double, y1 double, x2 double, y2 double, conf double"
 
@@ -45,3 +47,74 @@ def test_late_rows_are_dropped_from_windows(spark, tmp_path):
     stream = live.window_counts(live.event_stream(spark, str(tmp_path / "in"), "*"), "6 hours")
     got = live.drained(stream, str(tmp_path / "out"), str(tmp_path / "state")).collect()
     assert [(r.start.hour, r.n) for r in got] == [(0, 3)]  # hour 3 came after its window had closed; the last window is still open
+
+
+def files_of(spark, tmp_path, rows, schema, pieces, of):
+    """Rows dealt into files by ``of``, in the order in which a stream takes them."""
+    folder = tmp_path / "motion"
+    folder.mkdir()
+    for i in range(pieces):
+        spark.createDataFrame([r for r in rows if of(r) == i], schema).coalesce(1).write.parquet(str(tmp_path / f"m{i}"))
+        (name,) = [x for x in os.listdir(tmp_path / f"m{i}") if x.endswith(".parquet")]
+        os.rename(tmp_path / f"m{i}" / name, folder / f"{i}.parquet")
+        os.utime(folder / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    return folder
+
+
+def moved(spark, folder, per_batch, out, schema, **knobs):
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(str(folder))
+    with motion.state_store(spark):
+        rows = live.drained(motion.motion_tracks(stream, **knobs), str(out / "rows"), str(out / "state")).collect()
+    return sorted((r.clip, r.frame, r.x1, r.tid) for r in rows)
+
+
+def test_hidden_tracks_keep_their_ids(spark, tmp_path):
+    """A person who walks on while hidden: found again by motion, a new one to the tracker that only knows the last box."""
+    rng = random.Random(3)
+    rows = [("a", f, 5.0 * f + rng.uniform(-0.5, 0.5), 0.0, 5.0 * f + 30, 80.0, 0.9) for f in range(60) if not 25 <= f < 37]
+    rows += [("a", f, 400.0 - 5 * f, 200.0, 430.0 - 5 * f, 280.0, 0.9) for f in range(60) if not 30 <= f < 40]
+    folder = files_of(spark, tmp_path, rows, BOXES, 5, lambda r: r[1] // 12)
+    plain = tracked(spark, folder, 10, tmp_path / "plain")
+    assert len({r[2] for r in plain}) > 2
+    one = moved(spark, folder, 10, tmp_path / "one", BOXES)
+    many = moved(spark, folder, 1, tmp_path / "many", BOXES)
+    assert one == many and len(one) == len(rows)
+    by_row = {r[:3]: r[3] for r in one}
+    assert len(set(by_row.values())) == 2 and len({by_row[r[:3]] for r in rows[:48]}) == 1
+
+
+def test_looks_tell_crossing_tracks_apart(spark, tmp_path):
+    schema = BOXES + ", look array<double>"
+    rows = []
+    for f in range(40):
+        for k, look in ((0, [1.0, 0.0]), (1, [0.0, 1.0])):
+            x = 100.0 + 0.01 * k + (1 - 2 * k) * (f - 20) * 0.4
+            rows.append(("a", f, x, 0.0, x + 40, 80.0, 0.9, look))
+    folder = files_of(spark, tmp_path, rows, schema, 2, lambda r: r[1] // 20)
+    got = {r[:3]: r[3] for r in moved(spark, folder, 1, tmp_path / "out", schema, weight=0.6)}
+    by_look = {}
+    for r in rows:
+        by_look.setdefault(tuple(r[7]), set()).add(got[r[:3]])
+    assert all(len(ids) == 1 for ids in by_look.values()) and len(set.union(*by_look.values())) == 2
+
+
+def test_forgotten_and_late(spark, tmp_path):
+    """After more frames than the memory an id is not taken up again; rows behind a clip's last frame have no id, rows behind the watermark are gone."""
+    box = lambda f, y=0.0: ("a", f, 0.0, y, 30.0, y + 60, 0.9)
+    rows = [[box(0), box(1)], [box(50)], [box(49), ("b", 50, 0.0, 0.0, 30.0, 60.0, 0.9)], [box(3), box(51)]]
+    flat = [r for part in rows for r in part]
+    folder = files_of(spark, tmp_path, flat, BOXES, 4, lambda r: next(i for i, p in enumerate(rows) if r in p))
+    got = {r[:2]: r[3] for r in moved(spark, folder, 1, tmp_path / "out", BOXES, memory=10, late=10)}
+    assert got == {("a", 0): 1, ("a", 1): 1, ("a", 50): 2, ("a", 49): None, ("b", 50): 1, ("a", 51): 2}
+
+
+def test_covariances_are_guarded():
+    root = motion.factored(np.array([[1.0, 1.0], [1.0, 1.0]]))
+    assert np.allclose(root @ root.T, [[1, 1], [1, 1]], atol=1e-4)
+    with pytest.raises(np.linalg.LinAlgError):
+        motion.factored(np.array([[1.0, 9.0], [9.0, 1.0]]))
+    box = np.array([0.0, 0.0, 20.0, 40.0])
+    f = motion.Filter.of(0, box, None)
+    for i in range(1, 30):
+        f.update(i, box + 2 * i, None)
+    assert np.allclose(f.box(34), box + 68, atol=0.5) and np.linalg.eigvalsh(f.cov).min() > 0

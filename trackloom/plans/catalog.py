@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from trackloom.functions import geometry as g
 from trackloom.operators import candidates, diff, nms, ordered, prune, recover, resolve, score
 from trackloom.plans import pipeline, report
-from trackloom.sources import files, tables
+from trackloom.sources import cache, files, tables
 from trackloom.sources.store import new_path
-from trackloom.streaming import live
+from trackloom.streaming import live, motion
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -862,12 +862,41 @@ def stream_sessions(spark, d):
     return _drained(spark, s, "complete").select("user_id", F.unix_seconds("start").alias("start"), "n")
 
 
-@query()
-def online_tracks(spark, d):
+def _event_boxes(spark: SparkSession, d: str) -> DataFrame:
     e = live.event_stream(spark, d)
     slot = F.col("user_id") % tables.IDS_PER_CLIP
     cx, cy = 100 + slot * 12 + (F.col("event_id") * 13) % 21, 80 + slot * 6 + (F.col("event_id") * 17) % 15
     w, h = 20 + F.col("event_id") % 30, 40 + F.col("event_id") % 50
     frame = (F.floor(F.unix_seconds("ts") / 3600) - 473352).cast("long")
-    boxes = e.select(F.concat(F.lit("c"), F.floor(F.col("user_id") / tables.IDS_PER_CLIP).cast("string")).alias("clip"), frame.alias("frame"), *[v.cast("double").alias(n) for n, v in zip(g.BOX, (cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2), strict=True)], ((300 + (F.col("event_id") * 7919) % 700) / 1000.0).cast("double").alias("conf"))
-    return _drained(spark, live.online_tracks(boxes), "append")
+    sides = [v.cast("double").alias(n) for n, v in zip(g.BOX, (cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2), strict=True)]
+    clip = F.concat(F.lit("c"), F.floor(F.col("user_id") / tables.IDS_PER_CLIP).cast("string"))
+    return e.select(clip.alias("clip"), frame.alias("frame"), *sides, ((300 + (F.col("event_id") * 7919) % 700) / 1000.0).cast("double").alias("conf"))
+
+
+@query()
+def online_tracks(spark, d):
+    return _drained(spark, live.online_tracks(_event_boxes(spark, d)), "append")
+
+
+@query()
+def motion_tracks(spark, d):
+    with motion.state_store(spark):
+        return _drained(spark, motion.motion_tracks(_event_boxes(spark, d).where("clip is not null and frame is not null")), "append")
+
+
+# ---- tables that are built once --------------------------------------------------------------
+
+
+@query(
+    """SELECT clip, count(*) AS n, CAST(CAST(substr(clip, 2) AS BIGINT) % 3 = 0 AS BIGINT) AS built_later FROM (
+  SELECT *, count(*) OVER (PARTITION BY clip, tid) AS cnt, avg(conf) OVER (PARTITION BY clip, tid) AS mean FROM det) WHERE cnt >= 20 AND mean >= 0.38 GROUP BY clip"""
+)
+def cache_reuse(spark, d):
+    """Two builds over one cache: the second one finds what the first has built and builds every third clip."""
+    boxes, root = det(spark, d), new_path(spark, "cache")
+    some = boxes.where(F.substring("clip", 2, 9).cast("long") % 3 != 0)
+    cache.scan_or_build(some, prune.prune_tracks, "prune 20 0.38", root)
+    first = [r.batch for r in cache.manifest(spark, root).select("batch").distinct().collect()]
+    out = cache.scan_or_build(boxes, prune.prune_tracks, "prune 20 0.38", root).groupBy("clip").agg(F.count("*").alias("n"))
+    later = (~F.col("batch").isin(first)).cast("long").alias("built_later")
+    return out.join(cache.manifest(spark, root).select("clip", later), "clip")
