@@ -7,7 +7,7 @@ a token is added when its log-likelihood ratio a character is above ``threshold`
 Tokens of fewer than 20 characters are not scored: the ratio of so few pairs does not tell them apart.
 
 Only DataFrame functions are used: places of matches come from the lengths of the pieces between
-them. Each distinct token is scored once, however many documents repeat it. Whole texts are read
+them, summed up in n log n steps for n matches. Each distinct token is scored once, however many documents repeat it. Whole texts are read
 once; what is kept of a document is its few matches.
 
 Defined cases: a null or empty text has no spans; a text of any length is read whole; equal rows get equal spans;
@@ -38,34 +38,59 @@ PRIOR = 8.0
 THRESHOLD = 0.4
 
 
-def matches(text: Column, pattern: str, may: Column | None = None) -> Column:
-    """array<struct<s,e,v>>: start, end (code points, end exclusive) and text of all matches, leftmost first.
+def running_sum(values: Column) -> Column:
+    """Sums of all values up to each place of an array of ints: every turn adds what stands 1, 2, 4, .. places before, so n values take n log n steps."""
+    n = F.size(values)
+    turns = F.sequence(F.lit(0), F.ceil(F.log2(n.cast("double"))).cast("int") - 1)
+    shifts = F.when(n > 1, F.transform(turns, lambda k: F.pow(F.lit(2.0), k).cast("int"))).otherwise(F.array().cast("array<int>"))
+    before = lambda acc, by: F.concat(F.array_repeat(F.lit(0), by), F.slice(acc, F.lit(1), F.size(acc) - by))
+    return F.aggregate(shifts, values, lambda acc, by: F.zip_with(acc, before(acc, by), lambda x, y: x + y))
 
-    ``may``: cheap test that a text can hold a match. The pieces between matches tell their places.
+
+SPANS = "array<struct<s:int,e:int,v:string>>"
+
+
+def with_matches(df: DataFrame, text: str, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
+    """``df`` with a column array<struct<s,e,v>> for each name: start, end (code points, end exclusive) and text of all matches of its pattern, leftmost first.
+
+    The second of a pattern is a cheap test that a text can hold a match. The pieces between matches tell their places.
+    What is used twice is a column of its own, so that texts are searched once for matches and once for pieces.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), found.alias("v"))
-    ends = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["g"]) + F.length(x["v"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["g"])).alias("s"), (acc["at"] + F.length(x["g"]) + F.length(x["v"])).alias("e"), x["v"].alias("v")))).alias("out"),
-    ), lambda acc: acc["out"])
-    held = text.rlike(pattern) if may is None else may & text.rlike(pattern)
-    return F.when(held, ends).otherwise(none)
+    t = F.col(text)
+    held = {k: may & t.rlike(p) for k, (p, may) in patterns.items()}
+    df = df.withColumns({f"_{k}_v": F.when(held[k], F.regexp_extract_all(t, F.lit(p), F.lit(0))) for k, (p, _) in patterns.items()})
+    df = df.withColumns({f"_{k}_g": F.when(F.col(f"_{k}_v").isNotNull(), F.transform(F.split(t, p, -1), F.length)) for k, (p, _) in patterns.items()})
+    df = df.withColumns({f"_{k}_n": F.zip_with(F.slice(f"_{k}_g", F.lit(1), F.size(f"_{k}_v")), f"_{k}_v", lambda g, v: g + F.length(v)) for k in patterns})
+    df = df.withColumns({f"_{k}_e": running_sum(F.col(f"_{k}_n")) for k in patterns})
+    spans = {k: F.zip_with(f"_{k}_e", f"_{k}_v", lambda e, v: F.struct((e - F.length(v)).alias("s"), e.alias("e"), v.alias("v"))) for k in patterns}
+    df = df.withColumns({k: F.coalesce(v, F.array().cast(SPANS)) for k, v in spans.items()})
+    return df.drop(*[f"_{k}_{x}" for k in patterns for x in "vgne"])
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, dk and the matches of every kind and of candidate tokens, read once from the whole texts."""
-    t = F.coalesce(F.col("text"), F.lit(""))
+    """doc_id, u (a number for each row) and the matches of every kind and of candidate tokens, read once from the whole texts."""
+    t = F.col("_t")
     value = lambda m: F.regexp_extract(m["v"], ASSIGN, 1)
-    return docs.select(
-        "doc_id", F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("i"), F.xxhash64("doc_id", "text").alias("h")).alias("dk"),
-        F.filter(matches(t, ASSIGN, t.contains(":") | t.contains("=")), lambda m: F.length(value(m)) >= 6).alias("assign"),
-        F.filter(matches(t, ACCESS, t.contains("AKIA")), lambda m: F.length(m["v"]) >= 20).alias("access"),
-        matches(t, HEX).alias("hex"),
-        matches(t, TOKEN).alias("token"),
-    )
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_t"))
+    patterns = {"assign": (ASSIGN, t.contains(":") | t.contains("=")), "access": (ACCESS, t.contains("AKIA")), "hex": (HEX, F.lit(True)), "token": (TOKEN, F.lit(True))}
+    rows = with_matches(rows, "_t", patterns).drop("_t")
+    rows = rows.withColumns({"assign": F.filter("assign", lambda m: F.length(value(m)) >= 6), "access": F.filter("access", lambda m: F.length(m["v"]) >= 20)})
+    return rows.withColumn("u", F.monotonically_increasing_id())
+
+
+def free_tokens(rows: DataFrame) -> DataFrame:
+    """(u, m): candidate tokens that have no place in common with a base span. Spans of a row pass by in order, once from either end."""
+    places = lambda c, k: F.transform(c, lambda m: F.struct(m["s"].alias("s"), F.lit(k).alias("k"), m["e"].alias("e"), (m["v"] if k == 4 else F.lit(None).cast("string")).alias("v")))
+    some = rows.where(F.size("token") > 0).withColumn("_base", F.size("assign") + F.size("access") + F.size("hex"))
+    alone = some.where("_base = 0").select("u", F.explode("token").alias("m"))
+    all_ = F.concat(*[places(c, k) for c, k in (("assign", 1), ("access", 2), ("hex", 3), ("token", 4))])
+    each = some.where("_base > 0").select("u", F.explode(all_).alias("m")).select("u", "m.*")
+    base = F.col("k") < 4
+    before = F.max(F.when(base, F.col("e"))).over(Window.partitionBy("u").orderBy("s", "k").rowsBetween(Window.unboundedPreceding, 0))
+    behind = F.min(F.when(base, F.col("s"))).over(Window.partitionBy("u").orderBy(F.col("s").desc(), F.col("k").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    each = each.withColumns({"_before": before, "_behind": behind}).where(~base)
+    free = each.where((F.coalesce("_before", F.lit(0)) <= F.col("s")) & (F.coalesce("_behind", F.lit((1 << 31) - 1)) >= F.col("e")))
+    return alone.unionByName(free.select("u", F.struct("s", "e", "v").alias("m")))
 
 
 def bigrams(token: Column) -> Column:
@@ -94,12 +119,11 @@ def markov_ratio(random: DataFrame, ordinary: DataFrame) -> DataFrame:
 
 
 def spans_by_model(rows: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """(dk, markov): the candidate tokens that the models call random and that touch no base span."""
-    base = F.concat("assign", "access", "hex")
-    free = rows.select("dk", F.explode(F.filter("token", lambda m: ~F.exists(base, lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])))).alias("m"))
+    """(u, markov): the candidate tokens that the models call random and that touch no base span."""
+    free = free_tokens(rows)
     known = rows.select(F.explode(F.concat(F.transform("assign", lambda m: F.regexp_extract(m["v"], ASSIGN, 1)), F.transform("access", lambda m: m["v"]), F.transform("hex", lambda m: m["v"]))).alias("v")).distinct()
     if not known.head(1):
-        return rows.select("dk", F.array().cast("array<struct<s:int,e:int,v:string>>").alias("markov")).limit(0)
+        return rows.select("u", F.array().cast(SPANS).alias("markov")).limit(0)
     share = min(1.0, SAMPLE_DOCS / max(rows.count(), 1))
     sample = docs.where(F.pmod(F.xxhash64(F.lit(1), "doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
     ordinary = sample.select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("v")).join(known, "v", "left_anti")
@@ -108,8 +132,8 @@ def spans_by_model(rows: DataFrame, docs: DataFrame, threshold: float) -> DataFr
     pairs = tokens.select("v", F.explode(bigrams(F.col("v"))).alias("p")).select("v", "p.a", "p.b")
     scores = pairs.join(F.broadcast(model), ["a", "b"]).groupBy("v").agg(F.avg("llr").alias("score"))
     random = scores.where(F.col("score") > threshold).select("v")
-    hits = free.select("dk", "m", F.col("m.v").alias("v")).join(random, "v")
-    return hits.groupBy("dk").agg(F.collect_set("m").alias("markov"))
+    hits = free.select("u", "m", F.col("m.v").alias("v")).join(random, "v")
+    return hits.groupBy("u").agg(F.collect_set("m").alias("markov"))
 
 
 def joined(spans: Column) -> Column:
@@ -121,10 +145,10 @@ def secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, found (kind, start, end, text of every span)."""
     rows = stored(scan(docs), "secrets-scan")
     added = spans_by_model(rows, docs, threshold)
-    out = rows.drop("token").join(added, "dk", "left")
+    out = rows.drop("token").join(added, "u", "left")
     placed = lambda name, k: F.transform(name, lambda m: F.struct(m["s"].alias("s"), F.lit(k).alias("k"), m["e"].alias("e"), m["v"].alias("v")))
     base = F.concat(placed("assign", 1), placed("access", 2), placed("hex", 3))
-    markov = F.coalesce("markov", F.array().cast("array<struct<s:int,e:int,v:string>>"))
+    markov = F.coalesce("markov", F.array().cast(SPANS))
     out = out.withColumn("base", base).withColumn("all", F.concat("base", placed(markov, 4)))
     return out.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"),
