@@ -307,7 +307,7 @@ def test_contamination_matches_brute_force(spark, odd, docs, none, monkeypatch):
     kept = sorted(str(r.doc_id) for r in decontaminate.decontaminated(every, bench).collect())
     assert kept == sorted(str(w[0]) for w in want if not w[-1])
     assert decontaminate.decontaminated(every, bench).columns == every.columns
-    monkeypatch.setattr(decontaminate, "BROADCAST_TERMS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
     assert sorted((tuple(r)[:-1] for r in decontaminate.contamination(every, bench).collect()), key=str) == want
     assert decontaminate.contamination(none, bench).count() == 0
     assert decontaminate.contamination(every, bench.limit(0)).where("n_hit > 0").count() == 0
@@ -319,6 +319,32 @@ def test_proximity(spark):
     assert decontaminate.proximity_matches(near, item, 3).count() == 1
 
 
+def test_proximity_by_force(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(14)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60))), "en", "a") for i in range(60)] + [(None, None, "en", "a")]
+    items = [(i, " ".join(rng.sample(vocabulary, 4))) for i in range(12)] + [(20, " ".join(rng.sample(vocabulary, 14))), (21, "w1 nowhere")]
+    freq = collections.Counter(w for r in rows for w in words(r[1]))
+    windows = {tuple(words(t)[k : k + 13]) for _, t in items for k in range(max(1, len(words(t)) - 12))}
+    want = {}
+    for r in rows:
+        w, near = words(r[1]), set()
+        for x in windows:
+            rare = min(x, key=lambda t: (freq[t], t))
+            near |= {(p, x) for p, t in enumerate(w) if t == rare and set(x) <= set(w[max(0, p - 14) : p + 15])}
+        if near:
+            want[r[0]] = (len({p for p, _ in near}), len({x for _, x in near}))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id: (r.n_near, r.n_windows) for r in decontaminate.proximity(docs_of(spark, rows), bench, 2).collect()} == want and len(want) > 5
+
+
+def test_a_window_that_many_items_share(spark):
+    shared = " ".join(f"s{i}" for i in range(13))
+    bench = spark.createDataFrame([(i, shared) for i in range(10_000)], "item_id long, text string")
+    (r,) = decontaminate.contamination(docs_of(spark, [(1, f"a {shared} b", "en", "a")]), bench).collect()
+    assert (r.n_words, r.n_hit, r.n_items) == (15, 13, 10_000) and r.items_sha256 == hashlib.sha256(",".join(sorted(map(str, range(10_000)))).encode()).hexdigest()
+
+
 # ---- 7 --------------------------------------------------------------------------------------
 
 

@@ -48,6 +48,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("dk")
 
 
+def passages_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proximity matches of operator 6: documents that hold the words of a benchmark window close together, in any order."""
+    return decontaminate.proximity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_links(_table(spark, sf_dir, "documents"))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_token_ids": op5_token_ids,
     "op6_decontamination": op6_decontamination,
+    "passages_nearby": passages_nearby,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
