@@ -118,3 +118,20 @@ def test_covariances_are_guarded():
     for i in range(1, 30):
         f.update(i, box + 2 * i, None)
     assert np.allclose(f.box(34), box + 68, atol=0.5) and np.linalg.eigvalsh(f.cov).min() > 0
+
+
+def test_pairs_of_two_streams(spark, tmp_path):
+    """Pairs come out, lone boxes when the watermark has passed them; a row behind the watermark is dropped."""
+    schema = "clip string, frame long, tid long, x1 double, y1 double, x2 double, y2 double, conf double"
+    box = lambda f, t, x=0.0: ("a", f, t, x, 0.0, x + 20, 40.0, 0.9)
+    parts = {"truth": [[box(0, 1), box(0, 2, 500.0), box(1, 1)], [box(60, 1)], [box(62, 3)], [box(2, 9), box(200, 1)]], "pred": [[box(0, 11), box(0, 12, 900.0)], [box(1, 11), box(60, 11)], [box(61, 11)], [box(200, 11)]]}
+    streams = {}
+    for name, pieces in parts.items():
+        (tmp_path / name).mkdir()
+        flat = [r for p in pieces for r in p]
+        folder = files_of(spark, tmp_path / name, flat, schema, 4, lambda r, pieces=pieces: next(i for i, p in enumerate(pieces) if r in p))
+        streams[name] = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    out = live.drained(live.matched_stream(streams["pred"], streams["truth"], 0.5, 10), str(tmp_path / "out"), str(tmp_path / "state")).collect()
+    got = sorted((r.frame, r.o or 0, r.p or 0) for r in out)
+    # Frame 1 of the prediction comes with frame 60, before the watermark moves; frame 2 of the truth comes after it (late rows go by the watermark of the batch before the last).
+    assert got == [(0, 0, 12), (0, 1, 11), (0, 2, 0), (1, 1, 11), (60, 1, 11), (61, 0, 11), (62, 3, 0), (200, 1, 11)]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as g
-from trackloom.operators import candidates, diff, nms, ordered, prune, recover, resolve, score
+from trackloom.operators import asof, candidates, diff, nms, ordered, prune, recover, resolve, score
 from trackloom.plans import pipeline, report
 from trackloom.sources import cache, files, tables
 from trackloom.sources.store import new_path
@@ -631,6 +631,30 @@ def match_pairs(spark, d):
     return score.frame_pairs(_moved(det(spark, d)), det(spark, d))
 
 
+@query(ORACLES["match_pairs"], "")
+def match_stream(spark, d):
+    """The pairs of ``match_pairs`` from two streams of boxes; what finds no partner comes out as well and is left out here."""
+
+    def streamed(df: DataFrame, name: str) -> DataFrame:
+        path = new_path(spark, name)
+        df.write.parquet(path)
+        return spark.readStream.schema(df.schema).parquet(path)
+
+    boxes = det(spark, d)
+    both = live.matched_stream(streamed(_moved(boxes), "stream-pred"), streamed(boxes, "stream-truth"))
+    return _drained(spark, both, "append").where("o is not null and p is not null")
+
+
+@query(
+    "SELECT d.clip, d.frame, d.tid, r.reading, r.frame AS read_at FROM det d ASOF LEFT JOIN (SELECT clip, frame, count(*) AS reading FROM det GROUP BY clip, frame HAVING count(*) >= 2) r ON d.clip = r.clip AND d.frame >= r.frame"
+)
+def asof_readings(spark, d):
+    """Every box with the last reading of its clip, which only some frames have (how many boxes crowded ones hold)."""
+    boxes = det(spark, d)
+    reads = boxes.groupBy("clip", "frame").agg(F.count("*").alias("reading")).where("reading >= 2").withColumn("read_at", F.col("frame"))
+    return asof.asof_join(boxes.select("clip", "frame", "tid"), reads, ["clip"], "frame", 64)
+
+
 @query(
     f"SELECT clip, frame, count(a.tid) AS n_a, count(b.tid) AS n_b, round(max({_ERR}), 6) AS box_error, round(max(abs(a.conf - b.conf)), 6) AS conf_error, count(*) FILTER (WHERE a.tid <> b.tid) AS id_mismatches FROM (SELECT *, row_number() OVER (PARTITION BY clip, frame ORDER BY tid) AS pos FROM det) a FULL JOIN (SELECT *, row_number() OVER (PARTITION BY clip, frame ORDER BY tid) AS pos FROM moved) b USING (clip, frame, pos) GROUP BY clip, frame",
     f"{DET}, {MOVED}",

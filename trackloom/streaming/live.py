@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from trackloom.functions import geometry as g
 from trackloom.operators.nms import SIDES
 from trackloom.operators.resolve import box_iou
 
@@ -34,6 +35,23 @@ def session_counts(events: DataFrame, pause: str, late: str = "2 hours") -> Data
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", pause).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
+def matched_stream(pred: DataFrame, truth: DataFrame, least: float = 0.5, late: int = 24) -> DataFrame:
+    """(clip, frame, o, p, iou): truth and predicted boxes of a frame that overlap enough, as both come in; what has found no partner comes with a null.
+
+    Event time counts a frame (from 0) as a second, from 1. State holds the rows of the last ``late`` frames of either side: a pair
+    comes out when its second box is there, a lone box when the watermark has passed its frame, and a row that is further behind is dropped.
+    """
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        sides = [F.col(c).alias(f"{name}_{c}") for c in ("clip", "frame", *SIDES)]
+        return df.select(F.col("tid").alias(name), *sides, F.timestamp_seconds(F.col("frame") + 1).alias(f"{name}_at")).withWatermark(f"{name}_at", f"{late} seconds")
+
+    iou = g.iou(g.box("o_"), g.box("p_"))
+    together = F.expr("o_clip = p_clip AND o_frame = p_frame AND o_at = p_at")
+    both = side(truth, "o").join(side(pred, "p"), together & (iou >= least), "full_outer")
+    return both.select(F.coalesce("o_clip", "p_clip").alias("clip"), F.coalesce("o_frame", "p_frame").alias("frame"), "o", "p", F.when(F.col("o_clip").isNotNull() & F.col("p_clip").isNotNull(), iou).alias("iou"))
+
+
 def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """All that the stream has now, written to Parquet and read back. In complete mode the last result stands."""
     if mode == "complete":
