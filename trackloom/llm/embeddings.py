@@ -87,11 +87,11 @@ def usable(vectors: DataFrame) -> DataFrame:
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, miss: float = 0.002, seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding, label)."""
     rows, kind = stored(usable(vectors), "vec-rows"), component_type(vectors)
-    classes = stored(rows.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("cnt")), "vec-classes")
-    largest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 0
+    # A class is known by a number that it gets when the table is written: several may share a vec_id as their smallest.
+    classes = rows.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("cnt"))
+    nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "vec-classes")
+    largest = nodes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 0
     bits, tables = shape(largest, threshold, miss)
-    # A class is known by its hash: several may share a vec_id as their smallest.
-    nodes = classes.withColumn("node", F.xxhash64("label", "vec", "rep"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -204,7 +204,8 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "u")
     # Documents without words are classes of their own.
     classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min(least).alias("rep"), F.count("*").alias("cnt"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = stored(classes.withColumn("node", F.xxhash64("k1", "k2")), "jaccard-classes")
+    # A class is known by a number that it gets when the table is written; no two share one.
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 1 + 4 * ROWS * k, 4 * ROWS)) for k in range(BANDS)])
     keys = classes.select("node", F.explode(bands).alias("band"))
     shared = keys.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("c")).where("c > 1").select("band", "least")
