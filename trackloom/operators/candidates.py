@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as g
+from trackloom.sources.store import stored
 
 
 def gap_pairs(ends: DataFrame, low: int | Column, high: int | Column, ids: str = "tid") -> DataFrame:
@@ -14,7 +15,8 @@ def gap_pairs(ends: DataFrame, low: int | Column, high: int | Column, ids: str =
     Heads are bucketed by frame in widths of ``high``; a tail looks into the two buckets that its
     range can touch, so the join is an equality on clip and bucket.
     """
-    bounded = ends.withColumns({"_low": F.lit(low), "_high": F.lit(high)})
+    # Both sides are the same rows, one for each track: worked out once.
+    bounded = stored(ends.withColumns({"_low": F.lit(low), "_high": F.lit(high)}), "pair-ends")
     a = bounded.select([F.col(c).alias(f"a_{c}") for c in bounded.columns])
     b = bounded.select([F.col(c).alias(f"b_{c}") for c in bounded.columns])
     a = a.withColumn("_k", F.explode(F.sequence(F.floor((F.col("a_f1") + F.col("a__low")) / F.col("a__high")), F.floor((F.col("a_f1") + F.col("a__high")) / F.col("a__high")))))

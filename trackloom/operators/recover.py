@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as g
 from trackloom.operators import ordered
+from trackloom.sources.store import stored
 
 
 def missing(df: DataFrame, frames: DataFrame, drop: int = 1, window: int = 30, lookback: int = 5, iou: float = 0.30, conf: float = 0.36, min_history: int = 8, max_jump: float = 200.0) -> DataFrame:
@@ -14,8 +15,10 @@ def missing(df: DataFrame, frames: DataFrame, drop: int = 1, window: int = 30, l
 
     A track that has rows in the frames just before, and enough in all, is drawn on by a straight line;
     the box must be larger than a pixel (to six places, so that engines agree), near the last one and clear of the boxes there. All inputs
-    are the original rows, so nothing depends on order. Joins are equalities on (clip, frame, id).
+    are the original rows, so nothing depends on order. Joins are equalities on (clip, frame, id). The rows are
+    read five times, so they are kept as a table first.
     """
+    df = stored(df.select("clip", "frame", "tid", *ordered.VALUES), "recover-boxes")
     dens = ordered.running_median(ordered.density(df, frames), window).where(F.col("n") <= F.col("med") - drop).select("clip", "frame")
     known = df.where(F.col("tid") > 0)
     enough = known.groupBy("clip", "tid").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_history)

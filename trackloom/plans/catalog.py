@@ -440,7 +440,7 @@ def cosine_pairs(spark, d):
 m AS (SELECT label, list(x ORDER BY i) AS m FROM (SELECT label, i, avg(y) AS x FROM (SELECT label, unnest(e) AS y, unnest(range(len(e))) AS i FROM v) GROUP BY label, i) GROUP BY label)""",
 )
 def cosine_to_mean(spark, d):
-    """Every vector against the mean vector of its label; ``cosine_pairs`` takes pairs inside blocks of ids only."""
+    """Every vector against the mean vector of its label; ``cosine_pairs`` is a search for the nearest one."""
     v = tables.table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
     each = v.select("label", F.posexplode("e").alias("i", "y")).groupBy("label", "i").agg(F.avg("y").alias("x"))
     means = each.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda z: z["x"]).alias("m"))
