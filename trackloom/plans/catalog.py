@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as g
-from trackloom.operators import asof, candidates, diff, nms, ordered, prune, recover, resolve, score
+from trackloom.operators import asof, candidates, diff, nms, ordered, prune, recover, resolve, score, sketch
 from trackloom.plans import pipeline, report
 from trackloom.sources import cache, files, tables
 from trackloom.sources.store import new_path
@@ -908,6 +908,15 @@ def motion_tracks(spark, d):
         return _drained(spark, motion.motion_tracks(_event_boxes(spark, d).where("clip is not null and frame is not null")), "append")
 
 
+@query()
+def sketch_rollup(spark, d):
+    """Ids and confidence of clips and days from sketches of two shares of the boxes, kept apart and merged."""
+    boxes = det(spark, d).withColumn("day", F.floor(F.col("frame") / 24))
+    keys, late = ["clip", "day"], F.col("frame") % 2 == 1
+    kept = sketch.added(sketch.sketches(boxes.where(~late), keys), sketch.sketches(boxes.where(late), keys), keys)
+    return sketch.rolled_up(kept, keys).select("clip", "day", "level", "boxes", "ids")
+
+
 # ---- tables that are built once --------------------------------------------------------------
 
 
