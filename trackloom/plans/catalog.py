@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as g
-from trackloom.operators import asof, candidates, diff, nms, ordered, prune, recover, resolve, score, sketch
-from trackloom.plans import pipeline, report
+from trackloom.operators import asof, candidates, diff, guard, nms, ordered, prune, recover, resolve, score, sketch
+from trackloom.plans import pipeline, record, report
 from trackloom.sources import cache, files, tables
 from trackloom.sources.store import new_path
 from trackloom.streaming import live, motion
@@ -917,6 +917,23 @@ def sketch_rollup(spark, d):
     return sketch.rolled_up(kept, keys).select("clip", "day", "level", "boxes", "ids")
 
 
+@query("SELECT clip, CASE WHEN clip = 'c1' THEN 0 ELSE count(*) END AS boxes, CAST(clip = 'c1' AS BIGINT) AS failed FROM det WHERE clip = 'c1' OR (x2 - x1 > 10 AND y2 - y1 > 10) GROUP BY clip")
+def failed_clip_aside(spark, d):
+    """A build that fails on one clip (as if its rows were broken) gives all others and one error row."""
+    planted = F.when(F.col("clip") == "c1", F.raise_error(F.lit("planted"))).otherwise(F.col("frame")).cast("long")
+    rows, errors = guard.build_or_set_aside(det(spark, d), lambda x: prune.min_box(x).withColumn("frame", planted), "prune")
+    ok = rows.groupBy("clip").agg(F.count("*").alias("boxes")).withColumn("failed", F.lit(0).cast("long"))
+    return ok.unionByName(errors.select("clip", F.lit(0).cast("long").alias("boxes"), F.lit(1).cast("long").alias("failed")))
+
+
+@query()
+def run_records(spark, d):
+    """Tracks and boxes of each clip as the records of a run of the chain have them."""
+    root = new_path(spark, "records")
+    record.recorded_tracks(det(spark, d), TEST_CONFIG, root)
+    return record.records(spark, root).select("stage", "clip", "tracks", "boxes")
+
+
 # ---- tables that are built once --------------------------------------------------------------
 
 

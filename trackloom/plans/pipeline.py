@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
@@ -135,13 +136,22 @@ CHAIN: list[tuple[tuple[str, ...], Step, str | None]] = [
 ]
 
 
-def build_tracks(df: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """(clip, frame, tid, box, conf): clean, merge, smooth, gate, stitch, smooth again."""
-    d = df
-    for _, step, kept in CHAIN:
+def build_tracks(df: DataFrame, cfg: Config = Config(), seen: Callable[[str, DataFrame, float], None] | None = None) -> DataFrame:
+    """(clip, frame, tid, box, conf): clean, merge, smooth, gate, stitch, smooth again.
+
+    ``seen`` is told of each table that is kept on the way, and of the result as one more: name, rows, and seconds since the last.
+    """
+    d, began = df, time.monotonic()
+    for i, (_, step, kept) in enumerate(CHAIN):
         d = step(d, cfg)
-        d = stored(d, kept) if kept else d
-    return d.select("clip", "frame", "tid", *ordered.VALUES)
+        if i == len(CHAIN) - 1:
+            d, kept = d.select("clip", "frame", "tid", *ordered.VALUES), "tracks" if seen else None
+        if kept:
+            d = stored(d, kept)
+            if seen:
+                seen(kept, d, time.monotonic() - began)
+                began = time.monotonic()
+    return d
 
 
 def run(df: DataFrame, frames: DataFrame, cfg: Config = Config(), recovery: bool = False) -> DataFrame:
