@@ -256,3 +256,17 @@ def test_bounds_hold_whatever_the_order_of_rows(spark):
     assert {r.tid for r in prune.prune_tracks(df.where("tid = 1"), 5, 0.55).collect()} == {1}
     assert {r.tid for r in prune.gate(df, 5, 0.55, 0.84).collect()} == {2}
     assert {r.tid for r in prune.gate(df, 5, 0.55, 0.5).collect()} == {1, 2}
+
+
+def test_thin_tracks_touch_as_whole_ones_do(spark):
+    """Lines drawn in stretches of frames give the pairs of lines drawn over whole tracks; kept tables of the chain hold detected rows alone."""
+    from trackloom.operators import candidates
+    from trackloom.plans import pipeline
+
+    rng = np.random.default_rng(4)
+    thin = boxes(spark, [(int(f), t, float(rng.uniform(0, 30)), 0.5) for t in range(6) for f in np.unique(rng.integers(0, 400, 40))])
+    got, want = ({(r.a_tid, r.b_tid): r.mean_iou for r in d.collect()} for d in (candidates.touching_pairs(thin, 0.2, 5, thin=True), candidates.touching_pairs(pipeline.whole(thin), 0.2, 5)))
+    assert got.keys() == want.keys() and want
+    assert all((got[k] is None) == (want[k] is None) and (want[k] is None or abs(got[k] - want[k]) < 1e-9) for k in want)
+    assert pipeline.cleaned(boxes(spark, [(0, 1, 0, 1), (10, 1, 10, 1)]), Config(min_total=3)).count() == 0
+    assert pipeline.cleaned(boxes(spark, [(f, 1, f, 1) for f in (0, 4, 10)]), Config(min_total=3)).count() == 3

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as g
+from trackloom.operators import ordered
 from trackloom.sources.store import stored
 
 
@@ -63,15 +64,27 @@ def stitch_candidates(ends: DataFrame, max_gap: int | Column = 400, max_jump: fl
     return p.drop("a__jump", "a__ratio", "b__jump", "b__ratio")
 
 
-def _common_frames(df: DataFrame, ids: str) -> DataFrame:
+#: Frames of a stretch in which thin tracks are drawn to find what shares a frame.
+STRETCH = 64
+
+
+def _boxes_of_frames(df: DataFrame, ids: str, thin: bool) -> DataFrame:
+    """(clip, frame, boxes): the boxes of each frame. Of thin tracks the rows with their successors are dealt to stretches of frames and lines are drawn there."""
+    keys = ["clip", "frame"]
+    if thin:
+        df = ordered.stretches(df, ("clip", ids), STRETCH).repartition("clip", "stretch")
+        df, keys = ordered.drawn(df, ("clip", ids, "stretch"), STRETCH), ["clip", "stretch", "frame"]
+    return df.groupBy(*keys).agg(F.collect_list(F.struct(ids, *g.BOX)).alias("boxes"))
+
+
+def _common_frames(df: DataFrame, ids: str, thin: bool = False) -> DataFrame:
     """Unordered pairs that share frames: how many, and the mean and largest overlap.
 
-    The join is on clip and frame, so its size follows the boxes of a frame; sums combine on the map side.
+    Boxes are grouped by clip and frame and paired there, so the size follows the boxes of a frame; sums combine on the map side.
     """
-    cols = ["clip", "frame", ids, *g.BOX]
-    a = df.select([F.col(c).alias(c if c in ("clip", "frame") else f"a_{c}") for c in cols])
-    b = df.select([F.col(c).alias(c if c in ("clip", "frame") else f"b_{c}") for c in cols])
-    p = a.join(b, ["clip", "frame"]).where(F.col(f"a_{ids}") < F.col(f"b_{ids}")).withColumn("iou", g.iou(g.box("a_"), g.box("b_")))
+    f = _boxes_of_frames(df, ids, thin).where(F.size("boxes") > 1)
+    p = f.select("clip", "boxes", F.explode("boxes").alias("a")).select("clip", "a", F.explode("boxes").alias("b")).where(F.col(f"a.{ids}") < F.col(f"b.{ids}"))
+    p = p.select("clip", F.col(f"a.{ids}").alias(f"a_{ids}"), F.col(f"b.{ids}").alias(f"b_{ids}"), g.iou(g.field_box(F.col("a")), g.field_box(F.col("b"))).alias("iou"))
     return p.groupBy("clip", f"a_{ids}", f"b_{ids}").agg(F.count("*").alias("common"), F.avg("iou").alias("mean_iou"), F.max("iou").alias("_most"))
 
 
@@ -80,7 +93,7 @@ def overlap_pairs(df: DataFrame, iou: float | Column = 0.7, min_frames: int | Co
     return _common_frames(df, ids).where((F.col("common") >= min_frames) & (F.col("mean_iou") >= iou)).drop("_most")
 
 
-def touching_pairs(df: DataFrame, iou: float | Column = 0.7, min_frames: int | Column = 5, ids: str = "tid") -> DataFrame:
+def touching_pairs(df: DataFrame, iou: float | Column = 0.7, min_frames: int | Column = 5, ids: str = "tid", thin: bool = False) -> DataFrame:
     """Unordered pairs that touch in some frame; ``mean_iou`` is null where ``overlap_pairs`` would leave the pair out."""
     enough = (F.col("common") >= min_frames) & (F.col("mean_iou") >= iou)
-    return _common_frames(df, ids).where("_most > 0").select("clip", f"a_{ids}", f"b_{ids}", F.when(enough, F.col("mean_iou")).alias("mean_iou"))
+    return _common_frames(df, ids, thin).where("_most > 0").select("clip", f"a_{ids}", f"b_{ids}", F.when(enough, F.col("mean_iou")).alias("mean_iou"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as g
@@ -25,16 +25,37 @@ def piece_id(tid: str = "tid", piece: str = "piece"):
     return F.col(tid) * 1_000_000 + F.col(piece)
 
 
-def fill_gaps(df: DataFrame, group: tuple[str, ...] = PIECE) -> DataFrame:
-    """Missing frames inside a group, by straight lines between the rows around them."""
+def _followed(df: DataFrame, group: tuple[str, ...]) -> DataFrame:
+    """Rows with the frame and values of the next one of their group (_f, _x1, ...)."""
     w = Window.partitionBy(*group).orderBy("frame")
-    r = df.select(*group, "frame", *VALUES, F.lead("frame").over(w).alias("_f"), *[F.lead(c).over(w).alias(f"_{c}") for c in VALUES])
-    r = r.withColumn("_at", F.explode(F.sequence(F.col("frame"), F.coalesce(F.col("_f") - 1, F.col("frame")))))
+    return df.select(*group, "frame", *VALUES, F.lead("frame").over(w).alias("_f"), *[F.lead(c).over(w).alias(f"_{c}") for c in VALUES])
+
+
+def _lines(r: DataFrame, group: tuple[str, ...], first: Column, last: Column) -> DataFrame:
+    """Rows at the frames ``first`` to ``last`` on the way to the next row."""
+    r = r.withColumn("_at", F.explode(F.sequence(first, last)))
     t = (F.col("_at") - F.col("frame")) / (F.col("_f") - F.col("frame"))
     line = lambda c: F.when(F.col("_at") == F.col("frame"), F.col(c)).otherwise(F.col(c) + (F.col(f"_{c}") - F.col(c)) * t)
     return r.select(*group, F.col("_at").alias("frame"), *[line(c).alias(c) for c in VALUES], (F.col("_at") == F.col("frame")).alias("detected"))
 
 
+def fill_gaps(df: DataFrame, group: tuple[str, ...] = PIECE) -> DataFrame:
+    """Missing frames inside a group, by straight lines between the rows around them."""
+    return _lines(_followed(df, group), group, F.col("frame"), F.coalesce(F.col("_f") - 1, F.col("frame")))
+
+
+def stretches(df: DataFrame, group: tuple[str, ...], width: int) -> DataFrame:
+    """Rows with their successors, once for each stretch of ``width`` frames on the way there."""
+    at = lambda f: F.floor(f / width)
+    return _followed(df, group).withColumn("stretch", F.explode(F.sequence(at(F.col("frame")), at(F.coalesce(F.col("_f") - 1, F.col("frame"))))))
+
+
+def drawn(r: DataFrame, group: tuple[str, ...], width: int) -> DataFrame:
+    """The frames of ``stretches``, each in its own one."""
+    first = F.greatest(F.col("frame"), F.col("stretch") * width)
+    return _lines(r, group, first, F.least(F.coalesce(F.col("_f") - 1, F.col("frame")), F.col("stretch") * width + width - 1))
+
+
 def endpoints(df: DataFrame, group: tuple[str, ...] = TRACK, window: int = 5) -> DataFrame:
     """A row for each track: n, f0, f1, head, tail (box and conf), velocity of the tail (vx, vy: medians of its last ``window`` rows).
 
@@ -95,10 +116,10 @@ def dense_window(dens: DataFrame, window: int) -> DataFrame:
     return s.groupBy("clip").agg(F.max_by(F.struct(F.col("frame").alias("start"), F.col("total").alias("boxes")), F.struct("total", -F.col("frame"))).alias("b")).select("clip", "b.start", "b.boxes")
 
 
-def as_arrays(df: DataFrame, group: tuple[str, ...] = TRACK) -> DataFrame:
-    """A row for each track with its rows in order of frames, as ``rows``."""
+def as_arrays(df: DataFrame, group: tuple[str, ...] = TRACK, *more: Column) -> DataFrame:
+    """A row for each track with its rows in order of frames, as ``rows``, and ``more`` aggregates."""
     cols = [c for c in df.columns if c not in group]
-    return df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("frame", *[c for c in cols if c != "frame"]))).alias("rows"))
+    return df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("frame", *[c for c in cols if c != "frame"]))).alias("rows"), *more)
 
 
 def by_frames(df: DataFrame, frames: DataFrame, order: str = "frame") -> DataFrame:
@@ -149,13 +170,30 @@ def smooth_centres(df: DataFrame, window: int = 21, group: tuple[str, ...] = TRA
     return _with_boxes(t, group, _sides(F.col("_cx"), F.col("_cy"), w, h))
 
 
-def smooth_sizes(df: DataFrame, cv_threshold: float = 0.2, window: int = 21, group: tuple[str, ...] = TRACK) -> DataFrame:
-    """One size for tracks whose size hardly varies (variation of both sides together up to the bound), else a running median; centres stay."""
+def _sized(df: DataFrame, cv_threshold, window, group: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """Arrays of tracks and their sides with smoothed sizes."""
     b = g.box()
     cv = lambda c: F.stddev_pop(c) / F.greatest(F.avg(c), F.lit(1.0))
-    s = df.groupBy(*group).agg((cv(g.width(b)) + cv(g.height(b))).alias("_cv"), F.percentile(g.width(b), F.lit(0.5)).alias("_mw"), F.percentile(g.height(b), F.lit(0.5)).alias("_mh"))
-    t = as_arrays(df, group).join(s, list(group))
+    # One aggregation for sizes and rows, so that the rows are read and shuffled once.
+    sizes = [(cv(g.width(b)) + cv(g.height(b))).alias("_cv"), F.percentile(g.width(b), F.lit(0.5)).alias("_mw"), F.percentile(g.height(b), F.lit(0.5)).alias("_mh")]
+    t = as_arrays(df, group, *sizes)
     cx, cy, w, h = _parts(t)
     size = lambda v, m: F.when(F.col("_cv") <= cv_threshold, F.array_repeat(F.col(m), F.size("rows"))).otherwise(signal.median_edge(v, window))
     t = t.select("*", size(w, "_mw").alias("_w"), size(h, "_mh").alias("_h"))
-    return _with_boxes(t, group, _sides(cx, cy, F.col("_w"), F.col("_h")))
+    return t, _sides(cx, cy, F.col("_w"), F.col("_h"))
+
+
+def smooth_sizes(df: DataFrame, cv_threshold: float = 0.2, window: int = 21, group: tuple[str, ...] = TRACK) -> DataFrame:
+    """One size for tracks whose size hardly varies (variation of both sides together up to the bound), else a running median; centres stay."""
+    t, sides = _sized(df, cv_threshold, window, group)
+    return _with_boxes(t, group, sides)
+
+
+def smooth_tracks(df: DataFrame, cv_threshold: float = 0.2, window: int = 21, centre_window: int = 21, group: tuple[str, ...] = TRACK) -> DataFrame:
+    """``smooth_centres`` of ``smooth_sizes`` over the same arrays: Spark takes rows that come from Python for rows dealt anyhow and would shuffle them between the two."""
+    t, sides = _sized(df, cv_threshold, window, group)
+    t = t.select(*group, "rows", *[s.alias(f"_s{i}") for i, s in enumerate(sides)])
+    middle = lambda i: F.zip_with(f"_s{i}", f"_s{i + 2}", lambda a, b: (a + b) / 2)
+    side = lambda i: F.zip_with(f"_s{i}", f"_s{i + 2}", lambda a, b: b - a)
+    t = t.select(*group, "rows", signal.median_edge(middle(0), centre_window).alias("_cx"), signal.median_edge(middle(1), centre_window).alias("_cy"), side(0).alias("_w"), side(1).alias("_h"))
+    return _with_boxes(t, group, _sides(*[F.col(c) for c in ("_cx", "_cy", "_w", "_h")]))

@@ -260,13 +260,16 @@ class _Pile:
         return self.rows
 
 
-def merge_overlapping(df: DataFrame, iou: float | Column = 0.7, min_frames: int | Column = 5) -> DataFrame:
+def merge_overlapping(df: DataFrame, iou: float | Column = 0.7, min_frames: int | Column = 5, thin: bool = False) -> DataFrame:
     """Tracks that lie on one another for some frames become one: the best pair each round, higher confidence in common frames, smaller id.
 
     A merged track can only come to lie on a track that one of its members touches, so components of the pairs that touch in
     any frame are independent of one another; those with a pair to merge are decided, a component at a time, and all other tracks pass by.
+
+    ``thin`` rows stand for tracks with straight lines between them, which are drawn where overlaps are found and decided; tracks that pass by stay
+    thin, and merged ones, which have common frames, are without gaps.
     """
-    pairs = stored(candidates.touching_pairs(df, iou, min_frames), "overlap-pairs")
+    pairs = stored(candidates.touching_pairs(df, iou, min_frames, thin=thin), "overlap-pairs")
     mine = df.select("clip", "frame", "tid", *ordered.VALUES)
     if pairs.where("mean_iou is not null").isEmpty():
         return mine
@@ -288,6 +291,7 @@ def merge_overlapping(df: DataFrame, iou: float | Column = 0.7, min_frames: int
         return pd.DataFrame(out, columns=["clip", "frame", "tid", *ordered.VALUES])
 
     own = mine.join(linked, ["clip", "tid"])
+    own = ordered.fill_gaps(own, ("clip", "part", "tid")).drop("detected") if thin else own
     done = own.groupBy("clip", "part").cogroup(pairs.groupBy("clip", "part")).applyInPandas(decide, "clip string, frame long, tid long, x1 double, y1 double, x2 double, y2 double, conf double")
     return mine.join(linked, ["clip", "tid"], "left_anti").select(*done.columns).unionByName(done)
 
@@ -314,11 +318,15 @@ def stitch_components(log: DataFrame) -> DataFrame:
     return parts.select("node.clip", "node.tid", F.col("component.tid").alias("new_tid"))
 
 
+def renamed(df: DataFrame) -> DataFrame:
+    """Rows (clip, new_tid, tid, frame, values) under their new names; of equal frames the higher confidence stays, then the smaller old id."""
+    best = F.max_by(F.struct(*ordered.VALUES), F.struct("conf", -F.col("tid")))
+    return df.groupBy("clip", "new_tid", "frame").agg(best.alias("b")).select("clip", "frame", F.col("new_tid").alias("tid"), "b.*")
+
+
 def stitch(df: DataFrame, **knobs) -> DataFrame:
     """Tracks stitched across long gaps, which are not filled; of equal frames the higher confidence stays. Tracks without a link pass by."""
     cols = ["clip", "frame", "tid", *ordered.VALUES]
     m = stored(stitch_components(stitch_log(df, **knobs)), "stitch-names")
-    linked = df.select(*cols).join(m, ["clip", "tid"])
-    best = F.max_by(F.struct(*ordered.VALUES), F.struct("conf", -F.col("tid")))
-    one = linked.groupBy("clip", "frame", F.col("new_tid").alias("tid")).agg(best.alias("b")).select("clip", "frame", "tid", "b.*")
+    one = renamed(df.select(*cols).join(m, ["clip", "tid"]))
     return df.select(*cols).join(m, ["clip", "tid"], "left_anti").select(*cols).unionByName(one)

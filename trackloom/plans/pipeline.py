@@ -82,48 +82,74 @@ def switched(df: DataFrame, on: bool | Column, step: Callable[[DataFrame], DataF
 
 
 def cleaned(df: DataFrame, cfg: Config | Knobs) -> DataFrame:
-    """Size and track prune, split on long gaps, short gaps filled; ids are those of pieces."""
+    """Size and track prune, split on long gaps; ids are those of pieces. Detected rows only, see ``whole``."""
     d = prune.prune_tracks(prune.min_box(df, cfg.min_box, cfg.min_box), cfg.min_total, cfg.min_conf)
     d = ordered.fill_gaps(ordered.split_on_gap(d, cfg.max_gap))
-    d = d.select("clip", "frame", ordered.piece_id().alias("tid"), *ordered.VALUES)
-    return prune.min_length(d, cfg.min_total)
+    d = d.select("clip", "frame", ordered.piece_id().alias("tid"), *ordered.VALUES, "detected")
+    return prune.min_length(d, cfg.min_total).where("detected").drop("detected")
+
+
+def whole(d: DataFrame, group: tuple[str, ...] = ordered.TRACK) -> DataFrame:
+    """Tracks with the frames between their detected rows.
+
+    Up to the last step tables and shuffles carry detected rows alone: what lies between is a straight line, so each task
+    draws it anew from the rows that it has got, with the same values, and a tenth of the rows is moved.
+    """
+    return ordered.fill_gaps(d, group).drop("detected")
+
+
+def shaped(d: DataFrame, k: Config | Knobs, group: tuple[str, ...] = ordered.TRACK) -> DataFrame:
+    """Detected rows to whole, trimmed and smoothed tracks, inside the tasks that hold the tracks."""
+    return ordered.smooth_boxes(prune.trim_edges(whole(d, group), k.trim_conf, k.trim_frames, k.min_total, group), k.median_window, k.sigma, group)
 
 
 def _merged(d: DataFrame, k: Config | Knobs) -> DataFrame:
-    d = resolve.merge_ids(d, max_gap=k.merge_gap, iou=k.merge_iou, long_gap=k.long_gap, max_distance=k.long_distance)
-    return prune.drop_placeholders(d, k.min_total, k.min_conf)
+    m = resolve.id_mapping(whole(d), max_gap=k.merge_gap, iou=k.merge_iou, long_gap=k.long_gap, max_distance=k.long_distance)
+    d = ordered.fill_gaps(resolve.relabel(d, m), ordered.TRACK)
+    return prune.drop_placeholders(d, k.min_total, k.min_conf).where("detected").drop("detected")
 
 
 def _single(d: DataFrame, k: Config | Knobs) -> DataFrame:
-    return switched(d, k.overlap_iou > 0, lambda x: resolve.merge_overlapping(x, k.overlap_iou, k.overlap_frames))
+    return stored(switched(d, k.overlap_iou > 0, lambda x: resolve.merge_overlapping(x, k.overlap_iou, k.overlap_frames, thin=True)), "tracks-single")
 
 
 def _smoothed(d: DataFrame, k: Config | Knobs) -> DataFrame:
-    return ordered.smooth_boxes(prune.trim_edges(d, k.trim_conf, k.trim_frames, k.min_total), k.median_window, k.sigma)
+    """Nothing yet: smoothing keeps rows, ids and confidences, so choosing goes by the rows before it, and ``shaped`` does it where boxes are read."""
+    return d
 
 
 def _chosen(d: DataFrame, k: Config | Knobs) -> DataFrame:
-    d = prune.top_tracks(d, k.most_tracks)
-    if k.use_gate is False:
-        return d
-    return prune.gate(d, k.gate_len, k.gate_mean, k.gate_p90, off=~k.use_gate if isinstance(k.use_gate, Column) else None)
+    x = prune.trim_edges(whole(d), k.trim_conf, k.trim_frames, k.min_total)
+    each = prune.measured(x)
+    return prune.keep_groups(d, stored(prune.chosen(each, k.most_tracks, k.gate_len, k.gate_mean, k.gate_p90, k.use_gate), "tracks-keep"), ordered.TRACK)
 
 
 def _stitched(d: DataFrame, k: Config | Knobs) -> DataFrame:
-    return switched(d, k.use_stitch, lambda x: resolve.stitch(x, max_gap=k.stitch_gap, max_jump=k.stitch_jump, max_ratio=k.stitch_ratio))
+    """Smoothed tracks with the names that stitching gives them."""
+    on = k.use_stitch
+    if on is False:
+        return shaped(d, k)
+    log = resolve.stitch_log(shaped(d.where(on) if isinstance(on, Column) else d, k), max_gap=k.stitch_gap, max_jump=k.stitch_jump, max_ratio=k.stitch_ratio)
+    m = stored(resolve.stitch_components(log), "stitch-names")
+    named = d.join(m, ["clip", "tid"], "left").withColumn("new_tid", F.coalesce("new_tid", "tid"))
+    # Dealt out by the new names once, for all that is left to do.
+    return resolve.renamed(shaped(named, k, ("clip", "tid", "new_tid")).repartition("clip", "new_tid"))
 
 
 def _sized(d: DataFrame, k: Config | Knobs) -> DataFrame:
-    return switched(d, k.use_sizes, lambda x: ordered.smooth_sizes(x, k.size_cv, k.size_window))
+    """Nothing yet: done with the centres, over the same arrays."""
+    return d
 
 
 def _centred(d: DataFrame, k: Config | Knobs) -> DataFrame:
+    if k.use_sizes is True and k.use_centres is True:
+        return ordered.smooth_tracks(d, k.size_cv, k.size_window, k.centre_window)
+    d = switched(d, k.use_sizes, lambda x: ordered.smooth_sizes(x, k.size_cv, k.size_window))
     return switched(d, k.use_centres, lambda x: ordered.smooth_centres(x, k.centre_window))
 
 
 Step = Callable[[DataFrame, "Config | Knobs"], DataFrame]
-#: The chain: knobs that a step is the first to read, what it does, and whether its result is kept as a table because
-#: the next step reads it several times.
+#: The chain: knobs that a step is the first to read, what it does, and the name under which its tracks are told of.
 CHAIN: list[tuple[tuple[str, ...], Step, str | None]] = [
     (("min_box", "min_total", "min_conf", "max_gap"), cleaned, "tracks-clean"),
     (("merge_gap", "merge_iou", "long_gap", "long_distance"), _merged, "tracks-merged"),
@@ -134,23 +160,30 @@ CHAIN: list[tuple[tuple[str, ...], Step, str | None]] = [
     (("use_sizes", "size_cv", "size_window"), _sized, None),
     (("use_centres", "centre_window"), _centred, None),
 ]
+#: Tables that are kept because the next step reads them several times, and the tracks that their rows stand for.
+KEPT: dict[str, Callable[[DataFrame, "Config | Knobs"], DataFrame]] = {"tracks-clean": lambda d, k: whole(d), "tracks-merged": lambda d, k: whole(d), "tracks-chosen": shaped}
 
 
 def build_tracks(df: DataFrame, cfg: Config = Config(), seen: Callable[[str, DataFrame, float], None] | None = None) -> DataFrame:
     """(clip, frame, tid, box, conf): clean, merge, smooth, gate, stitch, smooth again.
 
-    ``seen`` is told of each table that is kept on the way, and of the result as one more: name, rows, and seconds since the last.
+    ``seen`` is told of the tracks after each step that has a name, and of the result as one more: name, rows, and seconds since the last.
+    Smoothed tracks are not kept: their rows come with the chosen ones, and those of stitched tracks with the result, which is kept then and has the same rows.
     """
-    d, began = df, time.monotonic()
-    for i, (_, step, kept) in enumerate(CHAIN):
+    d, began, waiting = df, time.monotonic(), []
+    for i, (_, step, name) in enumerate(CHAIN):
         d = step(d, cfg)
         if i == len(CHAIN) - 1:
-            d, kept = d.select("clip", "frame", "tid", *ordered.VALUES), "tracks" if seen else None
-        if kept:
-            d = stored(d, kept)
-            if seen:
-                seen(kept, d, time.monotonic() - began)
-                began = time.monotonic()
+            d, name = d.select("clip", "frame", "tid", *ordered.VALUES), "tracks" if seen else None
+            d = stored(d, name) if seen else d
+        elif name in KEPT:
+            d = stored(d, name)
+        if seen and name == "tracks-stitched":
+            waiting.append(name)
+        elif seen and name:
+            for told in (*waiting, name):
+                seen(told, KEPT[name](d, cfg) if name in KEPT else shaped(d, cfg) if name == "tracks-smooth" else d, time.monotonic() - began)
+            began, waiting = time.monotonic(), []
     return d
 
 
@@ -204,7 +237,7 @@ def sweep(df: DataFrame, variants: dict[str, Config]) -> DataFrame:
     for (knobs, step, kept), now in zip(CHAIN, _levels(configs), strict=True):
         d = _branched(d, before, now, names)
         d = step(d, Knobs(now))
-        d = stored(d, f"sweep-{kept}") if kept else d
+        d = stored(d, f"sweep-{kept}") if kept in KEPT else d
         before, names = now, names + knobs
     of = [[v for v, c in variants.items() if c == leaf] for leaf in before]
     d = d.withColumn("variant", F.explode(F.get(F.lit(of), F.split_part("clip", F.lit("/"), F.lit(1)).cast("int"))))
