@@ -270,3 +270,15 @@ def test_thin_tracks_touch_as_whole_ones_do(spark):
     assert all((got[k] is None) == (want[k] is None) and (want[k] is None or abs(got[k] - want[k]) < 1e-9) for k in want)
     assert pipeline.cleaned(boxes(spark, [(0, 1, 0, 1), (10, 1, 10, 1)]), Config(min_total=3)).count() == 0
     assert pipeline.cleaned(boxes(spark, [(f, 1, f, 1) for f in (0, 4, 10)]), Config(min_total=3)).count() == 3
+
+
+def test_filters_see_lists_as_one_array():
+    """Values of a batch go through in one array, slices of batches and empty lists included."""
+    import pyarrow as pa
+
+    from trackloom.functions import signal
+
+    v = pa.array([[9.0], [1.0, 5.0, 2.0], [], [4.0, 4.0, 8.0, 1.0]])
+    for part in (v, v.slice(1, 3), v.slice(0, 0)):
+        got = signal.over_lists(part, lambda i, x: signal.edge_median(x, 3)).to_pylist()
+        assert got == [signal.edge_median(np.array(x, float), 3).tolist() for x in part.to_pylist()]
