@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -79,24 +78,31 @@ def online_tracks(boxes: DataFrame, least: float = 0.3, memory: int = 24) -> Dat
         if state.exists:
             next_id, i, f, b = state.get
             ids, seen, last = list(i), list(f), np.array(b, float).reshape(-1, 4)
-        rows = pd.concat(list(chunks)).sort_values(["frame", *SIDES])
-        out: list[Any] = []
-        for frame, f in rows.groupby("frame"):
+        rows = pd.concat(list(chunks)).dropna(subset=["frame"]).sort_values(["frame", *SIDES])
+        # Arrays by frame: cutting a table up and putting it together again for each frame costs more than tracking.
+        frames, sides, given = rows["frame"].to_numpy(), rows[SIDES].to_numpy(float), np.zeros(len(rows), np.int64)
+        edges = [0, *(np.flatnonzero(frames[1:] != frames[:-1]) + 1), len(rows)] if len(rows) else [0]
+        for start, stop in zip(edges, edges[1:], strict=False):
+            frame, b = int(frames[start]), sides[start:stop]
             live = [k for k, s in enumerate(seen) if frame - s <= memory]
-            ids, seen, last = [ids[k] for k in live], [seen[k] for k in live], last[live]
-            b = f[SIDES].to_numpy(float)
-            m = box_iou(b, last)
-            mine = [0] * len(b)
-            for i, j in zip(*np.unravel_index(np.argsort(-m, axis=None, kind="stable"), m.shape), strict=True) if m.size else ():
-                if m[i, j] >= least and not mine[i] and ids[j] not in mine:
-                    mine[i], seen[j], last[j] = ids[j], int(frame), b[i]
-            for i, t in enumerate(mine):
-                if not t:
-                    mine[i] = next_id
-                    ids, seen, last = [*ids, next_id], [*seen, int(frame)], np.vstack([last, b[i]])
-                    next_id += 1
-            out.append(f.assign(clip=key[0], tid=mine))
+            if len(live) < len(seen):
+                ids, seen, last = [ids[k] for k in live], [seen[k] for k in live], last[live]
+            m = box_iou(b, last).ravel()
+            near = np.flatnonzero(m >= least)
+            mine, taken = [0] * len(b), set()
+            for p in near[np.argsort(-m[near], kind="stable")]:
+                i, j = divmod(int(p), len(ids))
+                if not mine[i] and j not in taken:
+                    mine[i], seen[j], last[j] = ids[j], frame, b[i]
+                    taken.add(j)
+            new = [i for i, t in enumerate(mine) if not t]
+            if new:
+                fresh = list(range(next_id, next_id + len(new)))
+                for i, t in zip(new, fresh, strict=True):
+                    mine[i] = t
+                ids, seen, last, next_id = [*ids, *fresh], [*seen, *[frame] * len(new)], np.vstack([last, b[new]]), next_id + len(new)
+            given[start:stop] = mine
         state.update((next_id, [int(x) for x in ids], [int(x) for x in seen], [float(x) for x in last.ravel()]))
-        yield pd.concat(out)[["clip", "frame", "tid", *SIDES, "conf"]]
+        yield rows.assign(clip=key[0], tid=given)[["clip", "frame", "tid", *SIDES, "conf"]]
 
     return boxes.select("clip", "frame", *SIDES, "conf").groupBy("clip").applyInPandasWithState(step, TRACKED, STATE, "append", GroupStateTimeout.NoTimeout)
