@@ -107,6 +107,20 @@ def test_stitch_gap_bound(spark):
     assert {(r.a, r.b) for r in resolve.stitch_log(df).collect()} == {(1, 2), (2, 3)}
 
 
+def test_stitching_reads_its_rows_once(spark):
+    df = boxes(spark, [(f, t, 0, 1) for t in range(1, 6) for f in range(10 * t, 10 * t + 6)])
+    count = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            count.add(b.num_rows)
+            yield b
+
+    got = resolve.stitch(df.mapInArrow(seen, df.schema), max_gap=30).collect()
+    assert {r.tid for r in got} == {1} and len(got) == 30
+    assert count.value == 30
+
+
 def test_recovery_uses_the_original_rows(spark):
     rows = [(f, t, 100 * t + f, 1) for t in (1, 2) for f in range(20) if (t, f) != (1, 10)] + [(f, 0, 600, 1) for f in range(20) if f != 10]
     frames = spark.range(20).select(F.lit("a").alias("clip"), F.col("id").alias("frame"))

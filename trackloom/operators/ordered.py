@@ -59,17 +59,16 @@ def drawn(r: DataFrame, group: tuple[str, ...], width: int) -> DataFrame:
 def endpoints(df: DataFrame, group: tuple[str, ...] = TRACK, window: int = 5) -> DataFrame:
     """A row for each track: n, f0, f1, head, tail (box and conf), velocity of the tail (vx, vy: medians of its last ``window`` rows).
 
-    Only the last rows of each track reach the medians; the rest combines on the map side.
+    One shuffle and one look at the rows: velocities come from the same order as the numbers of the last rows.
     """
     b = F.struct(*VALUES)
-    ends = df.groupBy(*group).agg(F.count("*").alias("n"), F.min("frame").alias("f0"), F.max("frame").alias("f1"), F.min_by(b, "frame").alias("head"), F.max_by(b, "frame").alias("tail"))
     last = Window.partitionBy(*group).orderBy(F.col("frame").desc())
-    tail = df.select(*group, "frame", *[c.alias(n) for c, n in zip(g.centre(g.box()), ("cx", "cy"), strict=True)]).withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= window)
-    by = Window.partitionBy(*group).orderBy("frame")
-    step = F.greatest(F.col("frame") - F.lag("frame").over(by), F.lit(1))
-    tail = tail.withColumn("_vx", (F.col("cx") - F.lag("cx").over(by)) / step).withColumn("_vy", (F.col("cy") - F.lag("cy").over(by)) / step)
-    v = tail.groupBy(*group).agg(F.coalesce(F.percentile("_vx", F.lit(0.5)), F.lit(0.0)).alias("vx"), F.coalesce(F.percentile("_vy", F.lit(0.5)), F.lit(0.0)).alias("vy"))
-    return ends.join(v, list(group))
+    r = df.select(*group, "frame", *VALUES, *[c.alias(n) for c, n in zip(g.centre(g.box()), ("_cx", "_cy"), strict=True)])
+    r = r.select("*", F.row_number().over(last).alias("_r"), *[F.lead(c).over(last).alias(f"_p{c}") for c in ("frame", "_cx", "_cy")])
+    step = F.greatest(F.col("frame") - F.col("_pframe"), F.lit(1))
+    r = r.withColumns({f"_v{x}": F.when(F.col("_r") < window, (F.col(f"_c{x}") - F.col(f"_p_c{x}")) / step) for x in "xy"})
+    speed = [F.coalesce(F.percentile(f"_v{x}", F.lit(0.5)), F.lit(0.0)).alias(f"v{x}") for x in "xy"]
+    return r.groupBy(*group).agg(F.count("*").alias("n"), F.min("frame").alias("f0"), F.max("frame").alias("f1"), F.min_by(b, "frame").alias("head"), F.max_by(b, "frame").alias("tail"), *speed)
 
 
 def tail_fit(df: DataFrame, group: tuple[str, ...] = TRACK, rows: int = 3, head: bool = False) -> DataFrame:

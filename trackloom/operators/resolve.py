@@ -296,25 +296,37 @@ def merge_overlapping(df: DataFrame, iou: float | Column = 0.7, min_frames: int
     return mine.join(linked, ["clip", "tid"], "left_anti").select(*done.columns).unionByName(done)
 
 
+def _stitch_pairs(df: DataFrame, max_gap: int | Column = 400, max_jump: float | Column = 2000.0, max_ratio: float | Column = 4.0, window: int = 5, cap: float = 200.0) -> DataFrame:
+    c = candidates.stitch_candidates(ordered.endpoints(df, window=window), max_gap, max_jump, max_ratio, cap)
+    return c.select(F.col("a_clip").alias("clip"), F.col("a_tid").alias("a"), F.col("b_tid").alias("b"), "gap", "px", "py", "pos_diff", "w_ratio", "h_ratio", "size_ok", "pos_ok")
+
+
+def _accepted(pairs: DataFrame) -> DataFrame:
+    good = pairs.where("size_ok and pos_ok").select("clip", "a", "b", F.struct(F.round("pos_diff", 6).alias("d"), "a", "b").alias("rank"))
+    return graph.matched(good, ["clip", "a"], ["clip", "b"], "rank", "stitch-rounds").select("clip", "a", "b")
+
+
+def stitch_links(df: DataFrame, **knobs) -> DataFrame:
+    """(clip, a, b): the pairs that ``stitch_log`` has as stitched."""
+    return _accepted(stored(_stitch_pairs(df, **knobs), "stitch-pairs"))
+
+
 def stitch_log(df: DataFrame, max_gap: int | Column = 400, max_jump: float | Column = 2000.0, max_ratio: float | Column = 4.0, window: int = 5, cap: float = 200.0) -> DataFrame:
     """Every candidate pair with ``stitched`` and, where a tail or head was taken, ``skipped`` = conflict.
 
     Pairs that pass both gates are accepted by position error (to six places, then by ids), smallest first; a track is tail once and head once.
     """
-    c = candidates.stitch_candidates(ordered.endpoints(df, window=window), max_gap, max_jump, max_ratio, cap)
-    c = c.select(F.col("a_clip").alias("clip"), F.col("a_tid").alias("a"), F.col("b_tid").alias("b"), "gap", "px", "py", "pos_diff", "w_ratio", "h_ratio", "size_ok", "pos_ok")
-    c = stored(c, "stitch-pairs")
-    good = c.where("size_ok and pos_ok").select("clip", "a", "b", F.struct(F.round("pos_diff", 6).alias("d"), "a", "b").alias("rank"))
-    taken = graph.matched(good, ["clip", "a"], ["clip", "b"], "rank", "stitch-rounds").select("clip", "a", "b", F.lit(True).alias("_taken"))
+    c = stored(_stitch_pairs(df, max_gap, max_jump, max_ratio, window, cap), "stitch-pairs")
+    taken = _accepted(c).withColumn("_taken", F.lit(True))
     out = c.join(taken, ["clip", "a", "b"], "left").withColumn("stitched", F.coalesce("_taken", F.lit(False)))
     conflict = F.when(F.col("size_ok") & F.col("pos_ok") & ~F.col("stitched"), "conflict")
     return out.withColumn("skipped", conflict).select(*c.columns, "stitched", "skipped")
 
 
-def stitch_components(log: DataFrame) -> DataFrame:
+def stitch_components(links: DataFrame) -> DataFrame:
     """(clip, tid, new_tid): chains of accepted pairs take their smallest id."""
     track = lambda c: F.struct("clip", F.col(c).alias("tid"))
-    parts = graph.connected_components(log.where("stitched").select(track("a").alias("a"), track("b").alias("b")), "stitch-chains")
+    parts = graph.connected_components(links.select(track("a").alias("a"), track("b").alias("b")), "stitch-chains")
     return parts.select("node.clip", "node.tid", F.col("component.tid").alias("new_tid"))
 
 
@@ -327,6 +339,8 @@ def renamed(df: DataFrame) -> DataFrame:
 def stitch(df: DataFrame, **knobs) -> DataFrame:
     """Tracks stitched across long gaps, which are not filled; of equal frames the higher confidence stays. Tracks without a link pass by."""
     cols = ["clip", "frame", "tid", *ordered.VALUES]
-    m = stored(stitch_components(stitch_log(df, **knobs)), "stitch-names")
-    one = renamed(df.select(*cols).join(m, ["clip", "tid"]))
-    return df.select(*cols).join(m, ["clip", "tid"], "left_anti").select(*cols).unionByName(one)
+    # Read for the ends, for tracks with links and for those without.
+    df = stored(df.select(*cols), "stitch-rows")
+    m = stored(stitch_components(stitch_links(df, **knobs)), "stitch-names")
+    one = renamed(df.join(m, ["clip", "tid"]))
+    return df.join(m, ["clip", "tid"], "left_anti").select(*cols).unionByName(one)

@@ -129,8 +129,8 @@ def _stitched(d: DataFrame, k: Config | Knobs) -> DataFrame:
     on = k.use_stitch
     if on is False:
         return shaped(d, k)
-    log = resolve.stitch_log(shaped(d.where(on) if isinstance(on, Column) else d, k), max_gap=k.stitch_gap, max_jump=k.stitch_jump, max_ratio=k.stitch_ratio)
-    m = stored(resolve.stitch_components(log), "stitch-names")
+    links = resolve.stitch_links(shaped(d.where(on) if isinstance(on, Column) else d, k), max_gap=k.stitch_gap, max_jump=k.stitch_jump, max_ratio=k.stitch_ratio)
+    m = stored(resolve.stitch_components(links), "stitch-names")
     named = d.join(m, ["clip", "tid"], "left").withColumn("new_tid", F.coalesce("new_tid", "tid"))
     # Dealt out by the new names once, for all that is left to do.
     return resolve.renamed(shaped(named, k, ("clip", "tid", "new_tid")).repartition("clip", "new_tid"))
